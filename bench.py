@@ -51,6 +51,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        spark.catalog.clearCache()
     print(
         json.dumps(
             {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
@@ -13,24 +13,42 @@ HOT_ROWS = 2_000_000
 SALTS = 4096
 
 
+def splits_skew(spark: SparkSession) -> bool:
+    """Whether this session splits skewed join partitions at run time."""
+    wanted = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(spark.conf.get(name, "true").lower() == "true" for name in wanted)
+
+
 def attach(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     weight: str,
     spread: Sequence[str],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Left join of ``left`` with ``right``, which has one row per key.
 
-    ``right`` was aggregated from ``left``, so its column ``weight`` already tells how many
-    rows of ``left`` carry each key (an upper bound does as well). Hot keys are answered by a
-    broadcast: there are at most ``rows(left) / hot_rows`` of them, which bounds its size (a
-    trillion rows make half a million entries). All other keys go through a shuffle join, in which
-    no key has more than ``hot_rows`` rows. Rows already answered, and rows with a null key, take
-    part in that join under a salt made of the ``spread`` columns, so they spread over all tasks.
+    With adaptive execution a plain join is enough: partitions that a hot key (or null keys) make
+    large are split at run time, and as ``right`` has one row per key, what is repeated for each
+    split is small. The joins of this library are followed by a shuffle on other keys or by the
+    end of the query, so the split is never ruled out by a required partitioning.
+
+    Where adaptive skew handling is off, or ``hot_rows`` is given, the join is salted by hand.
+    ``right`` was aggregated from ``left``, so its column ``weight`` tells how many rows
+    of ``left`` carry each key (an upper bound does as well). Hot keys are answered by a
+    broadcast: there are at most ``rows(left) / hot_rows`` of them, which bounds its size (a trillion
+    rows make half a million entries). All other keys go through a shuffle join, in which no key
+    has more than ``hot_rows`` rows. Rows already answered, and rows with a null key, take part in
+    that join under a salt made of the ``spread`` columns, so they spread over all tasks.
     """
     keys = list(keys)
+    if hot_rows is None:
+        if splits_skew(left.sparkSession):
+            return left.join(right.select(*keys, *_new(left, right, keys)), keys, "left").select(
+                *left.columns, *_new(left, right, keys)
+            )
+        hot_rows = HOT_ROWS
     values = [c for c in right.columns if c not in keys]
     packed = F.struct(*values)
     hot = right.where(F.col(weight) >= hot_rows).select(*keys, packed.alias("_hot"))
@@ -45,4 +63,9 @@ def attach(
     )
     out = out.join(cold, [*keys, "_salt"], "left")
     found = F.coalesce(F.col("_hot"), F.col("_cold"))
-    return out.select(*left.columns, *[found[v].alias(v) for v in values if v not in left.columns])
+    return out.select(*left.columns, *[found[v].alias(v) for v in _new(left, right, keys)])
+
+
+def _new(left: DataFrame, right: DataFrame, keys: list[str]) -> list[str]:
+    have = {*left.columns, *keys}
+    return [c for c in right.columns if c not in have]

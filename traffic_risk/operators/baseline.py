@@ -114,12 +114,17 @@ def fit_c_segment(events: DataFrame) -> DataFrame:
 
 
 def fit_baseline(events: DataFrame) -> Baseline:
-    """Learn the baseline. Brings at most 24 rows and one row to the driver."""
+    """Learn the baseline in one job. Brings at most 26 rows to the driver."""
     hours = fit_hour_distribution(events).where(F.col("hour_time").between(0, 23))
-    ratios = {r["hour_time"]: r["ratio"] for r in hours.collect()}
+    segments = fit_c_segment(events)
+    rows = hours.select(F.lit("hour").alias("name"), "hour_time", F.col("ratio").alias("value"))
+    for name in ("c_mean", "c_std"):
+        rows = rows.unionAll(segments.select(F.lit(name), F.lit(-1), F.col(name)))
+    found = rows.collect()
+    ratios = {r["hour_time"]: r["value"] for r in found if r["name"] == "hour"}
     masses = {
-        period: sum(r * weight_of(h, period) for h, r in sorted(ratios.items()))
+        f"{period}_mass": sum(r * weight_of(h, period) for h, r in sorted(ratios.items()))
         for period in ("night", "evening")
     }
-    segments = fit_c_segment(events).first()
-    return Baseline(ratios, masses["night"], masses["evening"], segments["c_mean"], segments["c_std"])
+    segment = {r["name"]: r["value"] for r in found if r["name"] != "hour"}
+    return Baseline(ratios, **masses, **segment)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from traffic_risk.columns import FEATURES, RESOLUTION_Z, USER_DAY
 from traffic_risk.functions import attach, c_segment_rsplit, hour_weight, is_direct, select_features
-from traffic_risk.functions.skew import HOT_ROWS
 from traffic_risk.operators.baseline import RATIO_FLOOR, Baseline
 
 BLOCK = ("date", "url", "hour_time")
@@ -52,25 +51,27 @@ def block_stats(events: DataFrame, by_cell: DataFrame | None = None) -> DataFram
     """
     by_cell = cells(events) if by_cell is None else by_cell
     zero = F.lit(0).cast("long")
+    placed = F.col("url").isNotNull() & F.col("hour_time").isNotNull()
+    # Rows without a url or hour are left out of the sums rather than filtered: a filter would
+    # move into the scan, and the cells would be shuffled once for this and once for ``user_blocks``.
+    block = ("date", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("hour_time", F.lit(-1)).alias("hour_time"))
+
+    def part(name: str, value: Column) -> Column:
+        return F.when(placed, value).otherwise(zero).alias(name)
+
+    one = F.lit(1).cast("long")
     visits = by_cell.select(
-        *BLOCK, "pv", F.lit(1).cast("long").alias("uv"), "direct_pv", zero.alias("single")
+        *block, part("pv", F.col("pv")), part("uv", one), part("direct_pv", F.col("direct_pv")), zero.alias("single")
     )
     singles = (
         _with_user(events)
         .groupBy(*USER_DAY)
         .agg(F.count("*").alias("n"), F.min("url").alias("url"), F.min("hour_time").alias("hour_time"))
         .where(F.col("n") == 1)
-        .select(
-            *BLOCK,
-            zero.alias("pv"),
-            zero.alias("uv"),
-            zero.alias("direct_pv"),
-            F.lit(1).cast("long").alias("single"),
-        )
+        .select(*block, zero.alias("pv"), zero.alias("uv"), zero.alias("direct_pv"), part("single", one))
     )
     return (
         visits.unionByName(singles)
-        .where(F.col("url").isNotNull() & F.col("hour_time").isNotNull())
         .groupBy(*BLOCK)
         .agg(
             F.sum("pv").alias("block_pv"),
@@ -78,6 +79,7 @@ def block_stats(events: DataFrame, by_cell: DataFrame | None = None) -> DataFram
             F.sum("single").alias("block_1pv_uv"),
             F.sum("direct_pv").alias("block_direct_pv"),
         )
+        .where(F.col("block_pv") > 0)
     )
 
 
@@ -114,7 +116,7 @@ def block_table(events: DataFrame, by_cell: DataFrame | None = None) -> DataFram
     return suspicious_blocks(block_ratios(block_growth(block_stats(events, by_cell))))
 
 
-def suspicious_events(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def suspicious_events(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Events with the flag of their block; an event without a block is not suspicious."""
     flags = block_table(events).select(*BLOCK, "block_pv", "is_suspicious_block")
     out = attach(events, flags, BLOCK, "block_pv", USER_DAY, hot_rows)
@@ -136,10 +138,11 @@ def user_addresses(events: DataFrame) -> DataFrame:
 def exact_ip_users(events: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
     """Distinct users per day and address; events without an address are left out."""
     addresses = user_addresses(events) if addresses is None else addresses
+    # counted, not filtered, for the same reason as in ``block_stats``
     return (
-        addresses.where(F.col("ip").isNotNull())
-        .groupBy("date", "ip")
-        .agg(F.count("*").alias("exact_ip_uv"))
+        addresses.groupBy("date", F.coalesce("ip", F.lit("")).alias("ip"))
+        .agg(F.count("ip").alias("exact_ip_uv"))
+        .where(F.col("exact_ip_uv") > 0)
     )
 
 
@@ -162,7 +165,7 @@ def c_segment_zscore(events: DataFrame, baseline: Baseline) -> DataFrame:
 
 
 def user_environment(
-    events: DataFrame, baseline: Baseline, hot_rows: int = HOT_ROWS
+    events: DataFrame, baseline: Baseline, hot_rows: int | None = None
 ) -> DataFrame:
     """Largest shared-address count and C-segment z-score of each user-day.
 
@@ -179,7 +182,6 @@ def user_environment(
         .agg(
             F.max("exact_ip_uv").alias("max_exact_ip_uv"),
             F.max("cnt").alias("max_cnt"),
-            F.min("ip_c_segment").alias("ip_c"),
         )
         .withColumn("max_c_zscore", floor_at_zero(z))
         .drop("max_cnt")
@@ -236,9 +238,11 @@ def relative_hour_risk(profile: DataFrame, baseline: Baseline) -> DataFrame:
     return out
 
 
-def user_blocks(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def user_blocks(
+    events: DataFrame, by_cell: DataFrame | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """User-day roll-up of the blocks the user touched, weighted by its views."""
-    by_cell = cells(events)
+    by_cell = cells(events) if by_cell is None else by_cell
     blocks = block_table(events, by_cell).select(
         *BLOCK,
         "block_pv",
@@ -268,18 +272,15 @@ def user_blocks(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def user_signature(events: DataFrame) -> DataFrame:
+def user_signature(events: DataFrame, by_cell: DataFrame | None = None) -> DataFrame:
     """Behaviour signature per user-day: rounded mean hour, distinct urls, direct share."""
-    hour = F.sum("hour_time") / F.count("hour_time")
-    return (
-        _with_user(events)
-        .groupBy(*USER_DAY)
-        .agg(
-            F.bround(hour, 0).alias("hour_bin"),
-            F.count_distinct("url").alias("url_nunique"),
-            (F.sum(is_direct("referrer")) / F.count("*")).alias("is_direct"),
-            F.min(c_segment_rsplit("ip")).alias("ip_c"),
-        )
+    by_cell = cells(events) if by_cell is None else by_cell
+    pv = F.col("pv")
+    hour = F.sum(F.col("hour_time") * pv) / F.sum(F.when(F.col("hour_time").isNotNull(), pv))
+    return by_cell.groupBy(*USER_DAY).agg(
+        F.bround(hour, 0).alias("hour_bin"),
+        F.count_distinct("url").alias("url_nunique"),
+        (F.sum("direct_pv") / F.sum("pv")).alias("is_direct"),
     )
 
 
@@ -291,11 +292,20 @@ def _cluster_sizes(signatures: DataFrame) -> DataFrame:
     )
 
 
-def clone_clusters(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """User-days with the number of user-days of the same day and signature."""
+def clone_clusters(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """User-days with the number of user-days of the same day and signature.
+
+    ``ip_c`` is the smallest C segment of the user-day (the reference carries whichever came first).
+    """
     signatures = user_signature(events)
+    segments = _with_user(events).groupBy(*USER_DAY).agg(F.min(c_segment_rsplit("ip")).alias("ip_c"))
     return attach(
-        signatures, _cluster_sizes(signatures), SIGNATURE, "cluster_size", ("distinct_id",), hot_rows
+        signatures.join(segments, list(USER_DAY)),
+        _cluster_sizes(signatures),
+        SIGNATURE,
+        "cluster_size",
+        ("distinct_id",),
+        hot_rows,
     )
 
 
@@ -363,12 +373,13 @@ def apply_rules(features: DataFrame) -> DataFrame:
 def base_features(
     events: DataFrame,
     baseline: Baseline,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """All behaviour features without the resolution z-score, one row per user-day."""
-    blocks = user_blocks(events, hot_rows)
+    by_cell = cells(events)
+    blocks = user_blocks(events, by_cell, hot_rows)
     hours = hour_profile(events, baseline)
-    environment = user_environment(events, baseline, hot_rows).drop("ip_c")
+    environment = user_environment(events, baseline, hot_rows)
     joined = (
         blocks.join(hours, list(USER_DAY))
         .join(environment, list(USER_DAY))
@@ -376,7 +387,7 @@ def base_features(
         .withColumn("is_direct", F.col("is_direct_ratio"))
         .drop("hour_sum", "hour_pv")
     )
-    sizes = _cluster_sizes(user_signature(events))
+    sizes = _cluster_sizes(user_signature(events, by_cell))
     sized = attach(joined, sizes, SIGNATURE, "cluster_size", ("distinct_id",), hot_rows)
     return apply_rules(risk_scores(sized.drop("hour_bin", "is_direct", "url_nunique")))
 
@@ -386,7 +397,7 @@ def user_day_features(
     baseline: Baseline,
     resolution=None,
     leave_one_day_out: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """All 21 features. Without a resolution baseline the z-score column is 0."""
     from traffic_risk.operators.resolution import attach_resolution_feature

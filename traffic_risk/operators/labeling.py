@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from traffic_risk import labels
 from traffic_risk.columns import RESOLUTION_Z, USER_DAY
 from traffic_risk.functions import attach, blank_to_unknown, first_day_flag
-from traffic_risk.functions.skew import HOT_ROWS
 from traffic_risk.params import RiskParams
 
 # The device combination of the manual rule.
@@ -72,7 +71,7 @@ def manual_rule_users(events: DataFrame) -> DataFrame:
 
 
 def scored_events(
-    events: DataFrame, iforest: DataFrame, gbt: DataFrame, hot_rows: int = HOT_ROWS
+    events: DataFrame, iforest: DataFrame, gbt: DataFrame, hot_rows: int | None = None
 ) -> DataFrame:
     """Events whose user-day has both scores, with the scores."""
     scores = user_day_scores(iforest, gbt)
@@ -172,7 +171,7 @@ class LabeledTraffic:
     events: DataFrame
     user_days: DataFrame
 
-    def rows(self, hot_rows: int = HOT_ROWS) -> DataFrame:
+    def rows(self, hot_rows: int | None = None) -> DataFrame:
         """Labelled events: every event of a labelled user-day, with display columns."""
         out = attach(self.events, self.user_days, USER_DAY, "n_events", self.events.columns, hot_rows)
         return (

@@ -17,7 +17,6 @@ from traffic_risk.functions import (
     c_segment_regex,
     soft_fingerprint,
 )
-from traffic_risk.functions.skew import HOT_ROWS
 from traffic_risk.operators.labeling import LabeledTraffic
 from traffic_risk.params import CONTAMINATION_OFF
 
@@ -35,8 +34,8 @@ def network_base(traffic: LabeledTraffic) -> DataFrame:
             dims[name] = F.col(name)
         elif name in display and display[name] in traffic.events.columns:
             dims[name] = blank_to_unknown(display[name])
-    users = traffic.users_by(**dims)
-    return users.select(*USER_DAY, F.col("final_label").alias("is_bot"), *dims).distinct()
+    # users_by is distinct already, and the flag is the user-day's
+    return traffic.users_by(**dims).select(*USER_DAY, F.col("final_label").alias("is_bot"), *dims)
 
 
 def _stripped(name: str) -> Column:
@@ -70,12 +69,12 @@ def network_fields(base: DataFrame) -> DataFrame:
         "ip_c_segment": _derive_if_blank(base, "ip_c_segment", segment, "neither ip_c_segment nor ip"),
         "soft_fp": _derive_if_blank(base, "soft_fp", fingerprint, "neither soft_fp nor device columns"),
     }
-    return base.withColumns(keys).where(
-        F.col("date").isNotNull()
-        & F.col("distinct_id").isNotNull()
-        & (F.col("ip_c_segment") != "")
-        & (F.col("soft_fp") != "")
+    usable = (
+        F.col("date").isNotNull() & F.col("distinct_id").isNotNull() & (F.col("ip_c_segment") != "")
     )
+    if "soft_fp" in base.columns:  # a derived fingerprint is never blank
+        usable = usable & (F.col("soft_fp") != "")
+    return base.withColumns(keys).where(usable)
 
 
 def network_daily_totals(base: DataFrame) -> DataFrame:
@@ -90,6 +89,7 @@ def network_daily_totals(base: DataFrame) -> DataFrame:
 
 
 def network_eligible(fields: DataFrame) -> DataFrame:
+    """Users per day with usable keys."""
     return (
         fields.select(*USER_DAY)
         .distinct()
@@ -132,7 +132,7 @@ def network_new_catch(
     fields: DataFrame,
     ratio: float = CONTAMINATION_OFF,
     min_users: int = MIN_USERS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Unblocked users of contaminated clusters, once per day."""
     dirty = cluster_contamination(fields, min_users).where(F.col("ratio") >= F.lit(float(ratio)))
@@ -145,7 +145,7 @@ def network_new_catch(
     )
 
 
-def network_roi(base: DataFrame, ratio: float = CONTAMINATION_OFF, hot_rows: int = HOT_ROWS) -> DataFrame:
+def network_roi(base: DataFrame, ratio: float = CONTAMINATION_OFF, hot_rows: int | None = None) -> DataFrame:
     """Per day: users, blocked, eligible, newly caught and their share of all users in percent."""
     fields = network_fields(base)
     caught = (

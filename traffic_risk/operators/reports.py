@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from traffic_risk import labels
 from traffic_risk.columns import USER_DAY
 from traffic_risk.functions import (
+    attach,
     blank_to_unknown,
     c_segment_regex,
     exact_quantiles,
     first_day_flag,
 )
-from traffic_risk.functions.skew import HOT_ROWS, attach
 from traffic_risk.operators.labeling import LabeledTraffic, blocked_or_not, pool_bucket
 
 HUNDRED = 100.0
@@ -248,7 +248,7 @@ def first_day_distribution(traffic: LabeledTraffic, blocked: bool, as_of=None) -
     )
 
 
-def c_segment_users(traffic: LabeledTraffic, as_of=None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def c_segment_users(traffic: LabeledTraffic, as_of=None, hot_rows: int | None = None) -> DataFrame:
     """For each user of the latest day, the user count of its most populated C segment."""
     pairs = (
         traffic.latest(as_of)

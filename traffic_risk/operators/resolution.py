@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traffic_risk import labels
 from traffic_risk.columns import RESOLUTION_Z, USER_DAY
 from traffic_risk.functions import attach, canonical_resolution
-from traffic_risk.functions.skew import HOT_ROWS
 from traffic_risk.params import ResolutionParams
 
 # Scale of a normal distribution's median deviation, smallest scale.
@@ -28,16 +27,32 @@ OTHER = labels.OTHER_RESOLUTION
 
 @dataclass(frozen=True)
 class ResolutionBaseline:
-    vocab: DataFrame
-    """resolution, total_user_days, days_present of the common resolutions"""
-    floor: DataFrame
-    """share_scale_floor (one row)"""
-    grid: DataFrame
-    """training shares per (date, resolution_bucket)"""
+    """Fitted share baseline: one row per bucket, with the shares of all training days."""
+
     shares: DataFrame
-    """summary per bucket"""
+    """resolution, days (array of date, daily_share, resolution_user_days, valid_user_days),
+    share_scale_floor and the share summary"""
     params: ResolutionParams
 
+    def grid(self) -> DataFrame:
+        """Training shares per (date, bucket), zero-filled."""
+        return self.shares.select(F.col("resolution").alias("resolution_bucket"), F.inline("days"))
+
+    def summary(self) -> DataFrame:
+        return self.shares.drop("days", "share_scale_floor")
+
+    def persist(self) -> ResolutionBaseline:
+        return ResolutionBaseline(self.shares.persist(), self.params)
+
+    def save(self, path: str) -> None:
+        self.shares.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(
+        cls, spark: SparkSession, path: str, params: ResolutionParams = ResolutionParams()
+    ) -> ResolutionBaseline:
+        return cls(spark.read.parquet(path), params)
+
 
 def main_resolution(events: DataFrame) -> DataFrame:
     """Most frequent canonical resolution per user-day, null if it has none.
@@ -61,27 +76,26 @@ def daily_resolutions(main: DataFrame) -> DataFrame:
     )
 
 
+def _is_common(user_days: Column, days: Column, params: ResolutionParams) -> Column:
+    return (user_days >= params.min_user_days) & (days >= params.min_days)
+
+
 def fit_resolution_vocab(
-    main: DataFrame, params: ResolutionParams = ResolutionParams(), common_only: bool = True
+    daily: DataFrame, params: ResolutionParams = ResolutionParams(), common_only: bool = True
 ) -> DataFrame:
     """Resolutions with their user-days and days; only the common ones unless told otherwise."""
     stats = (
-        daily_resolutions(main)
-        .where(F.col("resolution").isNotNull())
+        daily.where(F.col("resolution").isNotNull())
         .groupBy("resolution")
         .agg(F.sum("n").alias("total_user_days"), F.count("*").alias("days_present"))
     )
-    if not common_only:
-        return stats
-    return stats.where(
-        (F.col("total_user_days") >= params.min_user_days) & (F.col("days_present") >= params.min_days)
-    )
+    common = _is_common(F.col("total_user_days"), F.col("days_present"), params)
+    return stats.where(common) if common_only else stats
 
 
-def check_training(main: DataFrame, params: ResolutionParams = ResolutionParams()) -> None:
+def check_training(daily: DataFrame, params: ResolutionParams = ResolutionParams()) -> None:
     """Raise when the training user-days cannot carry a share baseline."""
-    valid = main.where(F.col("main_resolution_canonical").isNotNull())
-    days = valid.select("date").distinct().count()
+    days = daily.where(F.col("resolution").isNotNull()).select("date").distinct().count()
     if days == 0:
         raise ValueError("training user-days have no valid main resolution")
     if days < params.min_training_days:
@@ -94,9 +108,7 @@ def _bucket(resolution: Column, is_common: Column) -> Column:
     return F.when(resolution.isNotNull(), F.when(is_common, resolution).otherwise(F.lit(OTHER)))
 
 
-def resolution_bucket(
-    main: DataFrame, vocab: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def resolution_bucket(main: DataFrame, vocab: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Common resolution -> itself, rare -> one bucket, none -> null."""
     known = (
         main.groupBy("main_resolution_canonical")
@@ -109,62 +121,90 @@ def resolution_bucket(
     return out.select(*main.columns, _bucket(r, F.col("common").isNotNull()).alias("resolution_bucket"))
 
 
-def bucket_counts(main: DataFrame, vocab: DataFrame) -> DataFrame:
+def bucket_counts(daily: DataFrame, vocab: DataFrame) -> DataFrame:
     """User-days per (date, bucket); bucketed after counting, so no popular resolution is shuffled."""
     common = vocab.select("resolution", F.lit(True).alias("common"))
     return (
-        daily_resolutions(main)
-        .join(common, "resolution", "left")
+        daily.join(common, "resolution", "left")
         .groupBy("date", _bucket(F.col("resolution"), F.col("common").isNotNull()).alias("resolution_bucket"))
         .agg(F.sum("n").alias("resolution_user_days"))
     )
 
 
-def daily_share_grid(counts: DataFrame, vocab: DataFrame, only_valid_days: bool = True) -> DataFrame:
-    """Share of every bucket on every day, zero-filled.
+def _calendar(daily: DataFrame, only_valid_days: bool) -> DataFrame:
+    """One row: the days with their user-days that have a resolution, and the smallest scale.
 
-    Days are those with a valid user-day, or all days of ``counts``.
+    One array entry per day; the median is over days.
+    """
+    valid = F.sum(F.when(F.col("resolution").isNotNull(), F.col("n")))
+    per_day = daily.groupBy("date").agg(F.coalesce(valid, F.lit(0).cast("long")).alias("users"))
+    used = F.col("users") > 0
+    day = F.struct("date", F.col("users").alias("valid_user_days"))
+    typical = F.percentile(F.when(used, F.col("users")), F.lit(0.5))
+    return per_day.agg(
+        F.array_sort(F.collect_list(F.when(used, day) if only_valid_days else day)).alias("days"),
+        F.greatest(F.lit(0.5) / F.greatest(typical, F.lit(1.0)), F.lit(MIN_SCALE)).alias("share_scale_floor"),
+    )
+
+
+def share_scale_floor(daily: DataFrame) -> DataFrame:
+    """Smallest scale: half a user of a typical day (one row)."""
+    return _calendar(daily, True).select("share_scale_floor")
+
+
+def _share(n: Column, valid: Column) -> Column:
+    return F.when(valid > 0, n / valid).otherwise(F.lit(0.0))
+
+
+def _with_all_days(counts: DataFrame, daily: DataFrame, only_valid_days: bool) -> DataFrame:
+    """One row per bucket: its share on every day, zero where it does not occur.
+
+    ``counts`` are user-days per (date, resolution_bucket). The bucket of rare resolutions is always
+    there. Each row holds one entry per day.
     """
-    valid = counts.where(F.col("resolution_bucket").isNotNull())
-    days = (valid if only_valid_days else counts).agg(F.array_sort(F.collect_set("date")).alias("days"))
     spark = counts.sparkSession
-    buckets = vocab.select(F.col("resolution").alias("resolution_bucket")).unionByName(
-        spark.range(1).select(F.lit(OTHER).alias("resolution_bucket"))
+    present = counts.where(F.col("resolution_bucket").isNotNull()).select(
+        "resolution_bucket", "date", "resolution_user_days"
     )
-    totals = valid.groupBy("date").agg(F.sum("resolution_user_days").alias("valid_user_days"))
+    always = spark.range(1).select(
+        F.lit(OTHER).alias("resolution_bucket"),
+        F.lit(None).cast("date").alias("date"),
+        F.lit(None).cast("long").alias("resolution_user_days"),
+    )
+    seen = F.when(F.col("date").isNotNull(), F.struct("date", "resolution_user_days"))
+    calendar = _calendar(daily, only_valid_days)
     zero = F.lit(0).cast("long")
+
+    def one_day(d: Column) -> Column:
+        n = F.coalesce(F.col("seen")[d["date"]], zero)
+        return F.struct(
+            d["date"].alias("date"),
+            _share(n, d["valid_user_days"]).alias("daily_share"),
+            n.alias("resolution_user_days"),
+            d["valid_user_days"].alias("valid_user_days"),
+        )
+
     return (
-        buckets.select("resolution_bucket", F.explode(days.scalar()).alias("date"))
-        .join(valid, ["date", "resolution_bucket"], "left")
-        .join(totals, "date", "left")
+        present.unionByName(always)
+        .groupBy("resolution_bucket")
+        .agg(F.map_from_entries(F.collect_list(seen)).alias("seen"))
+        .withColumn("calendar", calendar.select(F.struct("days", "share_scale_floor")).scalar())
         .select(
-            "date",
             "resolution_bucket",
-            F.coalesce("resolution_user_days", zero).alias("resolution_user_days"),
-            F.coalesce("valid_user_days", zero).alias("valid_user_days"),
-        )
-        .withColumn(
-            "daily_share",
-            F.when(
-                F.col("valid_user_days") > 0, F.col("resolution_user_days") / F.col("valid_user_days")
-            ).otherwise(F.lit(0.0)),
+            F.transform("calendar.days", one_day).alias("days"),
+            F.col("calendar.share_scale_floor").alias("share_scale_floor"),
         )
     )
 
 
-def share_scale_floor(counts: DataFrame) -> DataFrame:
-    """Smallest scale: half a user of a typical day. The median is over days."""
-    typical = F.percentile("users", F.lit(0.5))
-    return (
-        counts.where(F.col("resolution_bucket").isNotNull())
-        .groupBy("date")
-        .agg(F.sum("resolution_user_days").alias("users"))
-        .agg(
-            F.greatest(F.lit(0.5) / F.greatest(typical, F.lit(1.0)), F.lit(MIN_SCALE)).alias(
-                "share_scale_floor"
-            )
-        )
-    )
+def daily_share_grid(daily: DataFrame, vocab: DataFrame, only_valid_days: bool = True) -> DataFrame:
+    """Share of every bucket on every day, zero-filled.
+
+    Days are those with a valid user-day, or all days of ``daily``. A common resolution that does not
+    occur at all has no rows here (its shares would be zero throughout).
+    """
+    rows = _with_all_days(bucket_counts(daily, vocab), daily, only_valid_days)
+    return rows.select("resolution_bucket", F.inline("days"))
 
 
 def _median(values: Column) -> Column:
@@ -174,17 +214,8 @@ def _median(values: Column) -> Column:
     return (lower + upper) / 2
 
 
-def _days_per_bucket(grid: DataFrame) -> DataFrame:
-    """One array of (date, share, user-days) per bucket: one entry per training day."""
-    return grid.groupBy("resolution_bucket").agg(
-        F.array_sort(
-            F.collect_list(F.struct("date", "daily_share", "resolution_user_days"))
-        ).alias("days")
-    )
-
-
-def _summarize(with_days: DataFrame, floor: DataFrame) -> DataFrame:
-    """Location and scale of the shares in ``days``."""
+def summarize_shares(rows: DataFrame) -> DataFrame:
+    """Location and scale of the shares in ``days``, never below ``share_scale_floor``."""
     zero = F.lit(0.0)
     n = F.size("days")
     mean = F.aggregate("shares", zero, lambda s, x: s + x) / n
@@ -195,88 +226,123 @@ def _summarize(with_days: DataFrame, floor: DataFrame) -> DataFrame:
     robust = F.lit(MAD_SCALE) * F.col("daily_share_mad")
     least = F.col("share_scale_floor")
     return (
-        with_days.withColumn("shares", F.col("days.daily_share"))
-        .withColumn("share_scale_floor", floor.scalar())
-        .withColumn("daily_share_mean", mean)
-        .withColumn("daily_share_median", _median(F.col("shares")))
-        .withColumn("daily_share_std", F.when(n > 1, F.sqrt(squares / (n - 1))).otherwise(zero))
-        .withColumn("daily_share_mad", _median(F.transform("shares", lambda x: F.abs(x - center))))
+        rows.withColumn("shares", F.col("days.daily_share"))
+        .withColumns({"daily_share_mean": mean, "daily_share_median": _median(F.col("shares"))})
+        .withColumns(
+            {
+                "daily_share_std": F.when(n > 1, F.sqrt(squares / (n - 1))).otherwise(zero),
+                "daily_share_mad": _median(F.transform("shares", lambda x: F.abs(x - center))),
+            }
+        )
         .withColumn(
             "scale_source",
             F.when(robust > least, F.lit("MAD"))
             .when(F.col("daily_share_std") > least, F.lit("STD_FALLBACK"))
             .otherwise(F.lit("FLOOR")),
         )
-        .withColumn(
-            "daily_share_scale",
-            F.when(F.col("scale_source") == "MAD", robust)
-            .when(F.col("scale_source") == "STD_FALLBACK", F.col("daily_share_std"))
-            .otherwise(least),
+        .withColumns(
+            {
+                "daily_share_scale": F.when(F.col("scale_source") == "MAD", robust)
+                .when(F.col("scale_source") == "STD_FALLBACK", F.col("daily_share_std"))
+                .otherwise(least),
+                "baseline_days": n,
+                "total_user_days": F.aggregate(
+                    "days", F.lit(0).cast("long"), lambda s, d: s + d["resolution_user_days"]
+                ),
+                "days_present": F.size(F.filter("days", lambda d: d["resolution_user_days"] > 0)),
+            }
         )
-        .withColumn("baseline_days", n)
-        .withColumn(
-            "total_user_days",
-            F.aggregate("days", F.lit(0).cast("long"), lambda s, d: s + d["resolution_user_days"]),
-        )
-        .withColumn("days_present", F.size(F.filter("days", lambda d: d["resolution_user_days"] > 0)))
-        .drop("days", "shares", "share_scale_floor")
+        .drop("shares")
     )
 
 
-def fit_share_baseline(grid: DataFrame, floor: DataFrame) -> DataFrame:
-    return _summarize(_days_per_bucket(grid), floor).withColumnRenamed("resolution_bucket", "resolution")
+def fit_share_baseline(daily: DataFrame, params: ResolutionParams = ResolutionParams()) -> DataFrame:
+    """Per bucket: all training days and their summary.
+
+    Whether a resolution is common is decided by a window over its days, one row per day.
+    """
+    over = Window.partitionBy("resolution")
+    common = _is_common(F.sum("n").over(over), F.count("*").over(over), params)
+    counts = (
+        daily.withColumn("common", common)
+        .groupBy("date", _bucket(F.col("resolution"), F.col("common")).alias("resolution_bucket"))
+        .agg(F.sum("n").alias("resolution_user_days"))
+    )
+    rows = summarize_shares(_with_all_days(counts, daily, True))
+    return rows.withColumnRenamed("resolution_bucket", "resolution")
 
 
 def fit_resolution(
     events: DataFrame, params: ResolutionParams = ResolutionParams(), check: bool = False
 ) -> ResolutionBaseline:
-    main = main_resolution(events)
+    """Learn the share baseline from training events.
+
+    The result is a small table that is cheap to ``save`` and ``load``; ``persist`` it when it is
+    used right away, or its lineage runs again with every use.
+    """
+    daily = daily_resolutions(main_resolution(events))
     if check:
-        check_training(main, params)
-    vocab = fit_resolution_vocab(main, params)
-    counts = bucket_counts(main, vocab)
-    floor = share_scale_floor(counts)
-    grid = daily_share_grid(counts, vocab)
-    return ResolutionBaseline(vocab, floor, grid, fit_share_baseline(grid, floor), params)
+        check_training(daily, params)
+    return ResolutionBaseline(fit_share_baseline(daily, params), params)
+
 
+def _scored(shares: DataFrame, baseline: ResolutionBaseline, leave_one_day_out: bool) -> DataFrame:
+    """Add the positive z-score to rows with (date, resolution_bucket, daily_share).
 
-def _positive_z(z_clip: float) -> Column:
+    Against all training days, or, when ``leave_one_day_out``, against all but the row's own day.
+    """
+    fitted = baseline.shares.withColumnRenamed("resolution", "resolution_bucket")
+    keep = [c for c in shares.columns if c != RESOLUTION_Z]
+    if leave_one_day_out:
+        fitted = fitted.select("resolution_bucket", "days", "share_scale_floor")
+        others = F.filter("days", lambda d: d["date"] != F.col("date"))
+        rows = summarize_shares(
+            shares.join(fitted, "resolution_bucket", "left").withColumn("days", others)
+        )
+    else:
+        fitted = fitted.select("resolution_bucket", "daily_share_median", "daily_share_scale")
+        rows = shares.join(fitted, "resolution_bucket", "left")
     z = (F.col("daily_share") - F.col("daily_share_median")) / F.col("daily_share_scale")
     usable = z.isNotNull() & ~F.isnan(z) & (F.abs(z) != F.lit(float("inf")))
-    return F.when(usable, F.least(F.greatest(z, F.lit(0.0)), F.lit(float(z_clip)))).otherwise(F.lit(0.0))
-
-
-_SCORED = ("date", "resolution_bucket", "resolution_user_days", "daily_share", RESOLUTION_Z)
+    clipped = F.least(F.greatest(z, F.lit(0.0)), F.lit(float(baseline.params.z_clip)))
+    return rows.select(*keep, F.when(usable, clipped).otherwise(F.lit(0.0)).alias(RESOLUTION_Z))
 
 
-def resolution_zscore(current: DataFrame, baseline: ResolutionBaseline) -> DataFrame:
+def resolution_zscore(shares: DataFrame, baseline: ResolutionBaseline) -> DataFrame:
     """Each day's share against the summary of the training days."""
-    summary = baseline.shares.select(
-        F.col("resolution").alias("resolution_bucket"), "daily_share_median", "daily_share_scale"
-    )
-    return (
-        current.join(summary, "resolution_bucket", "left")
-        .withColumn(RESOLUTION_Z, _positive_z(baseline.params.z_clip))
-        .select(*_SCORED)
-    )
+    return _scored(shares, baseline, leave_one_day_out=False)
 
 
-def resolution_zscore_loo(current: DataFrame, baseline: ResolutionBaseline) -> DataFrame:
+def resolution_zscore_loo(shares: DataFrame, baseline: ResolutionBaseline) -> DataFrame:
     """Each day's share against the summary of all *other* training days."""
-    others = current.join(_days_per_bucket(baseline.grid), "resolution_bucket", "left").withColumn(
-        "days", F.filter("days", lambda d: d["date"] != F.col("date"))
-    )
-    return (
-        _summarize(others, baseline.floor)
-        .withColumn(RESOLUTION_Z, _positive_z(baseline.params.z_clip))
-        .select(*_SCORED)
-    )
+    return _scored(shares, baseline, leave_one_day_out=True)
 
 
-def score_shares(main: DataFrame, baseline: ResolutionBaseline, leave_one_day_out: bool) -> DataFrame:
-    current = daily_share_grid(bucket_counts(main, baseline.vocab), baseline.vocab, only_valid_days=False)
-    score = resolution_zscore_loo if leave_one_day_out else resolution_zscore
-    return score(current, baseline)
+def resolution_scores(
+    daily: DataFrame, baseline: ResolutionBaseline, leave_one_day_out: bool = False
+) -> DataFrame:
+    """Score of every (date, resolution) that occurs; a rare one takes its bucket's.
+
+    The windows run over the resolutions of a day, after counting.
+    """
+    common = baseline.shares.select("resolution", F.lit(True).alias("common"))
+    n = F.col("n")
+    shares = (
+        daily.where(F.col("resolution").isNotNull())
+        .join(common, "resolution", "left")
+        .withColumn("resolution_bucket", _bucket(F.col("resolution"), F.col("common").isNotNull()))
+        .select(
+            "date",
+            "resolution",
+            "resolution_bucket",
+            "n",
+            _share(
+                F.sum(n).over(Window.partitionBy("date", "resolution_bucket")),
+                F.sum(n).over(Window.partitionBy("date")),
+            ).alias("daily_share"),
+        )
+    )
+    return _scored(shares, baseline, leave_one_day_out)
 
 
 def attach_resolution_feature(
@@ -284,26 +350,13 @@ def attach_resolution_feature(
     events: DataFrame,
     baseline: ResolutionBaseline,
     leave_one_day_out: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Give every user-day the z-score of its bucket; without a resolution it is 0.
-
-    A rare resolution takes the score of the rare bucket, one row per day.
-    """
+    """Give every user-day the z-score of its bucket; without a resolution it is 0."""
     main = main_resolution(events)
-    scores = score_shares(main, baseline, leave_one_day_out)
-    is_other = F.col("resolution_bucket") == OTHER
-    common = scores.where(~is_other).select(
-        "date",
-        F.col("resolution_bucket").alias("main_resolution_canonical"),
-        F.col(RESOLUTION_Z).alias("z_common"),
-        F.col("resolution_user_days").alias("n"),
+    scores = resolution_scores(daily_resolutions(main), baseline, leave_one_day_out).select(
+        "date", F.col("resolution").alias("main_resolution_canonical"), "n", F.col(RESOLUTION_Z).alias("z")
     )
-    rare = scores.where(is_other).select("date", F.col(RESOLUTION_Z).alias("z_rare"))
     out = user_days.join(main, list(USER_DAY), "left")
-    out = attach(out, common, ("date", "main_resolution_canonical"), "n", ("distinct_id",), hot_rows)
-    out = out.join(F.broadcast(rare), "date", "left")
-    z = F.when(
-        F.col("main_resolution_canonical").isNotNull(), F.coalesce("z_common", "z_rare", F.lit(0.0))
-    ).otherwise(F.lit(0.0))
-    return out.select(*user_days.columns, z.alias(RESOLUTION_Z))
+    out = attach(out, scores, ("date", "main_resolution_canonical"), "n", ("distinct_id",), hot_rows)
+    return out.select(*user_days.columns, F.coalesce("z", F.lit(0.0)).alias(RESOLUTION_Z))

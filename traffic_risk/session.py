@@ -38,7 +38,11 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None) ->
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.driver.extraJavaOptions", "-XX:+UseParallelGC -XX:-DontCompileHugeMethods")
         .config("spark.ui.showConsoleProgress", "false")
+        # small inputs: keep partitions apart that a cluster would merge, or one core does it all
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = configure(builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

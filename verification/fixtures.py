@@ -6,6 +6,8 @@ rows. See FIXTURES.md for what the tables contain.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
 from traffic_risk.sources.pageviews import scan_cohort_events, scan_pageviews
@@ -95,52 +97,60 @@ FROM {pageviews} WHERE CAST(extract(day FROM date) AS INT) % 6 <> 0 GROUP BY dat
 """
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
-
-
-def pageviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PAGEVIEWS_RAW, events=events(spark, sf_dir))
-
-
-def pageviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_pageviews(pageviews_raw(spark, sf_dir), excluded_host=EXCLUDED_HOST)
-
-
-def all_pageviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the host filter, so that events without a url stay in."""
-    return scan_pageviews(pageviews_raw(spark, sf_dir))
-
-
-def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(USER_DAYS, pageviews=pageviews(spark, sf_dir))
+class Inputs:
+    """The input tables of one query, each built once."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
-def iforest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(IFOREST_SCORES, user_days=user_days(spark, sf_dir))
+    def _sql(self, text: str, **tables: DataFrame) -> DataFrame:
+        return self.spark.sql(text, **tables)
 
+    @cached_property
+    def events(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
 
-def xgb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(XGB_SCORES, user_days=user_days(spark, sf_dir))
+    @cached_property
+    def raw(self) -> DataFrame:
+        return self._sql(PAGEVIEWS_RAW, events=self.events)
 
+    @cached_property
+    def pageviews(self) -> DataFrame:
+        return scan_pageviews(self.raw, excluded_host=EXCLUDED_HOST)
 
-def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_cohort_events(
-        pageviews_raw(spark, sf_dir), FIRST_DAY, LAST_DAY, TARGET_PATH, TARGET_TITLE
-    )
+    @cached_property
+    def all_pageviews(self) -> DataFrame:
+        """Without the host filter, so that events without a url stay in."""
+        return scan_pageviews(self.raw)
 
+    @cached_property
+    def user_days(self) -> DataFrame:
+        return self._sql(USER_DAYS, pageviews=self.pageviews)
 
-def cohort_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(COHORT_STORED, cohort=cohort(spark, sf_dir))
+    @cached_property
+    def iforest(self) -> DataFrame:
+        return self._sql(IFOREST_SCORES, user_days=self.user_days)
 
+    @cached_property
+    def xgb(self) -> DataFrame:
+        return self._sql(XGB_SCORES, user_days=self.user_days)
 
-def redteam_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(REDTEAM_POOL, user_days=user_days(spark, sf_dir))
+    @cached_property
+    def cohort(self) -> DataFrame:
+        return scan_cohort_events(self.raw, FIRST_DAY, LAST_DAY, TARGET_PATH, TARGET_TITLE)
 
+    @cached_property
+    def cohort_stored(self) -> DataFrame:
+        return self._sql(COHORT_STORED, cohort=self.cohort)
 
-def raw_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RAW_MANIFEST, pageviews=pageviews(spark, sf_dir))
+    @cached_property
+    def redteam_pool(self) -> DataFrame:
+        return self._sql(REDTEAM_POOL, user_days=self.user_days)
 
+    @cached_property
+    def raw_manifest(self) -> DataFrame:
+        return self._sql(RAW_MANIFEST, pageviews=self.pageviews)
 
-def feature_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FEATURE_MANIFEST, pageviews=pageviews(spark, sf_dir))
+    @cached_property
+    def feature_manifest(self) -> DataFrame:
+        return self._sql(FEATURE_MANIFEST, pageviews=self.pageviews)

@@ -56,9 +56,13 @@ KEYS = "date, distinct_id"
 
 
 def query(check: str | None = None, name: str | None = None):
-    def register(fn: Query) -> Query:
-        key = name or fn.__name__
-        QUERIES[key] = fn
+    def register(fn: Callable[[fx.Inputs], DataFrame]) -> Callable[[fx.Inputs], DataFrame]:
+        key = name or fn.__name__.rstrip("_")
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(fx.Inputs(spark, sf_dir))
+
+        QUERIES[key] = run
         if check is not None:
             CHECKS[key] = o.statement(check)
         return fn
@@ -82,9 +86,9 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return work_dir(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def _traffic(spark, d, params: RiskParams = RiskParams()) -> labeling.LabeledTraffic:
+def _traffic(t: fx.Inputs, params: RiskParams = RiskParams()) -> labeling.LabeledTraffic:
     return labeling.label_traffic(
-        fx.pageviews(spark, d), fx.iforest_scores(spark, d), fx.xgb_scores(spark, d), params
+        t.pageviews, t.iforest, t.xgb, params
     )
 
 
@@ -93,30 +97,30 @@ PV = o.PAGEVIEW_COLUMNS
 
 
 @query(f"SELECT {PV} FROM pv WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'")
-def scan_pageviews(spark, d):
+def scan_pageviews(t):
     return pageviews.scan_pageviews(
-        fx.pageviews_raw(spark, d), "2024-01-03", "2024-01-25", fx.EXCLUDED_HOST
+        t.raw, "2024-01-03", "2024-01-25", fx.EXCLUDED_HOST
     )
 
 
 @query("SELECT * FROM cohort")
-def scan_cohort_events(spark, d):
-    return fx.cohort(spark, d)
+def scan_cohort_events(t):
+    return t.cohort
 
 
 @query(f"SELECT {PV} FROM pv WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
-def read_table(spark, d):
-    path = _scratch(spark, "read_table")
-    pv = fx.pageviews(spark, d)
+def read_table(t):
+    path = _scratch(t.spark, "read_table")
+    pv = t.pageviews
     store.write_partitions(pv, path)
-    return store.read_table(spark, path, pv.schema, "2024-01-12", "2024-01-05")
+    return store.read_table(t.spark, path, pv.schema, "2024-01-12", "2024-01-05")
 
 
 @query(f"SELECT {PV} FROM pv")
-def write_partitions(spark, d):
-    path = _scratch(spark, "write_partitions")
-    store.write_partitions(fx.pageviews(spark, d), path)
-    return store.read_table(spark, path)
+def write_partitions(t):
+    path = _scratch(t.spark, "write_partitions")
+    store.write_partitions(t.pageviews, path)
+    return store.read_table(t.spark, path)
 
 
 REPLACED = ("2024-01-04", "2024-01-09", "2024-01-10")
@@ -127,8 +131,8 @@ REPLACED_SQL = ", ".join(f"DATE '{x}'" for x in REPLACED)
     f"""SELECT {KEYS}, url, title, hour_time FROM pv WHERE date NOT IN ({REPLACED_SQL}) UNION ALL
     SELECT {KEYS}, url, NULL, hour_time + 1 FROM pv WHERE date IN ({REPLACED_SQL})"""
 )
-def replace_dates(spark, d):
-    table = fx.pageviews(spark, d).select(*USER_DAY, "url", "title", "hour_time")
+def replace_dates(t):
+    table = t.pageviews.select(*USER_DAY, "url", "title", "hour_time")
     new = table.select("hour_time", "url", *USER_DAY).withColumn("hour_time", F.col("hour_time") + 1)
     return store.replace_dates(table, new, REPLACED)
 
@@ -137,15 +141,15 @@ def replace_dates(spark, d):
     f"""SELECT {KEYS}, hour_time FROM pv WHERE date NOT IN ({REPLACED_SQL}) UNION ALL
     SELECT {KEYS}, hour_time + 1 FROM pv WHERE date IN ({REPLACED_SQL}) AND date <> DATE '2024-01-09'"""
 )
-def replace_dates_on_disk(spark, d):
-    path = _scratch(spark, "replace_dates")
-    table = fx.pageviews(spark, d).select(*USER_DAY, "hour_time")
+def replace_dates_on_disk(t):
+    path = _scratch(t.spark, "replace_dates")
+    table = t.pageviews.select(*USER_DAY, "hour_time")
     store.write_partitions(table, path)
     new = table.withColumn("hour_time", F.col("hour_time") + 1).where(
         F.col("date") != F.lit("2024-01-09").cast("date")
     )
     store.replace_dates_on_disk(new, path, REPLACED, check=False)
-    return store.read_table(spark, path)
+    return store.read_table(t.spark, path)
 
 
 DAILY = f"""SELECT date, count(DISTINCT distinct_id) AS total_dau,
@@ -158,26 +162,26 @@ DAILY = f"""SELECT date, count(DISTINCT distinct_id) AS total_dau,
 
 
 @query(f"{DAILY} FROM lab GROUP BY 1")
-def export_csv(spark, d):
-    path = _scratch(spark, "export_csv")
-    daily = reports.daily_detail(_traffic(spark, d)).join(
-        reports.daily_summary(_traffic(spark, d)).select("date", "manual_removed_dau"), "date"
+def export_csv(t):
+    path = _scratch(t.spark, "export_csv")
+    daily = reports.daily_detail(_traffic(t)).join(
+        reports.daily_summary(_traffic(t)).select("date", "manual_removed_dau"), "date"
     )
     store.export_csv(daily, path)
-    return spark.read.schema(daily.schema).option("header", True).csv(path)
+    return t.spark.read.schema(daily.schema).option("header", True).csv(path)
 
 
-def _counts(spark, d) -> DataFrame:
-    return redteam.redteam_counts(fx.redteam_pool(spark, d))
+def _counts(t) -> DataFrame:
+    return redteam.redteam_counts(t.redteam_pool)
 
 
 @query(
     f"""SELECT '{redteam_source.UNKNOWN_VERSION}' AS model_version, scenario, user_days, iforest_black, xgb_05_black,
     both_black, CAST(NULL AS VARCHAR) AS verdict FROM counts WHERE pool = 'attack'"""
 )
-def read_redteam_json(spark, d):
-    path = _scratch(spark, "redteam")
-    counts = _counts(spark, d)
+def read_redteam_json(t):
+    path = _scratch(t.spark, "redteam")
+    counts = _counts(t)
 
     def records(pool):  # a row per scenario: four entries
         return F.collect_list(F.when(F.col("pool") == pool, F.struct(*counts.columns)))
@@ -186,20 +190,20 @@ def read_redteam_json(spark, d):
         records("attack").alias("attack_results"), records("normal").alias("normal_results")
     )
     payload.coalesce(1).write.json(path)
-    attack, _ = redteam_source.read_redteam_json(spark, path)
+    attack, _ = redteam_source.read_redteam_json(t.spark, path)
     return attack.select(
         "model_version", "scenario", "user_days", "iforest_black", "xgb_05_black", "both_black", "verdict"
     )
 
 
 @query("SELECT date, distinct_id, screen_width, screen_height FROM pv")
-def require_columns(spark, d):
-    return store.require_columns(fx.pageviews(spark, d), RAW_REQUIRED, "raw events").select(*RAW_REQUIRED)
+def require_columns(t):
+    return store.require_columns(t.pageviews, RAW_REQUIRED, "raw events").select(*RAW_REQUIRED)
 
 
 @query(f"SELECT {PV} FROM pv WHERE date >= DATE '2024-02-25' - 45")
-def retain_window(spark, d):
-    return store.retain_window(fx.pageviews(spark, d), "2024-02-25")
+def retain_window(t):
+    return store.retain_window(t.pageviews, "2024-02-25")
 
 
 @query(
@@ -208,8 +212,8 @@ def retain_window(spark, d):
     FROM (SELECT CAST(unnest(range(DATE '2023-12-28', DATE '2024-01-20', INTERVAL 1 DAY)) AS DATE) AS date) c
     LEFT JOIN (SELECT date, count(*) AS n FROM pv GROUP BY 1) p ON c.date = p.date"""
 )
-def day_coverage(spark, d):
-    return store.day_coverage(fx.pageviews(spark, d), "2023-12-28", "2024-01-19")
+def day_coverage(t):
+    return store.day_coverage(t.pageviews, "2023-12-28", "2024-01-19")
 
 
 GAPS = "extract(day FROM date) % 7 IN (2, 3, 5)"
@@ -222,36 +226,36 @@ def _ranges(first: str, last: str, names: tuple[str, str]) -> str:
     WHERE day NOT IN (SELECT DISTINCT date FROM pv WHERE NOT ({GAPS}))) GROUP BY island"""
 
 
-def _with_gaps(spark, d) -> DataFrame:
-    return fx.pageviews(spark, d).where(~F.expr(GAPS))
+def _with_gaps(t) -> DataFrame:
+    return t.pageviews.where(~F.expr(GAPS))
 
 
 @query(_ranges("2024-01-01", "2024-02-04", ("range_start", "range_end")))
-def missing_date_ranges(spark, d):
-    return store.missing_date_ranges(_with_gaps(spark, d), "2024-01-01", "2024-02-04")
+def missing_date_ranges(t):
+    return store.missing_date_ranges(_with_gaps(t), "2024-01-01", "2024-02-04")
 
 
 @query(_ranges("2023-12-23", "2024-02-05", ("fetch_start", "fetch_end")))
-def fetch_plan(spark, d):
-    return store.fetch_plan(_with_gaps(spark, d), "2024-02-06")
+def fetch_plan(t):
+    return store.fetch_plan(_with_gaps(t), "2024-02-06")
 
 
 @query(
     """SELECT CASE WHEN max(date) >= DATE '2024-02-13' AND min(date) <= DATE '2023-12-31' THEN NULL
     WHEN min(date) IS NULL OR min(date) > DATE '2024-01-05' THEN DATE '2024-01-05' ELSE max(date) + 1 END AS fetch_start FROM pv"""
 )
-def first_fetch_date(spark, d):
-    return store.first_fetch_date(fx.pageviews(spark, d), "2024-02-19")
+def first_fetch_date(t):
+    return store.first_fetch_date(t.pageviews, "2024-02-19")
 
 
 @query(
     """SELECT r.date FROM raw_manifest r LEFT JOIN feature_manifest f ON r.date = f.date
     WHERE f.date IS NULL OR r.loaded_at > f.built_at OR f.model_version <> 'new'"""
 )
-def stale_dates(spark, d):
+def stale_dates(t):
     return store.stale_dates(
-        store.day_manifest(fx.raw_manifest(spark, d), "loaded_at"),
-        store.day_manifest(fx.feature_manifest(spark, d), "built_at", "model_version"),
+        store.day_manifest(t.raw_manifest, "loaded_at"),
+        store.day_manifest(t.feature_manifest, "built_at", "model_version"),
         "new",
     )
 
@@ -260,14 +264,14 @@ def stale_dates(spark, d):
     """SELECT greatest((SELECT min(date) FROM ifs WHERE date >= DATE '2024-01-04'), (SELECT min(date) FROM xgs)) AS min_d,
     least((SELECT max(date) FROM ifs), (SELECT max(date) FROM xgs WHERE date <= DATE '2024-01-28')) AS max_d"""
 )
-def common_date_range(spark, d):
-    a = store.date_range(fx.iforest_scores(spark, d), start="2024-01-04")
-    return store.common_date_range(a, store.date_range(fx.xgb_scores(spark, d), end="2024-01-28"))
+def common_date_range(t):
+    a = store.date_range(t.iforest, start="2024-01-04")
+    return store.common_date_range(a, store.date_range(t.xgb, end="2024-01-28"))
 
 
 @query(f"SELECT {PV} FROM pv WHERE date >= (SELECT max(date) FROM pv) - 3")
-def date_slice(spark, d):
-    return store.date_slice(fx.pageviews(spark, d))
+def date_slice(t):
+    return store.date_slice(t.pageviews)
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -277,23 +281,19 @@ def date_slice(spark, d):
     """SELECT try_cast(t AS DATE) AS day, count(*) AS n FROM (SELECT CASE WHEN hour_time % 5 = 0 THEN 'soon'
     WHEN hour_time % 5 = 1 THEN '2024-02-30' ELSE CAST(date AS VARCHAR) END AS t FROM pva) GROUP BY 1"""
 )
-def normalize_date_(spark, d):
+def normalize_date_(t):
     h = F.col("hour_time") % 5
     text = F.when(h == 0, "soon").when(h == 1, "2024-02-30").otherwise(F.col("date").cast("string"))
-    rows = fx.all_pageviews(spark, d).select(text.alias("t"))
+    rows = t.all_pageviews.select(text.alias("t"))
     return rows.groupBy(normalize_date("t").alias("day")).agg(F.count("*").alias("n"))
 
 
-QUERIES["normalize_date"] = QUERIES.pop("normalize_date_")
-CHECKS["normalize_date"] = CHECKS.pop("normalize_date_")
-
-
 def _projection(name: str, sql: str, by: str, expression: Callable[[], F.Column]) -> None:
     """A scalar function over all events, counted per input and output value."""
     cols = [c.strip() for c in by.split(",")]
 
-    def run(spark, d):
-        rows = fx.all_pageviews(spark, d).groupBy(*cols).agg(F.count("*").alias("n"))
+    def run(t):
+        rows = t.all_pageviews.groupBy(*cols).agg(F.count("*").alias("n"))
         return _rounded(rows.withColumn("result", expression()))
 
     query(f"SELECT {by}, count(*) AS n, {sql} AS result FROM pva GROUP BY ALL", name)(run)
@@ -343,87 +343,82 @@ _projection(
 @query(
     f"""SELECT fp, count(*) AS n FROM (SELECT {o.FINGERPRINT} AS fp FROM lab) GROUP BY 1"""
 )
-def soft_fingerprint_(spark, d):
+def soft_fingerprint_(t):
     fp = soft_fingerprint(
         ["os", "browser", "manufacturer", "province", "is_first_day", "is_login_id", "province_display", "browser_display"]
     )
-    return _traffic(spark, d).rows().groupBy(fp.alias("fp")).agg(F.count("*").alias("n"))
-
-
-QUERIES["soft_fingerprint"] = QUERIES.pop("soft_fingerprint_")
-CHECKS["soft_fingerprint"] = CHECKS.pop("soft_fingerprint_")
+    return _traffic(t).rows().groupBy(fp.alias("fp")).agg(F.count("*").alias("n"))
 
 
 @query(
     """SELECT has_model_result AS text, count(*) AS n,
     coalesce(lower(trim(has_model_result)) IN ('1', 'true', 'yes'), false) AS flag FROM cohort_stored GROUP BY ALL"""
 )
-def parse_match_flag_(spark, d):
-    stored = fx.cohort_stored(spark, d)
+def parse_match_flag_(t):
+    stored = t.cohort_stored
     return stored.groupBy(
         F.col("has_model_result").alias("text"), parse_match_flag(stored, "has_model_result").alias("flag")
     ).agg(F.count("*").alias("n"))
 
 
-QUERIES["parse_match_flag"] = QUERIES.pop("parse_match_flag_")
-CHECKS["parse_match_flag"] = CHECKS.pop("parse_match_flag_")
-
-
 @query(f"SELECT {KEYS}, user_total_pv AS total_pv, CAST(0 AS DOUBLE) AS cluster_size, CAST(0 AS DOUBLE) AS final_time_risk FROM upv")
-def select_features_(spark, d):
-    pv = features.user_total_pv(fx.all_pageviews(spark, d))
+def select_features_(t):
+    pv = features.user_total_pv(t.all_pageviews)
     return select_features(
         pv.withColumnRenamed("user_total_pv", "total_pv"), ["total_pv", "cluster_size"]
     )
 
 
-QUERIES["select_features"] = QUERIES.pop("select_features_")
-CHECKS["select_features"] = CHECKS.pop("select_features_")
-
-
 # ---------------------------------------------------------------- baseline
 
 
 @query(f"SELECT hour_time, {_r('ratio', digits=9)} FROM hour_ref")
-def fit_hour_distribution(spark, d):
-    return _rounded(baseline.fit_hour_distribution(fx.all_pageviews(spark, d)), 9)
+def fit_hour_distribution(t):
+    return _rounded(baseline.fit_hour_distribution(t.all_pageviews), 9)
 
 
 @query(f"SELECT {_r('night_mass', 'evening_mass', digits=9)} FROM mass")
-def fit_reference_mass(spark, d):
-    hours = baseline.fit_hour_distribution(fx.all_pageviews(spark, d))
+def fit_reference_mass(t):
+    hours = baseline.fit_hour_distribution(t.all_pageviews)
     return _rounded(baseline.fit_reference_mass(hours), 9)
 
 
 @query(f"SELECT {_r('c_mean', 'c_std')} FROM seg_stats")
-def fit_c_segment(spark, d):
-    return _rounded(baseline.fit_c_segment(fx.all_pageviews(spark, d)))
+def fit_c_segment(t):
+    return _rounded(baseline.fit_c_segment(t.all_pageviews))
 
 
-@query(f"SELECT * FROM main_res")
-def main_resolution(spark, d):
-    return resolution.main_resolution(fx.all_pageviews(spark, d))
+def _daily_resolutions(t) -> DataFrame:
+    return resolution.daily_resolutions(resolution.main_resolution(t.all_pageviews))
+
+
+@query("SELECT * FROM main_res")
+def main_resolution(t):
+    return resolution.main_resolution(t.all_pageviews)
 
 
 @query("SELECT * FROM vocab")
-def fit_resolution_vocab(spark, d):
-    return resolution.fit_resolution_vocab(resolution.main_resolution(fx.all_pageviews(spark, d)))
+def fit_resolution_vocab(t):
+    return resolution.fit_resolution_vocab(_daily_resolutions(t))
 
 
 @query("SELECT * FROM buckets")
-def resolution_bucket(spark, d):
-    main = resolution.main_resolution(fx.all_pageviews(spark, d))
-    return resolution.resolution_bucket(main, resolution.fit_resolution_vocab(main))
+def resolution_bucket(t):
+    main = resolution.main_resolution(t.all_pageviews)
+    return resolution.resolution_bucket(
+        main, resolution.fit_resolution_vocab(resolution.daily_resolutions(main))
+    )
 
 
 @query("SELECT * FROM grid")
-def daily_share_grid(spark, d):
-    return resolution.fit_resolution(fx.all_pageviews(spark, d)).grid
+def daily_share_grid(t):
+    daily = _daily_resolutions(t)
+    return resolution.daily_share_grid(daily, resolution.fit_resolution_vocab(daily))
 
 
 @query("SELECT * FROM floor")
-def share_scale_floor(spark, d):
-    return resolution.fit_resolution(fx.all_pageviews(spark, d)).floor
+def share_scale_floor(t):
+    return resolution.share_scale_floor(_daily_resolutions(t))
 
 
 @query(
@@ -431,54 +426,54 @@ def share_scale_floor(spark, d):
     round(sd, 9) AS daily_share_std, round(mad, 9) AS daily_share_mad, scale_source, round(scale, 9) AS daily_share_scale,
     baseline_days, total_user_days, days_present FROM base"""
 )
-def fit_share_baseline(spark, d):
-    return _rounded(resolution.fit_resolution(fx.all_pageviews(spark, d)).shares, 9)
+def fit_share_baseline(t):
+    return _rounded(resolution.fit_resolution(t.all_pageviews).summary(), 9)
 
 
 # ---------------------------------------------------------------- features
 
 
-def _base(spark, d) -> baseline.Baseline:
-    return baseline.fit_baseline(fx.all_pageviews(spark, d))
+def _base(t) -> baseline.Baseline:
+    return baseline.fit_baseline(t.all_pageviews)
 
 
 @query(f"SELECT * FROM upv")
-def user_total_pv(spark, d):
-    return features.user_total_pv(fx.all_pageviews(spark, d))
+def user_total_pv(t):
+    return features.user_total_pv(t.all_pageviews)
 
 
 @query("SELECT * FROM blk0")
-def block_stats(spark, d):
-    return features.block_stats(fx.all_pageviews(spark, d))
+def block_stats(t):
+    return features.block_stats(t.all_pageviews)
 
 
 @query("SELECT * FROM blk1")
-def block_growth(spark, d):
-    return features.block_growth(features.block_stats(fx.all_pageviews(spark, d)))
+def block_growth(t):
+    return features.block_growth(features.block_stats(t.all_pageviews))
 
 
 @query("SELECT * EXCLUDE (prev_pv, growth_rate) FROM blk2")
-def block_ratios(spark, d):
-    return features.block_ratios(features.block_stats(fx.all_pageviews(spark, d)))
+def block_ratios(t):
+    return features.block_ratios(features.block_stats(t.all_pageviews))
 
 
 @query(
     """SELECT e.date, e.distinct_id, e.url, e.hour_time, coalesce(is_suspicious_block, 0) AS is_suspicious_block FROM ev e
     LEFT JOIN blk b ON e.date = b.date AND e.url = b.url AND e.hour_time = b.hour_time"""
 )
-def suspicious_blocks(spark, d):
-    events = fx.all_pageviews(spark, d).select(*USER_DAY, "url", "hour_time", "referrer")
+def suspicious_blocks(t):
+    events = t.all_pageviews.select(*USER_DAY, "url", "hour_time", "referrer")
     return features.suspicious_events(events).drop("referrer")
 
 
 @query("SELECT * FROM ip_users")
-def exact_ip_users(spark, d):
-    return features.exact_ip_users(fx.all_pageviews(spark, d))
+def exact_ip_users(t):
+    return features.exact_ip_users(t.all_pageviews)
 
 
 @query(f"SELECT date, ip_c_segment, cnt, {_r('c_zscore')} FROM seg_z")
-def c_segment_zscore(spark, d):
-    return _rounded(features.c_segment_zscore(fx.all_pageviews(spark, d), _base(spark, d)))
+def c_segment_zscore(t):
+    return _rounded(features.c_segment_zscore(t.all_pageviews, _base(t)))
 
 
 HOUR_COLUMNS = (
@@ -491,42 +486,42 @@ HOUR_COLUMNS = (
 
 
 @query(f"SELECT {KEYS}, {_r(*HOUR_COLUMNS[:3])} FROM hours")
-def hour_profile(spark, d):
-    profile = features.hour_profile(fx.all_pageviews(spark, d), _base(spark, d))
+def hour_profile(t):
+    profile = features.hour_profile(t.all_pageviews, _base(t))
     return _rounded(profile.select(*USER_DAY, *HOUR_COLUMNS[:3]))
 
 
 @query(f"SELECT {KEYS}, {_r(*HOUR_COLUMNS[3:])} FROM hours")
-def relative_hour_risk(spark, d):
-    profile = features.hour_profile(fx.all_pageviews(spark, d), _base(spark, d))
+def relative_hour_risk(t):
+    profile = features.hour_profile(t.all_pageviews, _base(t))
     return _rounded(profile.select(*USER_DAY, *HOUR_COLUMNS[3:]))
 
 
 @query("SELECT * FROM clones")
-def clone_clusters(spark, d):
-    return features.clone_clusters(fx.all_pageviews(spark, d))
+def clone_clusters(t):
+    return features.clone_clusters(t.all_pageviews)
 
 
 ROLLUP = FEATURES[:11]
 
 
-def _base_features(spark, d) -> DataFrame:
-    return features.base_features(fx.all_pageviews(spark, d), _base(spark, d))
+def _base_features(t) -> DataFrame:
+    return features.base_features(t.all_pageviews, _base(t))
 
 
 @query(f"SELECT {KEYS}, total_pv, max_exact_ip_uv, max_block_pv, {_r(*[c for c in ROLLUP if c not in ('total_pv', 'max_exact_ip_uv', 'max_block_pv')])}, cluster_size FROM feat0")
-def user_day_features(spark, d):
-    return _rounded(_base_features(spark, d).select(*USER_DAY, *ROLLUP, "cluster_size"))
+def user_day_features(t):
+    return _rounded(_base_features(t).select(*USER_DAY, *ROLLUP, "cluster_size"))
 
 
 @query(f"SELECT {KEYS}, {_r('time_risk', 'env_risk')}, round(risk0 + block_bonus + clone_bonus + night_bonus + evening_bonus, 6) AS final_time_risk FROM feat2")
-def risk_scores(spark, d):
-    return _rounded(_base_features(spark, d).select(*USER_DAY, "time_risk", "env_risk", "final_time_risk"))
+def risk_scores(t):
+    return _rounded(_base_features(t).select(*USER_DAY, "time_risk", "env_risk", "final_time_risk"))
 
 
 def _rule(name: str, rule: Callable, bonus: str) -> None:
-    def run(spark, d):
-        return _base_features(spark, d).where(rule()).select(*USER_DAY)
+    def run(t):
+        return _base_features(t).where(rule()).select(*USER_DAY)
 
     query(f"SELECT {KEYS} FROM feat2 WHERE {bonus} > 0", name)(run)
 
@@ -537,30 +532,29 @@ _rule("rule_night_attack", features.rule_night_attack, "night_bonus")
 _rule("rule_evening_stealth", features.rule_evening_stealth, "evening_bonus")
 
 
-def _scored_shares(spark, d, loo: bool) -> DataFrame:
-    events = fx.all_pageviews(spark, d)
-    fitted = resolution.fit_resolution(events)
-    return _rounded(resolution.score_shares(resolution.main_resolution(events), fitted, loo))
+def _scored_shares(t, score) -> DataFrame:
+    fitted = resolution.fit_resolution(t.all_pageviews).persist()
+    return _rounded(score(fitted.grid().drop("valid_user_days"), fitted))
 
 
 Z_COLUMNS = f"date, resolution_bucket, resolution_user_days, {_r('daily_share')}, round(z, 6) AS {RESOLUTION_Z}"
 
 
 @query(f"SELECT {Z_COLUMNS} FROM zs")
-def resolution_zscore(spark, d):
-    return _scored_shares(spark, d, False)
+def resolution_zscore(t):
+    return _scored_shares(t, resolution.resolution_zscore)
 
 
 @query(f"SELECT {Z_COLUMNS} FROM zs_loo")
-def resolution_zscore_loo(spark, d):
-    return _scored_shares(spark, d, True)
+def resolution_zscore_loo(t):
+    return _scored_shares(t, resolution.resolution_zscore_loo)
 
 
 @query(f"SELECT {KEYS}, round(z, 6) AS {RESOLUTION_Z} FROM z_users")
-def attach_resolution_feature(spark, d):
-    events = fx.all_pageviews(spark, d)
+def attach_resolution_feature(t):
+    events = t.all_pageviews
     users = events.select(*USER_DAY).distinct()
-    out = resolution.attach_resolution_feature(users, events, resolution.fit_resolution(events))
+    out = resolution.attach_resolution_feature(users, events, resolution.fit_resolution(events).persist())
     return _rounded(out)
 
 
@@ -571,18 +565,18 @@ ALL_FEATURES = f"""SELECT f.date, f.distinct_id, total_pv, max_exact_ip_uv, max_
 
 
 @query(ALL_FEATURES.format("z_users"))
-def all_features(spark, d):
-    events = fx.all_pageviews(spark, d)
+def all_features(t):
+    events = t.all_pageviews
     return _rounded(
-        features.user_day_features(events, _base(spark, d), resolution.fit_resolution(events))
+        features.user_day_features(events, _base(t), resolution.fit_resolution(events).persist())
     )
 
 
 @query(ALL_FEATURES.format("z_users_loo"))
-def training_features(spark, d):
-    events = fx.all_pageviews(spark, d)
-    fitted = resolution.fit_resolution(events, check=True)
-    return _rounded(features.user_day_features(events, _base(spark, d), fitted, leave_one_day_out=True))
+def training_features(t):
+    events = t.all_pageviews
+    fitted = resolution.fit_resolution(events, check=True).persist()
+    return _rounded(features.user_day_features(events, _base(t), fitted, leave_one_day_out=True))
 
 
 # ---------------------------------------------------------------- labels
@@ -594,14 +588,14 @@ EVENT_LABELS = f"SELECT {PV}, {LABEL_COLUMNS}, province_display, browser_display
 
 
 @query("SELECT * FROM di")
-def dedup_scores(spark, d):
-    return labeling.dedup_scores(fx.iforest_scores(spark, d), "final_time_risk")
+def dedup_scores(t):
+    return labeling.dedup_scores(t.iforest, "final_time_risk")
 
 
 @query("SELECT * FROM scored")
-def scored_events(spark, d):
+def scored_events(t):
     return labeling.scored_events(
-        fx.pageviews(spark, d), fx.iforest_scores(spark, d), fx.xgb_scores(spark, d)
+        t.pageviews, t.iforest, t.xgb
     )
 
 
@@ -609,16 +603,16 @@ def scored_events(spark, d):
     f"""SELECT DISTINCT {KEYS} FROM pv WHERE os = 'Android' AND browser = 'Chrome Webview'
     AND (manufacturer IS NULL OR manufacturer = '')"""
 )
-def manual_rule_users(spark, d):
-    return labeling.manual_rule_users(fx.pageviews(spark, d))
+def manual_rule_users(t):
+    return labeling.manual_rule_users(t.pageviews)
 
 
 @query(
     f"""SELECT DISTINCT {KEYS}, coalesce(xgb_bot_prob_raw, CASE WHEN xgb_model_anomaly = -1 THEN 1.0 ELSE 0.0 END) AS xgb_bot_prob,
     final_time_risk >= 50 AS is_rule_bot FROM scored"""
 )
-def safe_probability(spark, d):
-    rows = labeling.user_day_scores(fx.iforest_scores(spark, d), fx.xgb_scores(spark, d))
+def safe_probability(t):
+    rows = labeling.user_day_scores(t.iforest, t.xgb)
     return rows.select(
         *USER_DAY,
         labeling.safe_probability().alias("xgb_bot_prob"),
@@ -629,8 +623,8 @@ def safe_probability(spark, d):
 def _user_day_query(name: str, columns: str, view: str, params: RiskParams) -> None:
     names = [c.strip() for c in columns.split(",")]
 
-    def run(spark, d):
-        return _traffic(spark, d, params).user_days.select(*USER_DAY, *names)
+    def run(t):
+        return _traffic(t, params).user_days.select(*USER_DAY, *names)
 
     query(f"SELECT DISTINCT {KEYS}, {columns} FROM {view}", name)(run)
 
@@ -643,23 +637,23 @@ _user_day_query("block_flags_rules_on", "is_model_block, is_auto_bot, final_labe
 
 
 @query(f"SELECT DISTINCT {KEYS}, {o.POOL} AS pool FROM lab")
-def pool_bucket(spark, d):
-    return _traffic(spark, d).user_days.select(*USER_DAY, labeling.pool_bucket().alias("pool"))
+def pool_bucket(t):
+    return _traffic(t).user_days.select(*USER_DAY, labeling.pool_bucket().alias("pool"))
 
 
 @query(f"{EVENT_LABELS} FROM lab")
-def labeled_events(spark, d):
-    return _traffic(spark, d).require_rows().rows()
+def labeled_events(t):
+    return _traffic(t).rows()
 
 
 @query(f"{EVENT_LABELS} FROM lab_rules")
-def labeled_events_rules_on(spark, d):
-    return _traffic(spark, d, RULES_ON).rows()
+def labeled_events_rules_on(t):
+    return _traffic(t, RULES_ON).rows()
 
 
 @query(f"{EVENT_LABELS} FROM latest")
-def latest_day(spark, d):
-    return _traffic(spark, d).latest().rows()
+def latest_day(t):
+    return _traffic(t).latest().rows()
 
 
 # ---------------------------------------------------------------- reports
@@ -671,26 +665,26 @@ def latest_day(spark, d):
     count(DISTINCT CASE WHEN risk_group IN ('{L.GROUP_D}', '{L.GROUP_E}') AND NOT final_label THEN distinct_id END) AS observe_review_dau,
     count(DISTINCT CASE WHEN risk_group = '{L.GROUP_F}' AND NOT final_label THEN distinct_id END) AS pass_dau FROM latest"""
 )
-def headline_metrics(spark, d):
-    return reports.headline_metrics(_traffic(spark, d))
+def headline_metrics(t):
+    return reports.headline_metrics(_traffic(t))
 
 
 @query(f"SELECT date, {o.POOL} AS user_type, count(DISTINCT distinct_id) AS dau FROM lab GROUP BY 1, 2")
-def dau_trend(spark, d):
-    return reports.dau_trend(_traffic(spark, d))
+def dau_trend(t):
+    return reports.dau_trend(_traffic(t))
 
 
 DAILY_RATES = f"""SELECT *, removed_dau / total_dau * 100 AS direct_block_rate, audit_dau / total_dau * 100 AS audit_pool_rate FROM ({DAILY} FROM {{}} GROUP BY 1)"""
 
 
 @query(DAILY_RATES.format("lab"))
-def daily_summary(spark, d):
-    return reports.daily_summary(_traffic(spark, d))
+def daily_summary(t):
+    return reports.daily_summary(_traffic(t))
 
 
 @query(DAILY_RATES.format("lab_rules"))
-def daily_summary_rules_on(spark, d):
-    return reports.daily_summary(_traffic(spark, d, RULES_ON))
+def daily_summary_rules_on(t):
+    return reports.daily_summary(_traffic(t, RULES_ON))
 
 
 @query(
@@ -698,8 +692,8 @@ def daily_summary_rules_on(spark, d):
     round(quantile_cont(xgb_bot_prob, 0.5), 4) AS p50_xgb_prob, round(quantile_cont(xgb_bot_prob, 0.95), 4) AS p95_xgb_prob
     FROM (SELECT DISTINCT date, distinct_id, risk_group, action, xgb_bot_prob FROM lab) GROUP BY 1, 2"""
 )
-def risk_summary(spark, d):
-    return reports.risk_summary(_traffic(spark, d))
+def risk_summary(t):
+    return reports.risk_summary(_traffic(t))
 
 
 @query(
@@ -707,41 +701,41 @@ def risk_summary(spark, d):
     FROM (SELECT * FROM lab WHERE risk_group = '{L.GROUP_B}'
     ORDER BY lab.xgb_bot_prob DESC NULLS LAST, final_time_risk DESC NULLS LAST, date, distinct_id LIMIT 200)"""
 )
-def risk_samples(spark, d):
-    return reports.risk_samples(_traffic(spark, d), L.GROUP_B)
+def risk_samples(t):
+    return reports.risk_samples(_traffic(t), L.GROUP_B)
 
 
 @query("SELECT * FROM prov15")
-def province_before_after(spark, d):
-    return reports.province_before_after(_traffic(spark, d))
+def province_before_after(t):
+    return reports.province_before_after(_traffic(t))
 
 
 @query(
     f"""SELECT province_display, '{L.STAGE_BEFORE}' AS stage, before_count AS user_count FROM prov15
     UNION ALL SELECT province_display, '{L.STAGE_AFTER}', after_count FROM prov15"""
 )
-def province_unpivot(spark, d):
-    return reports.province_unpivot(_traffic(spark, d))
+def province_unpivot(t):
+    return reports.province_unpivot(_traffic(t))
 
 
 @query("SELECT *, removed_count / before_count * 100 AS removal_rate FROM prov15")
-def province_removal_rate(spark, d):
-    return reports.province_removal_rate(_traffic(spark, d))
+def province_removal_rate(t):
+    return reports.province_removal_rate(_traffic(t))
 
 
 @query(
     "SELECT province_display AS province, removed_count AS user_count FROM prov WHERE removed_count > 0 ORDER BY 2 DESC, 1 LIMIT 8"
 )
-def top_removed_provinces(spark, d):
-    return reports.top_removed_provinces(_traffic(spark, d))
+def top_removed_provinces(t):
+    return reports.top_removed_provinces(_traffic(t))
 
 
 @query(
     """SELECT province_display AS province, before_count / (SELECT sum(before_count) FROM prov) * 100 AS percent_before,
     after_count / (SELECT sum(after_count) FROM prov) * 100 AS percent_after FROM prov ORDER BY percent_before DESC, province LIMIT 15"""
 )
-def province_share_shift(spark, d):
-    return reports.province_share_shift(_traffic(spark, d))
+def province_share_shift(t):
+    return reports.province_share_shift(_traffic(t))
 
 
 def _waterfall(count: str, name: str) -> str:
@@ -757,31 +751,31 @@ def _nested(sql: str) -> str:
 
 
 @query(_nested(_waterfall("after_count", "human_count")))
-def kept_share_waterfall(spark, d):
-    return _rounded(reports.kept_share_waterfall(_traffic(spark, d)), 9)
+def kept_share_waterfall(t):
+    return _rounded(reports.kept_share_waterfall(_traffic(t)), 9)
 
 
 @query(_nested(_waterfall("removed_count", "bot_count")))
-def blocked_share_waterfall(spark, d):
-    return _rounded(reports.blocked_share_waterfall(_traffic(spark, d)), 9)
+def blocked_share_waterfall(t):
+    return _rounded(reports.blocked_share_waterfall(_traffic(t)), 9)
 
 
 @query(f"SELECT hour_time, {o.BLOCKED} AS user_type, count(DISTINCT distinct_id) AS user_count FROM latest GROUP BY 1, 2")
-def hourly_users(spark, d):
-    return reports.hourly_users(_traffic(spark, d))
+def hourly_users(t):
+    return reports.hourly_users(_traffic(t))
 
 
 for _blocked in (True, False):
     _suffix, _flag = ("blocked", "true") if _blocked else ("kept", "false")
 
-    def _browser(spark, d, blocked=_blocked):
-        return reports.browser_distribution(_traffic(spark, d), blocked)
+    def _browser(t, blocked=_blocked):
+        return reports.browser_distribution(_traffic(t), blocked)
 
-    def _first_day(spark, d, blocked=_blocked):
-        return reports.first_day_distribution(_traffic(spark, d), blocked)
+    def _first_day(t, blocked=_blocked):
+        return reports.first_day_distribution(_traffic(t), blocked)
 
-    def _titles(spark, d, blocked=_blocked):
-        return reports.title_url_uv_pv(_traffic(spark, d), blocked, fx.HOME_TITLE)
+    def _titles(t, blocked=_blocked):
+        return reports.title_url_uv_pv(_traffic(t), blocked, fx.HOME_TITLE)
 
     query(
         f"SELECT browser_display, count(DISTINCT distinct_id) AS user_count FROM latest WHERE final_label = {_flag} GROUP BY 1",
@@ -803,8 +797,8 @@ C_USERS = f"""SELECT b.distinct_id, b.user_type, max(c.n) AS c_segment_user_coun
 
 
 @query(C_USERS)
-def c_segment_users(spark, d):
-    return reports.c_segment_users(_traffic(spark, d))
+def c_segment_users(t):
+    return reports.c_segment_users(_traffic(t))
 
 
 @query(
@@ -813,18 +807,18 @@ def c_segment_users(spark, d):
     lo + CASE WHEN hi > lo THEN least(CAST(floor((c_segment_user_count - lo) / ((hi - lo) / 30.0)) AS BIGINT), 29) ELSE 0 END * ((hi - lo) / 30.0) AS bin_start
     FROM (SELECT *, min(c_segment_user_count) OVER () AS lo, max(c_segment_user_count) OVER () AS hi FROM ({C_USERS}))) GROUP BY ALL"""
 )
-def c_segment_histogram(spark, d):
-    return reports.c_segment_histogram(_traffic(spark, d))
+def c_segment_histogram(t):
+    return reports.c_segment_histogram(_traffic(t))
 
 
 @query("SELECT date, total_dau, kept_dau, removed_dau, audit_dau, tag_dau, dispute_dau FROM (" + DAILY + " FROM lab GROUP BY 1)")
-def daily_detail(spark, d):
-    return reports.daily_detail(_traffic(spark, d))
+def daily_detail(t):
+    return reports.daily_detail(_traffic(t))
 
 
 @query(f"{EVENT_LABELS} FROM lab WHERE final_label OR risk_group <> '{L.GROUP_F}'")
-def risk_list_export(spark, d):
-    return reports.risk_list_export(_traffic(spark, d))
+def risk_list_export(t):
+    return reports.risk_list_export(_traffic(t))
 
 
 # ---------------------------------------------------------------- cohort
@@ -837,40 +831,40 @@ RESULT_COLUMNS = "date, distinct_id, hour_time, province_display, browser_displa
 
 
 @query(f"SELECT {STORED_COLUMNS} FROM cohort_stored WHERE try_cast(date AS DATE) IS NOT NULL")
-def cohort_normalize(spark, d):
-    return cohort.cohort_normalize(fx.cohort_stored(spark, d), result=True)
+def cohort_normalize(t):
+    return cohort.cohort_normalize(t.cohort_stored, result=True)
 
 
-def _cohort_result(spark, d) -> DataFrame:
-    return cohort.cohort_scores(fx.cohort(spark, d), fx.iforest_scores(spark, d), fx.xgb_scores(spark, d))
+def _cohort_result(t) -> DataFrame:
+    return cohort.cohort_scores(t.cohort, t.iforest, t.xgb)
 
 
-def _cohort_labeled(spark, d, params: RiskParams = RiskParams()) -> DataFrame:
-    return cohort.cohort_labels(_cohort_result(spark, d), params)
+def _cohort_labeled(t: fx.Inputs, params: RiskParams = RiskParams()) -> DataFrame:
+    return cohort.cohort_labels(_cohort_result(t), params)
 
 
-def _cohort_days(spark, d) -> DataFrame:
-    return cohort.cohort_user_days(_cohort_labeled(spark, d))
+def _cohort_days(t) -> DataFrame:
+    return cohort.cohort_user_days(_cohort_labeled(t))
 
 
 @query("SELECT * FROM cohort_result")
-def cohort_scores(spark, d):
-    return _cohort_result(spark, d)
+def cohort_scores(t):
+    return _cohort_result(t)
 
 
 @query("SELECT * FROM cohort_lab")
-def cohort_labels(spark, d):
-    return _cohort_labeled(spark, d)
+def cohort_labels(t):
+    return _cohort_labeled(t)
 
 
 @query("SELECT * FROM cohort_lab_rules")
-def cohort_labels_rules_on(spark, d):
-    return _cohort_labeled(spark, d, RULES_ON)
+def cohort_labels_rules_on(t):
+    return _cohort_labeled(t, RULES_ON)
 
 
 @query("SELECT * FROM cohort_days")
-def cohort_user_days(spark, d):
-    return _cohort_days(spark, d)
+def cohort_user_days(t):
+    return _cohort_days(t)
 
 
 @query(
@@ -878,8 +872,8 @@ def cohort_user_days(spark, d):
     count(CASE WHEN has_model_result THEN 1 END) AS matched_user_days, count(CASE WHEN final_label THEN 1 END) AS direct_block_user_days,
     count(*) - count(CASE WHEN has_model_result THEN 1 END) AS unmatched_user_days FROM cohort_days"""
 )
-def cohort_metrics(spark, d):
-    return cohort.cohort_metrics(_cohort_days(spark, d))
+def cohort_metrics(t):
+    return cohort.cohort_metrics(_cohort_days(t))
 
 
 @query(
@@ -888,28 +882,28 @@ def cohort_metrics(spark, d):
     CASE risk_group WHEN '{L.GROUP_A}' THEN 1 WHEN '{L.GROUP_B}' THEN 2 WHEN '{L.GROUP_C}' THEN 3 WHEN '{L.GROUP_D}' THEN 4 WHEN '{L.GROUP_E}' THEN 5
     WHEN '{L.GROUP_F}' THEN 6 WHEN '{L.UNMATCHED}' THEN 98 ELSE 99 END AS risk_order FROM cohort_days GROUP BY 1, 2, 7)"""
 )
-def cohort_risk_summary(spark, d):
-    return cohort.cohort_risk_summary(_cohort_days(spark, d))
+def cohort_risk_summary(t):
+    return cohort.cohort_risk_summary(_cohort_days(t))
 
 
 @query("SELECT date, risk_group, count(*) AS user_days FROM cohort_days GROUP BY 1, 2")
-def cohort_daily_groups(spark, d):
-    return cohort.cohort_daily_groups(_cohort_days(spark, d))
+def cohort_daily_groups(t):
+    return cohort.cohort_daily_groups(_cohort_days(t))
 
 
 @query(
     """SELECT date, count(*) AS target_user_days, count(CASE WHEN final_label THEN 1 END) AS direct_block_user_days,
     round(count(CASE WHEN final_label THEN 1 END) * 100.0 / count(*), 2) AS direct_block_rate FROM cohort_days GROUP BY 1"""
 )
-def cohort_block_rate(spark, d):
-    return cohort.cohort_block_rate(_cohort_days(spark, d))
+def cohort_block_rate(t):
+    return cohort.cohort_block_rate(_cohort_days(t))
 
 
 @query(
     "SELECT hour_time, user_type, CAST(sum(seek_report_pv) AS BIGINT) AS event_count FROM cohort_lab WHERE hour_time BETWEEN 0 AND 23 GROUP BY 1, 2"
 )
-def cohort_hours(spark, d):
-    return cohort.cohort_hours(_cohort_labeled(spark, d))
+def cohort_hours(t):
+    return cohort.cohort_hours(_cohort_labeled(t))
 
 
 @query(
@@ -917,8 +911,8 @@ def cohort_hours(spark, d):
     FROM cohort_lab b JOIN (SELECT province_display, CAST(sum(seek_report_pv) AS BIGINT) AS total FROM cohort_lab GROUP BY 1
     ORDER BY total DESC, province_display LIMIT 12) p ON b.province_display = p.province_display GROUP BY 1, 2"""
 )
-def cohort_top_provinces(spark, d):
-    return cohort.cohort_top_provinces(_cohort_labeled(spark, d))
+def cohort_top_provinces(t):
+    return cohort.cohort_top_provinces(_cohort_labeled(t))
 
 
 @query(
@@ -927,13 +921,13 @@ def cohort_top_provinces(spark, d):
     SELECT * FROM cohort_lab ORDER BY date DESC, seek_report_pv DESC, coalesce(cohort_lab.xgb_bot_prob, 0) DESC, distinct_id, hour_time,
     province_display, browser_display, os_display, manufacturer_display LIMIT 300)"""
 )
-def cohort_detail(spark, d):
-    return cohort.cohort_detail(_cohort_labeled(spark, d))
+def cohort_detail(t):
+    return cohort.cohort_detail(_cohort_labeled(t))
 
 
 @query("SELECT * FROM cohort_lab")
-def cohort_export(spark, d):
-    return cohort.cohort_export(_cohort_labeled(spark, d))
+def cohort_export(t):
+    return cohort.cohort_export(_cohort_labeled(t))
 
 
 @query(
@@ -943,9 +937,9 @@ def cohort_export(spark, d):
     LEFT JOIN (SELECT date, count(*) AS n FROM cohort WHERE date < DATE '2024-01-20' GROUP BY 1) h ON c.date = h.date
     LEFT JOIN (SELECT date, min(built_at) + CAST(extract(day FROM date) AS INT) % 4 - 2 AS built_at FROM feature_manifest GROUP BY 1) f ON c.date = f.date"""
 )
-def cohort_cache_check(spark, d):
-    cached = fx.cohort(spark, d).where(F.col("date") < F.lit("2024-01-20").cast("date"))
-    scored = fx.feature_manifest(spark, d).withColumn(
+def cohort_cache_check(t):
+    cached = t.cohort.where(F.col("date") < F.lit("2024-01-20").cast("date"))
+    scored = t.feature_manifest.withColumn(
         "scored_at", F.date_add("built_at", F.dayofmonth("date") % 4 - 2)
     )
     return cohort_plan.cohort_cache_check(
@@ -957,101 +951,101 @@ def cohort_cache_check(spark, d):
     f"""SELECT * FROM (SELECT {STORED_COLUMNS} FROM cohort_stored) WHERE date IS NOT NULL AND date NOT BETWEEN DATE '2024-01-10' AND DATE '2024-01-15'
     UNION ALL SELECT {RESULT_COLUMNS} FROM cohort_result WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-15'"""
 )
-def cohort_refresh(spark, d):
-    fresh = store.date_range(_cohort_result(spark, d), "2024-01-10", "2024-01-15")
-    return cohort.cohort_refresh(fx.cohort_stored(spark, d), fresh, "2024-01-10", "2024-01-15")
+def cohort_refresh(t):
+    fresh = store.date_range(_cohort_result(t), "2024-01-10", "2024-01-15")
+    return cohort.cohort_refresh(t.cohort_stored, fresh, "2024-01-10", "2024-01-15")
 
 
 @query(f"SELECT {RESULT_COLUMNS} FROM cohort_result WHERE date NOT BETWEEN DATE '2024-01-25' AND DATE '2024-01-26'")
-def refresh_cohort_store(spark, d):
-    path = _scratch(spark, "cohort")
-    scores = fx.iforest_scores(spark, d), fx.xgb_scores(spark, d)
-    visits = fx.cohort(spark, d)
+def refresh_cohort_store(t):
+    path = _scratch(t.spark, "cohort")
+    scores = t.iforest, t.xgb
+    visits = t.cohort
     cohort_plan.refresh_cohort_store(visits, *scores, path, fx.FIRST_DAY, fx.LAST_DAY)
     late = visits.where(F.col("date") > F.lit("2024-01-26").cast("date"))
     cohort_plan.refresh_cohort_store(late, *scores, path, "2024-01-25", "2024-01-28")
-    return cohort.cohort_normalize(store.read_table(spark, path), result=True)
+    return cohort.cohort_normalize(store.read_table(t.spark, path), result=True)
 
 
 # ---------------------------------------------------------------- relation network
 
 
-def _network(spark, d) -> DataFrame:
-    return network.network_base(_traffic(spark, d))
+def _network(t) -> DataFrame:
+    return network.network_base(_traffic(t))
 
 
-def _fields(spark, d) -> DataFrame:
-    return network.network_fields(_network(spark, d))
+def _fields(t) -> DataFrame:
+    return network.network_fields(_network(t))
 
 
 @query("SELECT * FROM net")
-def network_base(spark, d):
-    return _network(spark, d)
+def network_base(t):
+    return _network(t)
 
 
 @query("SELECT * EXCLUDE (flag) FROM net_fields")
-def network_fields(spark, d):
-    return _fields(spark, d)
+def network_fields(t):
+    return _fields(t)
 
 
 @query("SELECT * FROM net_daily")
-def network_daily_totals(spark, d):
-    return network.network_daily_totals(_network(spark, d))
+def network_daily_totals(t):
+    return network.network_daily_totals(_network(t))
 
 
 @query("SELECT * FROM net_eligible")
-def network_eligible(spark, d):
-    return network.network_eligible(_fields(spark, d))
+def network_eligible(t):
+    return network.network_eligible(_fields(t))
 
 
 @query("SELECT * FROM net_heavy")
-def heavy_clusters(spark, d):
-    return network.heavy_clusters(_fields(spark, d))
+def heavy_clusters(t):
+    return network.heavy_clusters(_fields(t))
 
 
 @query("SELECT * FROM net_ratio")
-def cluster_contamination(spark, d):
-    return network.cluster_contamination(_fields(spark, d))
+def cluster_contamination(t):
+    return network.cluster_contamination(_fields(t))
 
 
 @query("SELECT * FROM net_caught")
-def network_new_catch(spark, d):
-    return network.network_new_catch(_fields(spark, d), 0.2)
+def network_new_catch(t):
+    return network.network_new_catch(_fields(t), 0.2)
 
 
 @query("SELECT * FROM net_roi")
-def network_roi(spark, d):
-    return network.network_roi(_network(spark, d), 0.2)
+def network_roi(t):
+    return network.network_roi(_network(t), 0.2)
 
 
 @query("SELECT date, dau, blocked, eligible_dau, 0 AS new_catch, CAST(0 AS DOUBLE) AS impact_pct FROM net_roi")
-def network_roi_off(spark, d):
-    return network.network_roi(_network(spark, d))
+def network_roi_off(t):
+    return network.network_roi(_network(t))
 
 
 @query("SELECT round(avg(impact_pct), 6) AS mean_impact_pct FROM net_roi")
-def network_mean_impact(spark, d):
-    return _rounded(network.network_mean_impact(network.network_roi(_network(spark, d), 0.2)))
+def network_mean_impact(t):
+    return _rounded(network.network_mean_impact(network.network_roi(_network(t), 0.2)))
 
 
 # ---------------------------------------------------------------- red team
 
 
 @query("SELECT * EXCLUDE (resolution_z_mean, resolution_z_p95), round(resolution_z_mean, 6) AS resolution_z_mean, round(resolution_z_p95, 6) AS resolution_z_p95 FROM counts")
-def redteam_counts(spark, d):
-    return _rounded(_counts(spark, d))
+def redteam_counts(t):
+    return _rounded(_counts(t))
 
 
-def _pools(spark, d) -> tuple[DataFrame, DataFrame]:
-    counts = _counts(spark, d)
+def _pools(t) -> tuple[DataFrame, DataFrame]:
+    counts = _counts(t)
     attack = counts.where(F.col("pool") == "attack").drop("pool")
     normal = counts.where(F.col("pool") == "normal").drop("pool")
     return redteam.redteam_rates(attack), redteam.redteam_rates(normal, normal_pool=True)
 
 
 @query("SELECT scenario, iforest_only, risk_pool_hits, " + _r("risk_pool_rate", "iforest_rate", "xgb_05_rate", "xgb_09_rate", "xgb_095_rate", "bypass_rate", digits=9) + " FROM attack")
-def redteam_rates(spark, d):
-    attack, _ = _pools(spark, d)
+def redteam_rates(t):
+    attack, _ = _pools(t)
     names = ("risk_pool_rate", "iforest_rate", "xgb_05_rate", "xgb_09_rate", "xgb_095_rate", "bypass_rate")
     return _rounded(attack.select("scenario", "iforest_only", "risk_pool_hits", *names), 9)
 
@@ -1061,8 +1055,8 @@ def redteam_rates(spark, d):
     round(n.normal_pool_xgb_added_hit_rate, 9) AS normal_pool_xgb_added_hit_rate, round(n.risk_pool_rate, 9) AS normal_risk_pool_rate
     FROM attack a JOIN normal n ON a.scenario = n.scenario"""
 )
-def redteam_summary(spark, d):
-    out = redteam.redteam_summary(*_pools(spark, d))
+def redteam_summary(t):
+    out = redteam.redteam_summary(*_pools(t))
     return _rounded(
         out.select(
             "scenario",
@@ -1080,8 +1074,8 @@ def redteam_summary(spark, d):
     """SELECT round(max(risk_pool_rate), 9) AS max_recall, round(min(risk_pool_rate), 9) AS min_recall, round(max(bypass_rate), 9) AS max_bypass,
     (SELECT round(avg(normal_pool_xgb_added_hit_rate), 9) FROM normal) AS mean_normal_added_hit_rate FROM attack"""
 )
-def redteam_extremes(spark, d):
-    return _rounded(redteam.redteam_extremes(*_pools(spark, d)), 9)
+def redteam_extremes(t):
+    return _rounded(redteam.redteam_extremes(*_pools(t)), 9)
 
 
 # ---------------------------------------------------------------- models and pipelines
@@ -1091,8 +1085,8 @@ def redteam_extremes(spark, d):
     """SELECT model_anomaly, count(*) AS n, CASE WHEN model_anomaly = -1 THEN -1 ELSE 1 END AS signed_anomaly,
     CASE WHEN coalesce(xgb_bot_prob, 0) >= 0.5 THEN -1 ELSE 1 END AS binary_anomaly FROM xgs GROUP BY ALL"""
 )
-def normalize_anomaly(spark, d):
-    rows = fx.xgb_scores(spark, d).select(
+def normalize_anomaly(t):
+    rows = t.xgb.select(
         "model_anomaly",
         models.normalize_anomaly(F.col("model_anomaly"), "signed").alias("signed_anomaly"),
         models.normalize_anomaly(F.col("xgb_bot_prob"), "binary").alias("binary_anomaly"),
@@ -1103,22 +1097,22 @@ def normalize_anomaly(spark, d):
 @query(
     f"SELECT {KEYS}, least(greatest(coalesce(xgb_bot_prob, 0.0) * 1.5 - 0.2, 0.0), 1.0) AS p FROM xgs WHERE xgb_bot_prob IS NOT NULL UNION ALL SELECT {KEYS}, 0.0 FROM xgs WHERE xgb_bot_prob IS NULL"
 )
-def clip_probability(spark, d):
+def clip_probability(t):
     p = F.col("xgb_bot_prob") * F.lit(1.5) - F.lit(0.2)
-    return fx.xgb_scores(spark, d).select(*USER_DAY, models.clip_probability(p).alias("p"))
+    return t.xgb.select(*USER_DAY, models.clip_probability(p).alias("p"))
 
 
-def _training(spark, d) -> tuple[DataFrame, scoring.Models]:
+def _training(t) -> tuple[DataFrame, scoring.Models]:
     """Features and both models, fitted on this table's own user-days.
 
     Label of the classifier: wave devices (their ids start with ``b``) against regular users.
     """
-    events = fx.all_pageviews(spark, d)
-    base, shares = _base(spark, d), resolution.fit_resolution(events)
+    events = t.all_pageviews
+    base, shares = _base(t), resolution.fit_resolution(events).persist()
     table = features.user_day_features(events, base, shares)
-    path = _scratch(spark, "features")
+    path = _scratch(t.spark, "features")
     store.write_partitions(table, path)
-    stored = store.read_table(spark, path)
+    stored = store.read_table(t.spark, path)
     forest = models.iforest_fit(stored, params=ForestParams(trees=50))
     labelled = stored.withColumn("label", F.col("distinct_id").startswith("b").cast("int"))
     trees = models.gbt_fit(labelled, "label", rounds=5, depth=3)
@@ -1126,53 +1120,53 @@ def _training(spark, d) -> tuple[DataFrame, scoring.Models]:
 
 
 @query()
-def iforest_score(spark, d):
-    stored, fitted = _training(spark, d)
+def iforest_score(t):
+    stored, fitted = _training(t)
     return models.iforest_score(stored, fitted.iforest).select(*USER_DAY, "anomaly_score", "model_anomaly")
 
 
 @query()
-def gbt_score(spark, d):
-    stored, fitted = _training(spark, d)
+def gbt_score(t):
+    stored, fitted = _training(t)
     return models.gbt_score(stored, fitted.gbt).select(*USER_DAY, "xgb_bot_prob", "model_anomaly")
 
 
 @query()
-def score_features(spark, d):
-    stored, fitted = _training(spark, d)
+def score_features(t):
+    stored, fitted = _training(t)
     return models.score_features(models.score_features(stored, fitted.iforest), fitted.gbt)
 
 
 @query()
-def build_scores(spark, d):
-    _, fitted = _training(spark, d)
-    iforest, gbt = scoring.build_scores(fx.all_pageviews(spark, d), fitted)
+def build_scores(t):
+    _, fitted = _training(t)
+    iforest, gbt = scoring.build_scores(t.all_pageviews, fitted)
     return labeling.user_day_scores(iforest, gbt)
 
 
 @query()
-def rescore_dates(spark, d):
-    stored, fitted = _training(spark, d)
+def rescore_dates(t):
+    stored, fitted = _training(t)
     iforest = models.score_features(stored, fitted.iforest)
     gbt = models.score_features(stored, fitted.gbt)
-    return scoring.rescore_dates(fx.all_pageviews(spark, d), iforest, gbt, REPLACED, fitted)[1]
+    return scoring.rescore_dates(t.all_pageviews, iforest, gbt, REPLACED, fitted)[1]
 
 
 @query(
     """SELECT date, count(*) AS n_events, count(DISTINCT distinct_id) AS scored_user_days FROM pva
     WHERE date <> DATE '2024-01-09' OR hour_time < 12 GROUP BY 1"""
 )
-def backfill_day(spark, d):
-    _, fitted = _training(spark, d)
-    tables = scoring.Store(_scratch(spark, "store"))
-    events = fx.all_pageviews(spark, d)
+def backfill_day(t):
+    _, fitted = _training(t)
+    tables = scoring.Store(_scratch(t.spark, "store"))
+    events = t.all_pageviews
     store.append_batch(events, tables.raw, 0)
-    scoring.build_store(spark, tables, fitted)
+    scoring.build_store(t.spark, tables, fitted)
     day = events.where((F.col("date") == F.lit("2024-01-09").cast("date")) & (F.col("hour_time") < 12))
-    scoring.backfill_day(spark, tables, day, "2024-01-09", fitted)
-    raw = store.read_batches(spark, tables.raw).groupBy("date").agg(F.count("*").alias("n_events"))
+    scoring.backfill_day(t.spark, tables, day, "2024-01-09", fitted)
+    raw = store.read_batches(t.spark, tables.raw).groupBy("date").agg(F.count("*").alias("n_events"))
     scored = (
-        store.read_table(spark, tables.gbt).groupBy("date").agg(F.count("*").alias("scored_user_days"))
+        store.read_table(t.spark, tables.gbt).groupBy("date").agg(F.count("*").alias("scored_user_days"))
     )
     return raw.join(scored, "date")
 
@@ -1181,31 +1175,31 @@ def backfill_day(spark, d):
     f"""SELECT p.date, count(*) AS n_events, count(DISTINCT p.distinct_id) AS user_days, max(d.daily) AS daily_pv FROM pv p
     JOIN (SELECT date, count(*) AS daily FROM pv GROUP BY 1) d ON p.date = d.date GROUP BY 1"""
 )
-def stream_ingest_rescore(spark, d):
-    raw, daily = _scratch(spark, "stream-raw"), _scratch(spark, "stream-daily")
+def stream_ingest_rescore(t):
+    raw, daily = _scratch(t.spark, "stream-raw"), _scratch(t.spark, "stream-daily")
 
     def recompute(days):
-        whole = store.read_batches(spark, raw).where(
+        whole = store.read_batches(t.spark, raw).where(
             F.col("date").isin(*[F.lit(x).cast("date") for x in days])
         )
         per_day = whole.groupBy("date").agg(F.count("*").alias("daily_pv"))
         store.replace_dates_on_disk(per_day, daily, days)
 
     def prepare(files):
-        rows = spark.sql(fx.PAGEVIEWS_RAW, events=files)
+        rows = t.spark.sql(fx.PAGEVIEWS_RAW, events=files)
         return pageviews.scan_pageviews(rows, excluded_host=fx.EXCLUDED_HOST)
 
     run = ingest.stream_ingest_rescore(
-        spark,
-        d,
-        fx.events(spark, d).schema,
+        t.spark,
+        t.sf_dir,
+        t.events.schema,
         raw,
-        _scratch(spark, "stream-state"),
+        _scratch(t.spark, "stream-state"),
         prepare,
         recompute,
         glob="events.parquet",
     )
     run.awaitTermination()
-    per_day = store.read_batches(spark, raw).groupBy("date")
+    per_day = store.read_batches(t.spark, raw).groupBy("date")
     counts = per_day.agg(F.count("*").alias("n_events"), F.count_distinct("distinct_id").alias("user_days"))
-    return counts.join(store.read_table(spark, daily), "date")
+    return counts.join(store.read_table(t.spark, daily), "date")
