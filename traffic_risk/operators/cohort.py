@@ -185,7 +185,7 @@ def severity(group: str = "risk_group") -> Column:
     )
 
 
-def cohort_risk_summary(user_days: DataFrame) -> DataFrame:
+def cohort_risk_summary(user_days: DataFrame, digits: int = 4) -> DataFrame:
     """Per (group, action): user-days, users, page views, mean probability and share in percent."""
     unmatched = F.lit(labels.UNMATCHED)
     by = ["risk_group", "action"]
@@ -207,7 +207,7 @@ def cohort_risk_summary(user_days: DataFrame) -> DataFrame:
             F.sum("d").alias("user_days"),
             F.count("*").alias("users"),
             F.sum("pv").alias("seek_report_pv"),
-            F.round(F.sum("p") / F.sum("n"), 4).alias("avg_xgb_prob"),
+            F.round(F.sum("p") / F.sum("n"), digits).alias("avg_xgb_prob"),
         )
         .withColumn(
             "share_pct", F.bround(F.col("user_days") / F.sum("user_days").over(everything) * F.lit(100.0), 2)

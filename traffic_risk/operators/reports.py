@@ -98,7 +98,7 @@ def risk_summary(traffic: LabeledTraffic, digits: int = 4) -> DataFrame:
         *by,
         "user_days",
         "users",
-        *[F.round(c, digits).alias(c) for c in ("avg_xgb_prob", "p50_xgb_prob", "p95_xgb_prob")],
+        *[F.bround(c, digits).alias(c) for c in ("avg_xgb_prob", "p50_xgb_prob", "p95_xgb_prob")],
     )
 
 

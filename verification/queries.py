@@ -688,12 +688,13 @@ def daily_summary_rules_on(t):
 
 
 @query(
-    """SELECT risk_group, action, count(*) AS user_days, count(DISTINCT distinct_id) AS users, round(avg(xgb_bot_prob), 4) AS avg_xgb_prob,
-    round(quantile_cont(xgb_bot_prob, 0.5), 4) AS p50_xgb_prob, round(quantile_cont(xgb_bot_prob, 0.95), 4) AS p95_xgb_prob
+    """SELECT risk_group, action, count(*) AS user_days, count(DISTINCT distinct_id) AS users, round_even(avg(xgb_bot_prob), 9) AS avg_xgb_prob,
+    round_even(quantile_cont(xgb_bot_prob, 0.5), 9) AS p50_xgb_prob, round_even(quantile_cont(xgb_bot_prob, 0.95), 9) AS p95_xgb_prob
     FROM (SELECT DISTINCT date, distinct_id, risk_group, action, xgb_bot_prob FROM lab) GROUP BY 1, 2"""
 )
 def risk_summary(t):
-    return reports.risk_summary(_traffic(t))
+    # nine digits: at four, an average such as 0.43625 lands on either side with the order of its sum
+    return reports.risk_summary(_traffic(t), digits=9)
 
 
 @query(
@@ -878,12 +879,12 @@ def cohort_metrics(t):
 
 @query(
     f"""SELECT *, round_even(user_days / sum(user_days) OVER () * 100, 2) AS share_pct FROM (SELECT risk_group, action, count(*) AS user_days,
-    count(DISTINCT distinct_id) AS users, CAST(sum(seek_report_pv) AS BIGINT) AS seek_report_pv, round(avg(xgb_bot_prob), 4) AS avg_xgb_prob,
+    count(DISTINCT distinct_id) AS users, CAST(sum(seek_report_pv) AS BIGINT) AS seek_report_pv, round(avg(xgb_bot_prob), 9) AS avg_xgb_prob,
     CASE risk_group WHEN '{L.GROUP_A}' THEN 1 WHEN '{L.GROUP_B}' THEN 2 WHEN '{L.GROUP_C}' THEN 3 WHEN '{L.GROUP_D}' THEN 4 WHEN '{L.GROUP_E}' THEN 5
     WHEN '{L.GROUP_F}' THEN 6 WHEN '{L.UNMATCHED}' THEN 98 ELSE 99 END AS risk_order FROM cohort_days GROUP BY 1, 2, 7)"""
 )
 def cohort_risk_summary(t):
-    return cohort.cohort_risk_summary(_cohort_days(t))
+    return cohort.cohort_risk_summary(_cohort_days(t), digits=9)
 
 
 @query("SELECT date, risk_group, count(*) AS user_days FROM cohort_days GROUP BY 1, 2")
