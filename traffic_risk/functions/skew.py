@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
@@ -23,49 +23,51 @@ def attach(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    weight: str,
     spread: Sequence[str],
+    weight: str | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Left join of ``left`` with ``right``, which has one row per key.
 
-    With adaptive execution a plain join is enough: partitions that a hot key (or null keys) make
-    large are split at run time, and as ``right`` has one row per key, what is repeated for each
-    split is small. The joins of this library are followed by a shuffle on other keys or by the
-    end of the query, so the split is never ruled out by a required partitioning.
+    The join has one key more than asked for, a salt. It is 0 on both sides, except for rows of
+    ``left`` with a null key: those get a hash of the ``spread`` columns and so spread over
+    all tasks. The salt also makes both sides of the join shuffles of their own. Adaptive execution
+    only splits the partitions of a hot key between two such shuffles; without the
+    salt, ``right`` would often come out of an aggregation that is already partitioned by the keys,
+    and the hot key would stay in one task. ``right`` has one row per key, so repeating its partition
+    for every split is cheap, and all uses shuffle by other keys afterwards or write their result.
 
-    Where adaptive skew handling is off, or ``hot_rows`` is given, the join is salted by hand.
-    ``right`` was aggregated from ``left``, so its column ``weight`` tells how many rows
-    of ``left`` carry each key (an upper bound does as well). Hot keys are answered by a
-    broadcast: there are at most ``rows(left) / hot_rows`` of them, which bounds its size (a trillion
-    rows make half a million entries). All other keys go through a shuffle join, in which no key
-    has more than ``hot_rows`` rows. Rows already answered, and rows with a null key, take part in
-    that join under a salt made of the ``spread`` columns, so they spread over all tasks.
+    Where adaptive skew handling is off, or ``hot_rows`` is given, hot keys are split by hand.
+    ``weight`` names the column of ``right`` with the number of rows of ``left`` per key (an upper
+    bound does; it is counted when there is none). Hot keys are answered by a broadcast:
+    there are at most ``rows(left) / hot_rows`` of them, which bounds its size (a trillion rows make
+    half a million entries). They are salted like null keys in the shuffle join, so no key
+    there has more than ``hot_rows`` rows.
     """
     keys = list(keys)
-    if hot_rows is None:
-        if splits_skew(left.sparkSession):
-            return left.join(right.select(*keys, *_new(left, right, keys)), keys, "left").select(
-                *left.columns, *_new(left, right, keys)
-            )
-        hot_rows = HOT_ROWS
-    values = [c for c in right.columns if c not in keys]
-    packed = F.struct(*values)
-    hot = right.where(F.col(weight) >= hot_rows).select(*keys, packed.alias("_hot"))
-    cold = right.where(F.col(weight) < hot_rows).select(
-        *keys, F.lit(0).cast("long").alias("_salt"), packed.alias("_cold")
-    )
+    values = [c for c in right.columns if c not in (*left.columns, *keys)]
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salt = 1 + F.pmod(F.xxhash64(*spread), F.lit(SALTS).cast("long"))
-    out = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNotNull() | no_key, salt).otherwise(F.lit(0).cast("long")),
-    )
-    out = out.join(cold, [*keys, "_salt"], "left")
+    # not a literal: a literal salt would be folded out of the join keys
+    unsalted = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")).alias("_salt")
+    if hot_rows is None and splits_skew(left.sparkSession):
+        salted = left.select(*left.columns, _salt(no_key, spread).alias("_salt"))
+        return salted.join(right.select(*keys, unsalted, *values), [*keys, "_salt"], "left").select(
+            *left.columns, *values
+        )
+    if weight is None:
+        weight = "_weight"
+        right = right.join(left.groupBy(*keys).agg(F.count("*").alias(weight)), keys)
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    packed = F.struct(*values, F.lit(True).alias("_found"))
+    hot = right.where(F.col(weight) >= limit).select(*keys, packed.alias("_hot"))
+    cold = right.where(F.col(weight) < limit).select(*keys, unsalted, packed.alias("_cold"))
+    answered = left.join(F.broadcast(hot), keys, "left")
+    salted = answered.withColumn("_salt", _salt(no_key | F.col("_hot").isNotNull(), spread))
+    out = salted.join(cold, [*keys, "_salt"], "left")
     found = F.coalesce(F.col("_hot"), F.col("_cold"))
-    return out.select(*left.columns, *[found[v].alias(v) for v in _new(left, right, keys)])
+    return out.select(*left.columns, *[found[v].alias(v) for v in values])
 
 
-def _new(left: DataFrame, right: DataFrame, keys: list[str]) -> list[str]:
-    have = {*left.columns, *keys}
-    return [c for c in right.columns if c not in have]
+def _salt(spread_it: Column, spread: Sequence[str]) -> Column:
+    several = 1 + F.pmod(F.xxhash64(*spread), F.lit(SALTS).cast("long"))
+    return F.when(spread_it, several).otherwise(F.lit(0).cast("long"))

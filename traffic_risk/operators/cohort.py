@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from traffic_risk import labels
 from traffic_risk.columns import COHORT_DISPLAY, COHORT_RESULT, COHORT_USER, USER_DAY
 from traffic_risk.functions import (
+    attach,
     blank_to_unknown,
     normalize_date,
     parse_match_flag,
@@ -58,7 +59,7 @@ def cohort_scores(cohort: DataFrame, iforest: DataFrame, gbt: DataFrame) -> Data
     scores = user_day_scores(iforest, gbt, "full_outer")
     matched = F.coalesce(F.col("in_iforest") & F.col("in_gbt"), F.lit(False))
     return (
-        views.join(scores, list(USER_DAY), "left")
+        attach(views, scores, USER_DAY, ["hour_time", *COHORT_DISPLAY])
         .withColumn("has_model_result", matched)
         .select(*COHORT_RESULT)
     )

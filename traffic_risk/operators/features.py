@@ -119,7 +119,7 @@ def block_table(events: DataFrame, by_cell: DataFrame | None = None) -> DataFram
 def suspicious_events(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Events with the flag of their block; an event without a block is not suspicious."""
     flags = block_table(events).select(*BLOCK, "block_pv", "is_suspicious_block")
-    out = attach(events, flags, BLOCK, "block_pv", USER_DAY, hot_rows)
+    out = attach(events, flags, BLOCK, USER_DAY, "block_pv", hot_rows)
     return out.withColumn(
         "is_suspicious_block", F.coalesce(F.col("is_suspicious_block"), F.lit(0))
     ).drop("block_pv")
@@ -174,8 +174,8 @@ def user_environment(
     addresses = user_addresses(events)
     by_ip = exact_ip_users(events, addresses)
     by_segment = _segment_counts(addresses)
-    pairs = attach(addresses, by_ip, ("date", "ip"), "exact_ip_uv", ("distinct_id",), hot_rows)
-    pairs = attach(pairs, by_segment, ("date", "ip_c_segment"), "pairs", ("distinct_id", "ip"), hot_rows)
+    pairs = attach(addresses, by_ip, ("date", "ip"), ("distinct_id",), "exact_ip_uv", hot_rows)
+    pairs = attach(pairs, by_segment, ("date", "ip_c_segment"), ("distinct_id", "ip"), "pairs", hot_rows)
     z = _zscore(F.col("max_cnt"), baseline)
     return (
         pairs.groupBy(*USER_DAY)
@@ -253,7 +253,7 @@ def user_blocks(
         "target_direct_ratio",
         "is_suspicious_block",
     )
-    placed = attach(by_cell, blocks, BLOCK, "block_uv", ("distinct_id",), hot_rows)
+    placed = attach(by_cell, blocks, BLOCK, ("distinct_id",), "block_uv", hot_rows)
     pv = F.col("pv")
     in_block = F.when(F.col("block_pv").isNotNull(), pv)
     return placed.groupBy(*USER_DAY).agg(
@@ -303,8 +303,8 @@ def clone_clusters(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
         signatures.join(segments, list(USER_DAY)),
         _cluster_sizes(signatures),
         SIGNATURE,
-        "cluster_size",
         ("distinct_id",),
+        "cluster_size",
         hot_rows,
     )
 
@@ -388,7 +388,7 @@ def base_features(
         .drop("hour_sum", "hour_pv")
     )
     sizes = _cluster_sizes(user_signature(events, by_cell))
-    sized = attach(joined, sizes, SIGNATURE, "cluster_size", ("distinct_id",), hot_rows)
+    sized = attach(joined, sizes, SIGNATURE, ("distinct_id",), "cluster_size", hot_rows)
     return apply_rules(risk_scores(sized.drop("hour_bin", "is_direct", "url_nunique")))
 
 

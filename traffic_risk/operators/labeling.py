@@ -77,7 +77,7 @@ def scored_events(
     scores = user_day_scores(iforest, gbt)
     known = scores.join(_user_day_counts(events).drop("manual"), list(USER_DAY))
     return (
-        attach(events, known, USER_DAY, "n_events", events.columns, hot_rows)
+        attach(events, known, USER_DAY, events.columns, "n_events", hot_rows)
         .where(F.col("n_events").isNotNull())
         .drop("n_events")
     )
@@ -173,7 +173,7 @@ class LabeledTraffic:
 
     def rows(self, hot_rows: int | None = None) -> DataFrame:
         """Labelled events: every event of a labelled user-day, with display columns."""
-        out = attach(self.events, self.user_days, USER_DAY, "n_events", self.events.columns, hot_rows)
+        out = attach(self.events, self.user_days, USER_DAY, self.events.columns, "n_events", hot_rows)
         return (
             out.where(F.col("n_events").isNotNull())
             .drop("n_events")
@@ -189,7 +189,8 @@ class LabeledTraffic:
         times the dimension values of a user-day.
         """
         pairs = self.events.select(*USER_DAY, *[c.alias(n) for n, c in dims.items()]).distinct()
-        return pairs.join(self.user_days, list(USER_DAY))
+        out = attach(pairs, self.user_days, USER_DAY, list(dims), "n_events")
+        return out.where(F.col("n_events").isNotNull())
 
     def latest(self, as_of=None) -> LabeledTraffic:
         """The last labelled day, or a given one (which then prunes partitions when planning)."""

@@ -138,7 +138,7 @@ def network_new_catch(
     dirty = cluster_contamination(fields, min_users).where(F.col("ratio") >= F.lit(float(ratio)))
     clean = cluster_members(fields).where(F.col("clean") == 1).select(*CLUSTER, "distinct_id")
     return (
-        attach(clean, dirty.select(*CLUSTER, "clean_users"), CLUSTER, "clean_users", ["distinct_id"], hot_rows)
+        attach(clean, dirty.select(*CLUSTER, "clean_users"), CLUSTER, ["distinct_id"], "clean_users", hot_rows)
         .where(F.col("clean_users").isNotNull())
         .select(*USER_DAY)
         .distinct()

@@ -116,7 +116,7 @@ def resolution_bucket(main: DataFrame, vocab: DataFrame, hot_rows: int | None =
         .join(vocab.select(F.col("resolution").alias("main_resolution_canonical")), "main_resolution_canonical")
         .withColumn("common", F.lit(True))
     )
-    out = attach(main, known, ["main_resolution_canonical"], "n", USER_DAY, hot_rows)
+    out = attach(main, known, ["main_resolution_canonical"], USER_DAY, "n", hot_rows)
     r = F.col("main_resolution_canonical")
     return out.select(*main.columns, _bucket(r, F.col("common").isNotNull()).alias("resolution_bucket"))
 
@@ -358,5 +358,5 @@ def attach_resolution_feature(
         "date", F.col("resolution").alias("main_resolution_canonical"), "n", F.col(RESOLUTION_Z).alias("z")
     )
     out = user_days.join(main, list(USER_DAY), "left")
-    out = attach(out, scores, ("date", "main_resolution_canonical"), "n", ("distinct_id",), hot_rows)
+    out = attach(out, scores, ("date", "main_resolution_canonical"), ("distinct_id",), "n", hot_rows)
     return out.select(*user_days.columns, F.coalesce("z", F.lit(0.0)).alias(RESOLUTION_Z))
