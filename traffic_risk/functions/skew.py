@@ -26,12 +26,13 @@ def attach(
     spread: Sequence[str],
     weight: str | None = None,
     hot_rows: int | None = None,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join of ``left`` with ``right``, which has one row per key.
+    """Left (or inner) join of ``left`` with ``right``, which has one row per key.
 
     The join has one key more than asked for, a salt. It is 0 on both sides, except for rows of
-    ``left`` with a null key: those get a hash of the ``spread`` columns and so spread over
-    all tasks. The salt also makes both sides of the join shuffles of their own. Adaptive execution
+    ``left`` with a null key, where a left join keeps them: those get a hash of the ``spread``
+    columns and so spread over all tasks. The salt also makes both sides of the join shuffles of their own. Adaptive execution
     only splits the partitions of a hot key between two such shuffles; without the
     salt, ``right`` would often come out of an aggregation that is already partitioned by the keys,
     and the hot key would stay in one task. ``right`` has one row per key, so repeating its partition
@@ -48,23 +49,26 @@ def attach(
     values = [c for c in right.columns if c not in (*left.columns, *keys)]
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     # not a literal: a literal salt would be folded out of the join keys
-    unsalted = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")).alias("_salt")
+    unsalted = F.pmod(F.hash(keys[0]), F.lit(1)).cast("long").alias("_salt")
     if hot_rows is None and splits_skew(left.sparkSession):
-        salted = left.select(*left.columns, _salt(no_key, spread).alias("_salt"))
-        return salted.join(right.select(*keys, unsalted, *values), [*keys, "_salt"], "left").select(
+        salt = unsalted if how == "inner" else _salt(no_key, spread).alias("_salt")
+        salted = left.select(*left.columns, salt)
+        return salted.join(right.select(*keys, unsalted, *values), [*keys, "_salt"], how).select(
             *left.columns, *values
         )
     if weight is None:
         weight = "_weight"
         right = right.join(left.groupBy(*keys).agg(F.count("*").alias(weight)), keys)
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    packed = F.struct(*values, F.lit(True).alias("_found"))
+    packed = F.struct(F.lit(True).alias("_found"), *values)
     hot = right.where(F.col(weight) >= limit).select(*keys, packed.alias("_hot"))
     cold = right.where(F.col(weight) < limit).select(*keys, unsalted, packed.alias("_cold"))
     answered = left.join(F.broadcast(hot), keys, "left")
     salted = answered.withColumn("_salt", _salt(no_key | F.col("_hot").isNotNull(), spread))
     out = salted.join(cold, [*keys, "_salt"], "left")
     found = F.coalesce(F.col("_hot"), F.col("_cold"))
+    if how == "inner":
+        out = out.where(found.isNotNull())
     return out.select(*left.columns, *[found[v].alias(v) for v in values])
 
 

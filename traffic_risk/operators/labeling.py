@@ -76,11 +76,7 @@ def scored_events(
     """Events whose user-day has both scores, with the scores."""
     scores = user_day_scores(iforest, gbt)
     known = scores.join(_user_day_counts(events).drop("manual"), list(USER_DAY))
-    return (
-        attach(events, known, USER_DAY, events.columns, "n_events", hot_rows)
-        .where(F.col("n_events").isNotNull())
-        .drop("n_events")
-    )
+    return attach(events, known, USER_DAY, events.columns, "n_events", hot_rows, "inner").drop("n_events")
 
 
 def safe_probability(raw: str = "xgb_bot_prob_raw", anomaly: str = "xgb_model_anomaly") -> Column:
@@ -173,13 +169,14 @@ class LabeledTraffic:
 
     def rows(self, hot_rows: int | None = None) -> DataFrame:
         """Labelled events: every event of a labelled user-day, with display columns."""
-        out = attach(self.events, self.user_days, USER_DAY, self.events.columns, "n_events", hot_rows)
-        return (
-            out.where(F.col("n_events").isNotNull())
-            .drop("n_events")
-            .withColumn("province_display", blank_to_unknown("province"))
-            .withColumn("browser_display", blank_to_unknown("browser"))
-            .withColumn("first_day_display", first_day_flag("is_first_day"))
+        events = self.events
+        out = attach(events, self.user_days, USER_DAY, events.columns, "n_events", hot_rows, "inner")
+        return out.drop("n_events").withColumns(
+            {
+                "province_display": blank_to_unknown("province"),
+                "browser_display": blank_to_unknown("browser"),
+                "first_day_display": first_day_flag("is_first_day"),
+            }
         )
 
     def users_by(self, **dims: Column) -> DataFrame:
@@ -189,8 +186,7 @@ class LabeledTraffic:
         times the dimension values of a user-day.
         """
         pairs = self.events.select(*USER_DAY, *[c.alias(n) for n, c in dims.items()]).distinct()
-        out = attach(pairs, self.user_days, USER_DAY, list(dims), "n_events")
-        return out.where(F.col("n_events").isNotNull())
+        return attach(pairs, self.user_days, USER_DAY, list(dims), "n_events", how="inner")
 
     def latest(self, as_of=None) -> LabeledTraffic:
         """The last labelled day, or a given one (which then prunes partitions when planning)."""

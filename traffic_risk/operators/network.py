@@ -54,11 +54,8 @@ def _derive_if_blank(base: DataFrame, name: str, derived: Column | None, why: st
     return F.when(filled, _stripped(name)).otherwise(derived)
 
 
-def network_fields(base: DataFrame) -> DataFrame:
-    """Rows with a usable C segment and fingerprint; both are derived where needed.
-
-    Raises when a needed column can be neither found nor derived.
-    """
+def _with_keys(base: DataFrame) -> tuple[DataFrame, Column]:
+    """The table with C segment and fingerprint, and the condition that both can be used."""
     missing = [c for c in (*USER_DAY, "is_bot") if c not in base.columns]
     if missing:
         raise ValueError(f"network estimate needs columns {missing}")
@@ -74,7 +71,16 @@ def network_fields(base: DataFrame) -> DataFrame:
     )
     if "soft_fp" in base.columns:  # a derived fingerprint is never blank
         usable = usable & (F.col("soft_fp") != "")
-    return base.withColumns(keys).where(usable)
+    return base.withColumns(keys), usable
+
+
+def network_fields(base: DataFrame) -> DataFrame:
+    """Rows with a usable C segment and fingerprint; both are derived where needed.
+
+    Raises when a needed column can be neither found nor derived.
+    """
+    rows, usable = _with_keys(base)
+    return rows.where(usable)
 
 
 def network_daily_totals(base: DataFrame) -> DataFrame:
@@ -138,8 +144,15 @@ def network_new_catch(
     dirty = cluster_contamination(fields, min_users).where(F.col("ratio") >= F.lit(float(ratio)))
     clean = cluster_members(fields).where(F.col("clean") == 1).select(*CLUSTER, "distinct_id")
     return (
-        attach(clean, dirty.select(*CLUSTER, "clean_users"), CLUSTER, ["distinct_id"], "clean_users", hot_rows)
-        .where(F.col("clean_users").isNotNull())
+        attach(
+            clean,
+            dirty.select(*CLUSTER, "clean_users"),
+            CLUSTER,
+            ["distinct_id"],
+            "clean_users",
+            hot_rows,
+            "inner",
+        )
         .select(*USER_DAY)
         .distinct()
     )
@@ -147,18 +160,29 @@ def network_new_catch(
 
 def network_roi(base: DataFrame, ratio: float = CONTAMINATION_OFF, hot_rows: int | None = None) -> DataFrame:
     """Per day: users, blocked, eligible, newly caught and their share of all users in percent."""
-    fields = network_fields(base)
+    rows, usable = _with_keys(base)
+    daily = (  # totals and eligible users in one pass
+        rows.where(F.col("date").isNotNull() & F.col("distinct_id").isNotNull())
+        .groupBy(*USER_DAY)
+        .agg(
+            F.max(bool_flag("is_bot").cast("int")).alias("bot"),
+            F.max(F.coalesce(usable, F.lit(False)).cast("int")).alias("eligible"),
+        )
+        .groupBy("date")
+        .agg(
+            F.count("*").alias("dau"),
+            F.sum("bot").alias("blocked"),
+            F.sum("eligible").alias("eligible_dau"),
+        )
+    )
     caught = (
-        network_new_catch(fields, ratio, hot_rows=hot_rows)
+        network_new_catch(rows.where(usable), ratio, hot_rows=hot_rows)
         .groupBy("date")
         .agg(F.count("*").alias("new_catch"))
     )
     zero = F.lit(0).cast("long")
     return (
-        network_daily_totals(base)
-        .join(network_eligible(fields), "date", "left")
-        .join(caught, "date", "left")
-        .withColumn("eligible_dau", F.coalesce("eligible_dau", zero))
+        daily.join(caught, "date", "left")
         .withColumn("new_catch", F.coalesce("new_catch", zero))
         .withColumn("impact_pct", F.bround(F.col("new_catch") / F.col("dau") * F.lit(100.0), 2))
     )

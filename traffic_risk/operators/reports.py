@@ -258,7 +258,7 @@ def c_segment_users(traffic: LabeledTraffic, as_of=None, hot_rows: int | None =
     )
     sizes = pairs.groupBy("ip_c").agg(F.count("*").alias("c_segment_user_count"))
     return (
-        attach(pairs, sizes, ["ip_c"], ["distinct_id"], "c_segment_user_count", hot_rows)
+        attach(pairs, sizes, ["ip_c"], ["distinct_id"], "c_segment_user_count", hot_rows, "inner")
         .groupBy("distinct_id", "user_type")
         .agg(F.max("c_segment_user_count").alias("c_segment_user_count"))
     )
@@ -300,8 +300,7 @@ def title_url_uv_pv(
     )
     wanted = day.user_days.where(F.col("final_label") == F.lit(blocked)).select(*USER_DAY, "n_events")
     return (
-        attach(views, wanted, USER_DAY, ["title", "url"], "n_events")
-        .where(F.col("n_events").isNotNull())
+        attach(views, wanted, USER_DAY, ["title", "url"], "n_events", how="inner")
         .groupBy("title", "url")
         .agg(F.count("*").alias("uv"), F.sum("pv").alias("pv"))
         .orderBy(F.col("pv").desc(), F.col("uv").desc(), "title", "url")
