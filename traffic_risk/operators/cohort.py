@@ -51,12 +51,19 @@ def cohort_normalize(df: DataFrame, pv_default: int = 1, result: bool = False) -
 def cohort_scores(cohort: DataFrame, iforest: DataFrame, gbt: DataFrame) -> DataFrame:
     """Page views per cohort key, left-joined with the user-day's scores.
 
-    The two score tables are joined first, so the cohort is shuffled once; the
-    pre-aggregation leaves a user-day only as many rows as it has device and hour values.
+    A landing page has few of all users, so the score tables are cut to the cohort's user-days before
+    anything else; when those are few enough to broadcast, the score tables are not shuffled at
+    all. The two tables are joined first, so the cohort is shuffled once; the pre-aggregation
+    leaves a user-day only as many rows as it has device and hour values.
     """
     keys = [c for c in COHORT_USER if c != "seek_report_pv"]
     views = cohort_normalize(cohort).groupBy(*keys).agg(F.sum("seek_report_pv").alias("seek_report_pv"))
-    scores = user_day_scores(iforest, gbt, "full_outer")
+    visitors = views.select(*USER_DAY).distinct()
+
+    def of_visitors(scores: DataFrame) -> DataFrame:
+        return attach(scores, visitors, USER_DAY, scores.columns, how="inner")
+
+    scores = user_day_scores(of_visitors(iforest), of_visitors(gbt), "full_outer")
     matched = F.coalesce(F.col("in_iforest") & F.col("in_gbt"), F.lit(False))
     return (
         attach(views, scores, USER_DAY, ["hour_time", *COHORT_DISPLAY])

@@ -18,7 +18,6 @@ from traffic_risk.sources.store import (
     read_table,
     replace_batches,
     replace_dates,
-    replace_dates_on_disk,
     require_columns,
     require_dates,
     write_partitions,
@@ -99,18 +98,18 @@ def rescore_dates(
 
 
 def rescore_store(spark: SparkSession, store: Store, dates: Iterable, models: Models) -> None:
-    """Derive the given days again from the stored raw days and overwrite their partitions."""
+    """Derive the given days again from the stored raw days and overwrite their partitions.
+
+    That every day is there is checked on the raw events: each of their user-days gets a score, and
+    the check then reads one column instead of running the features twice.
+    """
     days = sorted({str(d) for d in dates})
-    touched = read_batches(spark, store.raw).where(
-        F.col("date").isin(*[F.lit(d).cast("date") for d in days])
-    )
+    wanted = F.col("date").isin(*[F.lit(d).cast("date") for d in days])
+    touched = require_dates(read_batches(spark, store.raw).where(wanted), days, "raw events")
     iforest = score_features(_features(touched, models), models.iforest)
-    replace_dates_on_disk(_stamp(iforest, models), store.iforest, days)
-    fresh = read_table(spark, store.iforest).where(
-        F.col("date").isin(*[F.lit(d).cast("date") for d in days])
-    )
-    gbt = score_features(fresh, models.gbt)
-    replace_dates_on_disk(_stamp(gbt, models), store.gbt, days)
+    write_partitions(_stamp(iforest, models), store.iforest)
+    gbt = score_features(read_table(spark, store.iforest).where(wanted), models.gbt)
+    write_partitions(_stamp(gbt, models), store.gbt)
 
 
 def backfill_day(spark: SparkSession, store: Store, fetched: DataFrame, day, models: Models) -> None:

@@ -1103,7 +1103,7 @@ def clip_probability(t):
     return t.xgb.select(*USER_DAY, models.clip_probability(p).alias("p"))
 
 
-def _training(t) -> tuple[DataFrame, scoring.Models]:
+def _training(t, forest: bool = True, trees: bool = True) -> tuple[DataFrame, scoring.Models]:
     """Features and both models, fitted on this table's own user-days.
 
     Label of the classifier: wave devices (their ids start with ``b``) against regular users.
@@ -1114,21 +1114,45 @@ def _training(t) -> tuple[DataFrame, scoring.Models]:
     path = _scratch(t.spark, "features")
     store.write_partitions(table, path)
     stored = store.read_table(t.spark, path)
-    forest = models.iforest_fit(stored, params=ForestParams(trees=50))
-    labelled = stored.withColumn("label", F.col("distinct_id").startswith("b").cast("int"))
-    trees = models.gbt_fit(labelled, "label", rounds=5, depth=3)
+    forest = _forest(stored) if forest else None
+    trees = _trees(stored) if trees else None
     return stored, scoring.Models(base, shares, forest, trees, "v1")
 
 
+def _forest(stored: DataFrame) -> models.IsolationForest:
+    return models.iforest_fit(stored, params=ForestParams(trees=50))
+
+
+def _trees(stored: DataFrame) -> models.BoostedTrees:
+    labelled = stored.withColumn("label", F.col("distinct_id").startswith("b").cast("int"))
+    return models.gbt_fit(labelled, "label", rounds=5, depth=3)
+
+
+@query()
+def iforest_fit(t):
+    """The nodes of the fitted trees."""
+    stored, fitted = _training(t, trees=False)
+    return t.spark.createDataFrame(fitted.iforest.nodes)
+
+
+@query()
+def gbt_fit(t):
+    """How much each feature counts in the fitted trees."""
+    _, fitted = _training(t, forest=False)
+    weights = fitted.gbt.model.stages[-1].featureImportances
+    rows = [(name, float(weights[i])) for i, name in enumerate(fitted.gbt.features)]
+    return t.spark.createDataFrame(rows, "feature string, importance double")
+
+
 @query()
 def iforest_score(t):
-    stored, fitted = _training(t)
+    stored, fitted = _training(t, trees=False)
     return models.iforest_score(stored, fitted.iforest).select(*USER_DAY, "anomaly_score", "model_anomaly")
 
 
 @query()
 def gbt_score(t):
-    stored, fitted = _training(t)
+    stored, fitted = _training(t, forest=False)
     return models.gbt_score(stored, fitted.gbt).select(*USER_DAY, "xgb_bot_prob", "model_anomaly")
 
 
