@@ -93,3 +93,13 @@ def test_cluster_joins_split_a_hot_segment(eager_splitting, one_user):
     assert skew_joins(reports.c_segment_users(traffic, as_of="2024-01-01"), "ip_c") == 1
     fields = network.network_fields(network.network_base(traffic))
     assert skew_joins(network.network_new_catch(fields, 0.0), "ip_c_segment") == 1
+
+
+def test_cells_and_addresses_are_shuffled_once(eager_splitting, hot):
+    """The cells feed three readers and the addresses two; each is one scan and one shuffle."""
+    base = Baseline({h: 1 / 24 for h in range(24)}, 0.1, 0.1, 1.0, 1.0)
+    out = features.base_features(hot, base)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 5
+    assert plan.count("ReusedExchange") == 3

@@ -48,8 +48,9 @@ def attach(
     keys = list(keys)
     values = [c for c in right.columns if c not in (*left.columns, *keys)]
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    # not a literal: a literal salt would be folded out of the join keys
-    unsalted = F.pmod(F.hash(keys[0]), F.lit(1)).cast("long").alias("_salt")
+    # Always 0, but no literal, which would be folded out of the join keys; and never null, as a null
+    # check would move into the scan and keep both sides from sharing a shuffle.
+    unsalted = F.hash(keys[0]).bitwiseAND(F.lit(0)).cast("long").alias("_salt")
     if hot_rows is None and splits_skew(left.sparkSession):
         salt = unsalted if how == "inner" else _salt(no_key, spread).alias("_salt")
         salted = left.select(*left.columns, salt)

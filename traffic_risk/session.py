@@ -42,6 +42,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None) ->
         .config("spark.ui.showConsoleProgress", "false")
         # small inputs: keep partitions apart that a cluster would merge, or one core does it all
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        .config("spark.buffer.pageSize", "2m")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = configure(builder).getOrCreate()
