@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -65,3 +68,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="traffic_risk-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, whatever folder the driver runs in."""
+    context = spark.sparkContext
+    if getattr(context, "_shipped_traffic_risk", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="traffic_risk-")) / f"{package.name}-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._shipped_traffic_risk = True
