@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traffic_risk.llm import simhash
+from traffic_risk.llm import pii, secret_scan, simhash, spans
+from traffic_risk.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -27,3 +29,30 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, seed=42)
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def fresh_ledger(spark: SparkSession) -> secret_scan.BlobLedger:
+    return secret_scan.BlobLedger(spark, work_dir(spark, f"ledger-{uuid.uuid4().hex}"))
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs, fresh_ledger(spark))
+    return found.select(
+        "doc_id",
+        *[spans.count("spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        spans.digest("spans").alias("base_sha256"),
+        spans.text_of("spans").alias("spans"),
+    )
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[spans.count("spans", k).alias(f"n_{k}") for k in pii.KINDS],
+        spans.digest("spans").alias("base_sha256"),
+        spans.text_of("spans").alias("spans"),
+    )
