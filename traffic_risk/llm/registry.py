@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traffic_risk.llm import pii, secret_scan, simhash, spans
+from traffic_risk.llm import pii, quality, secret_scan, simhash, spans
 from traffic_risk.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         spans.digest("spans").alias("base_sha256"),
         spans.text_of("spans").alias("spans"),
     )
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    rated = quality.rate_quality(table(spark, sf_dir, "documents"), trusted)
+    return rated.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "score",
+    )
