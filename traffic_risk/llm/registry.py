@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traffic_risk.llm import pii, quality, secret_scan, simhash, spans
+from traffic_risk.llm import language, pii, quality, secret_scan, simhash, spans
 from traffic_risk.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "score",
     )
+
+
+def language_model(docs: DataFrame) -> language.LanguageModel:
+    """Learned from the documents that are not held out: CRC-32 of the id, modulo 4, is not 2."""
+    return language.fit(docs.where(~language.held_out("doc_id", 4, 2)), "text", "lang")
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language.held_out("doc_id", 4, 2).alias("held_out")
+    keys = "doc_id bigint, held_out boolean"
+    return language.identify(docs, language_model(docs), ["doc_id", held], keys)
