@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traffic_risk.llm import language, pii, quality, secret_scan, simhash, spans
+from traffic_risk.llm import language, pieces, pii, quality, secret_scan, simhash, spans
 from traffic_risk.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = language.held_out("doc_id", 4, 2).alias("held_out")
     keys = "doc_id bigint, held_out boolean"
     return language.identify(docs, language_model(docs), ["doc_id", held], keys)
+
+
+PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+"""Vocabulary file on the driver."""
+
+
+@query
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), PIECES, n=4)
