@@ -128,7 +128,10 @@ def fit_ratios(
     One number per bucket reaches the driver.
     """
     flagged = docs.select(F.col(id_col), F.col(text_col)).join(
-        trusted.select(F.col(id_col), F.lit(1).alias("_trusted")).where(F.col(id_col).isNotNull()).distinct(),
+        trusted.select(F.col(id_col), F.lit(1).alias("_trusted"))
+        .where(F.col(id_col).isNotNull())
+        .distinct()
+        .hint("merge"),  # trusted ids grow with the corpus: one plan at every size
         id_col,
         "left",
     )
