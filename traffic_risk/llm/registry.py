@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traffic_risk.llm import language, pieces, pii, quality, secret_scan, simhash, spans
+from traffic_risk.llm import language, ngram_lm, pieces, pii, quality, secret_scan, simhash, spans
 from traffic_risk.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 @query
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(table(spark, sf_dir, "documents"), PIECES, n=4)
+
+
+@query
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ngram_lm.score_texts(docs, language.held_out("doc_id", 7, 2))
