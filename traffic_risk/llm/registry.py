@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traffic_risk.llm import language, ngram_lm, pieces, pii, quality, secret_scan, simhash, spans
+from traffic_risk.llm import decontaminate, language, ngram_lm, pieces, pii, quality, secret_scan, simhash, spans
 from traffic_risk.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ngram_lm.score_texts(docs, language.held_out("doc_id", 7, 2))
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
