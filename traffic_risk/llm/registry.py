@@ -9,7 +9,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traffic_risk.llm import decontaminate, language, ngram_lm, pieces, pii, quality, secret_scan, simhash, spans
+from traffic_risk.llm import (
+    decontaminate,
+    language,
+    ngram_lm,
+    pieces,
+    pii,
+    quality,
+    secret_scan,
+    simhash,
+    spans,
+    substring_dedup,
+)
 from traffic_risk.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +111,9 @@ def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
