@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from traffic_risk.llm import (
     decontaminate,
     language,
+    main_text,
     ngram_lm,
     pieces,
     pii,
@@ -117,3 +118,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text.main_texts(pages, main_text.fit(pages, "html"))
