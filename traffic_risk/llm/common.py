@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from traffic_risk.session import ship_package, work_dir
 
@@ -22,7 +23,7 @@ def map_texts(
     keys: Sequence[str | Column],
     text: str | Column,
     fn: Callable[[pa.RecordBatch, list], Iterable[Sequence]],
-    schema: str,
+    schema: str | StructType,
 ) -> DataFrame:
     """``fn(keys, texts)`` over batches of rows; only the named columns reach Python.
 
@@ -32,7 +33,10 @@ def map_texts(
     ship_package(df.sparkSession)
     text = F.col(text) if isinstance(text, str) else text
     chosen = df.select(*keys, F.coalesce(text, F.lit("")).alias("_text"))
-    names = [part.strip().split(" ")[0] for part in _top_level(schema)]
+    if isinstance(schema, StructType):
+        names = schema.fieldNames()
+    else:
+        names = [part.strip().split(" ")[0] for part in _top_level(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

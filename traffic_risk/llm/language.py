@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from traffic_risk.llm.common import map_texts
 
@@ -246,12 +247,30 @@ def spans(text: str, model: LanguageModel) -> list[tuple[str, int, int]]:
 
 
 def identify(
-    docs: DataFrame, model: LanguageModel, keys: list[str | Column], schema: str, text_col: str = "text"
+    docs: DataFrame, model: LanguageModel, keys: list[str | Column], schema: str | StructType, text_col: str = "text"
 ) -> DataFrame:
-    """The key columns of every row (their types as ``schema``), ``lang_pred`` and ``score``."""
+    """The key columns of every row, ``lang_pred`` and ``score``.
+
+    ``schema`` has the key columns' types; as a struct type it has the last two columns, too, under any names.
+    """
 
     def run(batch: pa.RecordBatch, texts: list) -> list:
         found = [predict(t, model) for t in texts]
         return [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
 
-    return map_texts(docs, keys, text_col, run, f"{schema}, lang_pred string, score double")
+    if isinstance(schema, str):
+        schema = f"{schema}, lang_pred string, score double"
+    return map_texts(docs, keys, text_col, run, schema)
+
+
+def keep_identified(
+    docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.4
+) -> DataFrame:
+    """``docs`` without those in no language, or of which no language labels the share ``least`` of the letters.
+
+    A missing language becomes the predicted one.
+    """
+    schema = StructType([*docs.schema.fields]).add("_lang_pred", "string").add("_lang_share", "double")
+    found = identify(docs, model, list(docs.columns), schema, text_col)
+    kept = found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_share") >= least))
+    return kept.withColumn(lang_col, F.coalesce(lang_col, "_lang_pred")).select(*docs.columns)

@@ -18,6 +18,8 @@ columns are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -92,15 +94,90 @@ def simhash_groups(
     return attach(marked, named, ["fp"], [id_col], how="inner")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
+WIDE = 256
+"""Bits of a wide fingerprint: eight segments of 32."""
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
+    """The 256-bit fingerprint of one text."""
+    words = text.lower().split()
+    if not words:
+        return bytes(WIDE // 8)
+    size = min(shingle, len(words))
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1]
+    ends = ends[size - 1 :]
+    ones = np.zeros(WIDE, dtype=np.int64)
+    digest = xxhash.xxh3_128_digest
+    for at in range(0, len(starts), CHUNK):
+        a, b = starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist()
+        cut = [joined[i:j] for i, j in zip(a, b, strict=True)]
+        for half in (0, 1):
+            found = np.frombuffer(b"".join([digest(c, half) for c in cut]), dtype=np.uint8)
+            for k, column in enumerate(found.reshape(-1, 16).T):
+                first = 128 * half + 8 * k
+                ones[first : first + 8] += np.bincount(column, minlength=256) @ _BITS
+    return np.packbits(2 * ones > len(starts), bitorder="little").tobytes()
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """One row per document: ``id_col``, ``row`` (a hash of id and text) and ``group``, equal in a group of near copies.
+
+    Texts are linked if their 256-bit fingerprints differ in no more bits than two sets of shingles of this Jaccard
+    similarity are expected to. Candidates are pairs that differ in at most two bits of some 32-bit segment: both
+    sides enumerate the ball of radius one around each segment's value, and of the fingerprints that meet in a value,
+    neighbours in order, and each with the smallest, are compared over all bits.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    most = math.floor(WIDE * math.acos(cosine) / math.pi)
+
+    def run(keys: pa.RecordBatch, texts: list) -> list:
+        found = np.frombuffer(b"".join([wide_fingerprint(t.encode("utf-8", "surrogatepass"), shingle) for t in texts]), dtype="<i8")
+        return [*keys.columns[:2], *[pa.array(np.ascontiguousarray(c)) for c in found.reshape(-1, 4).T]]
+
+    row = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("row")
+    parts = ["f0", "f1", "f2", "f3"]
+    id_type = docs.schema[id_col].dataType.simpleString()
+    schema = f"{id_col} {id_type}, row bigint, " + ", ".join(f"{p} bigint" for p in parts)
+    marked = written(
+        map_texts(docs, [id_col, row], text_col, run, schema).withColumn("fp", F.xxhash64(*parts)), "fingerprints"
+    )
+    distinct = marked.select("fp", *parts).dropDuplicates(["fp"])
+    met = []
+    for segment in range(WIDE // 32):
+        value = F.shiftrightunsigned(parts[segment // 2], 32 * (segment % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+        numbered = value.bitwiseOR(F.lit(segment << 32))
+        met += [numbered, *[numbered.bitwiseXOR(F.lit(1 << bit)) for bit in range(32)]]
+    table = distinct.select("fp", F.explode(F.array(*met)).alias("value"))
+    order = Window.partitionBy("value").orderBy("fp")
+    near = table.select("fp", F.lag("fp").over(order).alias("last"), F.first("fp").over(order).alias("hub"))
+    pairs = (
+        near.where("last IS NOT NULL")
+        .select("fp", F.explode(F.array_distinct(F.array("last", "hub"))).alias("other"))
+        .distinct()
+    )
+    others = distinct.select(F.col("fp").alias("other"), *[F.col(p).alias(f"o{p}") for p in parts])
+    both = attach(attach(pairs, distinct, ["fp"], ["other"], how="inner"), others, ["other"], ["fp"], how="inner")
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"o{p}"))) for p in parts), F.lit(0))
+    stars = components(both.where(apart <= most), "fp", "other")
+    rooted = attach(marked.select(id_col, "row", "fp"), stars.withColumnRenamed("node", "fp"), ["fp"], ["row"])
+    return rooted.select(id_col, "row", F.coalesce("root", "fp").alias("group"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one with the smallest id, rows without id last.
 
-    Of rows that share that id one stays, the first by all its columns; rows without an id count as one id.
+    Of rows with the same id and text one stays.
     """
-    groups = simhash_groups(docs, id_col, text_col, shingle)
-    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    left = docs.join(keep, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    return left.dropDuplicates([id_col])
+    groups = similar_groups(docs, id_col, text_col)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row")).alias("first")
+    keep = groups.groupBy("group").agg(first).select(F.col("first.row").alias("_row")).hint("merge")
+    row = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    left = docs.withColumn("_row", row).join(keep, "_row", "left_semi")
+    return left.dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def _signed(n: int) -> int:
