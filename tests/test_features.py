@@ -142,12 +142,12 @@ def test_final_risk_skips_nulls(spark):
     assert row["env_risk"] is None and row["final_time_risk"] == pytest.approx(math.log(2))
 
 
-@pytest.mark.parametrize("hot_rows", [1, 2])
-def test_salted_joins_give_the_same_features(inputs, hot_rows):
+@pytest.mark.parametrize("salts", [1, 2])
+def test_salted_joins_give_the_same_features(inputs, salts):
     events = inputs.all_pageviews
     fitted = base.fit_baseline(events)
     plain = f.base_features(events, fitted)
-    assert rows_of(plain) == rows_of(f.base_features(events, fitted, hot_rows=hot_rows))
+    assert rows_of(plain) == rows_of(f.base_features(events, fitted, salts=salts))
 
 
 def test_all_features_are_there_and_finite_z(inputs):

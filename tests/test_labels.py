@@ -92,12 +92,12 @@ def test_manual_rule_covers_the_whole_user_day(spark, events):
     assert {(r["distinct_id"], r["final_label"]) for r in t.rows().collect()} == {("u1", True), ("v", False)}
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1])
-def test_events_keep_their_number_when_labelled(inputs, hot_rows):
+@pytest.mark.parametrize("salts", [None, 1])
+def test_events_keep_their_number_when_labelled(inputs, salts):
     t = labeling.label_traffic(inputs.pageviews, inputs.iforest, inputs.xgb)
-    rows = t.rows(hot_rows)
+    rows = t.rows(salts)
     assert rows.count() == 869
-    scored = labeling.scored_events(inputs.pageviews, inputs.iforest, inputs.xgb, hot_rows)
+    scored = labeling.scored_events(inputs.pageviews, inputs.iforest, inputs.xgb, salts)
     assert scored.count() == 869
 
 
@@ -220,12 +220,12 @@ def test_network_fields_are_kept_derived_or_refused(spark):
         network.network_fields(rows.drop("os"))
 
 
-@pytest.mark.parametrize("hot_rows", [1, 5])
-def test_salted_catch_is_the_same(inputs, hot_rows):
+@pytest.mark.parametrize("salts", [1, 5])
+def test_salted_catch_is_the_same(inputs, salts):
     t = labeling.label_traffic(inputs.pageviews, inputs.iforest, inputs.xgb)
     fields = network.network_fields(network.network_base(t)).cache()
     plain = rows_of(network.network_new_catch(fields, 0.01, min_users=2))
-    assert plain and plain == rows_of(network.network_new_catch(fields, 0.01, 2, hot_rows))
+    assert plain and plain == rows_of(network.network_new_catch(fields, 0.01, 2, salts))
 
 
 # ------------------------------------------------------------------ red team

@@ -165,6 +165,21 @@ def test_forest_samples_are_bounded(spark):
     assert len(sizes) == 40 and max(sizes) < 2 * 64 and min(sizes) > 20
 
 
+@pytest.mark.parametrize("n", [40, 2_000, 2_600, 20_000])
+def test_one_law_of_sampling(spark, n):
+    """Draws per tree and per row follow the same binomial at every size of the table."""
+    params = ForestParams(trees=20, sample_size=128)
+    rows = spark.range(n).select(F.lit(day(1)).alias("date"), F.col("id").cast("string").alias("distinct_id"), F.rand(1).alias("x"))
+    drawn = models.draw_samples(rows, ["x"], params).select("distinct_id", "tree").collect()
+    chance = min(1.0, 128 / n)
+    assert len(drawn) == len({tuple(r) for r in drawn})
+    assert abs(len(drawn) - 20 * n * chance) <= 5 * np.sqrt(20 * n * chance * (1 - chance)) + 1e-9
+    twice = len({r["distinct_id"] for r in drawn if sum(q["distinct_id"] == r["distinct_id"] for q in drawn) > 1}) if n < 3000 else None
+    if twice is not None:
+        want = n * (1 - (1 - chance) ** 20 - 20 * chance * (1 - chance) ** 19)
+        assert abs(twice - want) <= 5 * np.sqrt(want) + 1e-9
+
+
 def test_boosted_trees(spark, tmp_path):
     fitted = models.gbt_fit(planted(spark, 2), "label", ["x", "y", "z"], rounds=5, depth=2)
     scored = models.gbt_score(planted(spark, 2), fitted)
@@ -218,7 +233,7 @@ def plain(df):
 def test_store_build_rescore_and_backfill(spark, inputs, fitted, tmp_path):
     events = inputs.all_pageviews
     tables = scoring.Store(str(tmp_path / "store"))
-    store.append_batch(events, tables.raw, 0)
+    store.append_batch(events, tables.raw, "load")
     scoring.build_store(spark, tables, fitted)
     columns = ["date", "distinct_id", *FEATURES, "model_anomaly"]
     built = store.read_table(spark, tables.iforest).select(*columns)
@@ -280,3 +295,69 @@ def test_replaying_a_batch_changes_nothing(spark, events, tmp_path):
     ingest.ingest_batch(events({"date": day(1)}), 8, raw)
     per_day = store.read_batches(spark, raw).groupBy("date").count()
     assert rows_of(per_day) == [(day(1), 2), (day(2), 1)]
+
+
+def test_ingests_keep_out_of_each_others_way(spark, events, tmp_path):
+    """Initial load, two sources and a new checkpoint: the rows add up."""
+    raw = str(tmp_path / "raw")
+    store.append_batch(events({"date": day(1)}, {"date": day(1)}, {"date": day(2)}), raw, "load")
+    late, more = events({"date": day(1)}), events({"date": day(2)})
+
+    def run(name, rows, checkpoint):
+        source = str(tmp_path / f"in-{name}")
+        rows.coalesce(1).write.mode("append").parquet(source)
+        ingest.stream_ingest_rescore(
+            spark, source, rows.schema, raw, str(tmp_path / checkpoint), lambda df: df, name=name
+        ).awaitTermination()
+
+    run("a", late, "state-a")
+    run("b", more, "state-b")
+    assert rows_of(store.read_batches(spark, raw).groupBy("date").count()) == [(day(1), 3), (day(2), 2)]
+    with pytest.raises(ValueError, match="state-a"):
+        run("a", late, "state-lost")
+    run("a", more, "state-a")
+    assert store.read_batches(spark, raw).count() == 7  # with the file the refused run left to be read
+
+
+def test_replay_after_a_backfill_does_not_double(spark, events, tmp_path):
+    raw = str(tmp_path / "raw")
+    batch = events({"date": day(1), "distinct_id": "a"}, {"date": day(2), "distinct_id": "c"})
+    assert store.append_batch(batch, raw, "s", 5) == ["2024-01-01", "2024-01-02"]
+    store.replace_batches(events({"date": day(1), "distinct_id": "a"}, {"date": day(1), "distinct_id": "b"}), raw, [day(1)])
+    assert store.append_batch(batch, raw, "s", 5) == ["2024-01-02"]
+    store.append_batch(events({"date": day(1), "distinct_id": "d"}), raw, "s", 6)
+    got = rows_of(store.read_batches(spark, raw).select("date", "distinct_id"))
+    assert got == [(day(1), "a"), (day(1), "b"), (day(1), "d"), (day(2), "c")]
+    with pytest.raises(ValueError, match="2024-01-03"):
+        store.replace_batches(events({"date": day(2)}), raw, [day(2), day(3)])
+    assert store.read_batches(spark, raw).count() == 4
+
+
+def test_writes_evaluate_their_source_once(spark, events, tmp_path):
+    rows = events({"date": day(1)}, {"date": day(2)})
+    for write in (
+        lambda df: store.append_batch(df, str(tmp_path / "a"), "x"),
+        lambda df: store.replace_batches(df, str(tmp_path / "b"), [day(1), day(2)]),
+        lambda df: store.replace_dates_on_disk(df, str(tmp_path / "c"), [day(1), day(2)]),
+        lambda df: ingest.ingest_batch(df, 1, str(tmp_path / "d"), lambda days: None),
+    ):
+        seen = spark.sparkContext.accumulator(0)
+
+        @F.pandas_udf("string")
+        def counted(k, seen=seen):
+            seen.add(len(k))
+            return k
+
+        write(rows.withColumn("distinct_id", counted("distinct_id")))
+        assert seen.value == 2
+
+
+def test_staleness_of_a_store(spark, inputs, fitted, tmp_path):
+    tables = scoring.Store(str(tmp_path / "store"))
+    events = inputs.all_pageviews.where(F.col("date") < F.lit(day(6)))
+    store.append_batch(events, tables.raw, "load")
+    assert len(scoring.stale_store_dates(spark, tables, fitted)) == 5
+    scoring.build_store(spark, tables, fitted)
+    assert scoring.stale_store_dates(spark, tables, fitted) == []
+    store.append_batch(events.where(F.col("date") == F.lit(day(3))).limit(1), tables.raw, "late")
+    assert scoring.stale_store_dates(spark, tables, fitted) == ["2024-01-03"]

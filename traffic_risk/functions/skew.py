@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-"""A key with at least this many rows on the big side counts as hot."""
-SALTS = 4096
+SALTS = 16
+"""Parts a key is split into by hand where adaptive execution does not split it."""
+SPREAD = 4096
+"""Parts that rows without a key are spread over."""
 
 
 def splits_skew(spark: SparkSession) -> bool:
@@ -24,8 +25,7 @@ def attach(
     right: DataFrame,
     keys: Sequence[str],
     spread: Sequence[str],
-    weight: str | None = None,
-    hot_rows: int | None = None,
+    salts: int | None = None,
     how: str = "left",
 ) -> DataFrame:
     """Left (or inner) join of ``left`` with ``right``, which has one row per key.
@@ -38,41 +38,27 @@ def attach(
     and the hot key would stay in one task. ``right`` has one row per key, so repeating its partition
     for every split is cheap, and all uses shuffle by other keys afterwards or write their result.
 
-    Where adaptive skew handling is off, or ``hot_rows`` is given, hot keys are split by hand.
-    ``weight`` names the column of ``right`` with the number of rows of ``left`` per key (an upper
-    bound does; it is counted when there is none). Hot keys are answered by a broadcast:
-    there are at most ``rows(left) / hot_rows`` of them, which bounds its size (a trillion rows make
-    half a million entries). They are salted like null keys in the shuffle join, so no key
-    there has more than ``hot_rows`` rows.
+    Where adaptive skew handling is off, or ``salts`` is given, every key is split by hand: rows of ``left`` take one of
+    ``salts`` numbers by a hash of the ``spread`` columns, rows of ``right`` are repeated for each of them.
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in (*left.columns, *keys)]
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     # Always 0, but no literal, which would be folded out of the join keys; and never null, as a null
     # check would move into the scan and keep both sides from sharing a shuffle.
-    unsalted = F.hash(keys[0]).bitwiseAND(F.lit(0)).cast("long").alias("_salt")
-    if hot_rows is None and splits_skew(left.sparkSession):
-        salt = unsalted if how == "inner" else _salt(no_key, spread).alias("_salt")
-        salted = left.select(*left.columns, salt)
-        return salted.join(right.select(*keys, unsalted, *values), [*keys, "_salt"], how).select(
-            *left.columns, *values
-        )
-    if weight is None:
-        weight = "_weight"
-        right = right.join(left.groupBy(*keys).agg(F.count("*").alias(weight)), keys)
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    packed = F.struct(F.lit(True).alias("_found"), *values)
-    hot = right.where(F.col(weight) >= limit).select(*keys, packed.alias("_hot"))
-    cold = right.where(F.col(weight) < limit).select(*keys, unsalted, packed.alias("_cold"))
-    answered = left.join(F.broadcast(hot), keys, "left")
-    salted = answered.withColumn("_salt", _salt(no_key | F.col("_hot").isNotNull(), spread))
-    out = salted.join(cold, [*keys, "_salt"], "left")
-    found = F.coalesce(F.col("_hot"), F.col("_cold"))
-    if how == "inner":
-        out = out.where(found.isNotNull())
-    return out.select(*left.columns, *[found[v].alias(v) for v in values])
+    unsalted = F.hash(keys[0]).bitwiseAND(F.lit(0)).cast("long")
+    if salts is None and splits_skew(left.sparkSession):
+        here, there = unsalted, unsalted
+    else:
+        n = SALTS if salts is None else salts
+        numbers = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+        here, there = _hashed(spread, n), F.explode(numbers)
+    if how != "inner":
+        here = F.when(no_key, 1 + _hashed(spread, SPREAD)).otherwise(here)
+    salted = left.select(*left.columns, here.alias("_salt"))
+    keyed = right.select(*keys, *values, there.alias("_salt")).select(*keys, "_salt", *values)
+    return salted.join(keyed, [*keys, "_salt"], how).select(*left.columns, *values)
 
 
-def _salt(spread_it: Column, spread: Sequence[str]) -> Column:
-    several = 1 + F.pmod(F.xxhash64(*spread), F.lit(SALTS).cast("long"))
-    return F.when(spread_it, several).otherwise(F.lit(0).cast("long"))
+def _hashed(spread: Sequence[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*spread), F.lit(parts).cast("long"))

@@ -116,10 +116,10 @@ def block_table(events: DataFrame, by_cell: DataFrame | None = None) -> DataFram
     return suspicious_blocks(block_ratios(block_growth(block_stats(events, by_cell))))
 
 
-def suspicious_events(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def suspicious_events(events: DataFrame, salts: int | None = None) -> DataFrame:
     """Events with the flag of their block; an event without a block is not suspicious."""
     flags = block_table(events).select(*BLOCK, "block_pv", "is_suspicious_block")
-    out = attach(events, flags, BLOCK, USER_DAY, "block_pv", hot_rows)
+    out = attach(events, flags, BLOCK, USER_DAY, salts)
     return out.withColumn(
         "is_suspicious_block", F.coalesce(F.col("is_suspicious_block"), F.lit(0))
     ).drop("block_pv")
@@ -165,7 +165,7 @@ def c_segment_zscore(events: DataFrame, baseline: Baseline) -> DataFrame:
 
 
 def user_environment(
-    events: DataFrame, baseline: Baseline, hot_rows: int | None = None
+    events: DataFrame, baseline: Baseline, salts: int | None = None
 ) -> DataFrame:
     """Largest shared-address count and C-segment z-score of each user-day.
 
@@ -174,8 +174,8 @@ def user_environment(
     addresses = user_addresses(events)
     by_ip = exact_ip_users(events, addresses)
     by_segment = _segment_counts(addresses)
-    pairs = attach(addresses, by_ip, ("date", "ip"), ("distinct_id",), "exact_ip_uv", hot_rows)
-    pairs = attach(pairs, by_segment, ("date", "ip_c_segment"), ("distinct_id", "ip"), "pairs", hot_rows)
+    pairs = attach(addresses, by_ip, ("date", "ip"), ("distinct_id",), salts)
+    pairs = attach(pairs, by_segment, ("date", "ip_c_segment"), ("distinct_id", "ip"), salts)
     z = _zscore(F.col("max_cnt"), baseline)
     return (
         pairs.groupBy(*USER_DAY)
@@ -239,7 +239,7 @@ def relative_hour_risk(profile: DataFrame, baseline: Baseline) -> DataFrame:
 
 
 def user_blocks(
-    events: DataFrame, by_cell: DataFrame | None = None, hot_rows: int | None = None
+    events: DataFrame, by_cell: DataFrame | None = None, salts: int | None = None
 ) -> DataFrame:
     """User-day roll-up of the blocks the user touched, weighted by its views."""
     by_cell = cells(events) if by_cell is None else by_cell
@@ -253,7 +253,7 @@ def user_blocks(
         "target_direct_ratio",
         "is_suspicious_block",
     )
-    placed = attach(by_cell, blocks, BLOCK, ("distinct_id",), "block_uv", hot_rows)
+    placed = attach(by_cell, blocks, BLOCK, ("distinct_id",), salts)
     pv = F.col("pv")
     in_block = F.when(F.col("block_pv").isNotNull(), pv)
     return placed.groupBy(*USER_DAY).agg(
@@ -292,7 +292,7 @@ def _cluster_sizes(signatures: DataFrame) -> DataFrame:
     )
 
 
-def clone_clusters(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def clone_clusters(events: DataFrame, salts: int | None = None) -> DataFrame:
     """User-days with the number of user-days of the same day and signature.
 
     ``ip_c`` is the smallest C segment of the user-day (the reference carries whichever came first).
@@ -304,8 +304,7 @@ def clone_clusters(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
         _cluster_sizes(signatures),
         SIGNATURE,
         ("distinct_id",),
-        "cluster_size",
-        hot_rows,
+        salts,
     )
 
 
@@ -373,13 +372,13 @@ def apply_rules(features: DataFrame) -> DataFrame:
 def base_features(
     events: DataFrame,
     baseline: Baseline,
-    hot_rows: int | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """All behaviour features without the resolution z-score, one row per user-day."""
     by_cell = cells(events)
-    blocks = user_blocks(events, by_cell, hot_rows)
+    blocks = user_blocks(events, by_cell, salts)
     hours = hour_profile(events, baseline)
-    environment = user_environment(events, baseline, hot_rows)
+    environment = user_environment(events, baseline, salts)
     joined = (
         blocks.join(hours, list(USER_DAY))
         .join(environment, list(USER_DAY))
@@ -388,7 +387,7 @@ def base_features(
         .drop("hour_sum", "hour_pv")
     )
     sizes = _cluster_sizes(user_signature(events, by_cell))
-    sized = attach(joined, sizes, SIGNATURE, ("distinct_id",), "cluster_size", hot_rows)
+    sized = attach(joined, sizes, SIGNATURE, ("distinct_id",), salts)
     return apply_rules(risk_scores(sized.drop("hour_bin", "is_direct", "url_nunique")))
 
 
@@ -397,14 +396,14 @@ def user_day_features(
     baseline: Baseline,
     resolution=None,
     leave_one_day_out: bool = False,
-    hot_rows: int | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """All 21 features. Without a resolution baseline the z-score column is 0."""
     from traffic_risk.operators.resolution import attach_resolution_feature
 
-    out = base_features(events, baseline, hot_rows)
+    out = base_features(events, baseline, salts)
     if resolution is None:
         out = out.withColumn(RESOLUTION_Z, F.lit(0.0))
     else:
-        out = attach_resolution_feature(out, events, resolution, leave_one_day_out, hot_rows=hot_rows)
+        out = attach_resolution_feature(out, events, resolution, leave_one_day_out, salts=salts)
     return select_features(out, FEATURES, strict=True)

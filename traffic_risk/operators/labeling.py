@@ -71,12 +71,12 @@ def manual_rule_users(events: DataFrame) -> DataFrame:
 
 
 def scored_events(
-    events: DataFrame, iforest: DataFrame, gbt: DataFrame, hot_rows: int | None = None
+    events: DataFrame, iforest: DataFrame, gbt: DataFrame, salts: int | None = None
 ) -> DataFrame:
     """Events whose user-day has both scores, with the scores."""
     scores = user_day_scores(iforest, gbt)
     known = scores.join(_user_day_counts(events).drop("manual"), list(USER_DAY))
-    return attach(events, known, USER_DAY, events.columns, "n_events", hot_rows, "inner").drop("n_events")
+    return attach(events, known, USER_DAY, events.columns, salts, "inner").drop("n_events")
 
 
 def safe_probability(raw: str = "xgb_bot_prob_raw", anomaly: str = "xgb_model_anomaly") -> Column:
@@ -167,10 +167,10 @@ class LabeledTraffic:
     events: DataFrame
     user_days: DataFrame
 
-    def rows(self, hot_rows: int | None = None) -> DataFrame:
+    def rows(self, salts: int | None = None) -> DataFrame:
         """Labelled events: every event of a labelled user-day, with display columns."""
         events = self.events
-        out = attach(events, self.user_days, USER_DAY, events.columns, "n_events", hot_rows, "inner")
+        out = attach(events, self.user_days, USER_DAY, events.columns, salts, "inner")
         return out.drop("n_events").withColumns(
             {
                 "province_display": blank_to_unknown("province"),
@@ -186,7 +186,7 @@ class LabeledTraffic:
         times the dimension values of a user-day.
         """
         pairs = self.events.select(*USER_DAY, *[c.alias(n) for n, c in dims.items()]).distinct()
-        return attach(pairs, self.user_days, USER_DAY, list(dims), "n_events", how="inner")
+        return attach(pairs, self.user_days, USER_DAY, list(dims), how="inner")
 
     def latest(self, as_of=None) -> LabeledTraffic:
         """The last labelled day, or a given one (which then prunes partitions when planning)."""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from traffic_risk.columns import FEATURES, USER_DAY
 from traffic_risk.functions import exact_quantiles
 from traffic_risk.params import ForestParams
+from traffic_risk.session import ship_package
 from traffic_risk.sources.store import require_columns
 
 EULER = 0.5772156649015329
@@ -68,24 +69,28 @@ def _model_input(df: DataFrame, features: Sequence[str]) -> list[Column]:
 
 
 def draw_samples(df: DataFrame, features: Sequence[str], params: ForestParams) -> DataFrame:
-    """About ``sample_size`` rows per tree, chosen by a hash of the user-day.
+    """``sample_size`` rows per tree on average, chosen by hashes of the user-day.
 
-    With enough rows every tree gets its own; on small tables trees share rows.
+    Every pair of a row and a tree is drawn with the same chance, whatever the size of the table. How many
+    trees a row goes to is binomial and comes from one hash; only rows that go to any pick their trees.
     """
     n = df.count()
-    rate = params.trees * params.sample_size / max(n, 1)
-    rows = df.select(*USER_DAY, *_model_input(df, features))
-    seed = F.lit(params.seed)
-    if rate <= 1:
-        drawn = rows.where(_uniform(*USER_DAY, seed) < rate)
-        return drawn.withColumn(
-            "tree", F.pmod(F.xxhash64(*USER_DAY, seed + 1), F.lit(params.trees)).cast("int")
-        )
     chance = min(1.0, params.sample_size / max(n, 1))
-    trees = F.filter(
-        F.sequence(F.lit(0), F.lit(params.trees - 1)), lambda t: _uniform(*USER_DAY, seed, t) < chance
-    )
-    return rows.withColumn("tree", F.explode(trees))
+    trees = params.trees
+    below, steps = 0.0, []
+    for k in range(trees):
+        below += math.comb(trees, k) * chance**k * (1 - chance) ** (trees - k)
+        steps.append(below)
+        if below >= 1.0 - 2.0**-53:
+            break
+    seed = F.lit(params.seed)
+    rows = df.select(*USER_DAY, *_model_input(df, features), _uniform(*USER_DAY, seed).alias("_u"))
+    drawn = rows.where(F.col("_u") >= steps[0])
+    limits = F.array(*[F.lit(s) for s in steps])
+    times = F.size(F.filter(limits, lambda limit: limit <= F.col("_u")))
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    order = F.array_sort(F.transform(every, lambda t: F.struct(F.xxhash64(*USER_DAY, seed + 1, t).alias("h"), t.alias("t"))))
+    return drawn.withColumn("tree", F.explode(F.transform(F.slice(order, 1, times), lambda s: s["t"]))).drop("_u")
 
 
 def average_path(n: int) -> float:
@@ -106,6 +111,7 @@ def _grow(sample: pd.DataFrame, features: list[str], limit: int, seed: int) -> p
     x = sample[features].to_numpy(float)
     tree = int(sample["tree"].iloc[0])
     rng = np.random.default_rng([seed, tree])
+    unit = max(average_path(len(x)), 1.0)  # of the rows this tree has seen
     nodes: list[list] = []
     todo = [(np.arange(len(x)), 0, -1, 0)]
     while todo:
@@ -116,10 +122,12 @@ def _grow(sample: pd.DataFrame, features: list[str], limit: int, seed: int) -> p
         low, high = x[rows].min(axis=0), x[rows].max(axis=0)
         usable = np.flatnonzero(high > low)
         if depth >= limit or len(rows) <= 1 or len(usable) == 0:
-            nodes.append([tree, me, -1, 0.0, me, me, depth + average_path(len(rows))])
+            nodes.append([tree, me, -1, 0.0, me, me, (depth + average_path(len(rows))) / unit])
             continue
         f = int(rng.choice(usable))
         cut = float(rng.uniform(low[f], high[f]))
+        if cut >= high[f]:  # neighbouring floats: rounding must not leave a side empty
+            cut = float(low[f])
         nodes.append([tree, me, f, cut, -1, -1, 0.0])
         below = x[rows, f] <= cut
         todo.append((rows[~below], depth + 1, me, 1))
@@ -129,11 +137,13 @@ def _grow(sample: pd.DataFrame, features: list[str], limit: int, seed: int) -> p
 
 @dataclass(frozen=True)
 class IsolationForest:
-    """Fitted forest: at most trees x (2 x sample_size - 1) nodes, about 3 MB with the defaults."""
+    """Fitted forest: at most trees x (2 x sample_size - 1) nodes, about 3 MB with the defaults.
+
+    ``path`` of a leaf is its depth in units of the mean path length for the rows its tree was grown on.
+    """
 
     features: tuple[str, ...]
     nodes: pd.DataFrame
-    scale: float
     threshold: float = 0.5
 
     def _arrays(self):
@@ -153,11 +163,12 @@ class IsolationForest:
     def score(self, df: DataFrame, name: str = "anomaly_score") -> DataFrame:
         """Anomaly score in (0, 1); the trees travel as a broadcast of fixed size."""
         spark = df.sparkSession
-        trees = spark.sparkContext.broadcast((*self._arrays(), self.scale))
+        ship_package(spark)
+        trees = spark.sparkContext.broadcast(self._arrays())
 
         @F.pandas_udf("double")
         def forest(*columns: pd.Series) -> pd.Series:
-            roots, feature, cut, left, right, path, scale = trees.value
+            roots, feature, cut, left, right, path = trees.value
             x = np.column_stack([c.to_numpy(float) for c in columns])
             total = np.empty(len(x))
             for at in range(0, len(x), 4096):
@@ -172,7 +183,7 @@ class IsolationForest:
                     goes_left = part[row, np.maximum(f, 0)] <= cut[node]
                     node = np.where(inner, np.where(goes_left, left[node], right[node]), node)
                 total[at : at + 4096] = path[node].mean(axis=1)
-            return pd.Series(np.power(2.0, -total / scale))
+            return pd.Series(np.power(2.0, -total))
 
         return df.withColumn(name, forest(*_model_input(df, self.features)))
 
@@ -183,8 +194,8 @@ class IsolationForest:
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame(self.nodes, _NODE).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-        head = [(list(self.features), self.scale, self.threshold)]
-        spark.createDataFrame(head, "features array<string>, scale double, threshold double").coalesce(
+        head = [(list(self.features), self.threshold)]
+        spark.createDataFrame(head, "features array<string>, threshold double").coalesce(
             1
         ).write.mode("overwrite").parquet(f"{path}/head")
 
@@ -192,7 +203,7 @@ class IsolationForest:
     def load(cls, spark: SparkSession, path: str) -> IsolationForest:
         head = spark.read.parquet(f"{path}/head").first()
         nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"])
-        return cls(tuple(head["features"]), nodes.reset_index(drop=True), head["scale"], head["threshold"])
+        return cls(tuple(head["features"]), nodes.reset_index(drop=True), head["threshold"])
 
 
 def iforest_fit(
@@ -207,17 +218,17 @@ def iforest_fit(
     def grow(sample: pd.DataFrame) -> pd.DataFrame:
         return _grow(sample, names, limit, seed)
 
+    ship_package(df.sparkSession)
     samples = draw_samples(df, names, params)
     nodes = samples.groupBy("tree").applyInPandas(grow, _NODE).toPandas()
     nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
     if nodes.empty:
         raise ValueError("no rows to fit an isolation forest on")
-    scale = max(average_path(params.sample_size), 1.0)
-    forest = IsolationForest(tuple(names), nodes, scale)
+    forest = IsolationForest(tuple(names), nodes)
     cut = exact_quantiles(
         forest.score(df), [], "anomaly_score", {"cut": 1.0 - params.contamination}, 0.0, 1.0
     ).first()["cut"]
-    return IsolationForest(forest.features, forest.nodes, forest.scale, cut)
+    return IsolationForest(forest.features, forest.nodes, cut)
 
 
 def iforest_score(df: DataFrame, model: IsolationForest) -> DataFrame:

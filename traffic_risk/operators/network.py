@@ -138,7 +138,7 @@ def network_new_catch(
     fields: DataFrame,
     ratio: float = CONTAMINATION_OFF,
     min_users: int = MIN_USERS,
-    hot_rows: int | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """Unblocked users of contaminated clusters, once per day."""
     dirty = cluster_contamination(fields, min_users).where(F.col("ratio") >= F.lit(float(ratio)))
@@ -149,8 +149,7 @@ def network_new_catch(
             dirty.select(*CLUSTER, "clean_users"),
             CLUSTER,
             ["distinct_id"],
-            "clean_users",
-            hot_rows,
+            salts,
             "inner",
         )
         .select(*USER_DAY)
@@ -158,7 +157,7 @@ def network_new_catch(
     )
 
 
-def network_roi(base: DataFrame, ratio: float = CONTAMINATION_OFF, hot_rows: int | None = None) -> DataFrame:
+def network_roi(base: DataFrame, ratio: float = CONTAMINATION_OFF, salts: int | None = None) -> DataFrame:
     """Per day: users, blocked, eligible, newly caught and their share of all users in percent."""
     rows, usable = _with_keys(base)
     daily = (  # totals and eligible users in one pass
@@ -176,7 +175,7 @@ def network_roi(base: DataFrame, ratio: float = CONTAMINATION_OFF, hot_rows: int
         )
     )
     caught = (
-        network_new_catch(rows.where(usable), ratio, hot_rows=hot_rows)
+        network_new_catch(rows.where(usable), ratio, salts=salts)
         .groupBy("date")
         .agg(F.count("*").alias("new_catch"))
     )

@@ -248,7 +248,7 @@ def first_day_distribution(traffic: LabeledTraffic, blocked: bool, as_of=None) -
     )
 
 
-def c_segment_users(traffic: LabeledTraffic, as_of=None, hot_rows: int | None = None) -> DataFrame:
+def c_segment_users(traffic: LabeledTraffic, as_of=None, salts: int | None = None) -> DataFrame:
     """For each user of the latest day, the user count of its most populated C segment."""
     pairs = (
         traffic.latest(as_of)
@@ -258,7 +258,7 @@ def c_segment_users(traffic: LabeledTraffic, as_of=None, hot_rows: int | None =
     )
     sizes = pairs.groupBy("ip_c").agg(F.count("*").alias("c_segment_user_count"))
     return (
-        attach(pairs, sizes, ["ip_c"], ["distinct_id"], "c_segment_user_count", hot_rows, "inner")
+        attach(pairs, sizes, ["ip_c"], ["distinct_id"], salts, "inner")
         .groupBy("distinct_id", "user_type")
         .agg(F.max("c_segment_user_count").alias("c_segment_user_count"))
     )
@@ -300,7 +300,7 @@ def title_url_uv_pv(
     )
     wanted = day.user_days.where(F.col("final_label") == F.lit(blocked)).select(*USER_DAY, "n_events")
     return (
-        attach(views, wanted, USER_DAY, ["title", "url"], "n_events", how="inner")
+        attach(views, wanted, USER_DAY, ["title", "url"], how="inner")
         .groupBy("title", "url")
         .agg(F.count("*").alias("uv"), F.sum("pv").alias("pv"))
         .orderBy(F.col("pv").desc(), F.col("uv").desc(), "title", "url")

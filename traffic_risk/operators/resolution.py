@@ -108,7 +108,7 @@ def _bucket(resolution: Column, is_common: Column) -> Column:
     return F.when(resolution.isNotNull(), F.when(is_common, resolution).otherwise(F.lit(OTHER)))
 
 
-def resolution_bucket(main: DataFrame, vocab: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def resolution_bucket(main: DataFrame, vocab: DataFrame, salts: int | None = None) -> DataFrame:
     """Common resolution -> itself, rare -> one bucket, none -> null."""
     known = (
         main.groupBy("main_resolution_canonical")
@@ -116,7 +116,7 @@ def resolution_bucket(main: DataFrame, vocab: DataFrame, hot_rows: int | None =
         .join(vocab.select(F.col("resolution").alias("main_resolution_canonical")), "main_resolution_canonical")
         .withColumn("common", F.lit(True))
     )
-    out = attach(main, known, ["main_resolution_canonical"], USER_DAY, "n", hot_rows)
+    out = attach(main, known, ["main_resolution_canonical"], USER_DAY, salts)
     r = F.col("main_resolution_canonical")
     return out.select(*main.columns, _bucket(r, F.col("common").isNotNull()).alias("resolution_bucket"))
 
@@ -350,7 +350,7 @@ def attach_resolution_feature(
     events: DataFrame,
     baseline: ResolutionBaseline,
     leave_one_day_out: bool = False,
-    hot_rows: int | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """Give every user-day the z-score of its bucket; without a resolution it is 0."""
     main = main_resolution(events)
@@ -358,5 +358,5 @@ def attach_resolution_feature(
         "date", F.col("resolution").alias("main_resolution_canonical"), "n", F.col(RESOLUTION_Z).alias("z")
     )
     out = user_days.join(main, list(USER_DAY), "left")
-    out = attach(out, scores, ("date", "main_resolution_canonical"), ("distinct_id",), "n", hot_rows)
+    out = attach(out, scores, ("date", "main_resolution_canonical"), ("distinct_id",), salts)
     return out.select(*user_days.columns, F.coalesce("z", F.lit(0.0)).alias(RESOLUTION_Z))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def refresh_cohort_store(
 
     Days of the range without visits are cleared.
     """
-    spark = visits.sparkSession
-    days = [r[0] for r in calendar(spark, start, end).select(F.col("date").cast("string")).collect()]
+    first, last = date.fromisoformat(str(start)), date.fromisoformat(str(end))
+    days = [first + timedelta(days=n) for n in range((last - first).days + 1)]
     result = cohort_scores(visits, iforest, gbt).withColumn("built_at", F.current_timestamp())
     replace_dates_on_disk(result, path, days, check=False)

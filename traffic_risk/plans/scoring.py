@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from datetime import date, timedelta
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traffic_risk.columns import RAW_REQUIRED
+from traffic_risk.columns import GBT_REQUIRED, IFOREST_REQUIRED, RAW_REQUIRED
 from traffic_risk.operators.baseline import Baseline
 from traffic_risk.operators.features import user_day_features
 from traffic_risk.operators.models import BoostedTrees, IsolationForest, score_features
 from traffic_risk.operators.resolution import ResolutionBaseline
+from traffic_risk.params import RETENTION_DAYS
 from traffic_risk.sources.store import (
+    LOADED_AT,
+    day_manifest,
+    drop_expired,
     read_batches,
     read_table,
     replace_batches,
     replace_dates,
+    replace_found,
     require_columns,
     require_dates,
+    stale_dates,
+    stored_days,
     write_partitions,
 )
 
@@ -67,8 +76,8 @@ def _stamp(scores: DataFrame, models: Models) -> DataFrame:
 
 
 def build_scores(events: DataFrame, models: Models) -> tuple[DataFrame, DataFrame]:
-    """Both score tables. The boosted trees score the forest's table, so features are shared."""
-    iforest = score_features(_features(events, models), models.iforest)
+    """Both score tables. Their features are derived once and kept until the caller clears the cache or ends."""
+    iforest = score_features(_features(events, models).persist(StorageLevel.MEMORY_AND_DISK), models.iforest)
     return iforest, score_features(iforest, models.gbt)
 
 
@@ -116,3 +125,59 @@ def backfill_day(spark: SparkSession, store: Store, fetched: DataFrame, day, mod
     """Replace one day in raw events and both score tables; no retention cut."""
     replace_batches(fetched, store.raw, [day])
     rescore_store(spark, store, [day], models)
+
+
+def stored_manifest(spark: SparkSession, path: str, stamp: str, *extra: str) -> DataFrame:
+    """Latest time stamp per day of a stored table, from columns it was written with."""
+    return day_manifest(read_table(spark, path), stamp, *extra)
+
+
+def stale_store_dates(spark: SparkSession, store: Store, models: Models) -> list[str]:
+    """Days of the store whose scores do not fit its raw events and these models (at most its days)."""
+    raw = stored_manifest(spark, store.raw, LOADED_AT)
+    if not stored_days(spark, store.gbt) or not stored_days(spark, store.iforest):
+        return sorted(str(r[0]) for r in raw.select("date").collect())
+    found = set()
+    for path, required in ((store.iforest, IFOREST_REQUIRED), (store.gbt, GBT_REQUIRED)):
+        scores = read_table(spark, path)
+        lacking = [c for c in (*required, "built_at", "model_version") if c not in scores.columns]
+        known = scores.withColumns({c: F.lit(None).cast("timestamp" if c == "built_at" else "string") for c in lacking if c in ("built_at", "model_version")})
+        built = day_manifest(known, "built_at", "model_version")
+        found |= {str(r[0]) for r in stale_dates(raw, built, models.version, lacking).collect()}
+    return sorted(found)
+
+
+def sync_window(
+    spark: SparkSession,
+    store: Store,
+    fetch: Callable[[str, str], DataFrame],
+    as_of,
+    models: Models,
+    days: int = RETENTION_DAYS,
+) -> tuple[list[str], list[str], list[str]]:
+    """Bring the store up to the day before ``as_of``: days fetched, expired and scored again.
+
+    Gaps of the window, also inner ones, are fetched range by range (``fetch`` gets the first and last day and
+    gives page views) and replaced; if the stored events lack columns that features need, the whole window is. Days before
+    the window are deleted from all three tables, then days without fitting scores are scored. A day the source has nothing
+    for stays a gap. A run that failed is repeated by the next one.
+    """
+    last = date.fromisoformat(str(as_of)) - timedelta(days=1)
+    first = last - timedelta(days=days - 1)
+    have = set(stored_days(spark, store.raw))
+    if have:
+        columns = read_table(spark, store.raw).columns
+        if any(c not in columns for c in (*RAW_REQUIRED, LOADED_AT)):
+            have = set()
+    wanted = [first + timedelta(days=n) for n in range(days)]
+    gaps = [d for d in wanted if str(d) not in have]
+    fetched: list[str] = []
+    while gaps:
+        n = next((k for k in range(1, len(gaps)) if gaps[k] - gaps[k - 1] != timedelta(days=1)), len(gaps))
+        part, gaps = gaps[:n], gaps[n:]
+        fetched += replace_found(fetch(str(part[0]), str(part[-1])), store.raw, part)
+    expired = sorted({d for path in (store.raw, store.iforest, store.gbt) for d in drop_expired(spark, path, as_of, days)})
+    stale = stale_store_dates(spark, store, models) if stored_days(spark, store.raw) else []
+    if stale:
+        rescore_store(spark, store, stale, models)
+    return fetched, expired, stale

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from datetime import date, timedelta
 
@@ -12,8 +13,9 @@ from pyspark.sql import types as T
 from traffic_risk.params import RETENTION_DAYS
 
 BATCH = "ingest_batch"
-BACKFILL = -1
-"""Batch number of rows that replaced a whole day."""
+"""Partition below the day of raw tables: the name of an ingest and the number of one of its batches."""
+BACKFILL = "backfill"
+LOADED_AT = "loaded_at"
 
 
 def require_columns(df: DataFrame, required: Sequence[str], what: str = "table") -> DataFrame:
@@ -68,29 +70,94 @@ def write_partitions(df: DataFrame, path: str, *below: str) -> None:
     )
 
 
-def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Add one batch to a raw table that keeps batches apart below the day.
+def append_batch(df: DataFrame, path: str, name: str, batch_id: int = 0) -> list[str]:
+    """Add one batch to a raw table that keeps batches apart below the day; the days it has rows for.
 
-    A batch overwrites its own partitions only, so writing it again after a failure changes nothing.
+    ``name`` tells ingests apart: one per load, and per stream and checkpoint. A batch overwrites its own
+    partitions only, so writing it again after a failure changes nothing. Days on which a backfill has replaced
+    this very batch are left out. Every row gets the time it was loaded. ``df`` is evaluated once.
     """
-    write_partitions(df.withColumn(BATCH, F.lit(int(batch_id))), path, BATCH)
+    batch = f"{name}-{int(batch_id)}"
+    replaced = _children(df.sparkSession, f"{path.rstrip('/')}/{_REPLACED}/{batch}")
+    days = [F.lit(d.removeprefix("date=")).cast("date") for d in replaced]
+    rows = df.where(~F.col("date").isin(*days)) if days else df
+    stamped = rows.withColumn(LOADED_AT, F.current_timestamp()).withColumn(BATCH, F.lit(batch))
+    write_partitions(stamped, path, BATCH)
+    return days_of_batch(df.sparkSession, path, batch)
+
+
+def days_of_batch(spark: SparkSession, path: str, batch: str) -> list[str]:
+    """Days a raw table holds rows of a batch for, by its folders."""
+    days = [d for d in _children(spark, path) if d.startswith("date=")]
+    return sorted(d.removeprefix("date=") for d in days if _exists(spark, f"{path.rstrip('/')}/{d}/{BATCH}={batch}"))
+
+
+def claim_name(spark: SparkSession, path: str, name: str, owner: str) -> None:
+    """Keep an ingest's name for one checkpoint; an error if another one has it."""
+    at = f"{path.rstrip('/')}/_ingests/{name}"
+    if _exists(spark, at):
+        known = _read_text(spark, at)
+        if known != owner:
+            raise ValueError(f"the ingest name {name} belongs to the checkpoint {known}")
+    else:
+        _write_text(spark, at, owner)
 
 
 def replace_batches(df: DataFrame, path: str, dates: Iterable) -> None:
     """Replace whole days of such a table: the new rows become the days' only batch.
 
-    Written before the older batches go, so a failure in between leaves rows double, not missing,
+    ``df`` is evaluated once. Its rows are written first; if a day got none, they are removed again and the call
+    fails. Then the older batches of the days go, and are remembered, so that a stream that repeats one of them does
+    not bring it back. Until they are gone, readers see both; a failure in between leaves rows double, not missing,
     and running it again puts that right.
     """
-    days = sorted({str(d) for d in dates})
+    _replace(df, path, dates, every=True)
+
+
+def replace_found(df: DataFrame, path: str, dates: Iterable) -> list[str]:
+    """``replace_batches`` for those of the days that ``df`` has rows for; other days stay as they are. The days replaced."""
+    return _replace(df, path, dates, every=False)
+
+
+def _replace(df: DataFrame, path: str, dates: Iterable, every: bool) -> list[str]:
+    spark, days = df.sparkSession, sorted({str(d) for d in dates})
+    batch = f"{BACKFILL}-{uuid.uuid4().hex}"
     fresh = df.where(F.col("date").isin(*[F.lit(d).cast("date") for d in days]))
-    append_batch(require_dates(fresh, days), path, BACKFILL)
-    for day in days:
-        _drop_below(df.sparkSession, f"{path.rstrip('/')}/date={day}", keep=f"{BATCH}={BACKFILL}")
+    stamped = fresh.withColumn(LOADED_AT, F.current_timestamp()).withColumn(BATCH, F.lit(batch))
+    write_partitions(stamped, path, BATCH)
+    root = path.rstrip("/")
+    found = [d for d in days if _exists(spark, f"{root}/date={d}/{BATCH}={batch}")]
+    if every and len(found) < len(days):
+        for day in found:
+            _delete(spark, f"{root}/date={day}/{BATCH}={batch}")
+        raise ValueError(f"increment has no rows for {', '.join(sorted(set(days) - set(found)))}")
+    for day in found:
+        for entry in _children(spark, f"{root}/date={day}"):
+            if entry.startswith(f"{BATCH}=") and entry != f"{BATCH}={batch}":
+                old = entry.removeprefix(f"{BATCH}=")
+                if not old.startswith(f"{BACKFILL}-"):
+                    _write_text(spark, f"{root}/{_REPLACED}/{old}/date={day}", batch)
+                _delete(spark, f"{root}/date={day}/{entry}")
+    return found
 
 
 def read_batches(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
-    return read_table(spark, path, start=start, end=end).drop(BATCH)
+    return read_table(spark, path, start=start, end=end).drop(BATCH, LOADED_AT)
+
+
+def drop_expired(spark: SparkSession, path: str, as_of, days: int = RETENTION_DAYS) -> list[str]:
+    """Delete the partitions of days older than ``days`` before ``as_of``; the days that went."""
+    first = date.fromisoformat(str(as_of)) - timedelta(days=days)
+    root = path.rstrip("/")
+    old = [d for d in _children(spark, root) if d.startswith("date=") and d.removeprefix("date=") < str(first)]
+    for day in old:
+        _delete(spark, f"{root}/{day}")
+    return sorted(d.removeprefix("date=") for d in old)
+
+
+def stored_days(spark: SparkSession, path: str) -> list[str]:
+    """Days a table has partitions for, by its folders."""
+    return sorted(d.removeprefix("date=") for d in _children(spark, path) if d.startswith("date="))
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -129,33 +196,67 @@ def require_dates(new: DataFrame, dates: Iterable, what: str = "increment") -> D
 def replace_dates_on_disk(new: DataFrame, path: str, dates: Iterable, check: bool = True) -> None:
     """Overwrite the partitions of the given days; the rest of the table is not read.
 
-    With ``check`` every day must be produced. Without it, days without rows are cleared.
+    ``new`` is evaluated once, into a folder that readers of the table skip; then its days are moved into place one by one.
+    With ``check`` every day must be produced, or nothing changes. Without it, days without rows are cleared.
     """
-    days = sorted({str(d) for d in dates})
-    fresh = new.where(F.col("date").isin(*[F.lit(d).cast("date") for d in days]))
-    if check:
-        require_dates(fresh, days)
-        write_partitions(fresh, path)
-        return
-    empty = missing_dates(fresh, days)
-    write_partitions(fresh, path)
-    for day in empty:
-        _drop_partition(new.sparkSession, path, day)
+    spark, days, root = new.sparkSession, sorted({str(d) for d in dates}), path.rstrip("/")
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    write_partitions(new.where(F.col("date").isin(*[F.lit(d).cast("date") for d in days])), staged)
+    found = set(_children(spark, staged))
+    gaps = [d for d in days if f"date={d}" not in found]
+    if not (gaps and check):
+        for day in days:
+            _delete(spark, f"{root}/date={day}")
+            if f"date={day}" in found:
+                _move(spark, f"{staged}/date={day}", f"{root}/date={day}")
+    _delete(spark, staged)
+    if gaps and check:
+        raise ValueError(f"increment has no rows for {', '.join(gaps)}")
+
 
+_REPLACED = "_replaced"
+"""Below a raw table: days of batches that backfills have replaced. Names that begin with _ are no data."""
 
-def _drop_partition(spark: SparkSession, path: str, day: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/date={day}")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(folder):
-        fs.delete(folder, True)
 
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-def _drop_below(spark: SparkSession, folder: str, keep: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for entry in fs.listStatus(at):
-        if entry.isDirectory() and entry.getPath().getName() != keep:
-            fs.delete(entry.getPath(), True)
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _files(spark, path)
+    return fs.exists(at)
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    at, fs = _files(spark, path)
+    return sorted(e.getPath().getName() for e in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at, fs = _files(spark, path)
+    fs.delete(at, True)
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    at, fs = _files(spark, source)
+    if not fs.rename(at, _files(spark, target)[0]):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    at, fs = _files(spark, path)
+    out = fs.create(at, True)
+    out.writeUTF(text)
+    out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    at, fs = _files(spark, path)
+    handle = fs.open(at)
+    text = handle.readUTF()
+    handle.close()
+    return text
 
 
 def retain_window(df: DataFrame, as_of, days: int = RETENTION_DAYS) -> DataFrame:
@@ -223,15 +324,19 @@ def first_fetch_date(df: DataFrame, as_of, days: int = RETENTION_DAYS) -> DataFr
     )
 
 
-def stale_dates(raw: DataFrame, features: DataFrame, model_version: str) -> DataFrame:
-    """Days to score again: not scored, scored before the raw day was loaded, or by another model.
+def stale_dates(
+    raw: DataFrame, features: DataFrame, model_version: str, lacking: Sequence[str] = ()
+) -> DataFrame:
+    """Days to score again: not scored, scored before the raw day was loaded, by another model, or all of them if the
+    stored scores lack columns (``lacking``).
 
     ``raw`` has (date, loaded_at), ``features`` (date, built_at, model_version): one row per day.
     """
     return (
         raw.join(features, "date", "left")
         .where(
-            F.col("built_at").isNull()
+            F.lit(bool(lacking))
+            | F.col("built_at").isNull()
             | (F.col("loaded_at") > F.col("built_at"))
             | ~F.col("model_version").eqNullSafe(F.lit(model_version))
         )

@@ -10,30 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from traffic_risk.sources.store import append_batch
-
-
-def touched_dates(batch: DataFrame) -> list[str]:
-    """Days a batch has rows for: a handful, whatever the size of the batch."""
-    rows = batch.select(F.col("date").cast("string")).where(F.col("date").isNotNull()).distinct()
-    return sorted(r[0] for r in rows.collect())
+from traffic_risk.sources.store import append_batch, claim_name
 
 
 def ingest_batch(
-    batch: DataFrame, batch_id: int, raw_path: str, on_dates: Callable[[list[str]], None] | None = None
+    batch: DataFrame,
+    batch_id: int,
+    raw_path: str,
+    on_dates: Callable[[list[str]], None] | None = None,
+    name: str = "stream",
 ) -> None:
     """Append one micro-batch to the raw table and hand the touched days to ``on_dates``.
 
-    The batch id is a partition level below the day: replaying a batch after a failure writes the
-    same rows to the same place. Features need whole days, so ``on_dates`` reads the days back
-    rather than the batch.
+    The ingest's name and the batch id are a partition level below the day: replaying a batch after a failure
+    writes the same rows to the same place, and other ingests have places of their own. The batch is read once; the days are
+    those written. Features need whole days, so ``on_dates`` reads the days back rather than the batch.
     """
-    rows = batch.where(F.col("date").isNotNull())
-    append_batch(rows, raw_path, batch_id)
-    if on_dates is not None:
-        days = touched_dates(rows)
-        if days:
-            on_dates(days)
+    days = append_batch(batch.where(F.col("date").isNotNull()), raw_path, name, batch_id)
+    if on_dates is not None and days:
+        on_dates(days)
 
 
 def stream_ingest_rescore(
@@ -46,12 +41,17 @@ def stream_ingest_rescore(
     on_dates: Callable[[list[str]], None] | None = None,
     glob: str = "*.parquet",
     files_per_trigger: int = 1000,
+    name: str = "stream",
 ) -> StreamingQuery:
     """Take in all new files of ``source``, then stop.
 
+    ``name`` belongs to ``checkpoint`` for good: batch numbers start anew with a new checkpoint, which so needs a name of
+    its own, and so does every other source of the same raw table.
+
     ``prepare`` turns file rows into page views (the source filter); ``on_dates`` is
     ``rescore_store`` bound to a store and its models, or any other day-wise job.
     """
+    claim_name(spark, raw_path, name, checkpoint)
     stream = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", glob)
@@ -60,7 +60,7 @@ def stream_ingest_rescore(
     )
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, raw_path, on_dates)
+        ingest_batch(batch, batch_id, raw_path, on_dates, name)
 
     return (
         prepare(stream)

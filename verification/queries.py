@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +39,7 @@ from traffic_risk.operators import (
     reports,
     resolution,
 )
-from traffic_risk.params import ForestParams, RiskParams
+from traffic_risk.params import RiskParams
 from traffic_risk.plans import cohort as cohort_plan
 from traffic_risk.plans import scoring
 from traffic_risk.session import work_dir
@@ -1103,128 +1105,201 @@ def clip_probability(t):
     return t.xgb.select(*USER_DAY, models.clip_probability(p).alias("p"))
 
 
-def _training(t, forest: bool = True, trees: bool = True) -> tuple[DataFrame, scoring.Models]:
-    """Features and both models, fitted on this table's own user-days.
+RULE = "CASE WHEN count(*) >= 2 THEN 1 ELSE 0 END"
+"""What the classifier learns here: an exact rule on one feature, so that SQL can say what it must answer."""
 
-    Label of the classifier: wave devices (their ids start with ``b``) against regular users.
-    """
+
+def _table(t) -> tuple[DataFrame, object, DataFrame]:
+    """The stored feature table of all user-days, and the fits it comes from."""
     events = t.all_pageviews
     base, shares = _base(t), resolution.fit_resolution(events).persist()
-    table = features.user_day_features(events, base, shares)
     path = _scratch(t.spark, "features")
-    store.write_partitions(table, path)
-    stored = store.read_table(t.spark, path)
-    forest = _forest(stored) if forest else None
-    trees = _trees(stored) if trees else None
-    return stored, scoring.Models(base, shares, forest, trees, "v1")
+    store.write_partitions(features.user_day_features(events, base, shares), path)
+    return store.read_table(t.spark, path), base, shares
 
 
-def _forest(stored: DataFrame) -> models.IsolationForest:
-    return models.iforest_fit(stored, params=ForestParams(trees=50))
+def _training(t) -> tuple[DataFrame, scoring.Models]:
+    """Features and both models, fitted on this table's own user-days."""
+    stored, base, shares = _table(t)
+    return stored, scoring.Models(base, shares, models.iforest_fit(stored), _trees(stored), "v1")
 
 
 def _trees(stored: DataFrame) -> models.BoostedTrees:
-    labelled = stored.withColumn("label", F.col("distinct_id").startswith("b").cast("int"))
-    return models.gbt_fit(labelled, "label", rounds=5, depth=3)
+    return models.gbt_fit(stored.withColumn("label", (F.col("total_pv") >= 2).cast("int")), "label")
+
+
+def _bots(scored: DataFrame) -> DataFrame:
+    bots = F.sum((F.col("model_anomaly") == -1).cast("long")).alias("bots")
+    return scored.groupBy("date").agg(F.count("*").alias("user_days"), bots)
+
 
+def _differing(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
+    """Per day: user-days, bots, and rows of ``a`` that ``b`` lacks or has other values for."""
+    left = a.select(*USER_DAY, "model_anomaly", *[F.round(c, 9).alias(f"a_{c}") for c in columns])
+    right = b.select(*USER_DAY, *[F.round(c, 9).alias(f"b_{c}") for c in columns])
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    rows = left.join(right, list(USER_DAY), "left").withColumn("other", (~same).cast("long"))
+    return _bots(rows).join(rows.groupBy("date").agg(F.sum("other").alias("differing")), "date")
 
-@query()
+
+_FAR = "CAST(substring(distinct_id, 2) AS BIGINT) % 97 = 5"
+
+
+@query(f"SELECT date, concat('x', distinct_id) AS distinct_id FROM upv WHERE {_FAR}")
 def iforest_fit(t):
-    """The nodes of the fitted trees."""
-    stored, fitted = _training(t, trees=False)
-    return t.spark.createDataFrame(fitted.iforest.nodes)
+    """Of a table with planted far user-days: which of those the fitted forest flags."""
+    stored, *_ = _table(t)
+    keys = stored.where(F.expr(_FAR))
+    far = {c: F.lit(1e4) + F.pmod(F.xxhash64(*USER_DAY, F.lit(c)), F.lit(10_000)) for c in FEATURES}
+    planted = keys.withColumns(far).withColumn("distinct_id", F.concat(F.lit("x"), "distinct_id"))
+    whole = stored.select(*USER_DAY, *FEATURES).unionByName(planted.select(*USER_DAY, *FEATURES))
+    flagged = models.iforest_score(whole, models.iforest_fit(whole)).where("model_anomaly = -1")
+    return flagged.where(F.col("distinct_id").startswith("x")).select(*USER_DAY)
 
 
-@query()
+@query("SELECT bots, count(*) AS user_days FROM (SELECT count(*) >= 2 AS bots FROM pva GROUP BY date, distinct_id) GROUP BY 1")
 def gbt_fit(t):
-    """How much each feature counts in the fitted trees."""
-    _, fitted = _training(t, forest=False)
-    weights = fitted.gbt.model.stages[-1].featureImportances
-    rows = [(name, float(weights[i])) for i, name in enumerate(fitted.gbt.features)]
-    return t.spark.createDataFrame(rows, "feature string, importance double")
+    """User-days by the class that the fitted trees give them."""
+    stored, *_ = _table(t)
+    scored = models.gbt_score(stored, _trees(stored))
+    return scored.groupBy((F.col("model_anomaly") == -1).alias("bots")).agg(F.count("*").alias("user_days"))
+
 
+_SMALL_FOREST = (
+    (0, 0, 0, 2.5, 1, 2, 0.0), (0, 1, -1, 0.0, 1, 1, 0.9), (0, 2, -1, 0.0, 2, 2, 0.4),
+    (1, 0, 1, 0.5, 1, 4, 0.0), (1, 1, 0, 1.5, 2, 3, 0.0), (1, 2, -1, 0.0, 2, 2, 1.25), (1, 3, -1, 0.0, 3, 3, 0.75),
+    (1, 4, -1, 0.0, 4, 4, 0.3),
+)
 
-@query()
+
+@query(
+    """SELECT date, distinct_id, round(s, 9) AS anomaly_score, CASE WHEN s > 0.6 THEN -1 ELSE 1 END AS model_anomaly FROM (
+    SELECT date, distinct_id, power(2.0, -(CASE WHEN total_pv <= 2.5 THEN 0.9 ELSE 0.4 END + CASE WHEN is_direct_ratio > 0.5 THEN 0.3
+    WHEN total_pv <= 1.5 THEN 1.25 ELSE 0.75 END) / 2) AS s FROM rollup)"""
+)
 def iforest_score(t):
-    stored, fitted = _training(t, trees=False)
-    return models.iforest_score(stored, fitted.iforest).select(*USER_DAY, "anomaly_score", "model_anomaly")
+    """A forest of two small trees that SQL can walk, too."""
+    stored, *_ = _table(t)
+    names = ["tree", "node", "feature", "threshold", "left", "right", "path"]
+    forest = models.IsolationForest(("total_pv", "is_direct_ratio"), pd.DataFrame(_SMALL_FOREST, columns=names), 0.6)
+    return _rounded(models.iforest_score(stored, forest).select(*USER_DAY, "anomaly_score", "model_anomaly"), 9)
 
 
-@query()
+@query(f"SELECT {KEYS}, CASE WHEN count(*) >= 2 THEN -1 ELSE 1 END AS model_anomaly FROM pva GROUP BY ALL")
 def gbt_score(t):
-    stored, fitted = _training(t, forest=False)
-    return models.gbt_score(stored, fitted.gbt).select(*USER_DAY, "xgb_bot_prob", "model_anomaly")
+    stored, *_ = _table(t)
+    return models.gbt_score(stored, _trees(stored)).select(*USER_DAY, "model_anomaly")
+
 
+_RULED = f"SELECT date, distinct_id, {RULE} AS bot FROM {{}} GROUP BY ALL"
+_COUNTED = f"SELECT date, count(*) AS user_days, CAST(sum(bot) AS BIGINT) AS bots, {{}} FROM ({_RULED.format('pva')}) GROUP BY 1"
 
-@query()
+
+@query(_COUNTED.format("count(*) AS scored_by_both"))
 def score_features(t):
     stored, fitted = _training(t)
-    return models.score_features(models.score_features(stored, fitted.iforest), fitted.gbt)
+    both = models.score_features(stored, fitted.iforest).withColumnRenamed("model_anomaly", "forest")
+    scored = models.score_features(both, fitted.gbt)
+    counted = scored.where("forest IN (-1, 1) AND xgb_bot_prob BETWEEN 0 AND 1").groupBy("date")
+    return _bots(scored).join(counted.agg(F.count("*").alias("scored_by_both")), "date")
 
 
-@query()
+@query(_COUNTED.format("0 AS differing"))
 def build_scores(t):
-    _, fitted = _training(t)
+    """Scores from the events against scores from the stored features."""
+    stored, fitted = _training(t)
     iforest, gbt = scoring.build_scores(t.all_pageviews, fitted)
-    return labeling.user_day_scores(iforest, gbt)
+    again = models.score_features(models.score_features(stored, fitted.iforest), fitted.gbt)
+    both = gbt.join(iforest.select(*USER_DAY, "anomaly_score"), list(USER_DAY))
+    again = again.join(models.iforest_score(stored, fitted.iforest).select(*USER_DAY, "anomaly_score"), list(USER_DAY))
+    return _differing(both, again, "anomaly_score", "xgb_bot_prob")
 
 
-@query()
+@query(_COUNTED.format("0 AS differing"))
 def rescore_dates(t):
+    """Scores with some days derived again against those of the full build."""
     stored, fitted = _training(t)
     iforest = models.score_features(stored, fitted.iforest)
     gbt = models.score_features(stored, fitted.gbt)
-    return scoring.rescore_dates(t.all_pageviews, iforest, gbt, REPLACED, fitted)[1]
+    again = scoring.rescore_dates(t.all_pageviews, iforest, gbt, REPLACED, fitted)[1]
+    return _differing(again, gbt, "xgb_bot_prob")
 
 
-@query(
-    """SELECT date, count(*) AS n_events, count(DISTINCT distinct_id) AS scored_user_days FROM pva
-    WHERE date <> DATE '2024-01-09' OR hour_time < 12 GROUP BY 1"""
-)
+def _store(t, fitted: scoring.Models | None = None) -> tuple[scoring.Models, scoring.Store]:
+    return fitted or _training(t)[1], scoring.Store(_scratch(t.spark, "store"))
+
+
+def _stored_days(t, tables: scoring.Store) -> DataFrame:
+    """Per day: raw events, scored user-days and those the classifier calls bots."""
+    raw = store.read_batches(t.spark, tables.raw).groupBy("date").agg(F.count("*").alias("n_events"))
+    return raw.join(_bots(store.read_table(t.spark, tables.gbt)), "date", "full_outer")
+
+
+def _stored_sql(table: str, where: str = "true") -> str:
+    return (
+        f"SELECT date, CAST(sum(n) AS BIGINT) AS n_events, count(*) AS user_days, CAST(sum(bot) AS BIGINT) AS bots FROM (SELECT date, distinct_id, "
+        f"count(*) AS n, {RULE} AS bot FROM {table} WHERE {where} GROUP BY 1, 2) GROUP BY 1"
+    )
+
+
+@query(_stored_sql("pva", "date <> DATE '2024-01-09' OR hour_time < 12"))
 def backfill_day(t):
-    _, fitted = _training(t)
-    tables = scoring.Store(_scratch(t.spark, "store"))
+    fitted, tables = _store(t)
     events = t.all_pageviews
-    store.append_batch(events, tables.raw, 0)
+    store.append_batch(events, tables.raw, "load")
     scoring.build_store(t.spark, tables, fitted)
     day = events.where((F.col("date") == F.lit("2024-01-09").cast("date")) & (F.col("hour_time") < 12))
     scoring.backfill_day(t.spark, tables, day, "2024-01-09", fitted)
-    raw = store.read_batches(t.spark, tables.raw).groupBy("date").agg(F.count("*").alias("n_events"))
-    scored = (
-        store.read_table(t.spark, tables.gbt).groupBy("date").agg(F.count("*").alias("scored_user_days"))
-    )
-    return raw.join(scored, "date")
+    store.append_batch(events, tables.raw, "load")  # a repeated load must not bring the replaced day back
+    return _stored_days(t, tables)
 
 
-@query(
-    f"""SELECT p.date, count(*) AS n_events, count(DISTINCT p.distinct_id) AS user_days, max(d.daily) AS daily_pv FROM pv p
-    JOIN (SELECT date, count(*) AS daily FROM pv GROUP BY 1) d ON p.date = d.date GROUP BY 1"""
-)
+@query(_stored_sql("pv"))
 def stream_ingest_rescore(t):
-    raw, daily = _scratch(t.spark, "stream-raw"), _scratch(t.spark, "stream-daily")
-
-    def recompute(days):
-        whole = store.read_batches(t.spark, raw).where(
-            F.col("date").isin(*[F.lit(x).cast("date") for x in days])
-        )
-        per_day = whole.groupBy("date").agg(F.count("*").alias("daily_pv"))
-        store.replace_dates_on_disk(per_day, daily, days)
+    fitted, tables = _store(t)
 
     def prepare(files):
         rows = t.spark.sql(fx.PAGEVIEWS_RAW, events=files)
         return pageviews.scan_pageviews(rows, excluded_host=fx.EXCLUDED_HOST)
 
+    # one half is loaded before, the other comes by the stream
+    early = F.pmod(F.xxhash64("distinct_id", "hour_time"), F.lit(2)) == 0
+    store.append_batch(t.pageviews.where(early), tables.raw, "load")
     run = ingest.stream_ingest_rescore(
         t.spark,
         t.sf_dir,
         t.events.schema,
-        raw,
+        tables.raw,
         _scratch(t.spark, "stream-state"),
-        prepare,
-        recompute,
+        lambda files: prepare(files).where(~early | early.isNull()),
+        lambda days: scoring.rescore_store(t.spark, tables, days, fitted),
         glob="events.parquet",
+        name="events",
     )
     run.awaitTermination()
-    per_day = store.read_batches(t.spark, raw).groupBy("date")
-    counts = per_day.agg(F.count("*").alias("n_events"), F.count_distinct("distinct_id").alias("user_days"))
-    return counts.join(store.read_table(t.spark, daily), "date")
+    return _stored_days(t, tables)
+
+
+@query(_stored_sql("pva", "date BETWEEN DATE '2024-01-06' AND DATE '2024-01-25'"))
+def sync_window(t):
+    """A store with gaps, days that expire and one day by an older model, brought up to date."""
+    fitted, tables = _store(t)
+    events = t.all_pageviews
+    kept = F.col("date").between(F.lit("2024-01-02").cast("date"), F.lit("2024-01-22").cast("date"))
+    gap = F.dayofmonth("date").isin(8, 9, 15)
+    store.append_batch(events.where(kept & ~gap), tables.raw, "load")
+    scoring.build_store(t.spark, tables, replace(fitted, version="v0"))
+    days = scoring.sync_window(t.spark, tables, lambda a, b: store.date_range(events, a, b), "2024-01-26", fitted, 20)
+    assert days[0] == ["2024-01-08", "2024-01-09", "2024-01-15", "2024-01-23", "2024-01-24", "2024-01-25"]
+    assert scoring.sync_window(t.spark, tables, lambda a, b: events.limit(0), "2024-01-26", fitted, 20) == ([], [], [])
+    return _stored_days(t, tables)
+
+
+@query("SELECT date, count(*) AS n_events FROM pva WHERE date >= DATE '2024-01-11' GROUP BY 1")
+def drop_expired(t):
+    path = _scratch(t.spark, "expiring")
+    store.append_batch(t.all_pageviews, path, "load")
+    store.drop_expired(t.spark, path, "2024-01-21", 10)
+    return store.read_batches(t.spark, path).groupBy("date").agg(F.count("*").alias("n_events"))
