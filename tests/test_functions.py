@@ -161,3 +161,10 @@ def test_exact_quantiles(spark, values, bins, p):
 def test_exact_quantiles_of_everything(spark):
     df = spark.range(101).select((F.col("id") / 50.0).alias("v"))  # half of it beyond the range
     assert exact_quantiles(df, [], "v", {"q": 0.9}, 0.0, 1.0, 8).first()["q"] == pytest.approx(1.8)
+
+
+def test_spellings_of_a_day(spark):
+    texts = ["2024-01-05", "2024/01/05", "2024/1/5", "20240105", "2024.01.05", "2024-01-05 10:11:12", "2024/01/05 10:11:12", " 2024-01-05 "]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "no day", "", None, "2024/13/45"]], "t string")
+    got = [str(r[0]) for r in rows.select(normalize_date("t")).collect()]
+    assert got == ["2024-01-05"] * len(texts) + ["None"] * 4

@@ -261,3 +261,11 @@ def test_redteam_rates_of_the_published_counts(spark):
     extremes = redteam.redteam_extremes(attack, normal).first()
     assert (extremes["max_recall"], extremes["min_recall"]) == (1.0, 0.001)
     assert extremes["max_bypass"] == pytest.approx(0.999)
+
+
+def test_network_estimate_without_usable_columns(inputs):
+    base = network.network_base(labeling.label_traffic(inputs.pageviews, inputs.iforest, inputs.xgb))
+    bare = base.select("date", "distinct_id", "is_bot")
+    full, zero = (network.network_roi(b, 0.2).orderBy("date").collect() for b in (base, bare))
+    assert [(r["date"], r["dau"], r["blocked"]) for r in zero] == [(r["date"], r["dau"], r["blocked"]) for r in full]
+    assert {(r["eligible_dau"], r["new_catch"], r["impact_pct"]) for r in zero} == {(0, 0, 0.0)}

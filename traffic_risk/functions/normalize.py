@@ -28,9 +28,15 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Spellings of a day other than ISO.
+DAY_PATTERNS = ("yyyy/M/d", "yyyyMMdd", "yyyy.M.d", "yyyy/M/d H:m:s", "yyyyMMddHHmmss")
+
+
 def normalize_date(c: str | Column) -> Column:
-    """Calendar day of a date, timestamp or text; null when it cannot be read."""
-    return _col(c).try_cast("date")
+    """Calendar day of a date, timestamp or text in ISO or one of the known spellings; null when it cannot be read."""
+    text = F.trim(_col(c).cast("string"))
+    others = [F.try_to_timestamp(text, F.lit(p)).cast("date") for p in DAY_PATTERNS]
+    return F.coalesce(_col(c).try_cast("date"), *others)
 
 
 def number(c: str | Column) -> Column:

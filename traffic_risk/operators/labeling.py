@@ -188,9 +188,19 @@ class LabeledTraffic:
         pairs = self.events.select(*USER_DAY, *[c.alias(n) for n, c in dims.items()]).distinct()
         return attach(pairs, self.user_days, USER_DAY, list(dims), how="inner")
 
+    def newest_day(self):
+        """The last day with labelled rows (None without any).
+
+        The events' last day nearly always is; only days that turn out to have no labels are stepped over.
+        """
+        day = self.events.agg(F.max("date")).first()[0]
+        while day is not None and self.user_days.where(F.col("date") == F.lit(day)).isEmpty():
+            day = self.events.where(F.col("date") < F.lit(day)).agg(F.max("date")).first()[0]
+        return day
+
     def latest(self, as_of=None) -> LabeledTraffic:
-        """The last labelled day, or a given one (which then prunes partitions when planning)."""
-        day = self.user_days.agg(F.max("date")).scalar() if as_of is None else F.lit(as_of).cast("date")
+        """The last labelled day, or a given one; a literal, which prunes partitions when planning."""
+        day = F.lit(self.newest_day() if as_of is None else as_of).cast("date")
         return LabeledTraffic(
             self.events.where(F.col("date") == day), self.user_days.where(F.col("date") == day)
         )

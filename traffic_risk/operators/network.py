@@ -74,6 +74,12 @@ def _with_keys(base: DataFrame) -> tuple[DataFrame, Column]:
     return base.withColumns(keys), usable
 
 
+def has_network_columns(base: DataFrame) -> bool:
+    """Whether segment and fingerprint can be found or derived."""
+    have = set(base.columns)
+    return bool(have & {"ip", "ip_c_segment"}) and bool(have & {"soft_fp", *FINGERPRINT})
+
+
 def network_fields(base: DataFrame) -> DataFrame:
     """Rows with a usable C segment and fingerprint; both are derived where needed.
 
@@ -158,7 +164,14 @@ def network_new_catch(
 
 
 def network_roi(base: DataFrame, ratio: float = CONTAMINATION_OFF, salts: int | None = None) -> DataFrame:
-    """Per day: users, blocked, eligible, newly caught and their share of all users in percent."""
+    """Per day: users, blocked, eligible, newly caught and their share of all users in percent.
+
+    Without the columns for segments or fingerprints no user is eligible and none is caught.
+    """
+    zero = F.lit(0).cast("long")
+    if not has_network_columns(base):
+        nothing = {"eligible_dau": zero, "new_catch": zero, "impact_pct": F.lit(0.0)}
+        return network_daily_totals(base).withColumns(nothing)
     rows, usable = _with_keys(base)
     daily = (  # totals and eligible users in one pass
         rows.where(F.col("date").isNotNull() & F.col("distinct_id").isNotNull())
@@ -179,7 +192,6 @@ def network_roi(base: DataFrame, ratio: float = CONTAMINATION_OFF, salts: int |
         .groupBy("date")
         .agg(F.count("*").alias("new_catch"))
     )
-    zero = F.lit(0).cast("long")
     return (
         daily.join(caught, "date", "left")
         .withColumn("new_catch", F.coalesce("new_catch", zero))

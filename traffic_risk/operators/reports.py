@@ -177,9 +177,10 @@ def top_removed_provinces(traffic: LabeledTraffic, n: int = 8, as_of=None) -> Da
 
 
 def _with_totals(provinces: DataFrame, *columns: str) -> DataFrame:
-    """Add each column's total. The rows are provinces: a fixed, small set."""
-    everything = Window.partitionBy(F.lit(1))
-    return provinces.select("*", *[F.sum(c).over(everything).alias(f"total_{c}") for c in columns])
+    """Add each column's total, summed by all tasks: a client can send any number of province names."""
+    return provinces.select(
+        "*", *[provinces.agg(F.sum(c)).scalar().alias(f"total_{c}") for c in columns]
+    )
 
 
 def province_share_shift(traffic: LabeledTraffic, n: int = 15, as_of=None) -> DataFrame:

@@ -323,26 +323,22 @@ def resolution_scores(
 ) -> DataFrame:
     """Score of every (date, resolution) that occurs; a rare one takes its bucket's.
 
-    The windows run over the resolutions of a day, after counting.
+    Scores are made per day and bucket; the resolutions of a day, any number of names sent by clients, look theirs up.
     """
     common = baseline.shares.select("resolution", F.lit(True).alias("common"))
-    n = F.col("n")
-    shares = (
+    named = (
         daily.where(F.col("resolution").isNotNull())
         .join(common, "resolution", "left")
         .withColumn("resolution_bucket", _bucket(F.col("resolution"), F.col("common").isNotNull()))
-        .select(
-            "date",
-            "resolution",
-            "resolution_bucket",
-            "n",
-            _share(
-                F.sum(n).over(Window.partitionBy("date", "resolution_bucket")),
-                F.sum(n).over(Window.partitionBy("date")),
-            ).alias("daily_share"),
-        )
+        .select("date", "resolution", "resolution_bucket", "n")
+    )
+    buckets = named.groupBy("date", "resolution_bucket").agg(F.sum("n").alias("of_bucket"))
+    days = buckets.groupBy("date").agg(F.sum("of_bucket").alias("of_day"))
+    shares = buckets.join(days, "date").select(
+        "date", "resolution_bucket", _share(F.col("of_bucket"), F.col("of_day")).alias("daily_share")
     )
-    return _scored(shares, baseline, leave_one_day_out)
+    scored = _scored(shares, baseline, leave_one_day_out)
+    return attach(named, scored, ["date", "resolution_bucket"], ["resolution"])
 
 
 def attach_resolution_feature(
