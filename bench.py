@@ -2,7 +2,8 @@
 
 Every query starts from the events file and is run to the end (all rows produced, none kept), twice.
 ``queries`` holds the second run, ``first_runs`` the first, which also pays for compiling the
-query's code. Cached tables are dropped after every run.
+query's code. Cached tables are dropped after every run. ``duckdb`` holds the second run of the SQL the query is checked
+against, on the same tables with as many threads, and ``ratio`` Spark's time as a multiple of it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from traffic_risk.session import local_session  # noqa: E402
-from verification.queries import QUERIES  # noqa: E402
+from verification.compare import connect  # noqa: E402
+from verification.queries import CHECKS, QUERIES  # noqa: E402
 
 HEADLINE = (
     "scan_pageviews",
@@ -54,6 +56,15 @@ def main() -> None:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs[name] = round(time.perf_counter() - start, 3)
             spark.catalog.clearCache()
+    con, duck = connect(sf_dir), {}
+    con.execute(f"SET threads = {int(cpus)}")
+    for name in names:
+        if name in CHECKS:
+            for _ in range(2):
+                start = time.perf_counter()
+                con.execute(CHECKS[name]).arrow().read_all()
+                duck[name] = round(time.perf_counter() - start, 3)
+    ratio = {n: round(seconds[n] / max(s, 0.001), 1) for n, s in duck.items()}
     print(
         json.dumps(
             {
@@ -63,6 +74,8 @@ def main() -> None:
                 "queries": seconds,
                 "first_runs": first,
                 "first_runs_value": round(sum(first.values()), 3),
+                "duckdb": duck,
+                "ratio": ratio,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
                 "cpus": cpus,
             }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -70,6 +72,32 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own below ``work_dir``; it is removed when the driver ends."""
+    path = work_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    if not _scratch:
+        atexit.register(_remove_scratch)
+    _scratch.append((spark, path))
+    return path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(hadoop).delete(folder, True)
+
+
+def _remove_scratch() -> None:
+    for spark, path in _scratch:
+        try:
+            remove_folder(spark, path)
+        except Exception:  # the session has ended: only a folder on this machine can still be reached
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per application, whatever folder the driver runs in."""
     context = spark.sparkContext

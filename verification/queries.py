@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -42,7 +41,7 @@ from traffic_risk.operators import (
 from traffic_risk.params import RiskParams
 from traffic_risk.plans import cohort as cohort_plan
 from traffic_risk.plans import scoring
-from traffic_risk.session import work_dir
+from traffic_risk.session import scratch_dir
 from traffic_risk.sources import pageviews, store
 from traffic_risk.sources import redteam as redteam_source
 from traffic_risk.streaming import ingest
@@ -85,7 +84,7 @@ def _r(*columns: str, digits: int = 6) -> str:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return work_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    return scratch_dir(spark, name)
 
 
 def _traffic(t: fx.Inputs, params: RiskParams = RiskParams()) -> labeling.LabeledTraffic:
