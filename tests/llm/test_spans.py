@@ -7,7 +7,7 @@ import pytest
 
 from traffic_risk.llm import pii, secret_scan
 from traffic_risk.llm import registry
-from traffic_risk.session import work_dir
+from traffic_risk.session import scratch_dir
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [
@@ -100,7 +100,7 @@ def test_long_runs(text):
 
 
 def test_ledger_scans_each_blob_once(spark):
-    ledger = secret_scan.BlobLedger(spark, work_dir(spark, "ledger-test-once") + registry.uuid.uuid4().hex)
+    ledger = secret_scan.BlobLedger(spark, scratch_dir(spark, "ledger-test"))
     rows = [(1, "token=abcdef", "a"), (2, "token=abcdef", "b"), (3, None, None), (None, "", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     assert secret_scan.unseen(docs, ledger).count() == 2

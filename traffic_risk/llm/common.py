@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from traffic_risk.session import ship_package, work_dir
+from traffic_risk.session import remove_folder, scratch_dir, ship_package
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 """White space between words, as a Java or Python pattern."""
-_made: list[tuple[SparkSession, str]] = []
 
 
 def map_texts(
@@ -66,11 +63,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The folder goes when the driver ends, or earlier by ``drop_written``.
     """
     spark = df.sparkSession
-    path = work_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    path = scratch_dir(spark, name)
     df.write.parquet(path)
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -78,18 +72,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Remove a table made by ``written`` that no later result reads."""
-    _delete(df.sparkSession, df._written_to)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(hadoop).delete(folder, True)
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may be gone by now; the cluster's own clean-up is left
-            return
+    remove_folder(df.sparkSession, df._written_to)

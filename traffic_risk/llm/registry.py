@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,7 @@ from traffic_risk.llm import (
     spans,
     substring_dedup,
 )
-from traffic_risk.session import work_dir
+from traffic_risk.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -45,7 +44,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fresh_ledger(spark: SparkSession) -> secret_scan.BlobLedger:
-    return secret_scan.BlobLedger(spark, work_dir(spark, f"ledger-{uuid.uuid4().hex}"))
+    return secret_scan.BlobLedger(spark, scratch_dir(spark, "ledger"))
 
 
 @query
