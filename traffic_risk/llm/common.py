@@ -13,6 +13,8 @@ from traffic_risk.session import remove_folder, scratch_dir, ship_package
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 """White space between words, as a Java or Python pattern."""
+SLICE_BYTES = 4 << 20
+"""Bytes of rows that a function gets at once, on average."""
 
 
 def map_texts(
@@ -37,9 +39,11 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                texts = batch.column(batch.num_columns - 1).to_pylist()
-                columns = fn(batch, texts)
+            # a batch has a number of rows, not of bytes: take a few MB of it at a time
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                columns = fn(part, part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names
                 )
