@@ -101,5 +101,5 @@ def test_cells_and_addresses_are_shuffled_once(eager_splitting, hot):
     out = features.base_features(hot, base)
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert plan.count("FileScan") == 5
-    assert plan.count("ReusedExchange") == 3
+    assert plan.count("FileScan") == 3
+    assert plan.count("ReusedExchange") == 5

@@ -34,6 +34,15 @@ def cells(events: DataFrame) -> DataFrame:
     )
 
 
+def _views() -> Column:
+    """Views of a cell, never fewer than the direct ones.
+
+    Reading both columns lets all readers of the cells share one shuffle: a reader that leaves one out would get a shuffle
+    without it, and a scan of the events of its own.
+    """
+    return F.greatest("pv", "direct_pv")
+
+
 def user_total_pv(events: DataFrame) -> DataFrame:
     return (
         _with_user(events)
@@ -64,9 +73,8 @@ def block_stats(events: DataFrame, by_cell: DataFrame | None = None) -> DataFram
         *block, part("pv", F.col("pv")), part("uv", one), part("direct_pv", F.col("direct_pv")), zero.alias("single")
     )
     singles = (
-        _with_user(events)
-        .groupBy(*USER_DAY)
-        .agg(F.count("*").alias("n"), F.min("url").alias("url"), F.min("hour_time").alias("hour_time"))
+        by_cell.groupBy(*USER_DAY)
+        .agg(F.sum(_views()).alias("n"), F.min("url").alias("url"), F.min("hour_time").alias("hour_time"))
         .where(F.col("n") == 1)
         .select(*block, zero.alias("pv"), zero.alias("uv"), zero.alias("direct_pv"), part("single", one))
     )
@@ -193,17 +201,17 @@ def floor_at_zero(c: Column) -> Column:
     return F.when(c < 0, F.lit(0.0)).otherwise(c)
 
 
-def hour_profile(events: DataFrame, baseline: Baseline) -> DataFrame:
+def hour_profile(events: DataFrame, baseline: Baseline, by_cell: DataFrame | None = None) -> DataFrame:
     """Distance of a user-day's hours from normal traffic, and its night and evening density.
 
     One window per user-day over at most 25 rows (24 hours and null). Shares are of all views,
     including those without an hour.
     """
     whole_day = Window.partitionBy(*USER_DAY)
+    by_cell = cells(events) if by_cell is None else by_cell
     hours = (
-        _with_user(events)
-        .groupBy(*USER_DAY, "hour_time")
-        .agg(F.count("*").alias("pv"))
+        by_cell.groupBy(*USER_DAY, "hour_time")
+        .agg(F.sum(_views()).alias("pv"))
         .withColumn("share", F.col("pv") / (F.sum("pv").over(whole_day) + F.lit(1e-12)))
         .withColumn("ratio", baseline.hour_ratio(F.col("hour_time")))
     )
@@ -377,7 +385,7 @@ def base_features(
     """All behaviour features without the resolution z-score, one row per user-day."""
     by_cell = cells(events)
     blocks = user_blocks(events, by_cell, salts)
-    hours = hour_profile(events, baseline)
+    hours = hour_profile(events, baseline, by_cell)
     environment = user_environment(events, baseline, salts)
     joined = (
         blocks.join(hours, list(USER_DAY))
