@@ -134,3 +134,32 @@ def test_empty_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.collect() == [], name
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Chains, near misses and pairs just above 0.8: the groups are those of exact Jaccard similarity."""
+    import random
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
+    boiler, texts = rng.choices(words, k=60), []
+    for g in range(40):
+        text = rng.choices(words, k=150) + boiler * (g % 2)
+        texts.append(text)
+        for _ in range(6):
+            other = list(text if rng.random() < 0.6 else texts[-1])
+            for k in rng.sample(range(150), rng.choice([1, 3, 3, 4, 4, 5, 8])):
+                other[k] = rng.choice(words)
+            texts.append(other)
+    joined = [" ".join(t) for t in texts]
+    sets = [shingles(t) for t in joined]
+    alike = [(i, j) for i, j in combinations(range(len(sets)), 2) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert sum(jaccard(sets[i], sets[j]) < 0.83 for i, j in alike) > 20
+    root = list(range(len(sets)))
+    for i, j in alike * len(sets):
+        if root[i] != root[j]:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame(list(enumerate(joined)), "doc_id long, text string")
+    group = {r.doc_id: r.group for r in simhash.similar_groups(docs).collect()}
+    found = {i: min(j for j in group if group[j] == group[i]) for i in group}
+    assert found == dict(enumerate(root))

@@ -18,8 +18,6 @@ columns are read.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traffic_risk.functions.skew import attach
-from traffic_risk.llm.common import map_texts, written
+from traffic_risk.llm.common import drop_written, map_texts, written
 from traffic_risk.llm.components import components
 
 SEGMENTS = ((0, 16), (16, 16), (32, 16), (48, 16))
@@ -121,50 +119,109 @@ def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
     return np.packbits(2 * ones > len(starts), bitorder="little").tobytes()
 
 
+BANDS, ROWS = 40, 6
+"""Values of a signature that must agree for a candidate: one of 40 bands of 6. A pair of Jaccard similarity s is one with
+a chance of 1 - (1 - s^6)^40: all but 5e-6 at 0.8."""
+_DRAWN = np.random.default_rng(11)
+_TIMES = _DRAWN.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _DRAWN.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_MIXED = _DRAWN.integers(0, 1 << 62, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_NUMBERS = _DRAWN.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+
+
+def shingles(text: bytes, size: int = 5) -> set[bytes]:
+    """The different shingles of words; one shorter shingle for few words, none without words."""
+    words = text.lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def signature(text: bytes, size: int = 5) -> tuple[int, np.ndarray]:
+    """Number of different shingles, and a value for each band of their minima under random hash functions."""
+    digest = xxhash.xxh3_64_intdigest
+    found = shingles(text, size)
+    hashes = np.fromiter((digest(s) for s in found), np.uint64, len(found))
+    low, high = hashes.astype(np.uint32)[:, None], (hashes >> np.uint64(32)).astype(np.uint32)[:, None]
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(hashes), 1024):
+        part = low[at : at + 1024] * _TIMES
+        part += _PLUS
+        part ^= high[at : at + 1024]
+        np.minimum(least, part.min(axis=0), out=least)
+    values = (least.reshape(BANDS, ROWS).astype(np.uint64) * _MIXED).sum(axis=1, dtype=np.uint64) ^ _NUMBERS
+    return len(found), values.view(np.int64)
+
+
+def _alike(docs: DataFrame, text_col: str, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (``fp``, ``other``) whose texts' shingles have the Jaccard similarity."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    ends = pairs.select("fp").unionAll(pairs.select(F.col("other").alias("fp"))).distinct()
+    texts = docs.select(F.xxhash64(text).alias("fp"), text.alias("_a"))
+    texts = written(texts.join(ends.hint("merge"), "fp", "left_semi").dropDuplicates(["fp"]), "texts")
+    others = texts.select(F.col("fp").alias("other"), F.col("_a").alias("_b"))
+    both = attach(attach(pairs, texts, ["fp"], ["other"], how="inner"), others, ["other"], ["fp"], how="inner")
+
+    def run(keys: pa.RecordBatch, firsts: list) -> list:
+        last, known, told = None, set(), []
+        for a, b in zip(firsts, keys.column("_b").to_pylist(), strict=True):
+            if b != last:
+                last, known = b, shingles(b.encode("utf-8", "surrogatepass"), size)
+            mine = shingles(a.encode("utf-8", "surrogatepass"), size)
+            common = len(mine & known)
+            union = len(mine) + len(known) - common
+            told.append(not union or common / union >= similarity)
+        return [*keys.columns[:2], pa.array(told, pa.bool_())]
+
+    found = map_texts(both, ["fp", "other", "_b"], "_a", run, "fp bigint, other bigint, alike boolean")
+    out = written(found.where("alike").select("fp", "other"), "alike")
+    drop_written(texts)
+    return out
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """One row per document: ``id_col``, ``row`` (a hash of id and text) and ``group``, equal in a group of near copies.
 
-    Texts are linked if their 256-bit fingerprints differ in no more bits than two sets of shingles of this Jaccard
-    similarity are expected to. Candidates are pairs that differ in at most two bits of some 32-bit segment: both
-    sides enumerate the ball of radius one around each segment's value, and of the fingerprints that meet in a value,
-    neighbours in order, and each with the smallest, are compared over all bits.
+    Groups are the components of texts linked by a Jaccard similarity of their sets of shingles, computed from the texts
+    themselves. Equal texts are one. Candidates are texts that agree in a band of their signatures. First every
+    text is compared with the smallest and the largest one of each of its bands; then all candidates that are not in one
+    component by then are compared, since pairs inside a component cannot change it. No pair between components is left out, except those
+    whose numbers of shingles alone rule the similarity out.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    most = math.floor(WIDE * math.acos(cosine) / math.pi)
 
     def run(keys: pa.RecordBatch, texts: list) -> list:
-        found = np.frombuffer(b"".join([wide_fingerprint(t.encode("utf-8", "surrogatepass"), shingle) for t in texts]), dtype="<i8")
-        return [*keys.columns[:2], *[pa.array(np.ascontiguousarray(c)) for c in found.reshape(-1, 4).T]]
+        found = [signature(t.encode("utf-8", "surrogatepass"), shingle) for t in texts]
+        return [*keys.columns[:3], pa.array([n for n, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.int64()))]
 
-    row = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("row")
-    parts = ["f0", "f1", "f2", "f3"]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row, fp = F.xxhash64(F.col(id_col), text).alias("row"), F.xxhash64(text).alias("fp")
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, row bigint, " + ", ".join(f"{p} bigint" for p in parts)
-    marked = written(
-        map_texts(docs, [id_col, row], text_col, run, schema).withColumn("fp", F.xxhash64(*parts)), "fingerprints"
-    )
-    distinct = marked.select("fp", *parts).dropDuplicates(["fp"])
-    met = []
-    for segment in range(WIDE // 32):
-        value = F.shiftrightunsigned(parts[segment // 2], 32 * (segment % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-        numbered = value.bitwiseOR(F.lit(segment << 32))
-        met += [numbered, *[numbered.bitwiseXOR(F.lit(1 << bit)) for bit in range(32)]]
-    table = distinct.select("fp", F.explode(F.array(*met)).alias("value"))
-    order = Window.partitionBy("value").orderBy("fp")
-    near = table.select("fp", F.lag("fp").over(order).alias("last"), F.first("fp").over(order).alias("hub"))
-    pairs = (
-        near.where("last IS NOT NULL")
-        .select("fp", F.explode(F.array_distinct(F.array("last", "hub"))).alias("other"))
-        .distinct()
-    )
-    others = distinct.select(F.col("fp").alias("other"), *[F.col(p).alias(f"o{p}") for p in parts])
-    both = attach(attach(pairs, distinct, ["fp"], ["other"], how="inner"), others, ["other"], ["fp"], how="inner")
-    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"o{p}"))) for p in parts), F.lit(0))
-    stars = components(both.where(apart <= most), "fp", "other")
-    rooted = attach(marked.select(id_col, "row", "fp"), stars.withColumnRenamed("node", "fp"), ["fp"], ["row"])
-    return rooted.select(id_col, "row", F.coalesce("root", "fp").alias("group"))
+    schema = f"{id_col} {id_type}, row bigint, fp bigint, size bigint, bands array<bigint>"
+    marked = written(map_texts(docs, [id_col, row, fp], text_col, run, schema), "signatures")
+    table = marked.dropDuplicates(["fp"]).select("fp", "size", F.explode("bands").alias("value"))
+    hubs = table.groupBy("value").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most")
+    met = written(attach(table, hubs, ["value"], ["fp"], how="inner"), "met")
+
+    hub_pairs = met.select("fp", F.explode(F.array("least", "most")).alias("other")).where("fp <> other")
+    first = hub_pairs.select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")).distinct()
+    first = written(first, "pairs")
+    edges = _alike(docs, text_col, first, shingle, similarity)
+
+    stars = components(edges, "fp", "other").select(F.col("node").alias("fp"), "root")
+    rooted = attach(met.select("fp", "size", "value"), stars, ["fp"], ["value"])
+    rooted = written(rooted.withColumn("root", F.coalesce("root", "fp")), "rooted")
+    open_ = rooted.groupBy("value").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
+    left = written(attach(rooted, open_.select("value", F.lit(1).alias("_open")), ["value"], ["fp"], how="inner").drop("_open"), "open")
+    right = left.select("value", F.col("fp").alias("other"), F.col("size").alias("_size"), F.col("root").alias("_root"))
+    apart = attach(left, right, ["value"], ["fp"], how="inner").where(F.col("root") < F.col("_root"))
+    near = F.least("size", "_size") >= similarity * F.greatest("size", "_size") - 1e-6
+    rest = apart.where(near).select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")).distinct()
+    rest = written(rest.join(first.hint("merge"), ["fp", "other"], "left_anti"), "pairs")
+    edges = edges.unionAll(_alike(docs, text_col, rest, shingle, similarity))
+
+    stars = components(edges, "fp", "other").withColumnRenamed("node", "fp")
+    out = attach(marked.select(id_col, "row", "fp"), stars, ["fp"], ["row"])
+    return out.select(id_col, "row", F.coalesce("root", "fp").alias("group"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
