@@ -95,3 +95,15 @@ def test_nothing_to_learn(spark):
     rows = ngram_lm.score_texts(docs, F.lit(True)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.score) for r in rows) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
     assert ngram_lm.score_texts(docs.limit(0), F.lit(False)).collect() == []
+
+
+def test_ngrams_seen_twice_count_in_any_corpus(spark):
+    """100,000 other tokens do not push out n-grams that occur twice."""
+    texts = ["red green blue", "red green blue"] + [" ".join(f"w{40 * i + j}" for j in range(40)) for i in range(2500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_lm.score_texts(docs, F.lit(False)).where("doc_id < 2").collect()}
+    p, *_ = plain_model(texts, 3, 0, ngram_lm.LmParams().discount)
+    path = [END, *plain_tokens(texts[0])]
+    want = sum(math.log10(p(tuple(path[max(0, k - 2) : k]), path[k])) for k in range(1, len(path)))
+    assert got[0].score == pytest.approx(want, rel=1e-9)
+    assert got[0].score > got[0].base_score + 8

@@ -1,17 +1,18 @@
 """Log-probabilities of texts under a smoothed n-gram model, walked as a weighted backoff automaton.
 
 Tokens are words and one end per text. Unigrams are add-one estimates over all training tokens. Longer n-grams
-are kept if they make up a fixed share of all training tokens, and get absolute discounting; what the discount
-leaves is the weight of backing off. The share bounds the model (at most 1 / share n-grams of an order), whatever the
-corpus; the counts themselves are exact and cover all training texts.
+are kept from a small count on, so their number grows with the corpus, and get absolute discounting; what the discount
+leaves is the weight of backing off. All counts are exact and cover all training texts.
 
 The automaton has a state per context; an arc reads a word and adds its log-probability; where a state has
 no arc for a word, its failure arc adds the backoff weight and leads to the state of the context without its first
-word, down to the root, which reads every word by its unigram. One pass from left to right carries the state.
+word, down to the root, which reads every word by its unigram. All places of a block's texts walk at once.
 
-Unigrams are as many as there are words, and never meet in one place. Texts are dealt into blocks by a hash of
-their id and length; the words of a block are counted there, summed over all blocks, and the sums of just these words go
-back to the block, where its texts are scored.
+Neither words nor n-grams ever meet in one place. Texts are dealt into blocks by a hash of
+their id and length; the n-grams of a block are counted there, summed over all blocks, and the sums of just these n-grams go
+back to the block. A block that holds an n-gram holds all its parts, so it can tell the n-gram's share of its context's
+backoff weight; the shares are summed by context, and the weights of just its own contexts go back to the block, where its
+texts are scored. N-grams are known by 64-bit hashes.
 
 Defined cases: a null text is empty: one token, the end; a row without id belongs to the training rows; with nothing to
 learn from, every token has probability one over one; repeated rows each get a row (and count each); an empty table
@@ -21,11 +22,11 @@ gives an empty result; only the id and text columns are read.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +40,13 @@ END = b" "
 @dataclass(frozen=True)
 class LmParams:
     order: int = 3
-    share: float = 2e-5
-    """Share of all training tokens that a kept n-gram, and each word in it, makes up."""
+    least: int = 2
+    """Least count of a kept n-gram."""
+    share: float = 0.0
+    """Share of all training tokens that a kept n-gram makes up at least; above 0 it bounds the model."""
     discount: float = 0.5
-    block_bytes: int = 64 << 20
+    block_bytes: int = 16 << 20
+    """Text of a block; all its n-grams are in memory at once."""
 
 
 def tokens(text: str) -> list[bytes]:
@@ -61,213 +65,156 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, held: Column, params:
     return docs.select(F.col(id_col).alias("id"), held.alias("held"), text.alias("text"), block.alias("block")), n
 
 
-def count_words(blocked: DataFrame, n_blocks: int) -> DataFrame:
-    """``block``, ``word``, its training count ``c`` over all blocks, and ``first``: one row per word has it."""
+@dataclass(frozen=True)
+class Places:
+    """The places of texts one after the other, each text led by an end that is no token."""
+
+    keys: list[np.ndarray]
+    """For each order, the hash of the n-gram that ends at every place."""
+    at: np.ndarray
+    """Number of the place in its text: an n-gram of order k ends from place k - 1 on, a token from place 1 on."""
+    sizes: np.ndarray
+    """Places of every text."""
+
+    def ends(self, order: int) -> np.ndarray:
+        """Places where an n-gram of the order ends."""
+        return np.flatnonzero(self.at >= max(order - 1, 1))
+
+
+def places(texts: list[str], order: int) -> Places:
+    known = {END: xxhash.xxh3_64_intdigest(END)}
+    ids: list[int] = []
+    sizes = np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        words = [END, *tokens(text)]
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
+        ids += [known[w] for w in words]
+        sizes[i] = len(words)
+    first = np.array(ids, dtype=np.uint64)
+    at = np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keys = [first]
+    for _ in range(order - 1):
+        keys.append(_mixed(np.concatenate((first[:1], keys[-1][:-1])) * np.uint64(0x9E3779B97F4A7C15) + first))
+    return Places(keys, at, sizes)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection that spreads all bits (Steele, Lea and Flood 2014)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def count_ngrams(blocked: DataFrame, n_blocks: int, params: LmParams) -> DataFrame:
+    """``block``, ``k`` (order), ``key``, its training count ``c`` over all blocks, and ``first``: one row per key has it."""
     ship_package(blocked.sparkSession)
-
-    def count(batches):
-        every: dict[int, Counter] = defaultdict(Counter)
-        train: dict[int, Counter] = defaultdict(Counter)
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("block", "held", "text")), strict=True)
-            for block, held, text in rows:
-                (every if held else train)[block].update(tokens(text))
-        for block in {**every, **train}:
-            counts = train[block]
-            words = list(counts.keys() | every[block].keys())
-            for at in range(0, len(words), 1 << 18):
-                part = words[at : at + (1 << 18)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(part), block, dtype=np.int32)),
-                        pa.array(part, pa.binary()),
-                        pa.array([counts[w] for w in part], pa.int64()),
-                    ],
-                    ["block", "word", "n"],
-                )
+    order = params.order
+
+    def count(rows: pa.Table) -> pa.Table:
+        found = places(rows.column("text").to_pylist(), order)
+        train = np.repeat(~rows.column("held").to_numpy(zero_copy_only=False).astype(bool), found.sizes)
+        ks, keys, ns = [], [], []
+        for k in range(1, order + 1):
+            ends = found.ends(k)
+            different, which = np.unique(found.keys[k - 1][ends], return_inverse=True)
+            ks.append(np.full(len(different), k, dtype=np.int8))
+            keys.append(different.view(np.int64))
+            ns.append(np.bincount(which, weights=train[ends], minlength=len(different)).astype(np.int64))
+        block = np.full(sum(map(len, keys)), rows.column("block")[0].as_py(), dtype=np.int32)
+        columns = [block, *map(np.concatenate, (ks, keys, ns))]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], ["block", "k", "key", "n"])
 
     dealt = blocked.select("block", "held", "text").repartition(n_blocks, "block")
-    found = dealt.mapInArrow(count, "block int, word binary, n bigint")
-    by_word = Window.partitionBy("word")  # a word has a row per block at most
-    return found.select(
-        "block", "word", F.sum("n").over(by_word).alias("c"), (F.min("block").over(by_word) == F.col("block")).alias("first")
+    found = dealt.groupBy("block").applyInArrow(count, "block int, k tinyint, key bigint, n bigint")
+    by_key = Window.partitionBy("k", "key")  # a key has a row per block at most
+    counted = found.select(
+        "block", "k", "key", F.sum("n").over(by_key).alias("c"), (F.min("block").over(by_key) == F.col("block")).alias("first")
     )
-
-
-def count_ngrams(train: DataFrame, words: list[bytes], kept: list[np.ndarray]) -> DataFrame:
-    """Keys and counts of n-grams one longer than the last ``kept``, all of whose parts are kept.
-
-    A key is the rank of the n-gram without its last word, times the number of words, plus the last word.
-    ``kept`` has the sorted keys of orders two and up.
-    """
-    number = {w: i for i, w in enumerate(words)}
-    end, base = number.get(END, -1), len(words)
-
-    def ranks(text: str) -> np.ndarray:
-        get = number.get
-        ids = np.array([end, *[get(w, -1) for w in tokens(text)]], dtype=np.int64)
-        rank = ids
-        for keys in kept:
-            rank = next_rank(rank, ids, keys, base)
-        return _keys(rank, ids, rank, base)
-
-    def count(batches):
-        for batch in batches:
-            found = [ranks(t) for t in batch.column(0).to_pylist()]
-            keys, n = np.unique(np.concatenate(found), return_counts=True) if found else ((), ())
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-    return train.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _keys(rank: np.ndarray, ids: np.ndarray, tail: np.ndarray, base: int) -> np.ndarray:
-    """Keys of the n-grams that end at every place whose parts are kept: the one before, and the one that ends there."""
-    fits = (rank[:-1] >= 0) & (tail[1:] >= 0) & (ids[1:] >= 0)
-    return rank[:-1][fits] * base + ids[1:][fits]
-
-
-def next_rank(rank: np.ndarray, ids: np.ndarray, keys: np.ndarray, base: int) -> np.ndarray:
-    """Rank, among sorted ``keys``, of the longer n-gram that ends at every place, -1 if it is not kept."""
-    out = np.full(len(ids), -1, dtype=np.int64)
-    if len(keys):
-        fits = np.flatnonzero((rank[:-1] >= 0) & (ids[1:] >= 0)) + 1
-        wanted = rank[fits - 1] * base + ids[fits]
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        out[fits] = np.where(keys[at] == wanted, at, -1)
+    return counted.where((F.col("k") == 1) | (F.col("c") >= params.least))
+
+
+def _looked_up(wanted: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of every wanted key, 0 where ``keys`` (sorted) lack it."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+def _by_order(rows: pa.Table, order: int, *names: str) -> list[tuple[np.ndarray, ...]]:
+    """For each order: sorted keys and the named columns."""
+    k, keys = rows.column("k").to_numpy(), rows.column("key").to_numpy().view(np.uint64)
+    columns = [rows.column(c).to_numpy() for c in names]
+    out = []
+    for o in range(1, order + 1):
+        mine = np.flatnonzero(k == o)
+        mine = mine[np.argsort(keys[mine])]
+        out.append((keys[mine], *[c[mine] for c in columns]))
     return out
 
 
-@dataclass(frozen=True)
-class Automaton:
-    """States are contexts; state 0 is the root. Arcs and failure arcs carry natural-log weights."""
-
-    words: dict[bytes, int]
-    arcs: dict[int, tuple[int, float]]
-    """state * number of words + word -> next state, log-probability"""
-    failure: list[tuple[int, float]]
-    """Per state: next state, backoff weight."""
-    after: dict[int, int]
-    """State after a word that the root has read."""
-    start: int
-    train_tokens: int
-    train_words: int
-
-
-def build(words: list[bytes], counts: dict[bytes, int], orders: list[dict[tuple, int]], n: int, v: int, discount: float) -> Automaton:
-    """``orders``: counts of kept n-grams as tuples of word numbers, from bigrams up."""
-    number = {w: i for i, w in enumerate(words)}
-    base = max(len(words), 1)
-    total = n + v + 1
-    log_p: dict[tuple, float] = {(i,): math.log((counts[w] + 1) / total) for i, w in enumerate(words)}
-    seen: dict[tuple, int] = {(i,): counts[w] for i, w in enumerate(words)}
-    backoff: dict[tuple, float] = {(): 0.0}
-
-    def probability(gram: tuple) -> float:
-        weight = 0.0
-        while gram not in log_p:
-            weight += backoff.get(gram[:-1], 0.0)
-            gram = gram[1:]
-        return weight + log_p[gram]
-
-    for grams in orders:
-        by_context: dict[tuple, list[tuple]] = defaultdict(list)
-        for gram in grams:
-            by_context[gram[:-1]].append(gram)
-        found = {}
-        for context, members in by_context.items():
-            # as often as anything follows the context: its count, less none (every text ends by a token)
-            all_ = max(seen[context], sum(grams[g] for g in members))
-            given = sum(grams[g] - discount for g in members) / all_
-            covered = sum(math.exp(probability(g[1:])) for g in members)
-            for g in members:
-                found[g] = math.log((grams[g] - discount) / all_)
-            backoff[context] = math.log(max(1.0 - given, 1e-12)) - math.log(max(1.0 - covered, 1e-12))
-        log_p |= found
-        seen |= grams
-    contexts = sorted(backoff, key=lambda c: (len(c), c))
-    state = {c: i for i, c in enumerate(contexts)}
-
-    def longest(context: tuple) -> int:
-        while context not in state:
-            context = context[1:]
-        return state[context]
-
-    arcs = {
-        state[g[:-1]] * base + g[-1]: (longest(g if len(g) <= len(orders) else g[1:]), p)
-        for g, p in log_p.items()
-        if len(g) > 1
-    }
-    failure = [(longest(c[1:]) if c else 0, backoff[c]) for c in contexts]
-    after = {i: state[(i,)] for i in range(len(words)) if (i,) in state}
-    end = number.get(END)
-    return Automaton(number, arcs, failure, after, state.get((end,), 0), n, v)
-
-
-class Scorer:
-    """Walks the automaton; ``counts`` has the training count of every word that can come."""
-
-    def __init__(self, model: Automaton, counts: dict[bytes, int]):
-        self.model = model
-        self.counts = counts
-        self.total = math.log(model.train_tokens + model.train_words + 1)
-        log = math.log
-        self.unigram = {w: (model.words.get(w, -1), log(c + 1) - self.total, c > 0) for w, c in counts.items()}
-
-    def score(self, text: str) -> tuple[int, int, float, float]:
-        """Tokens, known tokens, base score and model score (both log10)."""
-        model, unigram = self.model, self.unigram
-        arcs, failure, after, base = model.arcs, model.failure, model.after, max(len(model.words), 1)
-        state, known, plain, total = model.start, 0, 0.0, 0.0
-        words = tokens(text)
-        unseen = (-1, -self.total, False)
-        for word in words:
-            number, log_p, seen = unigram.get(word, unseen)
-            known += seen
-            plain += log_p
-            if number >= 0:
-                arc = arcs.get(state * base + number)
-                while arc is None and state:
-                    state, weight = failure[state]
-                    total += weight
-                    arc = arcs.get(state * base + number)
-                if arc is None:
-                    total += log_p
-                    state = after.get(number, 0)
-                else:
-                    total += arc[1]
-                    state = arc[0]
-            else:
-                while state:
-                    state, weight = failure[state]
-                    total += weight
-                total += log_p
-        ten = math.log(10)
-        return len(words), known, plain / ten, total / ten
-
-
-def fit(blocked: DataFrame, counted: DataFrame, params: LmParams) -> Automaton:
-    """The automaton of the training rows; ``counted`` as ``count_words`` gives it."""
-    once = counted.where("first AND c > 0")
-    total = once.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = total.n or 0, total.v
-    least = max(params.share * n, 2)
-    frequent = {bytes(r.word): r.c for r in once.where(F.col("c") >= least).select("word", "c").collect()}
-    words = sorted(frequent)
-    kept: list[np.ndarray] = []
-    grams: list[dict[tuple, int]] = []
-    tuples: list[tuple] = [(i,) for i in range(len(words))]
-    for _ in range(params.order - 1):
-        if not tuples:
-            break
-        train = blocked.where("NOT held")
-        found = count_ngrams(train, words, kept).where(F.col("n") >= least).orderBy("key").toArrow()
-        keys = found.column("key").to_numpy()
-        counts = found.column("n").to_pylist()
-        tuples = [(*tuples[k // len(words)], int(k % len(words))) for k in keys.tolist()]
-        grams.append(dict(zip(tuples, counts, strict=True)))
-        kept.append(keys)
-    return build(words, frequent, grams, n, v, params.discount)
+def backoffs(blocked: DataFrame, counted: DataFrame, n_blocks: int, total: int, params: LmParams) -> DataFrame:
+    """``k``, ``key`` and backoff ``weight`` (natural log) of every context that a kept n-gram continues."""
+    order, discount = params.order, params.discount
+
+    def parts(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        found = places(texts.column("text").to_pylist(), order)
+        tables = _by_order(rows, order, "c", "first")
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for k in range(2, order + 1):
+            keys, counts, first = tables[k - 1]
+            ends = found.ends(k)
+            mine, where = np.unique(found.keys[k - 1][ends], return_index=True)
+            mine, where = mine.astype(np.uint64), ends[where]
+            c = _looked_up(mine, keys, counts * first)  # this block speaks for these
+            where, c = where[c > 0], c[c > 0]
+            count = [_looked_up(found.keys[j - 1][where - gap], *tables[j - 1][:2]) for j, gap in ((k - 1, 1), (k - 1, 0))]
+            if k == 2:
+                lower = (count[1] + 1) / total
+            else:  # the shorter n-gram is as frequent, so it is kept
+                lower = (count[1] - discount) / _looked_up(found.keys[k - 3][where - 1], *tables[k - 3][:2])
+            # as often as anything follows the context: its count (every text ends by a token)
+            context = found.keys[k - 2][where - 1]
+            different, which = np.unique(context, return_inverse=True)
+            out[0].append(np.full(len(different), k - 1, dtype=np.int8))
+            out[1].append(different.view(np.int64))
+            out[2].append(np.bincount(which, weights=(c - discount) / count[0], minlength=len(different)))
+            out[3].append(np.bincount(which, weights=lower, minlength=len(different)))
+        kinds = (np.int8, np.int64, np.float64, np.float64)
+        columns = [np.concatenate([np.zeros(0, t), *c]).astype(t) for c, t in zip(out, kinds, strict=True)]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], ["k", "key", "given", "covered"])
+
+    texts = blocked.select("block", "text").repartition(n_blocks, "block").groupBy("block")
+    shares = texts.cogroup(counted.groupBy("block")).applyInArrow(parts, "k tinyint, key bigint, given double, covered double")
+    summed = shares.groupBy("k", "key").agg(F.sum("given").alias("given"), F.sum("covered").alias("covered"))
+    left = F.log(F.greatest(1 - F.col("given"), F.lit(1e-12))) - F.log(F.greatest(1 - F.col("covered"), F.lit(1e-12)))
+    return summed.select("k", "key", left.alias("weight"))
+
+
+def score_places(found: Places, rows: pa.Table, n: int, v: int, params: LmParams) -> list[np.ndarray]:
+    """For every text: tokens, known tokens, base score and model score (both log10)."""
+    tables = _by_order(rows, params.order, "c", "weight")
+    ends = found.ends(1)
+    count = _looked_up(found.keys[0][ends], *tables[0][:2])
+    plain = np.log(count + 1) - math.log(n + v + 1)
+    score, walking = np.zeros(len(ends)), np.ones(len(ends), dtype=bool)
+    for k in range(params.order, 1, -1):
+        now = np.flatnonzero(walking & (found.at[ends] >= k - 1))
+        where = ends[now]
+        c = _looked_up(found.keys[k - 1][where], *tables[k - 1][:2])
+        context = found.keys[k - 2][where - 1]
+        arc = c > 0
+        all_ = _looked_up(context[arc], *tables[k - 2][:2])
+        score[now[arc]] += np.log((c[arc] - params.discount) / all_)
+        score[now[~arc]] += _looked_up(context[~arc], tables[k - 2][0], tables[k - 2][2])
+        walking[now[arc]] = False
+    score[walking] += plain[walking]
+    text = np.repeat(np.arange(len(found.sizes)), found.sizes)[ends]
+    size, ten = len(found.sizes), math.log(10)
+    known = np.bincount(text, weights=count > 0, minlength=size).astype(np.int64)
+    return [found.sizes - 1, known, *[np.bincount(text, weights=s, minlength=size) / ten for s in (plain, score)]]
 
 
 def score_texts(
@@ -278,22 +225,24 @@ def score_texts(
     Rows for which ``held`` is true are scored but not learned from.
     """
     blocked, n_blocks = in_blocks(docs, id_col, text_col, held, params)
-    counted = written(count_words(blocked, n_blocks), "words")
-    model = blocked.sparkSession.sparkContext.broadcast(fit(blocked, counted, params))  # at most 1 / share per order
+    counted = written(count_ngrams(blocked, n_blocks, params), "ngrams")
+    once = counted.where("k = 1 AND first AND c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    n, v = once.n or 0, once.v
+    kept = counted.where((F.col("k") == 1) | (F.col("c") >= params.share * n))
+    weights = backoffs(blocked, kept, n_blocks, n + v + 1, params)
+    rows = kept.select("block", "k", "key", "c").join(weights.hint("merge"), ["k", "key"], "left")
+    rows = rows.select("block", "k", "key", "c", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     id_type = docs.schema[id_col].dataType
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def score(texts: pa.Table, words: pa.Table) -> pa.Table:
-        scorer = Scorer(model.value, dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True)))
-        found = [scorer.score(t) for batch in texts.column("text").chunks for t in batch.to_pylist()]
-        columns = list(zip(*found, strict=True)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        n_tokens, n_known, plain, total = (pa.array(c, k) for c, k in zip(columns, kinds, strict=True))
-        learned = pa.array(np.full(len(found), model.value.train_tokens, dtype=np.int64))
+    def score(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        found = places(texts.column("text").to_pylist(), params.order)
+        n_tokens, n_known, plain, total = map(pa.array, score_places(found, rows, n, v, params))
+        learned = pa.array(np.full(len(found.sizes), n, dtype=np.int64))
         return pa.Table.from_arrays(
             [texts.column("id"), texts.column("held"), n_tokens, n_known, learned, plain, total], names
         )
 
     schema = f"{id_col} {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    groups = blocked.repartition(n_blocks, "block").groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block"))
+    groups = blocked.repartition(n_blocks, "block").groupBy("block").cogroup(rows.groupBy("block"))
     return groups.applyInArrow(score, schema)
