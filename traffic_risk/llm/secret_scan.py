@@ -35,7 +35,32 @@ ASSIGN_LEAST = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
-VERSION = "1"
+PEM_PART = re.compile(
+    r"""(?:\\[nrt]|[\s"',;>|#*\\])*+(?:(?P<end>-----END (?:[A-Z]+ )*PRIVATE KEY-----)"""
+    r"""|(?P<attribute>[A-Za-z][A-Za-z0-9-]*+:[\x20\t][^\r\n\\]*+)|(?P<body>[A-Za-z0-9+/]++={0,2}))"""
+)
+"""What may follow the header, with the separators before it: line ends, also written as escapes, quotes, marks of quoted lines."""
+PEM_LEAST = 16
+"""Without an END line, shorter runs are words, unless such a run is a line right below a longer one."""
+VERSION = "1.1"
+
+
+def _pem_stop(text: str, at: int) -> int:
+    """Where the private key ends whose header ends at ``at``. The walk stops before any other header."""
+    stop, part = at, PEM_PART.match(text, at)
+    while part:
+        if part["end"]:
+            return part.end()
+        if part["body"]:
+            first, last = part.span("body")
+            line = text[last : last + 2] in ("", "\\n", "\\r") or text[last] in "\r\n"
+            under = part.start() == stop > at and not text[stop:first].strip(" \t\r\nn\\") and re.search(r"[\r\n]|\\[nr]", text[stop:first])
+            if last - first >= PEM_LEAST or under and line:
+                stop = last
+        elif stop > at:
+            break
+        part = PEM_PART.match(text, part.end())
+    return stop
 
 
 def scan(text: str) -> list[tuple[str, int, int, bool]]:
@@ -48,7 +73,7 @@ def scan(text: str) -> list[tuple[str, int, int, bool]]:
         spans += [("access", *m.span(), True) for m in ACCESS.finditer(text)]
     spans += [("hex", *m.span(), True) for m in HEX.finditer(text)]
     if "-----BEGIN " in text:
-        spans += [("pem", *m.span(), False) for m in PEM.finditer(text)]
+        spans += [("pem", m.start(), _pem_stop(text, m.end()), False) for m in PEM.finditer(text)]
     return spans
 
 
