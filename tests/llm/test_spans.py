@@ -156,3 +156,14 @@ def test_private_keys_without_end(spark):
     assert out[3] == "a <SECRET>\nz" and out[0] == "<SECRET>"
     assert not any(line in t for t in out.values() for line in KEY_LINES)
     secret_scan.scan("-----BEGIN PRIVATE KEY-----\n" * 20000 + "abcdefghijklmnopqrstuvwx\n" * 40000)
+
+
+@pytest.mark.parametrize("text, shown", [
+    ("write to jane [at] example.com today", "jane [at] example.com"),
+    ("write to jane(at)example.com today", "jane(at)example.com"),
+    ("write to jane at example.com today", "jane at example.com"),
+    ("jane.doe {AT} mail.example.org", "jane.doe {AT} mail.example.org"),
+    ("schreib jane ( klammeraffe ) example.de", "jane ( klammeraffe ) example.de"),
+])
+def test_a_disguised_at_is_enough(text, shown):
+    assert [(k, text[a:b]) for k, a, b, _ in pii.find(text)] == [("email", shown)]

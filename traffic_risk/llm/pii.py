@@ -90,8 +90,11 @@ _SPELLED = re.compile(
 _SPELLED_PART = re.compile(rf"(?<!\w)(?:plus|{_DIGIT})(?!\w)|[0-9]|[\x20,-]+", re.I)
 _SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_DIGIT})[\x20,-]{{1,2}}(?:{_DIGIT})(?!\w)", re.I)
 _DOT_HINT = re.compile(rf"(?:\x20|{_LEFT})(?:{DOT})(?:\x20|{_RIGHT})", re.I)
+_AT_HINT = re.compile(
+    rf"{_LEFT}\x20?(?:{AT})\x20?{_RIGHT}|\x20(?:{AT})\x20{_PART}(?:\.{_PART}){{0,3}}\.(?:{TOP})(?![A-Za-z0-9-])", re.I
+)
 _SIGN_HINT = re.compile(rf"{_LEFT}\x20?[.@]\x20?{_RIGHT}")
-_DOTS = DOT.split("|")
+_DOTS, _ATS = DOT.split("|"), AT.split("|")
 _TELLING = frozenset(DIGIT_WORDS) - {"un", "uno"}
 
 
@@ -171,6 +174,8 @@ def disguised(text: str) -> bool:
     lowered = text.lower()
     if any(word in lowered for word in _DOTS) and _DOT_HINT.search(text):
         return True
+    if any(word in lowered for word in _ATS) and _AT_HINT.search(text):
+        return True
     words = lowered.replace("-", " ").replace(",", " ").split()
     return not _TELLING.isdisjoint(words) and bool(_SPELLED_HINT.search(text))
 
