@@ -95,3 +95,14 @@ def test_labelled_rows(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert quality.rate_quality(docs, docs.select("doc_id")).collect() == []
+
+
+def test_nearly_all_poor_rows_go(spark):
+    sf = "/root/testdata/sf0.01"
+    rated = registry.QUERIES["op10_quality"](spark, sf).where("NOT base_failed")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    kept = F.avg(F.col("kept").cast("int")).alias("kept")
+    found = {r.quality: r.kept for r in rated.join(labels, "doc_id").groupBy("quality").agg(kept).collect()}
+    print(found)
+    assert found[1] > 0.99
+    assert found[0] < 0.05

@@ -37,9 +37,7 @@ MOST_REPEATED = 50
 class QualityParams:
     buckets: int = 1 << 13
     quantile: float = 0.002
-    """Share of trusted documents that may score below the threshold before the margin."""
-    margin: float = 0.1
-    """How far below that quantile documents are still kept."""
+    """Share of trusted documents that may score below the threshold."""
     bins_per_unit: int = 1000
 
 
@@ -157,7 +155,7 @@ def score_words(words: str, ratios: list[float]) -> Column:
 
 
 def threshold(scored: DataFrame, trusted: DataFrame, id_col: str, params: QualityParams) -> float:
-    """The lower edge of the bin that holds the quantile of the trusted scores, less the margin."""
+    """The lower edge of the bin that holds the quantile of the trusted scores."""
     ids = trusted.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
     bins = (
         scored.where("n_words > 0")
@@ -171,7 +169,7 @@ def threshold(scored: DataFrame, trusted: DataFrame, id_col: str, params: Qualit
     for r in bins:
         left -= r["count"]
         if left < 0:
-            return r["bin"] / params.bins_per_unit - params.margin
+            return r["bin"] / params.bins_per_unit
     return -math.inf
 
 
