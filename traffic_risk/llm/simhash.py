@@ -1,11 +1,10 @@
-"""Near-duplicate texts by SimHash fingerprints and multi-index hashing.
+"""Near-duplicate texts by SimHash fingerprints and Hamming balls.
 
 Charikar: Similarity estimation techniques from rounding algorithms (2002); Norouzi, Punjani and
 Fleet: Fast exact search in Hamming space with multi-index hashing (2014).
 
-The 64 bits of a fingerprint are cut into segments. Around every segment's value the Hamming ball of
-radius one is enumerated, the rest of the fingerprint staying as it is, and every value reached is
-a row of the table, keyed by all 64 bits. Two fingerprints differ in at most two bits exactly if they meet
+Around every fingerprint the Hamming ball of radius one is enumerated, and every value reached is a row of the table,
+keyed by all 64 bits. There is no table for each segment, as multi-index hashing has: the whole fingerprint's ball replaces it. Two fingerprints differ in at most two bits exactly if they meet
 in such a row: each of them turns one of the differing bits. A row is reached by at most 65 different
 fingerprints, so groups of copies of any size never make a long list, and linking all fingerprints
 of a row to its smallest one keeps every component. The complete distance of each link is verified.
