@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traffic_risk.llm import (
+    clustering,
     decontaminate,
+    hard_negatives,
     language,
     main_text,
     ngram_lm,
@@ -20,6 +22,8 @@ from traffic_risk.llm import (
     simhash,
     spans,
     substring_dedup,
+    toxicity,
+    vector_sql,
 )
 from traffic_risk.session import scratch_dir
 
@@ -123,3 +127,32 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return main_text.main_texts(pages, main_text.fit(pages, "html"))
+
+
+@query
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(table(spark, sf_dir, "embeddings"))
+    digest = clustering.centroid_digest("centroid").alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+CHECKS["op11_clusters"] = vector_sql.clusters()
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language.held_out("doc_id", 5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score_toxicity(docs, model, ["doc_id", held.alias("held_out")], "doc_id bigint, held_out boolean")
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id gets the next label, which gives the anchors rows of a wrong label among the near ones."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+CHECKS["op13_hard_negatives"] = vector_sql.hard_negatives()
