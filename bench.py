@@ -56,13 +56,14 @@ def main() -> None:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs[name] = round(time.perf_counter() - start, 3)
             spark.catalog.clearCache()
+    print(json.dumps({"spark": seconds}), file=sys.stderr, flush=True)
     con, duck = connect(sf_dir), {}
     con.execute(f"SET threads = {int(cpus)}")
     for name in names:
         if name in CHECKS:
             for _ in range(2):
                 start = time.perf_counter()
-                con.execute(CHECKS[name]).arrow().read_all()
+                con.execute(CHECKS[name]).to_arrow_table()
                 duck[name] = round(time.perf_counter() - start, 3)
     ratio = {n: round(seconds[n] / max(s, 0.001), 1) for n, s in duck.items()}
     print(

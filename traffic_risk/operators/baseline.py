@@ -53,17 +53,19 @@ class Baseline:
         return cls(hours, **{r["name"]: r["value"] for r in rows if r["name"] != "hour"})
 
 
-def fit_hour_distribution(events: DataFrame) -> DataFrame:
+def hour_counts(events: DataFrame) -> DataFrame:
+    """Page views per day and hour."""
+    placed = events.where(F.col("date").isNotNull() & F.col("hour_time").isNotNull())
+    return placed.groupBy("date", "hour_time").agg(F.count("*").alias("pv"))
+
+
+def fit_hour_distribution(events: DataFrame | None, by_hour: DataFrame | None = None) -> DataFrame:
     """Share of each hour in a day's traffic: median over the days that have the hour.
 
     After the first aggregation there are at most 24 rows per day, so the two windows and the
-    exact median work on groups bounded by hours and by days.
+    exact median work on groups bounded by hours and by days. With ``by_hour`` (see ``hour_counts``) events are not read.
     """
-    by_hour = (
-        events.where(F.col("date").isNotNull() & F.col("hour_time").isNotNull())
-        .groupBy("date", "hour_time")
-        .agg(F.count("*").alias("pv"))
-    )
+    by_hour = hour_counts(events) if by_hour is None else by_hour
     day_total = F.sum("pv").over(Window.partitionBy("date"))
     typical = (
         by_hour.withColumn("ratio", F.col("pv") / (day_total + F.lit(1e-12)))
@@ -91,21 +93,22 @@ def segment_users(events: DataFrame) -> DataFrame:
     )
 
 
-def fit_c_segment(events: DataFrame) -> DataFrame:
-    """Typical users per C segment: mean over days of the daily median and standard deviation.
+def segment_days(users: DataFrame) -> DataFrame:
+    """Median and standard deviation of each day's users per C segment, from ``segment_users``.
 
     The exact median holds one entry per *distinct* count of a day; k distinct counts need at least
-    k(k+1)/2 users, so ten billion users a day make no more than 150,000 entries. A day
-    with one segment has no deviation and is skipped; a mean deviation of 0 becomes 1.
+    k(k+1)/2 users, so ten billion users a day make no more than 150,000 entries.
     """
-    daily = (
-        segment_users(events)
-        .groupBy("date")
-        .agg(
-            F.percentile("cnt", F.lit(0.5)).alias("middle"),
-            F.stddev_samp("cnt").alias("deviation"),
-        )
-    )
+    return users.groupBy("date").agg(F.percentile("cnt", F.lit(0.5)).alias("middle"), F.stddev_samp("cnt").alias("deviation"))
+
+
+def fit_c_segment(events: DataFrame | None, daily: DataFrame | None = None) -> DataFrame:
+    """Typical users per C segment: mean over days of the daily median and standard deviation.
+
+    A day with one segment has no deviation and is skipped; a mean deviation of 0 becomes 1. With ``daily`` (see
+    ``segment_days``) events are not read.
+    """
+    daily = segment_days(segment_users(events)) if daily is None else daily
     deviation = F.avg("deviation")
     return daily.agg(
         F.avg("middle").alias("c_mean"),
@@ -113,10 +116,13 @@ def fit_c_segment(events: DataFrame) -> DataFrame:
     )
 
 
-def fit_baseline(events: DataFrame) -> Baseline:
-    """Learn the baseline in one job. Brings at most 26 rows to the driver."""
-    hours = fit_hour_distribution(events).where(F.col("hour_time").between(0, 23))
-    segments = fit_c_segment(events)
+def fit_baseline(events: DataFrame | None, by_hour: DataFrame | None = None, by_day: DataFrame | None = None) -> Baseline:
+    """Learn the baseline in one job. Brings at most 26 rows to the driver.
+
+    With ``by_hour`` and ``by_day`` (see ``hour_counts`` and ``segment_days``) events are not read.
+    """
+    hours = fit_hour_distribution(events, by_hour).where(F.col("hour_time").between(0, 23))
+    segments = fit_c_segment(events, by_day)
     rows = hours.select(F.lit("hour").alias("name"), "hour_time", F.col("ratio").alias("value"))
     for name in ("c_mean", "c_std"):
         rows = rows.unionAll(segments.select(F.lit(name), F.lit(-1), F.col(name)))

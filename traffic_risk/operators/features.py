@@ -173,13 +173,13 @@ def c_segment_zscore(events: DataFrame, baseline: Baseline) -> DataFrame:
 
 
 def user_environment(
-    events: DataFrame, baseline: Baseline, salts: int | None = None
+    events: DataFrame, baseline: Baseline, salts: int | None = None, addresses: DataFrame | None = None
 ) -> DataFrame:
     """Largest shared-address count and C-segment z-score of each user-day.
 
     The z-score grows with the segment's count, so the maximum is taken on counts.
     """
-    addresses = user_addresses(events)
+    addresses = user_addresses(events) if addresses is None else addresses
     by_ip = exact_ip_users(events, addresses)
     by_segment = _segment_counts(addresses)
     pairs = attach(addresses, by_ip, ("date", "ip"), ("distinct_id",), salts)
@@ -381,12 +381,13 @@ def base_features(
     events: DataFrame,
     baseline: Baseline,
     salts: int | None = None,
+    partials=None,
 ) -> DataFrame:
     """All behaviour features without the resolution z-score, one row per user-day."""
-    by_cell = cells(events)
+    by_cell = cells(events) if partials is None else partials.cells
     blocks = user_blocks(events, by_cell, salts)
     hours = hour_profile(events, baseline, by_cell)
-    environment = user_environment(events, baseline, salts)
+    environment = user_environment(events, baseline, salts, None if partials is None else partials.addresses)
     joined = (
         blocks.join(hours, list(USER_DAY))
         .join(environment, list(USER_DAY))
@@ -405,13 +406,18 @@ def user_day_features(
     resolution=None,
     leave_one_day_out: bool = False,
     salts: int | None = None,
+    partials=None,
 ) -> DataFrame:
-    """All 21 features. Without a resolution baseline the z-score column is 0."""
+    """All 21 features. Without a resolution baseline the z-score column is 0.
+
+    With ``partials`` (see ``partials.Partials``) events are not read; they may be null then.
+    """
     from traffic_risk.operators.resolution import attach_resolution_feature
 
-    out = base_features(events, baseline, salts)
+    out = base_features(events, baseline, salts, partials)
     if resolution is None:
         out = out.withColumn(RESOLUTION_Z, F.lit(0.0))
     else:
-        out = attach_resolution_feature(out, events, resolution, leave_one_day_out, salts=salts)
+        screens = None if partials is None else partials.screens
+        out = attach_resolution_feature(out, events, resolution, leave_one_day_out, salts=salts, by_resolution=screens)
     return select_features(out, FEATURES, strict=True)

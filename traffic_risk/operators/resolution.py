@@ -54,17 +54,22 @@ class ResolutionBaseline:
         return cls(spark.read.parquet(path), params)
 
 
-def main_resolution(events: DataFrame) -> DataFrame:
+def screen_counts(events: DataFrame) -> DataFrame:
+    """Page views per (day, user, canonical resolution); the resolution may be null."""
+    return (
+        events.where(F.col("date").isNotNull() & F.col("distinct_id").isNotNull())
+        .groupBy(*USER_DAY, canonical_resolution("screen_width", "screen_height").alias("resolution"))
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def main_resolution(events: DataFrame, by_resolution: DataFrame | None = None) -> DataFrame:
     """Most frequent canonical resolution per user-day, null if it has none.
 
     Counted per (user-day, resolution) first, so a user-day of any size is a handful of rows. Ties
     go to the smaller name (the reference takes whichever it met first).
     """
-    by_resolution = (
-        events.where(F.col("date").isNotNull() & F.col("distinct_id").isNotNull())
-        .groupBy(*USER_DAY, canonical_resolution("screen_width", "screen_height").alias("resolution"))
-        .agg(F.count("*").alias("n"))
-    )
+    by_resolution = screen_counts(events) if by_resolution is None else by_resolution
     best = F.min(F.when(F.col("resolution").isNotNull(), F.struct(-F.col("n"), "resolution")))
     return by_resolution.groupBy(*USER_DAY).agg(best["resolution"].alias("main_resolution_canonical"))
 
@@ -256,6 +261,67 @@ def summarize_shares(rows: DataFrame) -> DataFrame:
     )
 
 
+def leave_one_out(rows: DataFrame) -> DataFrame:
+    """Median and scale of every bucket's shares without each of its days, one row per (resolution_bucket, date).
+
+    By order statistics: shares are sorted once for each bucket, and the k-th of them without one value is the next one in order if the
+    k-th is not below that value. The median without a day can only take three values, so three sorted arrays of deviations serve
+    all days in the same way. Mean and variance are updated by the day's share.
+    """
+    n = F.size("shares")
+    kept = n - 1
+    low, high = F.floor((kept - 1) / 2).cast("int"), F.floor(kept / 2).cast("int")
+    zero = F.lit(0.0)
+
+    def without(ordered: Column, k: Column, value: Column) -> Column:
+        at = F.get(ordered, k)
+        return F.when(at >= value, F.get(ordered, k + 1)).otherwise(at)
+
+    def middle(ordered: Column, value: Column) -> Column:
+        return (without(ordered, low, value) + without(ordered, high, value)) / 2
+
+    def deviations(center: Column) -> Column:
+        return F.array_sort(F.transform("ordered", lambda x: F.abs(x - center)))
+
+    ordered = F.col("ordered")
+    # without a day above, below or between the two middle ones
+    centers = {
+        "above": (F.get(ordered, low) + F.get(ordered, high)) / 2,
+        "below": (F.get(ordered, low + 1) + F.get(ordered, high + 1)) / 2,
+        "between": (F.get(ordered, low) + F.get(ordered, high + 1)) / 2,
+    }
+    mean = F.aggregate("shares", zero, lambda s, x: s + x) / n
+    squares = F.aggregate("shares", zero, lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean")))
+    prepared = (
+        rows.withColumn("shares", F.col("days.daily_share"))
+        .withColumns({"ordered": F.array_sort("shares"), "mean": mean})
+        .withColumn("squares", squares)
+        .withColumns({name: deviations(center) for name, center in centers.items()})
+        .select("resolution_bucket", "share_scale_floor", "ordered", "mean", "squares", n.alias("n"), *centers, F.explode("days").alias("day"))
+    )
+    n, x = F.col("n"), F.col("day.daily_share")
+    kept = n - 1
+    low, high = F.floor((kept - 1) / 2).cast("int"), F.floor(kept / 2).cast("int")
+    center = middle(ordered, x)
+    moved_low, moved_high = F.get(ordered, low) >= x, F.get(ordered, high) >= x
+    which = F.when(moved_low, F.col("below")).when(moved_high, F.col("between")).otherwise(F.col("above"))
+    left = F.greatest(F.col("squares") - (x - F.col("mean")) * (x - F.col("mean")) * n / kept, zero)
+    robust = F.lit(MAD_SCALE) * middle(which, F.abs(x - F.col("center")))
+    std = F.when(kept > 1, F.sqrt(left / (kept - 1))).otherwise(zero)
+    least = F.col("share_scale_floor")
+    return (
+        prepared.where(n > 1)
+        .withColumn("center", center)
+        .withColumns({"robust": robust, "std": std})
+        .select(
+            "resolution_bucket",
+            F.col("day.date").alias("date"),
+            F.col("center").alias("daily_share_median"),
+            F.when(F.col("robust") > least, F.col("robust")).when(F.col("std") > least, F.col("std")).otherwise(least).alias("daily_share_scale"),
+        )
+    )
+
+
 def fit_share_baseline(daily: DataFrame, params: ResolutionParams = ResolutionParams()) -> DataFrame:
     """Per bucket: all training days and their summary.
 
@@ -293,15 +359,19 @@ def _scored(shares: DataFrame, baseline: ResolutionBaseline, leave_one_day_out:
     """
     fitted = baseline.shares.withColumnRenamed("resolution", "resolution_bucket")
     keep = [c for c in shares.columns if c != RESOLUTION_Z]
+    summary = fitted.select("resolution_bucket", "daily_share_median", "daily_share_scale")
+    rows = shares.join(summary, "resolution_bucket", "left")
     if leave_one_day_out:
-        fitted = fitted.select("resolution_bucket", "days", "share_scale_floor")
-        others = F.filter("days", lambda d: d["date"] != F.col("date"))
-        rows = summarize_shares(
-            shares.join(fitted, "resolution_bucket", "left").withColumn("days", others)
+        # a row's own day may not be one of the training days: then nothing is left out
+        own = leave_one_out(fitted).withColumnsRenamed({"daily_share_median": "own_median", "daily_share_scale": "own_scale"})
+        trained = fitted.select("resolution_bucket", F.explode("days.date").alias("date"), F.lit(True).alias("own_day"))
+        own = trained.join(own, ["resolution_bucket", "date"], "left")
+        rows = rows.join(own, ["resolution_bucket", "date"], "left").withColumns(
+            {
+                "daily_share_median": F.when(F.col("own_day"), F.col("own_median")).otherwise(F.col("daily_share_median")),
+                "daily_share_scale": F.when(F.col("own_day"), F.col("own_scale")).otherwise(F.col("daily_share_scale")),
+            }
         )
-    else:
-        fitted = fitted.select("resolution_bucket", "daily_share_median", "daily_share_scale")
-        rows = shares.join(fitted, "resolution_bucket", "left")
     z = (F.col("daily_share") - F.col("daily_share_median")) / F.col("daily_share_scale")
     usable = z.isNotNull() & ~F.isnan(z) & (F.abs(z) != F.lit(float("inf")))
     clipped = F.least(F.greatest(z, F.lit(0.0)), F.lit(float(baseline.params.z_clip)))
@@ -347,9 +417,10 @@ def attach_resolution_feature(
     baseline: ResolutionBaseline,
     leave_one_day_out: bool = False,
     salts: int | None = None,
+    by_resolution: DataFrame | None = None,
 ) -> DataFrame:
     """Give every user-day the z-score of its bucket; without a resolution it is 0."""
-    main = main_resolution(events)
+    main = main_resolution(events, by_resolution)
     scores = resolution_scores(daily_resolutions(main), baseline, leave_one_day_out).select(
         "date", F.col("resolution").alias("main_resolution_canonical"), "n", F.col(RESOLUTION_Z).alias("z")
     )

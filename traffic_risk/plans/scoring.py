@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
 from pyspark import StorageLevel
@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from traffic_risk.columns import GBT_REQUIRED, IFOREST_REQUIRED, RAW_REQUIRED
 from traffic_risk.operators.baseline import Baseline
 from traffic_risk.operators.features import user_day_features
+from traffic_risk.operators import partials
 from traffic_risk.operators.models import BoostedTrees, IsolationForest, score_features
 from traffic_risk.operators.resolution import ResolutionBaseline
 from traffic_risk.params import RETENTION_DAYS
+from traffic_risk.sources import versions
 from traffic_risk.sources.store import (
     LOADED_AT,
+    append_batch,
     day_manifest,
     drop_expired,
     read_batches,
@@ -27,9 +30,7 @@ from traffic_risk.sources.store import (
     replace_found,
     require_columns,
     require_dates,
-    stale_dates,
     stored_days,
-    write_partitions,
 )
 
 
@@ -81,12 +82,55 @@ def build_scores(events: DataFrame, models: Models) -> tuple[DataFrame, DataFram
     return iforest, score_features(iforest, models.gbt)
 
 
+def append_events(df: DataFrame, store: Store, name: str, batch_id: int = 0) -> list[str]:
+    """``append_batch`` to the raw events, with the batch's partial aggregates; the days it has rows for."""
+    return append_batch(require_columns(df, RAW_REQUIRED, "raw events"), store.raw, name, batch_id, partials.stored)
+
+
+def day_partials(spark: SparkSession, store: Store, dates: Iterable[str], version: versions.Version | None = None) -> partials.Partials:
+    """Merged partial aggregates of stored days. Raw events are read only of batches that were written without."""
+    version = version or versions.current(spark, store.raw)
+    days = [str(d) for d in dates]
+    kept = {kind: versions.read_derived(spark, store.raw, kind, days, version) for kind in partials.KINDS}
+    bare = versions.read_underived(spark, store.raw, partials.KINDS, days, version)
+    parts = [kept] if all(k is not None for k in kept.values()) else []
+    if bare is not None:
+        parts.append(partials.stored(require_columns(bare.where(F.col("date").isNotNull()), RAW_REQUIRED, "raw events")))
+    if not parts:
+        raise ValueError(f"no raw events of {', '.join(days)}")
+    return partials.merge(parts)
+
+
+def day_features(spark: SparkSession, store: Store, dates: Iterable[str], models: Models, version: versions.Version | None = None) -> DataFrame:
+    """Features of stored days from their partial aggregates."""
+    parts = day_partials(spark, store, dates, version)
+    return user_day_features(None, models.baseline, models.resolution, partials=parts)
+
+
+def _score_days(spark: SparkSession, store: Store, days: list[str], models: Models) -> None:
+    """Derive the days and put them in place of their former scores, each table in one step.
+
+    What the scores were made from, the content of the raw days and the models, is remembered with them.
+    """
+    raw = versions.current(spark, store.raw)
+    gaps = [d for d in days if d not in raw.days]
+    if gaps:
+        raise ValueError(f"raw events has no rows for {', '.join(gaps)}")
+    iforest = _stamp(score_features(day_features(spark, store, days, models, raw), models.iforest), models)
+    _put_scores(spark, iforest, store.iforest, days, raw, models)
+    fresh = versions.read_version(spark, store.iforest, days=days).drop(versions.BATCH)
+    _put_scores(spark, _stamp(score_features(fresh, models.gbt), models), store.gbt, days, raw, models)
+
+
+def _put_scores(spark: SparkSession, scores: DataFrame, path: str, days: list[str], raw: versions.Version, models: Models) -> None:
+    entries = versions.write_batch(scores, path, "scores", stamp=False)
+    made = {d: replace(e, facts={"raw": raw.digest(d), "models": models.version}) for d, e in entries.items()}
+    versions.commit(spark, path, lambda v: v.with_days("scores", made, set(days), remember=False))
+
+
 def build_store(spark: SparkSession, store: Store, models: Models) -> None:
     """Score all stored raw days. The second table reads the features the first one wrote."""
-    iforest = score_features(_features(read_batches(spark, store.raw), models), models.iforest)
-    write_partitions(_stamp(iforest, models), store.iforest)
-    gbt = score_features(read_table(spark, store.iforest), models.gbt)
-    write_partitions(_stamp(gbt, models), store.gbt)
+    _score_days(spark, store, stored_days(spark, store.raw), models)
 
 
 def rescore_dates(
@@ -107,23 +151,13 @@ def rescore_dates(
 
 
 def rescore_store(spark: SparkSession, store: Store, dates: Iterable, models: Models) -> None:
-    """Derive the given days again from the stored raw days and overwrite their partitions.
-
-    That every day is there is checked on the raw events: each of their user-days gets a score, and
-    the check then reads one column instead of running the features twice.
-    """
-    days = sorted({str(d) for d in dates})
-    wanted = F.col("date").isin(*[F.lit(d).cast("date") for d in days])
-    touched = require_dates(read_batches(spark, store.raw).where(wanted), days, "raw events")
-    iforest = score_features(_features(touched, models), models.iforest)
-    write_partitions(_stamp(iforest, models), store.iforest)
-    gbt = score_features(read_table(spark, store.iforest).where(wanted), models.gbt)
-    write_partitions(_stamp(gbt, models), store.gbt)
+    """Derive the given days again from the stored partial aggregates and switch to them."""
+    _score_days(spark, store, sorted({str(d) for d in dates}), models)
 
 
 def backfill_day(spark: SparkSession, store: Store, fetched: DataFrame, day, models: Models) -> None:
     """Replace one day in raw events and both score tables; no retention cut."""
-    replace_batches(fetched, store.raw, [day])
+    replace_batches(fetched, store.raw, [day], partials.stored)
     rescore_store(spark, store, [day], models)
 
 
@@ -133,17 +167,20 @@ def stored_manifest(spark: SparkSession, path: str, stamp: str, *extra: str) ->
 
 
 def stale_store_dates(spark: SparkSession, store: Store, models: Models) -> list[str]:
-    """Days of the store whose scores do not fit its raw events and these models (at most its days)."""
-    raw = stored_manifest(spark, store.raw, LOADED_AT)
-    if not stored_days(spark, store.gbt) or not stored_days(spark, store.iforest):
-        return sorted(str(r[0]) for r in raw.select("date").collect())
+    """Days of the store whose scores do not fit its raw events and these models (at most its days).
+
+    Decided by content: scores remember the digest of the raw day they were made from, so a day that was loaded again
+    with the same rows is not stale, whatever its time stamps. Reads versions only, no rows. Scores that lack a column are stale.
+    """
+    raw = versions.current(spark, store.raw)
     found = set()
     for path, required in ((store.iforest, IFOREST_REQUIRED), (store.gbt, GBT_REQUIRED)):
-        scores = read_table(spark, path)
-        lacking = [c for c in (*required, "built_at", "model_version") if c not in scores.columns]
-        known = scores.withColumns({c: F.lit(None).cast("timestamp" if c == "built_at" else "string") for c in lacking if c in ("built_at", "model_version")})
-        built = day_manifest(known, "built_at", "model_version")
-        found |= {str(r[0]) for r in stale_dates(raw, built, models.version, lacking).collect()}
+        scored = versions.current(spark, path)
+        lacking = not scored.days or any(c not in read_table(spark, path).columns for c in (*required, "built_at", "model_version"))
+        for day in raw.days:
+            facts = [dict(e.facts) for e in scored.days.get(day, {}).values()]
+            if lacking or facts != [{"raw": raw.digest(day), "models": models.version}] or not raw.digest(day):
+                found.add(day)
     return sorted(found)
 
 
@@ -175,9 +212,11 @@ def sync_window(
     while gaps:
         n = next((k for k in range(1, len(gaps)) if gaps[k] - gaps[k - 1] != timedelta(days=1)), len(gaps))
         part, gaps = gaps[:n], gaps[n:]
-        fetched += replace_found(fetch(str(part[0]), str(part[-1])), store.raw, part)
+        fetched += replace_found(fetch(str(part[0]), str(part[-1])), store.raw, part, partials.stored)
     expired = sorted({d for path in (store.raw, store.iforest, store.gbt) for d in drop_expired(spark, path, as_of, days)})
     stale = stale_store_dates(spark, store, models) if stored_days(spark, store.raw) else []
     if stale:
         rescore_store(spark, store, stale, models)
+    for path in (store.raw, store.iforest, store.gbt):
+        versions.sweep(spark, path)
     return fetched, expired, stale

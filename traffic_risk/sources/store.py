@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traffic_risk.params import RETENTION_DAYS
+from traffic_risk.sources import versions
+from traffic_risk.sources.versions import BATCH, LOADED_AT, Derive
+from traffic_risk.sources.versions import children as _children
+from traffic_risk.sources.versions import delete as _delete
+from traffic_risk.sources.versions import exists as _exists
 
-BATCH = "ingest_batch"
-"""Partition below the day of raw tables: the name of an ingest and the number of one of its batches."""
 BACKFILL = "backfill"
-LOADED_AT = "loaded_at"
 
 
 def require_columns(df: DataFrame, required: Sequence[str], what: str = "table") -> DataFrame:
@@ -29,7 +31,9 @@ def require_columns(df: DataFrame, required: Sequence[str], what: str = "table")
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType | None = None, start=None, end=None
 ) -> DataFrame:
-    """A stored table, optionally a date range of it; the range prunes partitions."""
+    """A stored table, optionally a date range of it; the range prunes partitions. Of a versioned table, the newest version."""
+    if versions.is_versioned(spark, path):
+        return versions.read_version(spark, path, start, end).drop(BATCH)
     reader = spark.read if schema is None else spark.read.schema(schema)
     df = reader.parquet(path)
     return df if start is None and end is None else date_range(df, start, end)
@@ -70,94 +74,102 @@ def write_partitions(df: DataFrame, path: str, *below: str) -> None:
     )
 
 
-def append_batch(df: DataFrame, path: str, name: str, batch_id: int = 0) -> list[str]:
+def append_batch(df: DataFrame, path: str, name: str, batch_id: int = 0, derive: Derive | None = None) -> list[str]:
     """Add one batch to a raw table that keeps batches apart below the day; the days it has rows for.
 
-    ``name`` tells ingests apart: one per load, and per stream and checkpoint. A batch overwrites its own
-    partitions only, so writing it again after a failure changes nothing. Days on which a backfill has replaced
-    this very batch are left out. Every row gets the time it was loaded. ``df`` is evaluated once.
+    ``name`` tells ingests apart: one per load, and per stream and checkpoint. A batch takes the place of its own
+    earlier attempt, in one step with all its days, so writing it again after a failure changes nothing. Days on which a backfill has replaced
+    this very batch are left out. Every row gets the time it was loaded. ``df`` is evaluated once. ``derive`` names tables that
+    are made from the batch's rows and kept with them, see ``versions``.
     """
-    batch = f"{name}-{int(batch_id)}"
-    replaced = _children(df.sparkSession, f"{path.rstrip('/')}/{_REPLACED}/{batch}")
-    days = [F.lit(d.removeprefix("date=")).cast("date") for d in replaced]
-    rows = df.where(~F.col("date").isin(*days)) if days else df
-    stamped = rows.withColumn(LOADED_AT, F.current_timestamp()).withColumn(BATCH, F.lit(batch))
-    write_partitions(stamped, path, BATCH)
-    return days_of_batch(df.sparkSession, path, batch)
+    spark, batch = df.sparkSession, f"{name}-{int(batch_id)}"
+    replaced = versions.current(spark, path).replaced.get(batch, ())
+    days = [F.lit(d).cast("date") for d in replaced]
+    entries = versions.write_batch(df.where(~F.col("date").isin(*days)) if days else df, path, batch, derive)
+    now = versions.commit(spark, path, lambda v: v.with_batch(batch, entries))
+    return sorted(d for d in entries if batch in now.days.get(d, {}))
 
 
 def days_of_batch(spark: SparkSession, path: str, batch: str) -> list[str]:
-    """Days a raw table holds rows of a batch for, by its folders."""
-    days = [d for d in _children(spark, path) if d.startswith("date=")]
-    return sorted(d.removeprefix("date=") for d in days if _exists(spark, f"{path.rstrip('/')}/{d}/{BATCH}={batch}"))
+    """Days a raw table holds rows of a batch for."""
+    return sorted(d for d, own in versions.current(spark, path).days.items() if batch in own)
 
 
 def claim_name(spark: SparkSession, path: str, name: str, owner: str) -> None:
     """Keep an ingest's name for one checkpoint; an error if another one has it."""
     at = f"{path.rstrip('/')}/_ingests/{name}"
     if _exists(spark, at):
-        known = _read_text(spark, at)
+        known = versions.read_text(spark, at)
         if known != owner:
             raise ValueError(f"the ingest name {name} belongs to the checkpoint {known}")
     else:
-        _write_text(spark, at, owner)
+        versions.write_text(spark, at, owner)
 
 
-def replace_batches(df: DataFrame, path: str, dates: Iterable) -> None:
+def replace_batches(df: DataFrame, path: str, dates: Iterable, derive: Derive | None = None, facts: Mapping[str, str] | None = None) -> None:
     """Replace whole days of such a table: the new rows become the days' only batch.
 
-    ``df`` is evaluated once. Its rows are written first; if a day got none, they are removed again and the call
-    fails. Then the older batches of the days go, and are remembered, so that a stream that repeats one of them does
-    not bring it back. Until they are gone, readers see both; a failure in between leaves rows double, not missing,
-    and running it again puts that right.
+    ``df`` is evaluated once. Its rows are written first; if a day got none, the call
+    fails and nothing has changed. Then one version switches all the days and remembers the batches they held, so that a stream that repeats one of them does
+    not bring it back. Readers see the old rows or the new ones, never both; a failure at any step leaves the old ones.
     """
-    _replace(df, path, dates, every=True)
+    _replace(df, path, dates, True, derive, facts)
 
 
-def replace_found(df: DataFrame, path: str, dates: Iterable) -> list[str]:
+def replace_found(df: DataFrame, path: str, dates: Iterable, derive: Derive | None = None, facts: Mapping[str, str] | None = None) -> list[str]:
     """``replace_batches`` for those of the days that ``df`` has rows for; other days stay as they are. The days replaced."""
-    return _replace(df, path, dates, every=False)
+    return _replace(df, path, dates, False, derive, facts)
 
 
-def _replace(df: DataFrame, path: str, dates: Iterable, every: bool) -> list[str]:
+def _replace(df: DataFrame, path: str, dates: Iterable, every: bool, derive: Derive | None, facts: Mapping[str, str] | None) -> list[str]:
     spark, days = df.sparkSession, sorted({str(d) for d in dates})
     batch = f"{BACKFILL}-{uuid.uuid4().hex}"
-    fresh = df.where(F.col("date").isin(*[F.lit(d).cast("date") for d in days]))
-    stamped = fresh.withColumn(LOADED_AT, F.current_timestamp()).withColumn(BATCH, F.lit(batch))
-    write_partitions(stamped, path, BATCH)
-    root = path.rstrip("/")
-    found = [d for d in days if _exists(spark, f"{root}/date={d}/{BATCH}={batch}")]
-    if every and len(found) < len(days):
-        for day in found:
-            _delete(spark, f"{root}/date={day}/{BATCH}={batch}")
-        raise ValueError(f"increment has no rows for {', '.join(sorted(set(days) - set(found)))}")
-    for day in found:
-        for entry in _children(spark, f"{root}/date={day}"):
-            if entry.startswith(f"{BATCH}=") and entry != f"{BATCH}={batch}":
-                old = entry.removeprefix(f"{BATCH}=")
-                if not old.startswith(f"{BACKFILL}-"):
-                    _write_text(spark, f"{root}/{_REPLACED}/{old}/date={day}", batch)
-                _delete(spark, f"{root}/date={day}/{entry}")
-    return found
-
-
-def read_batches(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
-    return read_table(spark, path, start=start, end=end).drop(BATCH, LOADED_AT)
+    entries = versions.write_batch(df.where(F.col("date").isin(*[F.lit(d).cast("date") for d in days])), path, batch, derive, facts=facts)
+    if every and len(entries) < len(days):
+        for day, entry in entries.items():
+            _delete(spark, f"{path.rstrip('/')}/date={day}/{BATCH}={entry.folder}")
+        raise ValueError(f"increment has no rows for {', '.join(sorted(set(days) - set(entries)))}")
+    if entries:
+        versions.commit(spark, path, lambda v: v.with_days(batch, entries))
+    return sorted(entries)
+
+
+def compact_days(spark: SparkSession, path: str, dates: Iterable, derive: Derive | None = None) -> list[str]:
+    """Rewrite days of many small batches as one batch each, with the same rows and so the same digest; the days rewritten."""
+    now = versions.current(spark, path)
+    days = [str(d) for d in dates if len(now.days.get(str(d), {})) > 1]
+    if not days:
+        return []
+    batch = f"{BACKFILL}-{uuid.uuid4().hex}"
+    entries = versions.write_batch(versions.read_version(spark, path, number=now.number, days=days).drop(LOADED_AT), path, batch, derive)
+
+    def change(v: versions.Version) -> versions.Version:
+        same = {d: e for d, e in entries.items() if v.days.get(d) == now.days.get(d)}  # a day another writer changed stays as it is
+        return v.with_days(batch, same)
+
+    done = versions.commit(spark, path, change)
+    return sorted(d for d in entries if batch in done.days.get(d, {}))
+
+
+def read_batches(spark: SparkSession, path: str, start=None, end=None, days: Iterable[str] | None = None) -> DataFrame:
+    return versions.read_version(spark, path, start, end, days=days).drop(BATCH, LOADED_AT)
 
 
 def drop_expired(spark: SparkSession, path: str, as_of, days: int = RETENTION_DAYS) -> list[str]:
-    """Delete the partitions of days older than ``days`` before ``as_of``; the days that went."""
+    """Take the days older than ``days`` before ``as_of`` out of the table and delete what no recent version names; the days that went."""
     first = date.fromisoformat(str(as_of)) - timedelta(days=days)
-    root = path.rstrip("/")
-    old = [d for d in _children(spark, root) if d.startswith("date=") and d.removeprefix("date=") < str(first)]
-    for day in old:
-        _delete(spark, f"{root}/{day}")
-    return sorted(d.removeprefix("date=") for d in old)
+    old = [d for d in stored_days(spark, path) if d < str(first)]
+    if not versions.is_versioned(spark, path):
+        for day in old:
+            _delete(spark, f"{path.rstrip('/')}/date={day}")
+    elif old:
+        versions.commit(spark, path, lambda v: v.without(old))
+    return old
 
 
 def stored_days(spark: SparkSession, path: str) -> list[str]:
-    """Days a table has partitions for, by its folders."""
-    return sorted(d.removeprefix("date=") for d in _children(spark, path) if d.startswith("date="))
+    """Days a table has rows for, by its newest version or its folders."""
+    return sorted(versions.current(spark, path).days)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -214,51 +226,13 @@ def replace_dates_on_disk(new: DataFrame, path: str, dates: Iterable, check: boo
         raise ValueError(f"increment has no rows for {', '.join(gaps)}")
 
 
-_REPLACED = "_replaced"
-"""Below a raw table: days of batches that backfills have replaced. Names that begin with _ are no data."""
-
-
-def _files(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at, fs = _files(spark, path)
-    return fs.exists(at)
-
-
-def _children(spark: SparkSession, path: str) -> list[str]:
-    at, fs = _files(spark, path)
-    return sorted(e.getPath().getName() for e in fs.listStatus(at)) if fs.exists(at) else []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at, fs = _files(spark, path)
-    fs.delete(at, True)
-
-
 def _move(spark: SparkSession, source: str, target: str) -> None:
-    at, fs = _files(spark, source)
-    if not fs.rename(at, _files(spark, target)[0]):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(source)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at, hadoop.Path(target)):
         raise OSError(f"cannot move {source} to {target}")
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    at, fs = _files(spark, path)
-    out = fs.create(at, True)
-    out.writeUTF(text)
-    out.close()
-
-
-def _read_text(spark: SparkSession, path: str) -> str:
-    at, fs = _files(spark, path)
-    handle = fs.open(at)
-    text = handle.readUTF()
-    handle.close()
-    return text
-
-
 def retain_window(df: DataFrame, as_of, days: int = RETENTION_DAYS) -> DataFrame:
     """Rows not older than ``days`` before ``as_of``."""
     return df.where(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from traffic_risk.sources.store import append_batch, claim_name
+from traffic_risk.sources.versions import Derive
 
 
 def ingest_batch(
@@ -19,6 +20,7 @@ def ingest_batch(
     raw_path: str,
     on_dates: Callable[[list[str]], None] | None = None,
     name: str = "stream",
+    derive: Derive | None = None,
 ) -> None:
     """Append one micro-batch to the raw table and hand the touched days to ``on_dates``.
 
@@ -26,7 +28,7 @@ def ingest_batch(
     writes the same rows to the same place, and other ingests have places of their own. The batch is read once; the days are
     those written. Features need whole days, so ``on_dates`` reads the days back rather than the batch.
     """
-    days = append_batch(batch.where(F.col("date").isNotNull()), raw_path, name, batch_id)
+    days = append_batch(batch.where(F.col("date").isNotNull()), raw_path, name, batch_id, derive)
     if on_dates is not None and days:
         on_dates(days)
 
@@ -42,9 +44,13 @@ def stream_ingest_rescore(
     glob: str = "*.parquet",
     files_per_trigger: int = 1000,
     name: str = "stream",
+    derive: Derive | None = None,
 ) -> StreamingQuery:
     """Take in all new files of ``source``, then stop.
 
+    ``derive`` makes tables that are kept with every batch, such as ``partials.stored``, so that scoring a touched day
+    merges a few partial aggregates and reads no events.
+
     ``name`` belongs to ``checkpoint`` for good: batch numbers start anew with a new checkpoint, which so needs a name of
     its own, and so does every other source of the same raw table.
 
@@ -60,7 +66,7 @@ def stream_ingest_rescore(
     )
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, raw_path, on_dates, name)
+        ingest_batch(batch, batch_id, raw_path, on_dates, name, derive)
 
     return (
         prepare(stream)

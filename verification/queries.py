@@ -34,13 +34,14 @@ from traffic_risk.operators import (
     labeling,
     models,
     network,
+    partials,
     redteam,
     reports,
     resolution,
 )
 from traffic_risk.params import RiskParams
 from traffic_risk.plans import cohort as cohort_plan
-from traffic_risk.plans import scoring
+from traffic_risk.plans import rolling, scoring
 from traffic_risk.session import scratch_dir
 from traffic_risk.sources import pageviews, store
 from traffic_risk.sources import redteam as redteam_source
@@ -422,11 +423,12 @@ def share_scale_floor(t):
     return resolution.share_scale_floor(_daily_resolutions(t))
 
 
-@query(
-    """SELECT resolution_bucket AS resolution, round(mean, 9) AS daily_share_mean, round(md, 9) AS daily_share_median,
+CHECKS_OF_SHARES = """SELECT resolution_bucket AS resolution, round(mean, 9) AS daily_share_mean, round(md, 9) AS daily_share_median,
     round(sd, 9) AS daily_share_std, round(mad, 9) AS daily_share_mad, scale_source, round(scale, 9) AS daily_share_scale,
     baseline_days, total_user_days, days_present FROM base"""
-)
+
+
+@query(CHECKS_OF_SHARES)
 def fit_share_baseline(t):
     return _rounded(resolution.fit_resolution(t.all_pageviews).summary(), 9)
 
@@ -1302,3 +1304,118 @@ def drop_expired(t):
     store.append_batch(t.all_pageviews, path, "load")
     store.drop_expired(t.spark, path, "2024-01-21", 10)
     return store.read_batches(t.spark, path).groupBy("date").agg(F.count("*").alias("n_events"))
+
+
+# ---------------------------------------------------------------- versions, partial aggregates, statistics of days
+
+
+def _third(n: int):
+    return F.pmod(F.coalesce(F.xxhash64("distinct_id", "hour_time", "url"), F.lit(0)), F.lit(3)) == n
+
+
+def _in_three_batches(t, events: DataFrame) -> scoring.Store:
+    tables = scoring.Store(_scratch(t.spark, "store"))
+    for n in range(3):
+        scoring.append_events(events.where(_third(n)), tables, "part", n)
+    return tables
+
+
+@query(ALL_FEATURES.format("z_users"))
+def features_from_partials(t):
+    """Features of all days from the merged partial aggregates of three batches; events are not read again."""
+    tables = _in_three_batches(t, t.all_pageviews)
+    fitted = scoring.Models(_base(t), resolution.fit_resolution(t.all_pageviews).persist(), None, None)
+    return _rounded(scoring.day_features(t.spark, tables, store.stored_days(t.spark, tables.raw), fitted))
+
+
+@query(_stored_sql("pva"))
+def late_batch(t):
+    """Two thirds are scored, then the last third comes for two days, which alone are scored again, and then for all others."""
+    fitted, tables = _store(t)
+    events = t.all_pageviews
+    scoring.append_events(events.where(~_third(2)), tables, "load")
+    scoring.build_store(t.spark, tables, fitted)
+    late = F.dayofmonth("date").isin(4, 11)
+    days = scoring.append_events(events.where(_third(2) & late), tables, "late")
+    assert scoring.stale_store_dates(t.spark, tables, fitted) == days
+    scoring.rescore_store(t.spark, tables, days, fitted)
+    others = scoring.append_events(events.where(_third(2) & ~late), tables, "rest")
+    scoring.rescore_store(t.spark, tables, others, fitted)
+    assert scoring.stale_store_dates(t.spark, tables, fitted) == []
+    return _stored_days(t, tables)
+
+
+@query(
+    """SELECT 'before' AS seen, date, count(*) AS n_events FROM pva GROUP BY ALL
+    UNION ALL SELECT 'after', date, count(*) FROM pva WHERE date <> DATE '2024-01-09' OR hour_time < 12 GROUP BY ALL"""
+)
+def replaced_day_versions(t):
+    """What a reader sees that began before a day was replaced, and one that began after it."""
+    path = _scratch(t.spark, "versioned")
+    store.append_batch(t.all_pageviews, path, "load")
+    before = store.read_batches(t.spark, path)
+    part = t.all_pageviews.where((F.col("date") == F.lit("2024-01-09").cast("date")) & (F.col("hour_time") < 12))
+    store.replace_batches(part, path, ["2024-01-09"])
+    both = before.select(F.lit("before").alias("seen"), "date").unionAll(store.read_batches(t.spark, path).select(F.lit("after"), "date"))
+    return both.groupBy("seen", "date").agg(F.count("*").alias("n_events"))
+
+
+@query("SELECT date, count(*) AS n_rows, true AS same_content FROM pva GROUP BY 1")
+def content_digest(t):
+    """Digests of days written at once against those of three batches in another order: the same, with the same rows."""
+    from traffic_risk.sources import versions
+
+    at_once = versions.content_digest(t.all_pageviews)
+    tables = _in_three_batches(t, t.all_pageviews.orderBy(F.desc("distinct_id")))
+    stored = versions.current(t.spark, tables.raw)
+    rows = [(d, stored.digest(d), sum(e.rows for e in own.values())) for d, own in stored.days.items()]
+    kept = t.spark.createDataFrame(rows, "day string, kept string, n bigint")
+    same = (F.col("digest") == F.col("kept")) & (F.col("rows") == F.col("n"))
+    return at_once.join(kept, F.col("date") == F.col("day").cast("date"), "full_outer").select("date", F.col("rows").alias("n_rows"), same.alias("same_content"))
+
+
+@query("SELECT DISTINCT date FROM pva WHERE day(date) IN (5, 6)")
+def stale_by_content(t):
+    """Days to score again after one batch came twice, one day was fetched again unchanged, one lost rows and one got some."""
+    tables = _in_three_batches(t, t.all_pageviews)
+    fitted = scoring.Models(_base(t), None, _AlwaysNormal(), _AlwaysNormal(), "v1")
+    scoring.build_store(t.spark, tables, fitted)
+    scoring.append_events(t.all_pageviews.where(_third(1)), tables, "part", 1)
+    on = lambda n: t.all_pageviews.where(F.dayofmonth("date") == n)
+    for day, rows in (("2024-01-04", on(4)), ("2024-01-05", on(5).where("hour_time < 20"))):
+        store.replace_batches(rows, tables.raw, [day], partials.stored)
+    scoring.append_events(on(6).where(_third(0)), tables, "more")
+    days = scoring.stale_store_dates(t.spark, tables, fitted)
+    return t.spark.createDataFrame([(d,) for d in days], "day string").select(F.col("day").cast("date").alias("date"))
+
+
+class _AlwaysNormal:
+    """A model that finds nothing, where only the days of the scores matter."""
+
+    features = FEATURES
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({"model_anomaly": F.lit(1), "xgb_bot_prob": F.lit(0.0)})
+
+
+def _window(t):
+    """Fits over the whole month from the stored statistics of its days, made in two steps."""
+    tables = scoring.Store(_scratch(t.spark, "store"))
+    early = F.col("date") < F.lit("2024-01-17").cast("date")
+    scoring.append_events(t.all_pageviews.where(early), tables, "load")
+    rolling.refresh_statistics(t.spark, tables)
+    scoring.append_events(t.all_pageviews.where(~early), tables, "rest")
+    return rolling.fit_window(t.spark, tables, "2024-01-31", 30)
+
+
+@query(f"SELECT h.hour_time, {_r('ratio', digits=9)}, {_r('night_mass', 'evening_mass', digits=9)}, {_r('c_mean', 'c_std', digits=9)} FROM hour_ref h, mass, seg_stats WHERE h.hour_time BETWEEN 0 AND 23")
+def rolling_baseline(t):
+    base, _ = _window(t)
+    rows = [(h, r, base.night_mass, base.evening_mass, base.c_mean, base.c_std) for h, r in base.hours.items()]
+    names = "hour_time int, ratio double, night_mass double, evening_mass double, c_mean double, c_std double"
+    return _rounded(t.spark.createDataFrame(rows, names), 9)
+
+
+@query(CHECKS_OF_SHARES)
+def rolling_shares(t):
+    return _rounded(_window(t)[1].summary(), 9)
