@@ -50,6 +50,54 @@ def test_made_pages(page, want):
         assert word not in text.split()
 
 
+LINKS = "".join(f"<li><a href='/{i}'>Home entry {i}</a></li>" for i in range(6))
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='layout has-sidebar'><article>{BODY}</article><div class='sidebar'>Home</div></div>",
+    f"<div class='page with-header'><header>Site</header><main>{BODY}</main></div>",
+    f"<section class='social-science'><article>{BODY}</article></section>",
+    f"<div class='no-sidebar'><article>{BODY}</article></div>",
+    f"<div class='content-sidebar'><div class='post-body'>{BODY}</div><div id='sidebar-left'>Links</div></div>",
+    f"<div class='hasSidebar'><article>{BODY}</article></div>",
+    f"<form action='/'><nav><ul>{LINKS}</ul></nav><article>{BODY}</article><input><footer>c 2024</footer></form>",
+    f"<form action='/'><div class='menu'>Home</div><div>{BODY}</div><input></form>",
+    f"<body><nav><ul>{LINKS}</ul><article>{BODY}</article></body>",
+    f"<body><nav><ul>{LINKS}</ul><div>{BODY}</div><footer>c 2024</footer></body>",
+    f"<div class='header'><div class='menu'>Home<main>{BODY}</main></div>",
+    f"<article>{BODY}</article><section class='comments'><article class='comment'><p>First! I disagree with every single word of it.</p></article></section>",
+    f"<aside><article class='teaser'><p>Links to another story that is quite long to read.</p></article></aside><main>{BODY}</main>",
+    f"<div class='comment-free widget-area-main'><article>{BODY}</article></div>".replace("comment-free ", ""),
+])
+def test_layouts_keep_their_article(page):
+    assert main_text.extract(page, LEARNED).split("\n") == re.sub("</?p>", "\n", BODY).strip("\n").split("\n\n")
+
+
+def test_title_in_a_post_header_stays():
+    page = f"<div class='post'><div class='post-header'><h1>The title of this</h1></div>{BODY}</div>"
+    weights = main_text.Weights({**LEARNED.tags, "div": 0.1})
+    assert main_text.extract(page, weights).startswith("The title of this\nOne two")
+
+
+@pytest.mark.parametrize("names, side", [
+    ("sidebar", True), ("left-sidebar", True), ("sidebar-left", True), ("has-sidebar", False), ("noSidebar", False), ("content-sidebar", False), ("ad-box", True),
+    ("ad", True), ("advanced", False), ("header", True), ("site-header", True), ("article-header", False), ("headered", False), ("with-header", False), ("social", True),
+    ("social-science", False), ("share-buttons", True), ("share-price", False), ("comment-body", True), ("comments-42", True), ("cookie-notice", True), ("post related", True),
+    ("related-posts-page", False), ("widget-area-main", False), ("widget_area", True), ("menu-item-7", True), ("search-engines", False), ("", False), ("primaryNav", True),
+])
+def test_class_names(names, side):
+    assert bool(main_text.hint_of(names)) is side
+
+
+def test_many_unclosed_parts_take_linear_time():
+    import time
+
+    page = "<nav><p>a</p>" * 40_000 + "<form>" * 10_000
+    start = time.perf_counter()
+    main_text.extract(page, LEARNED)
+    assert time.perf_counter() - start < 20
+
+
 @pytest.mark.parametrize("page, want", [
     ("", ""), ("   ", ""), ("plain words", "plain words"), ("<p>a&nbsp;b &lt;i&gt; &#233;&#x41; &copy &bogus;</p>", "a b <i> éA © &bogus;"),
     ("<p>in<b>li</b>ne <em>x</em>\n\t y<br>z</p>", "inline x y z"), ("<p>a<p>b<p>c", "a\nb\nc"),

@@ -8,7 +8,8 @@ and comments, which an element's name or its class, id or role tells, score nega
 contiguous stretch of largest sum; its blocks, without those parts, are the text.
 
 A block ends where a block-level element starts or ends; inline tags leave no trace, a line break is a blank. Character
-references are decoded, then white space becomes one blank. Scripts, styles, titles and comments of the markup are
+references are decoded, then white space becomes one blank. A main element, and an article that stands in a menu, header or form, ends the side part
+around it, so pages with unclosed menus or one form around everything keep their article. Scripts, styles, titles and comments of the markup are
 skipped unread. Scanning is linear in the page's length also for broken markup.
 
 Defined cases: null and empty pages, and pages without words, have the empty text; of stretches with equal sums the
@@ -49,6 +50,21 @@ HINTS = frozenset(
     "sidebar sidebars social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets "
     "complementary contentinfo search alert disclaimer".split()
 )
+STRONG = frozenset("advert adverts advertisement advertisements adsense comment comments commentlist cookie cookies disqus gdpr newsletter sponsored".split())
+"""Hints that tell what an element is whatever follows them in a class name."""
+AROUND = frozenset(
+    "area bar block bottom box button buttons column container content count field fields form frame group holder icon icons inner item items left link "
+    "links list outer panel primary right row secondary section slot text title top unit wrap wrapper".split()
+)
+"""Words that may follow any hint in a class name."""
+NEGATED = frozenset("content has hidden hide layout main no not show toggle with without".split())
+"""Before a hint they speak of the layout around it."""
+TITLED = frozenset("article blog entry news post story".split())
+"""A header of these holds the title."""
+LEFT_OPEN = frozenset("aside form header menu nav".split())
+"""Side parts that count as plain elements if no tag closes them; a footer that is left open ends with the page."""
+LEADING = frozenset("nav navbar navigation menu menus header masthead topbar toolbar form".split())
+"""Side parts that an article inside is no part of; they were left open, or hold the whole page."""
 CONTENT = ("article", "main")
 
 _TAG = re.compile(
@@ -57,7 +73,7 @@ _TAG = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in UNREAD}
 PAGE, LINK, SIDE = 0, 1, 2
 """Where words are: plain, in a link, in a side part."""
@@ -85,35 +101,65 @@ class MainTextParams:
     """Largest log ratio that counts."""
 
 
-def _is_side(name: str, rest: str, inside_content: bool) -> bool:
-    if name in APART:
-        return True
-    if name == "header":
-        return not inside_content
-    if name in WHOLE or not rest:
-        return False
-    for m in _NAMED.finditer(rest):
-        if not HINTS.isdisjoint(_WORDS.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+def hint_of(names: str, inside_content: bool = False) -> str:
+    """The hint in a class, id or role that makes its element a side part, or nothing.
+
+    A name of several words has to end with the hint, but for words that only say where or what container it is, and may not
+    start with a word like has or no.
+    """
+    for name in names.split():
+        parts = [w.lower() for w in _WORDS.findall(name)]
+        for i, part in enumerate(parts):
+            if part not in HINTS or not NEGATED.isdisjoint(parts[:i]):
+                continue
+            if part == "header" and (inside_content or not TITLED.isdisjoint(parts[:i])):
+                continue
+            if part in STRONG or all(w in AROUND or w in HINTS or w.isdigit() for w in parts[i + 1 :]):
+                return part
+    return ""
+
+
+def hint_of_rest(rest: str) -> str:
+    """The hint in the attributes of a tag, if any."""
+    return next(filter(None, (hint_of(m[1] or m[2] or m[3] or "") for m in _NAMED.finditer(rest))), "")
+
+
+def _side_of(name: str, rest: str, inside_content: bool) -> str:
+    """Why an element is a side part: its name or a hint; nothing if it is none."""
+    if name in APART or name == "header" and not inside_content:
+        return name
+    if name in WHOLE or name == "header" or not rest:
+        return ""
+    return next(filter(None, (hint_of(m[1] or m[2] or m[3] or "", inside_content) for m in _NAMED.finditer(rest))), "")
 
 
 def parse(page: str) -> list[tuple[str, str, int, int, bool]]:
     """Events in page order: (tag name, "", 0, where, in content) or ("", block text, words, where, in content).
 
     A part of a block that is in a link or a side part is a block of words of its own kind, with the same text run on: parts
-    carry a leading blank if there is white space before them.
+    carry a leading blank if there is white space before them. Forms are no side parts of a page that has most of its words in them.
     """
+    events, in_forms = _parse(page, True)
+    if 2 * in_forms > sum(e[2] for e in events):
+        events, _ = _parse(page, False)
+    return events
+
+
+def _parse(page: str, forms: bool) -> tuple[list[tuple[str, str, int, int, bool]], int]:
+    """The events, and the words in forms if these are side parts."""
     out: list[tuple[str, str, int, int, bool]] = []
-    at, link, content = 0, 0, 0
-    side, nested = "", 0
+    at, link, content, in_forms = 0, 0, 0, 0
+    side, nested, why = "", 0, ""
+    closed: dict[str, int] = {}
 
     def text(piece: str) -> None:
+        nonlocal in_forms
         piece = html.unescape(piece) if "&" in piece else piece
         words = piece.split()
         if words or piece:
             glued = ("" if piece[:1].strip() else " ") + " ".join(words) + ("" if not words or piece[-1:].strip() else " ")
             out.append(("", glued, len(words), SIDE if side else LINK if link else PAGE, content > 0))
+            in_forms += len(words) if why == "form" else 0
 
     size = len(page)
     while at < size:
@@ -133,30 +179,38 @@ def parse(page: str) -> list[tuple[str, str, int, int, bool]]:
             at = close.end() if close else size
             continue
         if side in ("p", "li") and not nested and (name in BLOCKS) and (not end or name != side):
-            side = ""  # these end by themselves where the next block starts
+            side = why = ""  # these end by themselves where the next block starts
         was = side
         if end:
             if name == side:
                 nested -= 1
                 if nested < 0:
-                    side, nested = "", 0
+                    side, nested, why = "", 0, ""
             elif name == "a":
                 link = max(0, link - 1)
             if name in CONTENT:
                 content = max(0, content - 1)
         else:
+            if side and (name == "main" or name == "article" and why in LEADING and not hint_of_rest(rest)):
+                side, nested, why = "", 0, ""
             if side:
                 nested += name == side and name not in VOID
-            elif name not in VOID and _is_side(name, rest, content > 0):
-                side, nested = name, 0
+            elif name not in VOID and (found := _side_of(name, rest, content > 0)):
+                if found == name in LEFT_OPEN:
+                    if name not in closed:
+                        closed[name] = max((c.start() for c in re.finditer(f"</{name}", page, re.I)), default=-1)
+                    if closed[name] < at:
+                        found = ""  # never closed: no telling where it ends
+                if found and (forms or name != "form"):
+                    side, nested, why = name, 0, found
             if name == "a":
                 link = 1  # links do not nest
             if name in CONTENT:
                 content += 1
         if name in BLOCKS and link:
             link = 0
-        out.append((name, "", 0, SIDE if side or was else PAGE, content > 0))
-    return out
+        out.append((name, "", 0, SIDE if side or was and end else PAGE, content > 0))
+    return out, in_forms
 
 
 def best_stretch(scores: Sequence[float]) -> tuple[int, int]:
@@ -202,7 +256,7 @@ def fit(pages: DataFrame, html_col: str, params: MainTextParams = MainTextParams
     known = BLOCKS | VOID | frozenset("a abbr b big cite code em font i ins mark q s small span strong sub sup tt u".split())
     marked = pages.select(F.col(html_col).alias("html")).where(F.lower("html").rlike("<(article|main)[\\s>]"))
     share = min(1.0, params.fit_pages / max(marked.count(), 1))
-    drawn = marked.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < share * (1 << 20))
+    drawn = marked.where(F.pmod(F.xxhash64("html"), F.lit(1 << 60)) < int(share * (1 << 60)))
 
     def count(batches):
         found: dict[tuple[str, bool], int] = {}
