@@ -42,6 +42,9 @@ def attach(
     ``salts`` numbers by a hash of the ``spread`` columns, rows of ``right`` are repeated for each of them.
     """
     keys = list(keys)
+    salt = "_salt"
+    while any(c.lower() == salt for c in (*left.columns, *right.columns)):
+        salt = f"_{salt}"
     values = [c for c in right.columns if c not in (*left.columns, *keys)]
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     # Always 0, but no literal, which would be folded out of the join keys; and never null, as a null
@@ -55,9 +58,9 @@ def attach(
         here, there = _hashed(spread, n), F.explode(numbers)
     if how != "inner":
         here = F.when(no_key, 1 + _hashed(spread, SPREAD)).otherwise(here)
-    salted = left.select(*left.columns, here.alias("_salt"))
-    keyed = right.select(*keys, *values, there.alias("_salt")).select(*keys, "_salt", *values)
-    return salted.join(keyed, [*keys, "_salt"], how).select(*left.columns, *values)
+    salted = left.select(*left.columns, here.alias(salt))
+    keyed = right.select(*keys, *values, there.alias(salt)).select(*keys, "_salt", *values)
+    return salted.join(keyed, [*keys, salt], how).select(*left.columns, *values)
 
 
 def _hashed(spread: Sequence[str], parts: int) -> Column:
