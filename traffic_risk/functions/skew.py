@@ -59,7 +59,7 @@ def attach(
     if how != "inner":
         here = F.when(no_key, 1 + _hashed(spread, SPREAD)).otherwise(here)
     salted = left.select(*left.columns, here.alias(salt))
-    keyed = right.select(*keys, *values, there.alias(salt)).select(*keys, "_salt", *values)
+    keyed = right.select(*keys, *values, there.alias(salt)).select(*keys, salt, *values)
     return salted.join(keyed, [*keys, salt], how).select(*left.columns, *values)
 
 
