@@ -31,7 +31,7 @@ def map_texts(
     """
     ship_package(df.sparkSession)
     text = F.col(text) if isinstance(text, str) else text
-    chosen = df.select(*keys, F.coalesce(text, F.lit("")).alias("_text"))
+    chosen = df.select(*keys, F.coalesce(text, F.lit("")).alias(fresh("_text", df.select(*keys))))
     if isinstance(schema, StructType):
         names = schema.fieldNames()
     else:
@@ -61,6 +61,14 @@ def _top_level(schema: str) -> list[str]:
     return [*parts, schema[last:]]
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has, whatever the case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table below the shared checkpoint folder: computed once, no lineage.
 
@@ -75,5 +83,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_written(df: DataFrame) -> None:
-    """Remove a table made by ``written`` that no later result reads."""
-    remove_folder(df.sparkSession, df._written_to)
+    """Remove a table made by ``written`` that no later result reads; other tables stay."""
+    if hasattr(df, "_written_to"):
+        remove_folder(df.sparkSession, df._written_to)

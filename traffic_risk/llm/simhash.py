@@ -1,18 +1,22 @@
-"""Near-duplicate texts by SimHash fingerprints and Hamming balls.
+"""Near-duplicate texts by SimHash fingerprints and multi-index hashing.
 
 Charikar: Similarity estimation techniques from rounding algorithms (2002); Norouzi, Punjani and
 Fleet: Fast exact search in Hamming space with multi-index hashing (2014).
 
-Around every fingerprint the Hamming ball of radius one is enumerated, and every value reached is a row of the table,
-keyed by all 64 bits. There is no table for each segment, as multi-index hashing has: the whole fingerprint's ball replaces it. Two fingerprints differ in at most two bits exactly if they meet
-in such a row: each of them turns one of the differing bits. A row is reached by at most 65 different
-fingerprints, so groups of copies of any size never make a long list, and linking all fingerprints
-of a row to its smallest one keeps every component. The complete distance of each link is verified.
+A fingerprint has two segments of 32 bits, each with a table from the segment's value to fingerprints. Two fingerprints that differ in at
+most two bits either differ in at most one bit of the first segment, or in none of the second. So the ball of radius one around
+the first segment's value (33 values) and the second segment's value alone are looked up, and complete distances of what is
+found are verified.
+
+A value that is shared by many fingerprints would make candidates by the square of their number. A table's entry lists at most ``SHARED``
+fingerprints; fingerprints that look up a fuller one are searched by the ball of radius one around the whole fingerprint instead, on both
+sides: each of two fingerprints turns one of the differing bits. Such a whole value is reached by at most 65
+fingerprints, however many share a segment, and linking all of them to the smallest keeps every component.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero; fewer words than a
 shingle make one shingle; repeated rows each get a row; a null id never becomes a component's
-name while its component has another id; an empty table gives an empty result; only the id and text
-columns are read.
+name while its component has another id; an empty table gives an empty result; texts of any length are hashed whole, some
+100,000 shingles at a time; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -20,15 +24,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from traffic_risk.functions.skew import attach
-from traffic_risk.llm.common import drop_written, map_texts, written
+from traffic_risk.llm.common import fresh, map_texts, written
 from traffic_risk.llm.components import components
 
-SEGMENTS = ((0, 16), (16, 16), (32, 16), (48, 16))
-"""First bit and width of each segment."""
+SEGMENT = 32
+"""Bits of a segment."""
+SHARED = 64
+"""Fingerprints that an entry of a segment's table lists; fuller ones are searched by whole fingerprints."""
+DISTANCE = 2
 CHUNK = 1 << 17
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -65,15 +73,46 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3,
     return map_texts(docs, [id_col], text_col, run, f"{id_col} {kind}, fp bigint")
 
 
-def links(distinct: DataFrame, segments: tuple = SEGMENTS) -> DataFrame:
-    """Links ``fp``, ``hub`` between fingerprints of at most two differing bits that keep all components."""
-    turned = [F.col("fp")]
-    for first, width in segments:
-        turned += [F.col("fp").bitwiseXOR(F.lit(_signed(1 << (first + i)))) for i in range(width)]
-    table = distinct.select("fp", F.explode(F.array(*turned)).alias("value"))
+def links(distinct: DataFrame) -> DataFrame:
+    """Links ``fp``, ``hub`` between different fingerprints of at most two differing bits that keep all components."""
+    mask = F.lit((1 << SEGMENT) - 1)
+    first, second = F.col("fp").bitwiseAND(mask), F.shiftrightunsigned("fp", SEGMENT)
+    near = [first, *[first.bitwiseXOR(F.lit(1 << i)) for i in range(SEGMENT)]]
+
+    def entry(number: int, value: Column) -> Column:
+        return F.struct(F.lit(number).alias("segment"), value.alias("value"))
+
+    fps = distinct.select("fp")
+    table = fps.select("fp", F.inline(F.array(entry(0, first), entry(1, second))))
+    place = F.row_number().over(Window.partitionBy("segment", "value").orderBy("fp"))
+    listed = table.withColumn("place", place).where(F.col("place") <= SHARED + 1)
+    entries = listed.groupBy("segment", "value").agg(F.collect_list("fp").alias("members"))
+    entries = entries.where(F.size("members") > 0)
+    asked = fps.select("fp", F.inline(F.array(*[entry(0, v) for v in near], entry(1, second))))
+    found = written(attach(asked, entries, ["segment", "value"], ["fp"], how="inner").where("size(members) > 1 OR members[0] <> fp"), "found")
+
+    full = F.size("members") > SHARED
+    pairs = found.where(~full).select("fp", F.explode("members").alias("hub")).where(_near("fp", "hub"))
+    crowded = found.where(full).select("fp").distinct()
+    return pairs.unionByName(ball_links(crowded)).distinct()
+
+
+def ball_links(fps: DataFrame) -> DataFrame:
+    """The links among these fingerprints by the ball of radius one around each of them."""
+    turned = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)]]
+    reached = fps.select("fp", F.explode(F.array(*turned)).alias("value"))
     hub = F.min("fp").over(Window.partitionBy("value"))
-    met = table.select("fp", hub.alias("hub")).where("fp <> hub").distinct()
-    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= 2)
+    return reached.select("fp", hub.alias("hub")).where(_near("fp", "hub"))
+
+
+def _near(a: str, b: str) -> Column:
+    return (F.col(a) != F.col(b)) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE)
+
+
+def roots(distinct: DataFrame) -> DataFrame:
+    """``fp`` and ``root``, the smallest fingerprint reachable by links, of every fingerprint."""
+    stars = components(links(distinct), "fp", "hub")
+    return distinct.select("fp").join(stars, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def simhash_groups(
@@ -82,158 +121,32 @@ def simhash_groups(
     """One row per document: ``id_col``, ``fp`` and ``component_id``, the smallest id reachable by links."""
     marked = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min(id_col).alias("first_id"))
-    stars = components(links(distinct), "fp", "hub")
-    rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = distinct.join(roots(distinct), "fp")
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = attach(rooted, names, ["root"], ["fp"], how="inner").select("fp", "component_id")
     return attach(marked, named, ["fp"], [id_col], how="inner")
 
 
-WIDE = 256
-"""Bits of a wide fingerprint: eight segments of 32."""
-
-
-def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
-    """The 256-bit fingerprint of one text."""
-    words = text.lower().split()
-    if not words:
-        return bytes(WIDE // 8)
-    size = min(shingle, len(words))
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1]
-    ends = ends[size - 1 :]
-    ones = np.zeros(WIDE, dtype=np.int64)
-    digest = xxhash.xxh3_128_digest
-    for at in range(0, len(starts), CHUNK):
-        a, b = starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist()
-        cut = [joined[i:j] for i, j in zip(a, b, strict=True)]
-        for half in (0, 1):
-            found = np.frombuffer(b"".join([digest(c, half) for c in cut]), dtype=np.uint8)
-            for k, column in enumerate(found.reshape(-1, 16).T):
-                first = 128 * half + 8 * k
-                ones[first : first + 8] += np.bincount(column, minlength=256) @ _BITS
-    return np.packbits(2 * ones > len(starts), bitorder="little").tobytes()
-
-
-BANDS, ROWS = 40, 6
-"""Values of a signature that must agree for a candidate: one of 40 bands of 6. A pair of Jaccard similarity s is one with
-a chance of 1 - (1 - s^6)^40: all but 5e-6 at 0.8."""
-_DRAWN = np.random.default_rng(11)
-_TIMES = _DRAWN.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _DRAWN.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-_MIXED = _DRAWN.integers(0, 1 << 62, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_NUMBERS = _DRAWN.integers(0, 1 << 63, BANDS, dtype=np.uint64)
-
-
-def shingles(text: bytes, size: int = 5) -> set[bytes]:
-    """The different shingles of words; one shorter shingle for few words, none without words."""
-    words = text.lower().split()
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def signature(text: bytes, size: int = 5) -> tuple[int, np.ndarray]:
-    """Number of different shingles, and a value for each band of their minima under random hash functions."""
-    digest = xxhash.xxh3_64_intdigest
-    found = shingles(text, size)
-    hashes = np.fromiter((digest(s) for s in found), np.uint64, len(found))
-    low, high = hashes.astype(np.uint32)[:, None], (hashes >> np.uint64(32)).astype(np.uint32)[:, None]
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(hashes), 1024):
-        part = low[at : at + 1024] * _TIMES
-        part += _PLUS
-        part ^= high[at : at + 1024]
-        np.minimum(least, part.min(axis=0), out=least)
-    values = (least.reshape(BANDS, ROWS).astype(np.uint64) * _MIXED).sum(axis=1, dtype=np.uint64) ^ _NUMBERS
-    return len(found), values.view(np.int64)
-
-
-def _alike(docs: DataFrame, text_col: str, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (``fp``, ``other``) whose texts' shingles have the Jaccard similarity."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    ends = pairs.select("fp").unionAll(pairs.select(F.col("other").alias("fp"))).distinct()
-    texts = docs.select(F.xxhash64(text).alias("fp"), text.alias("_a"))
-    texts = written(texts.join(ends.hint("merge"), "fp", "left_semi").dropDuplicates(["fp"]), "texts")
-    others = texts.select(F.col("fp").alias("other"), F.col("_a").alias("_b"))
-    both = attach(attach(pairs, texts, ["fp"], ["other"], how="inner"), others, ["other"], ["fp"], how="inner")
-
-    def run(keys: pa.RecordBatch, firsts: list) -> list:
-        last, known, told = None, set(), []
-        for a, b in zip(firsts, keys.column("_b").to_pylist(), strict=True):
-            if b != last:
-                last, known = b, shingles(b.encode("utf-8", "surrogatepass"), size)
-            mine = shingles(a.encode("utf-8", "surrogatepass"), size)
-            common = len(mine & known)
-            union = len(mine) + len(known) - common
-            told.append(not union or common / union >= similarity)
-        return [*keys.columns[:2], pa.array(told, pa.bool_())]
-
-    found = map_texts(both, ["fp", "other", "_b"], "_a", run, "fp bigint, other bigint, alike boolean")
-    out = written(found.where("alike").select("fp", "other"), "alike")
-    drop_written(texts)
-    return out
-
-
-def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42
 ) -> DataFrame:
-    """One row per document: ``id_col``, ``row`` (a hash of id and text) and ``group``, equal in a group of near copies.
+    """``docs`` with one document of each component of ``simhash_groups``: the one with the smallest id, rows without id last.
 
-    Groups are the components of texts linked by a Jaccard similarity of their sets of shingles, computed from the texts
-    themselves. Equal texts are one. Candidates are texts that agree in a band of their signatures. First every
-    text is compared with the smallest and the largest one of each of its bands; then all candidates that are not in one
-    component by then are compared, since pairs inside a component cannot change it. No pair between components is left out, except those
-    whose numbers of shingles alone rule the similarity out.
+    Of several rows with that id the one whose text has the smallest hash stays, of equal ones any. A component is all that is reachable, so in a
+    chain a document goes that is linked to the next one only, not to the one that stays. All columns stay as they are.
     """
+    fp, root, place = fresh("fp", docs), fresh("root", docs), fresh("place", docs)
+    schema = StructType([*docs.schema.fields]).add(fp, LongType())
 
     def run(keys: pa.RecordBatch, texts: list) -> list:
-        found = [signature(t.encode("utf-8", "surrogatepass"), shingle) for t in texts]
-        return [*keys.columns[:3], pa.array([n for n, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.int64()))]
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    row, fp = F.xxhash64(F.col(id_col), text).alias("row"), F.xxhash64(text).alias("fp")
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, row bigint, fp bigint, size bigint, bands array<bigint>"
-    marked = written(map_texts(docs, [id_col, row, fp], text_col, run, schema), "signatures")
-    table = marked.dropDuplicates(["fp"]).select("fp", "size", F.explode("bands").alias("value"))
-    hubs = table.groupBy("value").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most")
-    met = written(attach(table, hubs, ["value"], ["fp"], how="inner"), "met")
-
-    hub_pairs = met.select("fp", F.explode(F.array("least", "most")).alias("other")).where("fp <> other")
-    first = hub_pairs.select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")).distinct()
-    first = written(first, "pairs")
-    edges = _alike(docs, text_col, first, shingle, similarity)
-
-    stars = components(edges, "fp", "other").select(F.col("node").alias("fp"), "root")
-    rooted = attach(met.select("fp", "size", "value"), stars, ["fp"], ["value"])
-    rooted = written(rooted.withColumn("root", F.coalesce("root", "fp")), "rooted")
-    open_ = rooted.groupBy("value").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
-    left = written(attach(rooted, open_.select("value", F.lit(1).alias("_open")), ["value"], ["fp"], how="inner").drop("_open"), "open")
-    right = left.select("value", F.col("fp").alias("other"), F.col("size").alias("_size"), F.col("root").alias("_root"))
-    apart = attach(left, right, ["value"], ["fp"], how="inner").where(F.col("root") < F.col("_root"))
-    near = F.least("size", "_size") >= similarity * F.greatest("size", "_size") - 1e-6
-    rest = apart.where(near).select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")).distinct()
-    rest = written(rest.join(first.hint("merge"), ["fp", "other"], "left_anti"), "pairs")
-    edges = edges.unionAll(_alike(docs, text_col, rest, shingle, similarity))
-
-    stars = components(edges, "fp", "other").withColumnRenamed("node", "fp")
-    out = attach(marked.select(id_col, "row", "fp"), stars, ["fp"], ["row"])
-    return out.select(id_col, "row", F.coalesce("root", "fp").alias("group"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one with the smallest id, rows without id last.
-
-    Of rows with the same id and text one stays.
-    """
-    groups = similar_groups(docs, id_col, text_col)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row")).alias("first")
-    keep = groups.groupBy("group").agg(first).select(F.col("first.row").alias("_row")).hint("merge")
-    row = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    left = docs.withColumn("_row", row).join(keep, "_row", "left_semi")
-    return left.dropDuplicates(["_row"]).select(*docs.columns)
+        found = [fingerprint(t.encode("utf-8", "surrogatepass"), shingle, seed) for t in texts]
+        return [*keys.columns[:-1], pa.array(np.array(found, dtype=np.uint64).view(np.int64))]
+
+    marked = written(map_texts(docs, list(docs.columns), text_col, run, schema), "fingerprints")
+    named = roots(marked.select(F.col(fp).alias("fp")).distinct()).select(F.col("fp").alias(fp), F.col("root").alias(root))
+    rooted = attach(marked, named, [fp], [text_col], how="inner")
+    best = Window.partitionBy(root).orderBy(F.asc_nulls_last(id_col), F.xxhash64(text_col), F.asc_nulls_last(text_col))
+    return rooted.withColumn(place, F.row_number().over(best)).where(F.col(place) == 1).select(*docs.columns)
 
 
 def _signed(n: int) -> int:
