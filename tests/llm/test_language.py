@@ -46,6 +46,21 @@ def test_words_of_texts():
     assert len(language._words("12 .. ")[0]) == 0
 
 
+def test_letters_of_all_planes():
+    points, kinds, firsts = language._words("\U00020000\U00020001 \U00010400 \U0001F600 a")
+    assert "".join(map(chr, points)) == " \U00020000\U00020001 \U00010428 a "
+    assert [language.NAMES[kinds[i]] for i in firsts] == ["han", "other", "latin"]
+
+
+def test_very_long_text_is_labelled_whole(spark):
+    model = registry.language_model(spark.read.parquet(f"{SF}/documents.parquet"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 600 and text not like '%!!%'")
+    pick = {r.lang: " ".join(r.text.split()[:60]) for r in docs.orderBy("doc_id").collect()}
+    long = f"{pick['en']} " * 500 + f"{pick['de']} " * 1500
+    assert language.predict(long, model)[0] == "de"
+    assert [s[0] for s in language.spans(long, model)] == ["en", "de"]
+
+
 def test_held_out_accuracy(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = registry.QUERIES["op7_language"](spark, SF).collect()

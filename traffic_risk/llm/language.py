@@ -11,7 +11,7 @@ recursion has only one possible outcome; it starts at the stretch where one firs
 
 Defined cases: a null text or one without letters is ``und`` with score 0, and so is every text when nothing
 was learned; ties go to the language that sorts first; repeated rows each get a row; an empty table gives
-an empty result; only the id, text and language columns are read.
+an empty result; letters are those of all planes; texts of any length are labelled whole; only the id, text and language columns are read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from traffic_risk.llm.common import map_texts
+from traffic_risk.llm.common import fresh, map_texts
 
 # First and last code points of scripts; letters outside of them count as "other".
 SCRIPTS = {
@@ -41,7 +41,7 @@ SCRIPTS = {
     "georgian": ((0x10A0, 0x10FF),),
     "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
     "kana": ((0x3040, 0x30FF),),
-    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)),
+    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
 }
 NAMES = (*SCRIPTS, "other")
 UNKNOWN = "und"
@@ -71,9 +71,9 @@ class LanguageModel:
 
 
 def _letter_table() -> np.ndarray:
-    """Script number of every code point of the first plane, -1 if it is no letter."""
-    out = np.full(0x10000, -1, dtype=np.int8)
-    for point in range(0x10000):
+    """Script number of every code point, -1 if it is no letter."""
+    out = np.full(0x110000, -1, dtype=np.int8)
+    for point in range(0x110000):
         if not 0xD800 <= point < 0xE000 and chr(point).isalpha():
             out[point] = len(NAMES) - 1
     for number, ranges in enumerate(SCRIPTS.values()):
@@ -95,7 +95,7 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if LETTERS is None:
         LETTERS = _letter_table()
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    script = np.where(points < 0x10000, LETTERS[np.minimum(points, 0xFFFF)], -1)
+    script = LETTERS[points]
     letter = script >= 0
     first = letter.copy()
     first[1:] &= ~letter[:-1]
@@ -141,7 +141,7 @@ def fit(train: DataFrame, text_col: str, lang_col: str, params: LanguageParams =
     if not counts:
         return LanguageModel((), np.zeros((params.buckets, 0)), np.zeros((len(NAMES), 0), bool), params.penalty)
     names = tuple(sorted(counts))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 60)) / float(1 << 60)
     share = F.create_map(
         *[F.lit(x) for name in names for x in (name, params.sample_per_language / counts[name])]
     )
@@ -270,7 +270,8 @@ def keep_identified(
 
     A missing language becomes the predicted one.
     """
-    schema = StructType([*docs.schema.fields]).add("_lang_pred", "string").add("_lang_share", "double")
+    found_lang, found_share = fresh("lang_pred", docs), fresh("lang_share", docs)
+    schema = StructType([*docs.schema.fields]).add(found_lang, "string").add(found_share, "double")
     found = identify(docs, model, list(docs.columns), schema, text_col)
-    kept = found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_share") >= least))
-    return kept.withColumn(lang_col, F.coalesce(lang_col, "_lang_pred")).select(*docs.columns)
+    kept = found.where((F.col(found_lang) != UNKNOWN) & (F.col(found_share) >= least))
+    return kept.withColumn(lang_col, F.coalesce(lang_col, found_lang)).select(*docs.columns)

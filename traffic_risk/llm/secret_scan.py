@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traffic_risk.functions.skew import attach
-from traffic_risk.llm.common import map_texts
+from traffic_risk.llm.common import fresh, map_texts
 from traffic_risk.llm.spans import SPAN, ordered
 
 # Kinds, patterns and least lengths of the base rules; then rules added to them.
@@ -120,33 +120,38 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
 
 
 def find_secrets(
-    docs: DataFrame, ledger: BlobLedger, text_col: str = "text", version: str = VERSION
+    docs: DataFrame, ledger: BlobLedger, text_col: str = "text", version: str = VERSION, blob_as: str = "blob", spans_as: str = "spans"
 ) -> DataFrame:
-    """``docs`` with ``blob`` and ``spans``; blobs that are new to the ledger are scanned and recorded."""
+    """``docs`` with the blob's address and spans; blobs that are new to the ledger are scanned and recorded.
+
+    Columns of ``docs`` that have these names give way to them.
+    """
     ledger.append(scan_blobs(unseen(docs, ledger, text_col, version)), version)
-    kept = [c for c in docs.columns if c not in ("blob", "spans")]
-    addressed = docs.select(*kept, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
-    return attach(addressed, ledger.read(version), ["blob"], ["blob"], how="inner")
+    kept = [c for c in docs.columns if c.lower() not in (blob_as.lower(), spans_as.lower())]
+    addressed = docs.select(*kept, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias(blob_as))
+    known = ledger.read(version).withColumnsRenamed({"blob": blob_as, "spans": spans_as})
+    return attach(addressed, known, [blob_as], [blob_as], how="inner")
 
 
 def mask_secrets(
     docs: DataFrame, ledger: BlobLedger, text_col: str = "text", mark: str = "<SECRET>"
 ) -> DataFrame:
-    """``docs`` with every secret in the text replaced by ``mark``; other texts stay as they are.
+    """``docs`` with every secret in the text replaced by ``mark``; other texts and all other columns stay as they are.
 
     Overlapping spans become one mark. Nulls stay null.
     """
-    found = find_secrets(docs, ledger, text_col)
+    blob, spans = fresh("blob", docs), fresh("spans", docs)
+    found = find_secrets(docs, ledger, text_col, blob_as=blob, spans_as=spans)
     # walk the spans in order: (text so far, where the last span ended)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     text = F.col(text_col)
 
     def step(acc, s):
         gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]
-        out = F.concat(acc["out"], gap, F.when(fresh, F.lit(mark)).otherwise(F.lit("")))
+        new = s["start"] >= acc["at"]
+        out = F.concat(acc["out"], gap, F.when(new, F.lit(mark)).otherwise(F.lit("")))
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
 
-    masked = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(text.isNotNull() & (F.size("spans") > 0), masked).otherwise(text)
+    masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = F.when(text.isNotNull() & (F.size(spans) > 0), masked).otherwise(text)
     return found.withColumn(text_col, clean).select(*docs.columns)
