@@ -3,7 +3,7 @@
 Every stage works on all rows its predecessor kept, and all but the last return the columns of ``documents``:
 
 1. language: documents without a language go (no letters, or no language that labels 40 % of the letters)
-2. near copies: of each group of documents of similarity 0.8 or more on shingles of five words, one stays
+2. near copies: of each group that SimHash fingerprints of shingles of three words and links of two bits hold together, one stays
 3. benchmark: documents that leak a benchmark item go
 4. secrets: secrets in texts are masked, and ``n_chars`` follows; all documents stay
 5. pieces: the texts as pieces of a vocabulary, with the scores of the best segmentations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traffic_risk.llm import decontaminate, language, pieces, registry, secret_scan, simhash
-from traffic_risk.llm.common import written
+from traffic_risk.llm.common import drop_written, written
 
 ORACLE_SQL = None
 
@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, shingle=3, seed=42)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = registry.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        drop_written(before)
     return docs
