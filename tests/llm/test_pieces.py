@@ -61,6 +61,45 @@ def test_no_piece_crosses_a_cut(vocab):
     assert {i for i, _ in vocab.pieces.values() if i >= 0} == set(usable)
 
 
+def test_words_together_are_words_one_by_one(vocab):
+    import random
+
+    from traffic_risk.llm.piece_lattice import Tree, segment_all
+
+    rng = random.Random(2)
+    syllables = ["tion", "er", "éa", "ou", "x", "ß", "the", "日", "ing", "$$", "7", "q", "😀", "."]
+    words = {" " * rng.randrange(3) + "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 7))) for _ in range(4000)}
+    got = segment_all(sorted(words), Tree.of(vocab.pieces))
+    assert len(got) > 0.4 * len(words)
+    for word, found in got.items():
+        assert found == pieces.viterbi(word, vocab), word  # to the last bit: results do not depend on the batch
+    without = {w for w in words if any(vocab.pieces.get(c, (-1,))[0] < 0 for c in w)}
+    assert not without & set(got)
+    small = Tree.of({"a": (0, -1.0), "ab": (1, -1.5), "b": (2, -1.0)})
+    assert segment_all(["ab"] * 20 + ["zz"] * 20, small) == {"ab": ((1,), -1.5, 0.5)}
+
+
+def test_all_segmentations_are_those_of_the_encoder(spark, vocab):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(60)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = pieces.all_segmentations(pieces.encode_texts(docs, registry.PIECES, n=5)).collect()
+    encoder = pieces.Encoder(vocab, 5)
+    for r in rows:
+        want = encoder.n_best(texts[r.doc_id]) if texts[r.doc_id] else [(0.0, [])]
+        assert [list(s) for s in r.segmentations] == [ids for _, ids in want]
+        assert [r.scores[0], *[o.score for o in r.others]] == list(r.scores) == pytest.approx([s for s, _ in want])
+        assert all(pieces.decode(list(s), vocab) == texts[r.doc_id] for s in r.segmentations)
+
+
+def test_memory_of_parts_is_bounded(vocab, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHED", 50)
+    encoder = pieces.Encoder(vocab, 3)
+    for k in range(20):
+        encoder.learn([[f" w{k}x{j}" for j in range(30)]])
+        assert len(encoder.known) <= 80
+        assert all(f" w{k}x{j}" in encoder.known for j in range(30))
+
+
 def test_whole_table(spark, vocab):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = registry.QUERIES["op9_pieces"](spark, SF).collect()

@@ -5,7 +5,7 @@ vocabulary crosses such a cut, so the lattice of a text is a chain of small latt
 runs forward over the pieces, and its scores are exact heuristics for A* from the end to the front, which gives
 segmentations best first. The N best of a text combine those of its parts: only the N - 1 parts that lose least by
 their second segmentation can differ from their best one, so A* runs in these alone; Viterbi carries the second
-best score along with the best.
+best score along with the best. All parts of a batch that are not remembered run forward together, see ``piece_lattice``.
 
 Scores are the model's for unigram vocabularies. Merge vocabularies have ranks, not probabilities; there a piece's
 score is -log(2 + rank), so frequent pieces are cheap and fewer pieces are better.
@@ -14,7 +14,7 @@ Characters without a piece become byte pieces; so does U+2581, which stands for
 therefore exact for every text.
 
 Defined cases: a null text is empty and has no pieces, score 0 and one segmentation; of equal scores any segmentation
-may come first, always the same one; repeated rows each get a row; an empty table gives an empty result; only the
+may come first, always the same one; very long texts and parts are encoded whole; repeated rows each get a row; an empty table gives an empty result; only the
 id and text columns are read.
 """
 
@@ -26,16 +26,19 @@ import re
 import uuid
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from traffic_risk.llm.common import map_texts
+from traffic_risk.llm.piece_lattice import Tree, segment_all
 
 MARK = "▁"
 PART = re.compile(rf" +[^ \n{MARK}]*|[^ \n{MARK}]+|\n|{MARK}")
 CACHED = 3 << 16
-"""Parts of texts whose segmentations a Python worker remembers."""
+"""Parts of texts whose segmentations a Python worker remembers, besides those of the batch at hand."""
 
 
 @dataclass(frozen=True)
@@ -49,8 +52,6 @@ class Vocabulary:
     """Id of every byte's piece."""
     text: list[bytes]
     """What an id stands for."""
-    pairs: frozenset[str]
-    """All pairs of neighbours inside pieces: a text can be cut between two characters that are none."""
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -78,8 +79,7 @@ class Vocabulary:
                 scores[i] = rarest
         pieces = {piece[:n]: (-1, 0.0) for piece in ids for n in range(1, len(piece))}
         pieces |= {piece: (i, scores[i]) for piece, i in ids.items()}
-        pairs = frozenset(piece[k : k + 2] for piece in ids for k in range(len(piece) - 1))
-        return Vocabulary(pieces, scores, bytes_, text, pairs)
+        return Vocabulary(pieces, scores, bytes_, text)
 
 
 Edge = tuple[int, int, float, tuple[int, ...]]
@@ -190,26 +190,27 @@ class Encoder:
     """Segmentations of whole texts; remembers a bounded number of parts."""
 
     def __init__(self, vocab: Vocabulary, n: int):
-        self.n, self.pairs = n, vocab.pairs
-        self.best = lru_cache(CACHED)(self._best)
-        self.chunk = lru_cache(CACHED >> 1)(lambda chunk: viterbi(chunk, vocab))
+        self.n, self.vocab = n, vocab
+        self.tree = Tree.of(vocab.pieces)
+        self.known: dict[str, tuple[tuple[int, ...], float, float]] = {}
         self.several = lru_cache(CACHED >> 4)(lambda part: n_best(part, vocab, n))
 
-    def _best(self, part: str) -> tuple[tuple[int, ...], float, float]:
-        """``viterbi`` of a part, put together from chunks that no piece crosses."""
-        word = part.lstrip(" ")
-        if word.isascii() and word.isalpha():  # nearly all pairs of plain letters occur
-            return self.chunk(part)
-        pairs, start, found = self.pairs, 0, []
-        for k in range(1, len(part)):
-            if part[k - 1 : k + 1] not in pairs:
-                found.append(self.chunk(part[start:k]))
-                start = k
-        if not start:
-            return self.chunk(part)
-        found.append(self.chunk(part[start:]))
-        ids = tuple([i for ids, _, _ in found for i in ids])
-        return ids, sum([score for _, score, _ in found]), min([loss for _, _, loss in found])
+    def learn(self, texts: list[list[str]]) -> None:
+        """Segment all parts that are not known yet, together."""
+        asked = set().union(*texts)
+        if len(self.known) + len(asked) > CACHED:
+            self.known = {p: self.known[p] for p in asked if p in self.known}
+        new = sorted(asked.difference(self.known))
+        self.known.update(segment_all(new, self.tree))
+        for part in new:
+            if part not in self.known:
+                self.known[part] = viterbi(part, self.vocab)
+
+    def best(self, part: str) -> tuple[tuple[int, ...], float, float]:
+        """Ids and score of a part's best segmentation, and how much less the second one has."""
+        if part not in self.known:
+            self.learn([[part]])
+        return self.known[part]
 
     def cut(self, text: str) -> list[str]:
         return PART.findall(" " + text) if text else []
@@ -256,30 +257,70 @@ def decode(ids: list[int], vocab: Vocabulary) -> str:
     return b"".join([vocab.text[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
+EDITS = "array<struct<score: double, edits: array<struct<start: int, stop: int, ids: array<int>>>>>"
+_EDIT = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))])
+_OTHER = pa.struct([("score", pa.float64()), ("edits", pa.list_(_EDIT))])
+
+
+def others(parts: list[str], best: list[tuple], found: list[tuple[float, dict[int, int]]], encoder: Encoder) -> list[dict]:
+    """The segmentations after the best one, as the stretches of its ids that are others in them."""
+    wanted = sorted({k for _, choice in found[1:] for k in choice})
+    place, done, at = {}, 0, 0
+    for k in wanted:
+        at += sum([len(b[0]) for b in best[done:k]])
+        place[k], done = at, k
+    told = []
+    for score, choice in found[1:]:
+        edits = [(place[k], place[k] + len(best[k][0]), list(encoder.several(parts[k])[j][1])) for k, j in sorted(choice.items())]
+        told.append({"score": score, "edits": [dict(zip(("start", "stop", "ids"), e, strict=True)) for e in edits]})
+    return told
+
+
+def segmentation(ids: Column, edits: Column) -> Column:
+    """The ids of another segmentation, from the best one's and its edits."""
+    whole = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, e: Column) -> Column:
+        gap = F.slice(ids, acc["at"] + 1, e["start"] - acc["at"])
+        return F.struct(F.concat(acc["out"], gap, e["ids"]).alias("out"), e["stop"].alias("at"))
+
+    return F.aggregate(edits, whole, step, lambda acc: F.concat(acc["out"], F.slice(ids, acc["at"] + 1, F.size(ids))))
+
+
+def all_segmentations(encoded: DataFrame) -> DataFrame:
+    """The rows of ``encode_texts`` with ``segmentations``: all of them as lists of ids, best first."""
+    every = F.concat(F.array("ids"), F.transform("others", lambda o: segmentation(F.col("ids"), o["edits"])))
+    return encoded.withColumn("segmentations", every)
+
+
 def encode_texts(
     docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: ``id_col``, the best segmentation's ``ids``, ``n_pieces``, the scores of the ``n`` best, and whether decoding gives the text back."""
+    """One row per document: ``id_col``, the best segmentation's ``ids``, ``n_pieces``, the ``scores`` of the ``n`` best, whether decoding gives the text back
+    (``exact``), and ``others``: the segmentations after the best, by what differs from it; ``all_segmentations`` writes them out."""
     vocab = Vocabulary.load(model_path)
     sent = docs.sparkSession.sparkContext.broadcast(vocab)  # the size of a vocabulary
     key = uuid.uuid4().hex
 
     def run(keys: pa.RecordBatch, texts: list) -> list:
         encoder, vocab = remembered(key, n, sent)
-        ids, sizes, scores, exact = [], [0], [], []
-        for text in texts:
-            parts = encoder.cut(text)
-            best = [encoder.best(p) for p in parts]
+        ids, sizes, scores, exact, rest = [], [0], [], [], []
+        cut = [encoder.cut(text) for text in texts]
+        encoder.learn(cut)
+        known = encoder.known
+        for text, parts in zip(texts, cut, strict=True):
+            best = [known[p] for p in parts]
             start = len(ids)
-            for b in best:
-                ids.extend(b[0])
+            ids.extend(chain.from_iterable([b[0] for b in best]))
             sizes.append(len(ids))
-            scores.append([score for score, _ in encoder.choices(parts, best)])
+            found = encoder.choices(parts, best)
+            scores.append([score for score, _ in found])
+            rest.append(others(parts, best, found, encoder))
             exact.append(decode(ids[start:], vocab) == text)
         every = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(ids, pa.int32()))
         counts = pa.array([b - a for a, b in zip(sizes, sizes[1:], strict=False)], pa.int64())
-        return [keys.column(0), every, counts, pa.array(scores, pa.list_(pa.float64())), pa.array(exact, pa.bool_())]
+        return [keys.column(0), every, counts, pa.array(scores, pa.list_(pa.float64())), pa.array(exact, pa.bool_()), pa.array(rest, pa.list_(_OTHER))]
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, ids array<int>, n_pieces bigint, scores array<double>, exact boolean"
+    schema = f"{id_col} {id_type}, ids array<int>, n_pieces bigint, scores array<double>, exact boolean, others {EDITS}"
     return map_texts(docs, [id_col], text_col, run, schema)
