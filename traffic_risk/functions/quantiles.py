@@ -30,12 +30,21 @@ def exact_quantiles(
     keys = list(groups) or ["_all"]
     if not groups:
         df = df.withColumn("_all", F.lit(0))
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
-    binned = counted.select(
+    out = quantiles_of_counts(counted_values(df, keys, value), keys, probs, low, high, bins)
+    return out if groups else out.drop("_all")
+
+
+def counted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``_n`` rows of each value ``_v`` (also null) per group: all that means and quantiles of a group need."""
+    return df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+
+
+def quantiles_of_counts(
+    counted: DataFrame, groups: Sequence[str], probs: dict[str, float], low: float, high: float, bins: int = BINS
+) -> DataFrame:
+    """``exact_quantiles`` from ``counted_values``."""
+    keys = list(groups)
+    binned = counted.where(F.col("_v").isNotNull()).select(
         *keys,
         F.col("_v"),
         F.col("_n"),
@@ -105,5 +114,4 @@ def exact_quantiles(
         frac = F.max(F.when(name == n, F.col("_r._frac")))
         return (lo + (hi - lo) * frac).alias(n)
 
-    out = ranked.groupBy(*keys).agg(*[quantile(n) for n in probs])
-    return out if groups else out.drop("_all")
+    return ranked.groupBy(*keys).agg(*[quantile(n) for n in probs])

@@ -39,9 +39,12 @@ def attach(
     for every split is cheap, and all uses shuffle by other keys afterwards or write their result.
 
     Where adaptive skew handling is off, or ``salts`` is given, every key is split by hand: rows of ``left`` take one of
-    ``salts`` numbers by a hash of the ``spread`` columns, rows of ``right`` are repeated for each of them.
+    ``salts`` numbers by a hash of the ``spread`` columns, rows of ``right`` are repeated for each of them. With ``salts`` 0 the join is
+    by the keys alone: for tables that are stored in buckets by them, which a salt would shuffle again.
     """
     keys = list(keys)
+    if salts == 0:
+        return left.join(right.select(*keys, *[c for c in right.columns if c not in (*left.columns, *keys)]), keys, how)
     salt = "_salt"
     while any(c.lower() == salt for c in (*left.columns, *right.columns)):
         salt = f"_{salt}"

@@ -16,6 +16,7 @@ from traffic_risk.functions import (
 )
 from traffic_risk.operators import labeling
 from traffic_risk.operators.labeling import MANUAL_BROWSER, MANUAL_OS, user_day_scores
+from traffic_risk.operators.sketches import only_members
 from traffic_risk.params import RiskParams
 
 MODEL_COLUMNS = ("iforest_anomaly", "final_time_risk", "xgb_model_anomaly", "xgb_bot_prob_raw")
@@ -48,9 +49,12 @@ def cohort_normalize(df: DataFrame, pv_default: int = 1, result: bool = False) -
     return out.where(F.col("date").isNotNull() & F.col("distinct_id").isNotNull())
 
 
-def cohort_scores(cohort: DataFrame, iforest: DataFrame, gbt: DataFrame) -> DataFrame:
+def cohort_scores(cohort: DataFrame, iforest: DataFrame, gbt: DataFrame, prefilter: bool = False) -> DataFrame:
     """Page views per cohort key, left-joined with the user-day's scores.
 
+    With ``prefilter`` a bitmap of the cohort's user-days is read at the scan of the score tables, if its size allows, see ``sketches.only_members``;
+    that counts the cohort's user-days first, and pays where score tables hold many more days and users than the cohort.
+
     A landing page has few of all users, so the score tables are cut to the cohort's user-days before
     anything else; when those are few enough to broadcast, the score tables are not shuffled at
     all. The two tables are joined first, so the cohort is shuffled once; the pre-aggregation
@@ -59,8 +63,11 @@ def cohort_scores(cohort: DataFrame, iforest: DataFrame, gbt: DataFrame) -> Data
     keys = [c for c in COHORT_USER if c != "seek_report_pv"]
     views = cohort_normalize(cohort).groupBy(*keys).agg(F.sum("seek_report_pv").alias("seek_report_pv"))
     visitors = views.select(*USER_DAY).distinct()
+    n = visitors.count() if prefilter else None
 
     def of_visitors(scores: DataFrame) -> DataFrame:
+        if prefilter:
+            scores = only_members(scores, visitors, USER_DAY, n=n)
         return attach(scores, visitors, USER_DAY, scores.columns, how="inner")
 
     scores = user_day_scores(of_visitors(iforest), of_visitors(gbt), "full_outer")

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,15 @@ class Partials:
     def addresses(self) -> DataFrame:
         return self.everyone.where(F.col("distinct_id").isNotNull())
 
+    def persist(self) -> Partials:
+        """Kept for several uses; user-days are together in the larger tables, so what is made of them by user-day needs no shuffle."""
+        n = int(self.cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+        def kept(df: DataFrame) -> DataFrame:
+            return df.repartition(n, *USER_DAY).persist(StorageLevel.MEMORY_AND_DISK)
+
+        return Partials(kept(self.cells), kept(self.screens), self.hours.persist(StorageLevel.MEMORY_AND_DISK), kept(self.everyone))
+
     def segment_users(self) -> DataFrame:
         """Distinct users per day and C segment, as ``baseline.segment_users`` counts them in events."""
         return self.everyone.groupBy("date", "ip_c_segment").agg(F.count_distinct("distinct_id").alias("cnt"))

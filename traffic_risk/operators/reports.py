@@ -7,6 +7,7 @@ Everything with a limit is a top list, and ends in TakeOrderedAndProject.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +17,9 @@ from traffic_risk.functions import (
     attach,
     blank_to_unknown,
     c_segment_regex,
-    exact_quantiles,
+    counted_values,
     first_day_flag,
+    quantiles_of_counts,
 )
 from traffic_risk.operators.labeling import LabeledTraffic, blocked_or_not, pool_bucket
 
@@ -79,21 +81,16 @@ def daily_detail(traffic: LabeledTraffic) -> DataFrame:
 
 def risk_summary(traffic: LabeledTraffic, digits: int = 4) -> DataFrame:
     """User-days, users and probabilities per (group, action), with exact median and p95."""
-    days = traffic.user_days.select("distinct_id", "risk_group", "action", "xgb_bot_prob")
+    days = traffic.user_days.select("distinct_id", "risk_group", "action", "xgb_bot_prob").persist(StorageLevel.MEMORY_AND_DISK)
     by = ["risk_group", "action"]
-    # users first: a user's days collapse on the map side and distinct users become a count
-    per_user = days.groupBy(*by, "distinct_id").agg(
-        F.count("*").alias("d"), F.sum("xgb_bot_prob").alias("p")
+    # one aggregate by value serves counts, mean and quantiles; only distinct users need another
+    values = counted_values(days, by, "xgb_bot_prob")
+    counts = values.groupBy(*by).agg(
+        F.sum("_n").alias("user_days"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("avg_xgb_prob")
     )
-    counts = per_user.groupBy(*by).agg(
-        F.sum("d").alias("user_days"),
-        F.count("*").alias("users"),
-        (F.sum("p") / F.sum("d")).alias("avg_xgb_prob"),
-    )
-    quantiles = exact_quantiles(
-        days, by, "xgb_bot_prob", {"p50_xgb_prob": 0.50, "p95_xgb_prob": 0.95}, 0.0, 1.0
-    )
-    out = counts.join(quantiles, by)
+    users = days.groupBy(*by).agg(F.count_distinct("distinct_id").alias("users"))
+    quantiles = quantiles_of_counts(values, by, {"p50_xgb_prob": 0.50, "p95_xgb_prob": 0.95}, 0.0, 1.0)
+    out = counts.join(F.broadcast(users), by).join(F.broadcast(quantiles), by)  # a row for each group and action
     return out.select(
         *by,
         "user_days",

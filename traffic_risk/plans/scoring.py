@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traffic_risk.columns import GBT_REQUIRED, IFOREST_REQUIRED, RAW_REQUIRED
-from traffic_risk.operators.baseline import Baseline
+from traffic_risk.operators.baseline import Baseline, fit_baseline, segment_days
 from traffic_risk.operators.features import user_day_features
 from traffic_risk.operators import partials
 from traffic_risk.operators.models import BoostedTrees, IsolationForest, score_features
-from traffic_risk.operators.resolution import ResolutionBaseline
-from traffic_risk.params import RETENTION_DAYS
+from traffic_risk.operators.resolution import ResolutionBaseline, check_training, daily_resolutions, fit_share_baseline, main_resolution
+from traffic_risk.params import RETENTION_DAYS, ResolutionParams
 from traffic_risk.sources import versions
 from traffic_risk.sources.store import (
     LOADED_AT,
@@ -70,6 +70,22 @@ def _features(events: DataFrame, models: Models) -> DataFrame:
     return user_day_features(days, models.baseline, models.resolution)
 
 
+def fit_features(
+    events: DataFrame, params: ResolutionParams = ResolutionParams(), leave_one_day_out: bool = False, check: bool = False
+) -> tuple[Baseline, ResolutionBaseline, DataFrame]:
+    """Baselines learned on some events, and the features of the same events.
+
+    Events are reduced once, to partial aggregates that fits and features share; they are kept until the caller clears the cache or ends.
+    """
+    parts = partials.partials_of(require_columns(events, RAW_REQUIRED, "raw events")).persist()
+    daily = daily_resolutions(main_resolution(None, parts.screens)).persist(StorageLevel.MEMORY_AND_DISK)
+    if check:
+        check_training(daily, params)
+    baseline = fit_baseline(None, parts.hours, segment_days(parts.segment_users()))
+    resolution = ResolutionBaseline(fit_share_baseline(daily, params), params).persist()
+    return baseline, resolution, user_day_features(None, baseline, resolution, leave_one_day_out, partials=parts)
+
+
 def _stamp(scores: DataFrame, models: Models) -> DataFrame:
     return scores.withColumn("model_version", F.lit(models.version)).withColumn(
         "built_at", F.current_timestamp()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +39,13 @@ from traffic_risk.operators import (
     redteam,
     reports,
     resolution,
+    sketches,
 )
 from traffic_risk.params import RiskParams
 from traffic_risk.plans import cohort as cohort_plan
 from traffic_risk.plans import rolling, scoring
 from traffic_risk.session import scratch_dir
-from traffic_risk.sources import pageviews, store
+from traffic_risk.sources import bucketed, pageviews, store
 from traffic_risk.sources import redteam as redteam_source
 from traffic_risk.streaming import ingest
 from verification import fixtures as fx
@@ -569,17 +571,12 @@ ALL_FEATURES = f"""SELECT f.date, f.distinct_id, total_pv, max_exact_ip_uv, max_
 
 @query(ALL_FEATURES.format("z_users"))
 def all_features(t):
-    events = t.all_pageviews
-    return _rounded(
-        features.user_day_features(events, _base(t), resolution.fit_resolution(events).persist())
-    )
+    return _rounded(scoring.fit_features(t.all_pageviews)[2])
 
 
 @query(ALL_FEATURES.format("z_users_loo"))
 def training_features(t):
-    events = t.all_pageviews
-    fitted = resolution.fit_resolution(events, check=True).persist()
-    return _rounded(features.user_day_features(events, _base(t), fitted, leave_one_day_out=True))
+    return _rounded(scoring.fit_features(t.all_pageviews, leave_one_day_out=True, check=True)[2])
 
 
 # ---------------------------------------------------------------- labels
@@ -1419,3 +1416,60 @@ def rolling_baseline(t):
 @query(CHECKS_OF_SHARES)
 def rolling_shares(t):
     return _rounded(_window(t)[1].summary(), 9)
+
+
+# ---------------------------------------------------------------- buckets, membership filter, sketches of days
+
+
+@query(f"{EVENT_LABELS} FROM lab")
+def labeled_events_bucketed(t):
+    """Labelled events of tables that are stored in buckets by user-day: nothing is shuffled."""
+    path = _scratch(t.spark, "buckets")
+    events, iforest, gbt = (bucketed.write_bucketed(df, f"{path}/{name}", 8) for name, df in (("events", t.pageviews), ("iforest", t.iforest), ("gbt", t.xgb)))
+    return labeling.label_traffic(events, iforest, gbt).rows(salts=0)
+
+
+@query("SELECT * FROM cohort_result")
+def cohort_scores_prefiltered(t):
+    """The cohort's scores, with a bitmap of its user-days read at the scan of the score tables."""
+    return cohort.cohort_scores(t.cohort, t.iforest, t.xgb, prefilter=True)
+
+
+RANGES = {"first_week": ("2024-01-01", "2024-01-07"), "middle": ("2024-01-10", "2024-01-21"), "all": (None, None)}
+_RANGES_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS span, * FROM {{table}}" + (f" WHERE date BETWEEN DATE '{a}' AND DATE '{b}'" if a else "") for name, (a, b) in RANGES.items()
+)
+
+
+def _of_ranges(make: Callable) -> DataFrame:
+    parts = [make(a, b).withColumn("span", F.lit(name)) for name, (a, b) in RANGES.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"SELECT span, url, count(DISTINCT distinct_id) AS users, true AS within_error FROM ({_RANGES_SQL.format(table='pv')}) WHERE url IS NOT NULL GROUP BY 1, 2")
+def range_users(t):
+    """Distinct users per url over ranges of days, from sketches of days, beside the exact numbers."""
+    days = sketches.distinct_sketches(t.pageviews.where("url IS NOT NULL"), ["url"]).persist()
+    exact = _of_ranges(lambda a, b: store.date_range(t.pageviews, a, b).groupBy("url").agg(F.count_distinct("distinct_id").alias("users")))
+    told = _of_ranges(lambda a, b: sketches.range_distinct(days, ["url"], a, b))
+    within = F.abs(F.col("estimate") - F.col("users")) <= F.greatest(F.lit(2.0), F.col("users") * 2 * sketches.distinct_error())
+    return exact.join(told, ["span", "url"], "full_outer").where("url IS NOT NULL").select("span", "url", "users", within.alias("within_error"))
+
+
+@query(f"SELECT span, count(xgb_bot_prob) AS n, true AS p50_within, true AS p95_within FROM ({_RANGES_SQL.format(table='(SELECT date, xgb_bot_prob FROM xgs)')}) GROUP BY 1")
+def range_quantiles(t):
+    """Median and 95 % point of probabilities over ranges of days, from sketches of days: their exact ranks are near the wanted ones."""
+    probs = {"p50": 0.50, "p95": 0.95}
+    days = sketches.quantile_sketches(t.xgb, [], "xgb_bot_prob").persist()
+
+    def ranked(a, b) -> DataFrame:
+        told = sketches.range_quantiles(days, [], probs, a, b).first()  # two numbers
+        values = store.date_range(t.xgb, a, b).where("xgb_bot_prob IS NOT NULL").select(F.col("xgb_bot_prob").cast("double").alias("v"))
+        n = F.count("*")
+        near = []
+        for name, p in probs.items():
+            below, upto = F.sum((F.col("v") < told[name]).cast("int")) / n, F.sum((F.col("v") <= told[name]).cast("int")) / n
+            near.append(((below <= p + 2 * sketches.rank_error()) & (upto >= p - 2 * sketches.rank_error())).alias(f"{name}_within"))
+        return values.agg(n.alias("n"), *near)
+
+    return _of_ranges(ranked)
