@@ -37,6 +37,8 @@ def plain_model(texts, order, least, discount):
         for g in kept[k]:
             members.setdefault(g[:-1], []).append(g)
 
+    lefts = {}
+
     def p(context, word):
         context = context[-(order - 1) :]
         if not context:
@@ -45,11 +47,12 @@ def plain_model(texts, order, least, discount):
             return p(context[1:], word)
         grams = members[context]
         k = len(context) + 1
-        all_ = max(n[k - 1][context], sum(n[k][g] for g in grams))
-        if (*context, word) in kept[k]:
-            return (n[k][(*context, word)] - discount) / all_
-        left = 1 - sum(n[k][g] - discount for g in grams) / all_
-        return left / (1 - sum(p(context[1:], g[-1]) for g in grams)) * p(context[1:], word)
+        all_ = n[k - 1][context]  # every context is followed by something
+        if context not in lefts:
+            lefts[context] = 1 - sum(n[k][g] - discount for g in grams) / all_
+        left = lefts[context]
+        own = n[k][(*context, word)] - discount if (*context, word) in kept[k] else 0
+        return own / all_ + left * p(context[1:], word)
 
     return p, n[1], total, v
 
@@ -107,3 +110,73 @@ def test_ngrams_seen_twice_count_in_any_corpus(spark):
     want = sum(math.log10(p(tuple(path[max(0, k - 2) : k]), path[k])) for k in range(1, len(path)))
     assert got[0].score == pytest.approx(want, rel=1e-9)
     assert got[0].score > got[0].base_score + 8
+
+
+@pytest.mark.parametrize("block_bytes", [3_000, 16 << 20])
+def test_whole_small_table_follows_the_formula(spark, monkeypatch, block_bytes):
+    """Every score of the 200 documents, whatever the number of blocks and parts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    monkeypatch.setattr(ngram_lm, "PART_KEYS", 9_000)
+    params = ngram_lm.LmParams(block_bytes=block_bytes)
+    rows = ngram_lm.score_texts(docs, registry.language.held_out("doc_id", 7, 2), params=params).collect()
+    p, *_ = plain_model([t for i, t in texts.items() if not held[i]], 3, 0, params.discount)
+    assert len(rows) == len(texts)
+    for r in rows:
+        path = [END, *plain_tokens(texts[r.doc_id])]
+        want = sum(math.log10(p(tuple(path[max(0, k - 2) : k]), path[k])) for k in range(1, len(path)))
+        assert r.score == pytest.approx(want, rel=1e-9)
+
+
+def block_of(texts, order):
+    import numpy as np
+
+    number, codes, sizes = {ngram_lm.END: 0}, [], []
+    for t in texts:
+        words = [ngram_lm.END, *ngram_lm.tokens(t)]
+        codes += [number.setdefault(w, len(number)) for w in words]
+        sizes.append(len(words))
+    hashes = np.array([ngram_lm.xxhash.xxh3_64_intdigest(w) for w in number], dtype=np.uint64)
+    row = {"codes": np.array(codes, dtype=np.int32).tobytes(), "sizes": sizes, "held": [False] * len(texts), "words": hashes.tobytes()}
+    return ngram_lm.Grams(row, order)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_stretches_walk_like_one_reader(monkeypatch, order):
+    """A reader with one state, a word at a time, against all stretches of the texts at once; failure arcs lead to shorter contexts."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(order)
+    texts = [" ".join(rng.choices("abcdef", k=rng.randrange(60))) for _ in range(30)] + ["a b c " * 700]
+    grams = block_of(texts, order)
+    passing = [grams.different(1)]
+    passing = [(passing[0][0], *passing[0])]
+    told = []
+    for k in range(1, order + 1):
+        keys, where, counts = grams.different(k)
+        if k > 1:
+            context = grams.keys[k - 2][where - 1]
+            by = np.lexsort((keys, context))
+            context, keys, where, counts = context[by], keys[by], where[by], counts[by]
+            passing.append((context, keys, where, counts))
+            kept = counts >= 2
+            given = [float((counts[(context == c) & kept] - 0.5).sum()) for c in ngram_lm._contexts(passing, k)]
+            told.append({"k": k, "part": 0, "n": len(keys), "m": len(given), "kept": np.packbits(kept).tobytes(), "counts": ngram_lm._pack(counts[kept]), "given": ngram_lm._pack(np.array(given))})
+        else:
+            told.append({"k": 1, "part": 0, "n": len(keys), "counts": ngram_lm._pack(counts)})
+    n, v = int((grams.sizes - 1).sum()), len(grams.hashes)
+    machine, _ = ngram_lm.automaton(grams, passing, told, n, v, ngram_lm.LmParams(order=order))
+    assert (machine.fail[1 : 1 + v] == 0).all() and (machine.fail_weight <= 1e-12).all()
+    alone, at = [], 0
+    for size in grams.sizes.tolist():
+        state = np.zeros(1, dtype=np.int64)
+        for place in range(at, at + size):
+            state, more = machine.read(state, grams.codes[place : place + 1])
+            alone.append(0.0 if place == at else float(more[0]))
+        at += size
+    for stretch in (7, 512, 10_000):
+        monkeypatch.setattr(ngram_lm, "STRETCH", stretch)
+        assert ngram_lm.walk(grams, machine, order).tolist() == alone

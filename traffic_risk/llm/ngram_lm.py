@@ -1,40 +1,53 @@
 """Log-probabilities of texts under a smoothed n-gram model, walked as a weighted backoff automaton.
 
-Tokens are words and one end per text. Unigrams are add-one estimates over all training tokens. Longer n-grams
-are kept from a small count on, so their number grows with the corpus, and get absolute discounting; what the discount
-leaves is the weight of backing off. All counts are exact and cover all training texts.
+Tokens are words and one end per text. Unigrams are add-one estimates over all training tokens. Longer n-grams are kept from a small
+count on, so their number grows with the corpus; they are smoothed by interpolated absolute discounting: an n-gram of count c after a
+context of count C has (c - d) / C, and what the kept ones of a context leave is its backoff weight, by which the shorter context's probabilities count. All
+counts are exact and cover all training texts.
 
-The automaton has a state per context; an arc reads a word and adds its log-probability; where a state has
-no arc for a word, its failure arc adds the backoff weight and leads to the state of the context without its first
-word, down to the root, which reads every word by its unigram. All places of a block's texts walk at once.
+The automaton has a state for each word and for each kept n-gram short of the order. An arc reads a word, adds the word's log-probability after the state's
+context, and leads to the state of the longest suffix read. Where a state has no arc for a word, its failure arc adds the backoff weight and leads to the state of
+the context without its first word, down to the root, which reads every word by its unigram. Texts are walked once, from left to right, carrying
+the state; a state tells no more than the last words, so long texts are walked in stretches that begin a context's length earlier, all at once.
 
-Neither words nor n-grams ever meet in one place. Texts are dealt into blocks by a hash of
-their id and length; the n-grams of a block are counted there, summed over all blocks, and the sums of just these n-grams go
-back to the block. A block that holds an n-gram holds all its parts, so it can tell the n-gram's share of its context's
-backoff weight; the shares are summed by context, and the weights of just its own contexts go back to the block, where its
-texts are scored. N-grams are known by 64-bit hashes.
+Neither words nor n-grams ever meet in one place. Texts are packed into blocks, where they lie, as word numbers, in a table in buckets by block, which
+is never shuffled. What blocks ask goes to parts by ranges of hashes, and one answer comes back, in two rounds:
+
+1. Which n-grams can occur often enough at all: blocks send the hashes' first bits, some four more than it takes to number all n-grams, as gaps; parts
+   answer a bit for each. What does not pass occurs once.
+2. Counts: the rest go by their context's hash with the block's counts, and with them all contexts of the block that passed, as other blocks may
+   continue them. A part has all continuations of its contexts, so counts and backoff weights come from the same place.
+
+N-grams are known by 64-bit hashes.
 
 Defined cases: a null text is empty: one token, the end; a row without id belongs to the training rows; with nothing to
-learn from, every token has probability one over one; repeated rows each get a row (and count each); an empty table
+learn from, every token has probability one over one; repeated rows each get a row (and count each); texts of any length are walked whole; an empty table
 gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traffic_risk.llm.common import written
-from traffic_risk.session import ship_package
+from traffic_risk.session import scratch_dir, ship_package
 
 END = b" "
 """The end of a text; no word has a blank. Also what stands before the first word."""
+STRETCH = 512
+"""Tokens of a walk."""
+SPARE_BITS = 4
+PART_KEYS = 4_000_000
+"""N-grams that a part gets, about."""
 
 
 @dataclass(frozen=True)
@@ -55,49 +68,15 @@ def tokens(text: str) -> list[bytes]:
     return words
 
 
-def in_blocks(docs: DataFrame, id_col: str, text_col: str, held: Column, params: LmParams) -> tuple[DataFrame, int]:
-    """The texts with their block, and the number of blocks: shuffle partitions, or more for large corpora."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / params.block_bytes))
-    block = F.pmod(F.xxhash64(F.col(id_col), F.length(text)), F.lit(n)).cast("int")
-    return docs.select(F.col(id_col).alias("id"), held.alias("held"), text.alias("text"), block.alias("block")), n
+def _pack(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
 
 
-@dataclass(frozen=True)
-class Places:
-    """The places of texts one after the other, each text led by an end that is no token."""
-
-    keys: list[np.ndarray]
-    """For each order, the hash of the n-gram that ends at every place."""
-    at: np.ndarray
-    """Number of the place in its text: an n-gram of order k ends from place k - 1 on, a token from place 1 on."""
-    sizes: np.ndarray
-    """Places of every text."""
-
-    def ends(self, order: int) -> np.ndarray:
-        """Places where an n-gram of the order ends."""
-        return np.flatnonzero(self.at >= max(order - 1, 1))
-
-
-def places(texts: list[str], order: int) -> Places:
-    known = {END: xxhash.xxh3_64_intdigest(END)}
-    ids: list[int] = []
-    sizes = np.zeros(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        words = [END, *tokens(text)]
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        ids += [known[w] for w in words]
-        sizes[i] = len(words)
-    first = np.array(ids, dtype=np.uint64)
-    at = np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keys = [first]
-    for _ in range(order - 1):
-        keys.append(_mixed(np.concatenate((first[:1], keys[-1][:-1])) * np.uint64(0x9E3779B97F4A7C15) + first))
-    return Places(keys, at, sizes)
+def _unpack(data: bytes, n: int, dtype) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype=dtype)
+    size = n * np.dtype(dtype).itemsize
+    return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), dtype=dtype)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -107,114 +86,375 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def count_ngrams(blocked: DataFrame, n_blocks: int, params: LmParams) -> DataFrame:
-    """``block``, ``k`` (order), ``key``, its training count ``c`` over all blocks, and ``first``: one row per key has it."""
-    ship_package(blocked.sparkSession)
+# ------------------------------------------------------------------ blocks
+
+
+BLOCK = "held array<boolean>, sizes array<bigint>, words binary, codes binary, n bigint, train bigint"
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str, held: Column, params: LmParams) -> DataFrame:
+    """One row for each block of texts: ids, whether held out, tokens of each text, hashes of the different words and the words' numbers in them."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def block(ids: list, flags: list, texts: list) -> pa.RecordBatch:
+        number: dict[bytes, int] = {END: 0}
+        codes, sizes = [], []
+        for text in texts:
+            words = [END, *tokens(text)]
+            codes += [number.setdefault(w, len(number)) for w in words]
+            sizes.append(len(words))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+        learned = sum(s - 1 for s, h in zip(sizes, flags, strict=True) if not h)
+        columns = [
+            pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)),
+            pa.array([flags], pa.list_(pa.bool_())),
+            pa.array([sizes], pa.list_(pa.int64())),
+            pa.array([hashes.tobytes()]),
+            pa.array([np.array(codes, dtype=np.int32).tobytes()], pa.large_binary() if len(codes) > 1 << 28 else pa.binary()),
+            pa.array([len(codes)], pa.int64()),
+            pa.array([learned], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["ids", "held", "sizes", "words", "codes", "n", "train"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, flags, texts, size = [], [], [], 0
+        for batch in batches:
+            column = batch.column(2).to_pylist()
+            first = 0
+            for at, text in enumerate(column):
+                size += len(text)
+                texts.append(text)
+                if size >= params.block_bytes or at == len(column) - 1:
+                    ids.append(batch.column(0).slice(first, at + 1 - first))
+                    flags += batch.column(1).slice(first, at + 1 - first).to_pylist()
+                    first = at + 1
+                if size >= params.block_bytes:
+                    yield block(ids, flags, texts)
+                    ids, flags, texts, size = [], [], [], 0
+        if texts:
+            yield block(ids, flags, texts)
+
+    chosen = docs.select(F.col(id_col), F.coalesce(held, F.lit(False)).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    made = chosen.mapInArrow(run, f"ids array<{kind}>, {BLOCK}").withColumn("block", F.monotonically_increasing_id())
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"blocks_{uuid.uuid4().hex}"
+    writer = made.write.format("parquet").option("compression", "zstd").option("path", scratch_dir(spark, "blocks"))
+    writer.bucketBy(buckets, "block").saveAsTable(name)
+    return spark.table(name)
+
+
+class Grams:
+    """All n-grams of a block's texts, which are led by an end that is no token of theirs."""
+
+    def __init__(self, row: dict, order: int):
+        self.codes = np.frombuffer(row["codes"], dtype=np.int32).astype(np.int64)
+        self.sizes = np.array(row["sizes"], dtype=np.int64)
+        self.held = np.array(row["held"], dtype=bool)
+        self.hashes = np.frombuffer(row["words"], dtype=np.uint64)
+        words = self.hashes[self.codes]
+        self.at = np.arange(len(words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.keys = [words]
+        for _ in range(order - 1):
+            before = np.concatenate((words[:1], self.keys[-1][:-1]))
+            self.keys.append(_mixed(before * np.uint64(0x9E3779B97F4A7C15) + words))
+        self.train = ~np.repeat(self.held, self.sizes)
+
+    def different(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted different n-grams of an order, a place where each ends, and their training counts."""
+        ends = np.flatnonzero(self.at >= max(k - 1, 1))
+        keys, where, which = np.unique(self.keys[k - 1][ends], return_index=True, return_inverse=True)
+        counts = np.bincount(which, weights=self.train[ends], minlength=len(keys)).astype(np.int64)
+        return keys, ends[where], counts
+
+
+def _rows_of(table: pa.Table) -> list[dict]:
+    return table.to_pylist()
+
+
+def _cut(sorted_keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where the keys of each part begin, and their end; parts are equal ranges of the keys' first 32 bits."""
+    marks = np.array([-(-(p << 32) // parts) << 32 for p in range(parts)], dtype=np.uint64)
+    return np.append(np.searchsorted(sorted_keys, marks), len(sorted_keys))
+
+
+# ------------------------------------------------------------------ round 1: what can be frequent
+
+
+ASKED1 = "block bigint, k int, part int, n bigint, wide boolean, gaps binary, seen binary"
+TOLD1 = "block bigint, k int, part int, n bigint, passed binary"
+
+
+def ask_frequent(blocks: DataFrame, parts: int, bits: int, params: LmParams) -> DataFrame:
+    """For each block, order above one and part: the first ``bits`` of its n-grams' hashes as gaps, and 0, 1 or 2 (or more) training occurrences."""
     order = params.order
 
-    def count(rows: pa.Table) -> pa.Table:
-        found = places(rows.column("text").to_pylist(), order)
-        train = np.repeat(~rows.column("held").to_numpy(zero_copy_only=False).astype(bool), found.sizes)
-        ks, keys, ns = [], [], []
-        for k in range(1, order + 1):
-            ends = found.ends(k)
-            different, which = np.unique(found.keys[k - 1][ends], return_inverse=True)
-            ks.append(np.full(len(different), k, dtype=np.int8))
-            keys.append(different.view(np.int64))
-            ns.append(np.bincount(which, weights=train[ends], minlength=len(different)).astype(np.int64))
-        block = np.full(sum(map(len, keys)), rows.column("block")[0].as_py(), dtype=np.int32)
-        columns = [block, *map(np.concatenate, (ks, keys, ns))]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], ["block", "k", "key", "n"])
-
-    dealt = blocked.select("block", "held", "text").repartition(n_blocks, "block")
-    found = dealt.groupBy("block").applyInArrow(count, "block int, k tinyint, key bigint, n bigint")
-    by_key = Window.partitionBy("k", "key")  # a key has a row per block at most
-    counted = found.select(
-        "block", "k", "key", F.sum("n").over(by_key).alias("c"), (F.min("block").over(by_key) == F.col("block")).alias("first")
-    )
-    return counted.where((F.col("k") == 1) | (F.col("c") >= params.least))
-
-
-def _looked_up(wanted: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The value of every wanted key, 0 where ``keys`` (sorted) lack it."""
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=values.dtype)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0)
-
-
-def _by_order(rows: pa.Table, order: int, *names: str) -> list[tuple[np.ndarray, ...]]:
-    """For each order: sorted keys and the named columns."""
-    k, keys = rows.column("k").to_numpy(), rows.column("key").to_numpy().view(np.uint64)
-    columns = [rows.column(c).to_numpy() for c in names]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                grams, out = Grams(row, order), []
+                for k in range(2, order + 1):
+                    keys, _, counts = grams.different(k)
+                    slots, cuts = keys >> np.uint64(64 - bits), _cut(keys, parts)
+                    for part in range(parts):
+                        a, b = cuts[part], cuts[part + 1]
+                        if a < b:
+                            gaps = np.diff(slots[a:b], prepend=np.uint64(0))
+                            wide = bool(gaps[1:].max(initial=0) > 0xFFFF)
+                            told = np.concatenate((slots[a : a + 1], gaps[1:])).astype(np.uint64)
+                            head, rest = told[:1], told[1:].astype(np.uint64 if wide else np.uint16)
+                            out.append((row["block"], k, part, int(b - a), wide, head.tobytes() + _pack(rest), _pack(np.minimum(counts[a:b], 2).astype(np.uint8))))
+                if out:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+                    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "k", "part", "n", "wide", "gaps", "seen"])
+
+    return blocks.mapInArrow(run, ASKED1)
+
+
+def tell_frequent(asked: DataFrame, params: LmParams) -> DataFrame:
+    """A bit for each n-gram asked about: whether the first bits occur often enough in all training texts."""
+    least = min(params.least, 2)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, out = _rows_of(table), []
+        for k in sorted({r["k"] for r in rows}):
+            mine = [r for r in rows if r["k"] == k]
+            slots = [
+                np.cumsum(np.concatenate((np.frombuffer(r["gaps"][:8], np.uint64), _unpack(r["gaps"][8:], r["n"] - 1, np.uint64 if r["wide"] else np.uint16).astype(np.uint64))), dtype=np.uint64)
+                for r in mine
+            ]
+            _, which = np.unique(np.concatenate(slots), return_inverse=True)
+            seen = np.concatenate([_unpack(r["seen"], r["n"], np.uint8) for r in mine])
+            passed = np.bincount(which, weights=seen)[which] >= least
+            ends = np.cumsum([r["n"] for r in mine])
+            out += [(r["block"], k, r["part"], r["n"], np.packbits(passed[e - r["n"] : e]).tobytes()) for r, e in zip(mine, ends.tolist(), strict=True)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "k", "part", "n", "passed"])
+
+    return asked.groupBy("part").applyInArrow(run, TOLD1)
+
+
+def _passing(grams: Grams, told: list[dict], order: int) -> list[tuple[np.ndarray, ...]]:
+    """For each order: context, hash, a place and training count of the n-grams that passed, by (context, hash)."""
     out = []
-    for o in range(1, order + 1):
-        mine = np.flatnonzero(k == o)
-        mine = mine[np.argsort(keys[mine])]
-        out.append((keys[mine], *[c[mine] for c in columns]))
+    for k in range(1, order + 1):
+        keys, where, counts = grams.different(k)
+        if k == 1:
+            out.append((keys, keys, where, counts))
+            continue
+        bits = [np.unpackbits(np.frombuffer(r["passed"], np.uint8), count=r["n"]) for r in sorted((r for r in told if r["k"] == k), key=lambda r: r["part"])]
+        passed = np.flatnonzero(np.concatenate(bits)) if bits else np.zeros(0, np.int64)
+        keys, where, counts = keys[passed], where[passed], counts[passed]
+        context = grams.keys[k - 2][where - 1]
+        if k > 2:  # one that is frequent has a frequent context; others passed by chance
+            good = np.isin(context, out[-1][1])
+            context, keys, where, counts = context[good], keys[good], where[good], counts[good]
+        by = np.lexsort((keys, context))
+        out.append((context[by], keys[by], where[by], counts[by]))
     return out
 
 
-def backoffs(blocked: DataFrame, counted: DataFrame, n_blocks: int, total: int, params: LmParams) -> DataFrame:
-    """``k``, ``key`` and backoff ``weight`` (natural log) of every context that a kept n-gram continues."""
-    order, discount = params.order, params.discount
-
-    def parts(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        found = places(texts.column("text").to_pylist(), order)
-        tables = _by_order(rows, order, "c", "first")
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for k in range(2, order + 1):
-            keys, counts, first = tables[k - 1]
-            ends = found.ends(k)
-            mine, where = np.unique(found.keys[k - 1][ends], return_index=True)
-            mine, where = mine.astype(np.uint64), ends[where]
-            c = _looked_up(mine, keys, counts * first)  # this block speaks for these
-            where, c = where[c > 0], c[c > 0]
-            count = [_looked_up(found.keys[j - 1][where - gap], *tables[j - 1][:2]) for j, gap in ((k - 1, 1), (k - 1, 0))]
-            if k == 2:
-                lower = (count[1] + 1) / total
-            else:  # the shorter n-gram is as frequent, so it is kept
-                lower = (count[1] - discount) / _looked_up(found.keys[k - 3][where - 1], *tables[k - 3][:2])
-            # as often as anything follows the context: its count (every text ends by a token)
-            context = found.keys[k - 2][where - 1]
-            different, which = np.unique(context, return_inverse=True)
-            out[0].append(np.full(len(different), k - 1, dtype=np.int8))
-            out[1].append(different.view(np.int64))
-            out[2].append(np.bincount(which, weights=(c - discount) / count[0], minlength=len(different)))
-            out[3].append(np.bincount(which, weights=lower, minlength=len(different)))
-        kinds = (np.int8, np.int64, np.float64, np.float64)
-        columns = [np.concatenate([np.zeros(0, t), *c]).astype(t) for c, t in zip(out, kinds, strict=True)]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], ["k", "key", "given", "covered"])
-
-    texts = blocked.select("block", "text").repartition(n_blocks, "block").groupBy("block")
-    shares = texts.cogroup(counted.groupBy("block")).applyInArrow(parts, "k tinyint, key bigint, given double, covered double")
-    summed = shares.groupBy("k", "key").agg(F.sum("given").alias("given"), F.sum("covered").alias("covered"))
-    left = F.log(F.greatest(1 - F.col("given"), F.lit(1e-12))) - F.log(F.greatest(1 - F.col("covered"), F.lit(1e-12)))
-    return summed.select("k", "key", left.alias("weight"))
-
-
-def score_places(found: Places, rows: pa.Table, n: int, v: int, params: LmParams) -> list[np.ndarray]:
-    """For every text: tokens, known tokens, base score and model score (both log10)."""
-    tables = _by_order(rows, params.order, "c", "weight")
-    ends = found.ends(1)
-    count = _looked_up(found.keys[0][ends], *tables[0][:2])
-    plain = np.log(count + 1) - math.log(n + v + 1)
-    score, walking = np.zeros(len(ends)), np.ones(len(ends), dtype=bool)
-    for k in range(params.order, 1, -1):
-        now = np.flatnonzero(walking & (found.at[ends] >= k - 1))
-        where = ends[now]
-        c = _looked_up(found.keys[k - 1][where], *tables[k - 1][:2])
-        context = found.keys[k - 2][where - 1]
-        arc = c > 0
-        all_ = _looked_up(context[arc], *tables[k - 2][:2])
-        score[now[arc]] += np.log((c[arc] - params.discount) / all_)
-        score[now[~arc]] += _looked_up(context[~arc], tables[k - 2][0], tables[k - 2][2])
-        walking[now[arc]] = False
-    score[walking] += plain[walking]
-    text = np.repeat(np.arange(len(found.sizes)), found.sizes)[ends]
-    size, ten = len(found.sizes), math.log(10)
-    known = np.bincount(text, weights=count > 0, minlength=size).astype(np.int64)
-    return [found.sizes - 1, known, *[np.bincount(text, weights=s, minlength=size) / ten for s in (plain, score)]]
+# ------------------------------------------------------------------ round 2: counts and backoff weights
+
+
+ASKED2 = "block bigint, k int, part int, n bigint, m bigint, contexts binary, members binary, keys binary, counts binary"
+TOLD2 = "block bigint, k int, part int, n bigint, m bigint, kept binary, counts binary, given binary, v bigint"
+
+
+def _contexts(passing: list[tuple[np.ndarray, ...]], k: int) -> np.ndarray:
+    """Sorted hashes of the contexts of order-``k`` n-grams: all that passed, as other blocks may hold their continuations."""
+    return np.sort(passing[k - 2][1])
+
+
+def ask_counts(blocks: DataFrame, told: DataFrame, parts: int, params: LmParams) -> DataFrame:
+    """What passed, by context: each context's hash and number of n-grams, and these with the block's counts.
+
+    The contexts of order two are the words, which go to the same parts as words.
+    """
+    order = params.order
+
+    def run(texts: pa.Table, bits: pa.Table) -> pa.Table:
+        out = []
+        for row in _rows_of(texts):
+            passing = _passing(Grams(row, order), _rows_of(bits), order)
+            for k, (context, keys, _, counts) in enumerate(passing, 1):
+                cuts = _cut(context, parts)
+                holders = _contexts(passing, k) if k > 1 else context[:0]
+                members = np.diff(np.searchsorted(context, holders), append=len(context)).astype(np.uint32)
+                bounds = _cut(holders, parts)
+                for part in range(parts):
+                    a, b, c, d = cuts[part], cuts[part + 1], bounds[part], bounds[part + 1]
+                    if a < b or c < d:
+                        spelled = holders[c:d].tobytes() if k > 2 else b""
+                        out.append((row["block"], k, part, int(b - a), int(d - c), spelled, _pack(members[c:d]), keys[a:b].tobytes(), _pack(counts[a:b].astype(np.uint32))))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)]
+        return pa.Table.from_arrays(columns, ["block", "k", "part", "n", "m", "contexts", "members", "keys", "counts"])
+
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, ASKED2)
+
+
+def tell_counts(asked: DataFrame, total: int, params: LmParams) -> DataFrame:
+    """Counts over all blocks, which n-grams are kept, and how much of its count a context gives to kept ones (``given``)."""
+    least = max(params.least, params.share * total)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, out = _rows_of(table), []
+        for k in sorted({r["k"] for r in rows}):
+            mine = [r for r in rows if r["k"] == k]
+            every = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in mine])
+            different, first, which = np.unique(every, return_index=True, return_inverse=True)
+            counts = np.bincount(which, weights=np.concatenate([_unpack(r["counts"], r["n"], np.uint32) for r in mine]), minlength=len(different)).astype(np.int64)
+            ends = np.cumsum([r["n"] for r in mine]).tolist()
+            if k == 1:
+                v = int((counts > 0).sum())
+                for i, (r, e) in enumerate(zip(mine, ends, strict=True)):
+                    out.append((r["block"], k, r["part"], r["n"], 0, b"", _pack(counts[which[e - r["n"] : e]]), b"", v if i == 0 else 0))
+                continue
+            words = {r["block"]: r["keys"] for r in rows if r["k"] == 1}
+            contexts = [np.frombuffer(words[r["block"]] if k == 2 else r["contexts"], np.uint64) for r in mine]
+            owner = np.concatenate([np.repeat(c, _unpack(r["members"], r["m"], np.uint32)) for r, c in zip(mine, contexts, strict=True)])[first]
+            kept = counts >= least
+            holders, of = np.unique(owner, return_inverse=True)
+            given = np.bincount(of, weights=np.where(kept, counts - params.discount, 0.0), minlength=len(holders))
+            for r, c, e in zip(mine, contexts, ends, strict=True):
+                own = which[e - r["n"] : e]
+                good = kept[own]
+                at = np.minimum(np.searchsorted(holders, c), max(len(holders) - 1, 0))
+                share = np.where(holders[at] == c, given[at], 0.0) if len(holders) else np.zeros(len(c))
+                out.append((r["block"], k, r["part"], r["n"], r["m"], np.packbits(good).tobytes(), _pack(counts[own[good]]), _pack(share), 0))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        names = ["block", "k", "part", "n", "m", "kept", "counts", "given", "v"]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return asked.groupBy("part").applyInArrow(run, TOLD2)
+
+
+# ------------------------------------------------------------------ the automaton
+
+
+@dataclass
+class Automaton:
+    """States: 0 the root, then the block's words, then the kept n-grams of two words, of three and so on short of the order."""
+
+    arcs: np.ndarray
+    """State and word of every arc but the root's, as one sorted number."""
+    weight: np.ndarray
+    target: np.ndarray
+    fail: np.ndarray
+    """State a failure arc leads to."""
+    fail_weight: np.ndarray
+    root_weight: np.ndarray
+    """Of the root's arc for each word, which leads to the word's state."""
+
+    def read(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and added log-probabilities of many walkers that read a word each."""
+        states, added, out = states.copy(), np.zeros(len(states)), np.zeros(len(states), dtype=np.int64)
+        todo = np.arange(len(states))
+        while len(todo):
+            now, word = states[todo], words[todo]
+            root = now == 0
+            wanted = now * len(self.root_weight) + word
+            at = np.minimum(np.searchsorted(self.arcs, wanted), max(len(self.arcs) - 1, 0))
+            arc = ~root & (self.arcs[at] == wanted) if len(self.arcs) else np.zeros(len(todo), dtype=bool)
+            added[todo[arc]] += self.weight[at[arc]]
+            out[todo[arc]] = self.target[at[arc]]
+            added[todo[root]] += self.root_weight[word[root]]
+            out[todo[root]] = 1 + word[root]
+            lost = ~(arc | root)
+            added[todo[lost]] += self.fail_weight[now[lost]]
+            states[todo[lost]] = self.fail[now[lost]]
+            todo = todo[lost]
+        return out, added
+
+
+def automaton(grams: Grams, passing: list[tuple[np.ndarray, ...]], told: list[dict], n: int, v: int, params: LmParams) -> tuple[Automaton, np.ndarray]:
+    """The automaton over a block's n-grams, and the training counts of its words."""
+    order, words = params.order, len(grams.hashes)
+    answers = {k: sorted((r for r in told if r["k"] == k), key=lambda r: r["part"]) for k in range(1, order + 1)}
+    _, keys, where, _ = passing[0]
+    counts = np.zeros(words, dtype=np.int64)
+    counts[grams.codes[where]] = np.concatenate([_unpack(r["counts"], r["n"], np.int64) for r in answers[1]])
+    root_weight = np.log(counts + 1) - math.log(n + v + 1)
+
+    # probability, count and state of kept n-grams by (sorted) hash, order by order
+    by_hash = np.argsort(keys)
+    known = [(keys[by_hash], np.exp(root_weight)[grams.codes[where]][by_hash], counts[grams.codes[where]][by_hash], 1 + grams.codes[where][by_hash])]
+    states = 1 + words
+    fail, fail_weight = [np.zeros(states, dtype=np.int64)], [np.zeros(states)]
+    arcs, weight, target = [], [], []
+    for k in range(2, order + 1):
+        context, keys, where, _ = passing[k - 1]
+        if not answers[k]:
+            break
+        kept = np.concatenate([np.unpackbits(np.frombuffer(r["kept"], np.uint8), count=r["n"]) for r in answers[k]]).astype(bool)
+        c = np.concatenate([_unpack(r["counts"], int(np.unpackbits(np.frombuffer(r["kept"], np.uint8), count=r["n"]).sum()), np.int64) for r in answers[k]])
+        holders = _contexts(passing, k)
+        given = np.concatenate([_unpack(r["given"], r["m"], np.float64) for r in answers[k]])
+        lower_keys, lower_p, lower_c, lower_state = known[-1]
+
+        def find(wanted: np.ndarray, lower_keys=lower_keys) -> np.ndarray:
+            """Places of hashes among the kept n-grams of the order below, -1 for others."""
+            if not len(lower_keys):
+                return np.full(len(wanted), -1)
+            at = np.minimum(np.searchsorted(lower_keys, wanted), len(lower_keys) - 1)
+            return np.where(lower_keys[at] == wanted, at, -1)
+
+        # backoff weights of the contexts that have kept continuations
+        held = np.flatnonzero(given > 0)
+        at = find(holders[held])
+        left = np.maximum(1.0 - given[held] / lower_c[at], 1e-12)
+        every = np.concatenate(fail_weight)
+        every[lower_state[at]] = np.log(left)
+        fail_weight = [every]
+        back = np.zeros(len(lower_keys))
+        back[at] = left
+
+        context, keys, where = context[kept], keys[kept], where[kept]
+        up, suffix = find(context), find(grams.keys[k - 2][where])
+        p = (c - params.discount) / lower_c[up] + back[up] * lower_p[suffix]
+        arcs.append(lower_state[up] * words + grams.codes[where])
+        weight.append(np.log(p))
+        by_hash = np.argsort(keys)
+        if k < order:
+            own = states + np.arange(len(keys))
+            target.append(own)
+            fail.append(lower_state[suffix])
+            fail_weight.append(np.zeros(len(keys)))
+            states += len(keys)
+        else:
+            own = lower_state[suffix]
+            target.append(own)
+        known.append((keys[by_hash], p[by_hash], c[by_hash], own[by_hash]))
+    joined = [np.concatenate(x) if x else np.zeros(0) for x in (arcs, weight, target)]
+    by = np.argsort(joined[0], kind="stable")
+    return Automaton(joined[0][by].astype(np.int64), joined[1][by], joined[2][by].astype(np.int64), np.concatenate(fail), np.concatenate(fail_weight), root_weight), counts
+
+
+def walk(grams: Grams, machine: Automaton, order: int) -> np.ndarray:
+    """The log-probability that each place of the texts adds, 0 at the leading ends."""
+    lead = np.cumsum(grams.sizes) - grams.sizes
+    cuts = [np.arange(1, s, STRETCH) for s in grams.sizes.tolist()]
+    text = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
+    first = np.concatenate(cuts) if cuts else np.zeros(0, dtype=np.int64)
+    last = np.minimum(first + STRETCH, grams.sizes[text])
+    # a stretch begins at the text's leading end, or with the words that its first state can tell
+    begin = np.maximum(first - max(order - 1, 1), 0)
+    added = np.zeros(len(grams.codes))
+    at, states = lead[text] + begin, np.zeros(len(first), dtype=np.int64)
+    stop, count_from = lead[text] + last, lead[text] + first
+    active = np.arange(len(first))
+    while len(active):
+        place = at[active]
+        word = grams.codes[place]
+        states[active], more = machine.read(states[active], word)
+        counted = place >= count_from[active]
+        added[place[counted]] = more[counted]
+        at[active] = place + 1
+        active = active[at[active] < stop[active]]
+    return added
 
 
 def score_texts(
@@ -224,25 +464,39 @@ def score_texts(
 
     Rows for which ``held`` is true are scored but not learned from.
     """
-    blocked, n_blocks = in_blocks(docs, id_col, text_col, held, params)
-    counted = written(count_ngrams(blocked, n_blocks, params), "ngrams")
-    once = counted.where("k = 1 AND first AND c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = once.n or 0, once.v
-    kept = counted.where((F.col("k") == 1) | (F.col("c") >= params.share * n))
-    weights = backoffs(blocked, kept, n_blocks, n + v + 1, params)
-    rows = kept.select("block", "k", "key", "c").join(weights.hint("merge"), ["k", "key"], "left")
-    rows = rows.select("block", "k", "key", "c", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    spark, order = docs.sparkSession, params.order
+    blocks = packed(docs, id_col, text_col, held, params)
+    facts = blocks.agg(F.sum("n").alias("n"), F.sum("train").alias("train")).first()
+    size, n = facts["n"] or 0, facts["train"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * max(order - 1, 1) / PART_KEYS))
+    bits = min(60, max(32, math.ceil(math.log2(max(size * order, 2))) + SPARE_BITS))
+    told1 = written(tell_frequent(ask_frequent(blocks, parts, bits, params), params), "frequent")
+    told2 = written(tell_counts(ask_counts(blocks, told1, parts, params), n, params), "counts")
+    v = told2.agg(F.sum("v")).first()[0] or 0
     id_type = docs.schema[id_col].dataType
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def score(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        found = places(texts.column("text").to_pylist(), params.order)
-        n_tokens, n_known, plain, total = map(pa.array, score_places(found, rows, n, v, params))
-        learned = pa.array(np.full(len(found.sizes), n, dtype=np.int64))
-        return pa.Table.from_arrays(
-            [texts.column("id"), texts.column("held"), n_tokens, n_known, learned, plain, total], names
-        )
+    none = {c: F.lit(None).cast(t) for c, t in (("m", "bigint"), ("kept", "binary"), ("counts", "binary"), ("given", "binary"), ("v", "bigint"))}
+    told = told1.withColumns(none).unionByName(told2.withColumn("passed", F.lit(None).cast("binary")))
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        rows = _rows_of(answers)
+        for at, row in enumerate(_rows_of(texts.drop_columns(["ids"]))):
+            grams = Grams(row, order)
+            first = [r for r in rows if r["passed"] is not None]
+            machine, counts = automaton(grams, _passing(grams, first, order), [r for r in rows if r["passed"] is None], n, v, params)
+            added = walk(grams, machine, order)
+            text = np.repeat(np.arange(len(grams.sizes)), grams.sizes)
+            token = grams.at > 0
+            c = counts[grams.codes]
+            known = np.bincount(text, weights=(c > 0) & token, minlength=len(grams.sizes)).astype(np.int64)
+            plain = np.bincount(text, weights=np.where(token, np.log(c + 1) - math.log(n + v + 1), 0.0), minlength=len(grams.sizes))
+            model = np.bincount(text, weights=added, minlength=len(grams.sizes))
+            columns = [grams.held, grams.sizes - 1, known, np.full(len(grams.sizes), n, dtype=np.int64), plain / math.log(10), model / math.log(10)]
+            ids = texts.column("ids").slice(at, 1).combine_chunks()
+            ids = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).flatten()
+            out.append(pa.Table.from_arrays([ids, *map(pa.array, columns)], names))
+        return pa.concat_tables(out) if out else pa.table({c: [] for c in names})
 
     schema = f"{id_col} {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    groups = blocked.repartition(n_blocks, "block").groupBy("block").cogroup(rows.groupBy("block"))
-    return groups.applyInArrow(score, schema)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
