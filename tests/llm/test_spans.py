@@ -167,3 +167,34 @@ def test_private_keys_without_end(spark):
 ])
 def test_a_disguised_at_is_enough(text, shown):
     assert [(k, text[a:b]) for k, a, b, _ in pii.find(text)] == [("email", shown)]
+
+
+@pytest.mark.parametrize("text, shown", [
+    ("write to jane at firma.co.nz today", "jane at firma.co.nz"), ("jane at foo dot bar", "jane at foo dot bar"), ("to jane at mail.firma.at.", "jane at mail.firma.at"),
+])
+def test_any_ending_after_three_parts_or_a_spelled_dot(text, shown):
+    assert [text[a:b] for k, a, b, _ in pii.find(text) if k == "email"] == [shown]
+
+
+@pytest.mark.parametrize("text", ["he arrived at some point today", "look at this.We saw", "we met at nine. dot", "at home punkt sieben"])
+def test_prose_with_at_and_dots_stays(text):
+    assert [k for k, *_ in pii.find(text) if k == "email"] == []
+
+
+@pytest.mark.parametrize("kind, secret", [
+    ("token", "ghp_" + "a1B2" * 9), ("token", "github_pat_" + "Ab1_" * 10), ("token", "glpat-" + "x1Y2-" * 4), ("token", "xoxb-123456789012-abcdefABCDEF"), ("token", "AIza" + "Sy1-_" * 7),
+    ("token", "sk_live_" + "4eC39HqL" * 3), ("token", "npm_" + "a1" * 18), ("token", "SG." + "ab1-" * 5 + "." + "cd2_" * 8),
+    ("signed", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"),
+])
+def test_well_known_token_shapes(kind, secret):
+    text = f"é see {secret}, then"
+    spans = [(k, text[a:b]) for k, a, b, base in secret_scan.scan(text) if not base]
+    assert spans == [(kind, secret)]
+    assert not [s for s in secret_scan.scan(f"x{secret}") + secret_scan.scan(secret[:14]) if not s[3]]
+
+
+def test_very_long_texts_and_ties():
+    text = "password=abcdefabcdefabcdefabcdef12 " * 20_000
+    found = secret_scan.scan(text)
+    assert sum(k == "assign" for k, *_ in found) == sum(k == "hex" for k, *_ in found) == 20_000
+    assert max(b for _, _, b, _ in found) == len(text) - 1

@@ -53,6 +53,8 @@ AT = "at|arroba|arobase|klammeraffe|ät"
 DOT = "dot|punkt|punto|point"
 TOP = "com|org|net|edu|gov|info|biz|io|ai|app|dev|eu|uk|us|de|fr|es|it|nl|at|ch|be|pl|ca|mx|ar|br|in|jp|cn|au|test|example"
 """Last parts of an address that is spelled without brackets; prose has "at" and "dot" too."""
+PROSE = "the|a|an|this|that|each|every|some|any|one|which|no|my|your|his|her|its|our|their"
+"""Before the word dot they speak of a dot."""
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "null": "0", "zéro": "0", "cero": "0",
     "one": "1", "eins": "1", "un": "1", "uno": "1",
@@ -77,11 +79,12 @@ _BRACKETED = re.compile(
     rf"\x20?{_LEFT}\x20?(?:(?P<at>{AT}|@)|(?P<dot>{DOT}|\.))\x20?{_RIGHT}\x20?", re.I
 )
 _PART = r"[A-Za-z0-9_%+-]{1,64}"
-_BARE = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_PART}(?:(?:\.|\x20(?:{DOT})\x20){_PART}){{0,4}}(?:\x20(?:{AT})\x20|@)"
-    rf"{_PART}(?:(?:\.|\x20(?:{DOT})\x20){_PART}){{0,3}}(?:\.|\x20(?:{DOT})\x20)(?:{TOP})(?![A-Za-z0-9-])",
-    re.I,
+_SEP = rf"(?:\.|\x20(?:{DOT})\x20)"
+_HOST = (
+    rf"(?:{_PART}(?:{_SEP}{_PART}){{0,3}}{_SEP}(?:{TOP})|{_PART}\.{_PART}\.[A-Za-z]{{2,24}}|(?!(?:{PROSE})\x20){_PART}\x20dot\x20[A-Za-z]{{2,24}})(?![A-Za-z0-9-])"
 )
+"""What may follow a bare at: a known last part, three parts, or a spelled dot."""
+_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-]){_PART}(?:{_SEP}{_PART}){{0,4}}(?:\x20(?:{AT})\x20|@){_HOST}", re.I)
 _WORD_AT = re.compile(rf"\x20(?:{AT})\x20", re.I)
 _WORD_DOT = re.compile(rf"\x20(?:{DOT})\x20", re.I)
 _SPELLED = re.compile(
@@ -90,9 +93,7 @@ _SPELLED = re.compile(
 _SPELLED_PART = re.compile(rf"(?<!\w)(?:plus|{_DIGIT})(?!\w)|[0-9]|[\x20,-]+", re.I)
 _SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_DIGIT})[\x20,-]{{1,2}}(?:{_DIGIT})(?!\w)", re.I)
 _DOT_HINT = re.compile(rf"(?:\x20|{_LEFT})(?:{DOT})(?:\x20|{_RIGHT})", re.I)
-_AT_HINT = re.compile(
-    rf"{_LEFT}\x20?(?:{AT})\x20?{_RIGHT}|\x20(?:{AT})\x20{_PART}(?:\.{_PART}){{0,3}}\.(?:{TOP})(?![A-Za-z0-9-])", re.I
-)
+_AT_HINT = re.compile(rf"{_LEFT}\x20?(?:{AT})\x20?{_RIGHT}|\x20(?:{AT})\x20{_HOST}", re.I)
 _SIGN_HINT = re.compile(rf"{_LEFT}\x20?[.@]\x20?{_RIGHT}")
 _DOTS, _ATS = DOT.split("|"), AT.split("|")
 _TELLING = frozenset(DIGIT_WORDS) - {"un", "uno"}

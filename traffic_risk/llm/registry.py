@@ -120,7 +120,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    repeated = (F.col("n_removed") > 0).alias("repeated")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", repeated)
 
 
 @query

@@ -26,7 +26,7 @@ from traffic_risk.llm.common import fresh, map_texts
 from traffic_risk.llm.spans import SPAN, ordered
 
 # Kinds, patterns and least lengths of the base rules; then rules added to them.
-KINDS = ("assign", "access", "hex", "pem")
+KINDS = ("assign", "access", "hex", "pem", "token", "signed")
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
 )
@@ -42,7 +42,15 @@ PEM_PART = re.compile(
 """What may follow the header, with the separators before it: line ends, also written as escapes, quotes, marks of quoted lines."""
 PEM_LEAST = 16
 """Without an END line, shorter runs are words, unless such a run is a line right below a longer one."""
-VERSION = "1.1"
+TOKEN_HINTS = ("gh", "glpat-", "xox", "AIza", "sk_live_", "rk_live_", "npm_", "SG.")
+TOKEN = re.compile(
+    r"(?<![A-Za-z0-9_-])(?:gh[opsur]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_-]{20,64}|xox[abeoprs]-[A-Za-z0-9-]{10,255}"
+    r"|AIza[A-Za-z0-9_-]{35}|[sr]k_live_[A-Za-z0-9]{16,247}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64})(?![A-Za-z0-9_-])"
+)
+"""Tokens that platforms mark by a prefix."""
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{10,}")
+"""Signed web tokens: header, claims and signature, the first two JSON objects in base64."""
+VERSION = "1.2"
 
 
 def _pem_stop(text: str, at: int) -> int:
@@ -74,6 +82,10 @@ def scan(text: str) -> list[tuple[str, int, int, bool]]:
     spans += [("hex", *m.span(), True) for m in HEX.finditer(text)]
     if "-----BEGIN " in text:
         spans += [("pem", m.start(), _pem_stop(text, m.end()), False) for m in PEM.finditer(text)]
+    if any(hint in text for hint in TOKEN_HINTS):
+        spans += [("token", *m.span(), False) for m in TOKEN.finditer(text)]
+    if "eyJ" in text:
+        spans += [("signed", *m.span(), False) for m in SIGNED.finditer(text)]
     return spans
 
 
