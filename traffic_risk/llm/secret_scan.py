@@ -42,7 +42,7 @@ PEM_PART = re.compile(
 """What may follow the header, with the separators before it: line ends, also written as escapes, quotes, marks of quoted lines."""
 PEM_LEAST = 16
 """Without an END line, shorter runs are words, unless such a run is a line right below a longer one."""
-TOKEN_HINTS = ("gh", "glpat-", "xox", "AIza", "sk_live_", "rk_live_", "npm_", "SG.")
+TOKEN_HINTS = ("gh", "github_pat_", "glpat-", "xox", "AIza", "sk_live_", "rk_live_", "npm_", "SG.")
 TOKEN = re.compile(
     r"(?<![A-Za-z0-9_-])(?:gh[opsur]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_-]{20,64}|xox[abeoprs]-[A-Za-z0-9-]{10,255}"
     r"|AIza[A-Za-z0-9_-]{35}|[sr]k_live_[A-Za-z0-9]{16,247}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64})(?![A-Za-z0-9_-])"
