@@ -13,7 +13,8 @@ The same rules run on the rewritten text; every identifier that needs a rewritte
 lie inside a base span of its kind is mapped back. Texts without any disguise are never rewritten.
 
 Defined cases: a null or empty text has no spans; repeated rows each get a row; an empty table gives
-an empty result; offsets are code points, the end exclusive; only the id and text columns are read.
+an empty result; offsets are code points, the end exclusive; spans of different kinds may overlap, and of equal starts the kind named first
+comes first; texts of any length are scanned whole; only the id and text columns are read.
 All rules are linear in the text's length, also on long runs of letters or digits.
 """
 

@@ -10,8 +10,8 @@ Built-in functions only. Everything about one document is computed from its own
 per bucket, per bin and the trusted ids.
 
 Defined cases: a null text has no words; documents without words score 0 and fail the base rules; with no trusted
-document at all the method rejects nothing; repeated rows each get a row; an empty table gives an empty result;
-only the id and text columns are read.
+document at all the method rejects nothing; a score equal to the threshold is kept; repeated rows each get a row; texts of any length are counted
+whole; an empty table gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
