@@ -7,6 +7,7 @@ arrays over the words, updated in the order of a word-by-word forward pass, so s
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,7 +112,7 @@ def segment(words: list[str], tree: Tree) -> list[tuple[tuple[int, ...], float,
     ]
 
 
-def segment_all(words: list[str], tree: Tree) -> dict[str, tuple[tuple[int, ...], float, float]]:
+def segment_all(words: Iterable[str], tree: Tree) -> dict[str, tuple[tuple[int, ...], float, float]]:
     """``segment`` for words of any lengths; without those that are better done one by one."""
     by_length: dict[int, list[str]] = {}
     for word in words:

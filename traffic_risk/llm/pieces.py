@@ -193,6 +193,8 @@ class Encoder:
         self.n, self.vocab = n, vocab
         self.tree = Tree.of(vocab.pieces)
         self.known: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.inexact: set[str] = set()
+        """Parts whose pieces are not spelled like them; none has been seen."""
         self.several = lru_cache(CACHED >> 4)(lambda part: n_best(part, vocab, n))
 
     def learn(self, texts: list[list[str]]) -> None:
@@ -200,11 +202,16 @@ class Encoder:
         asked = set().union(*texts)
         if len(self.known) + len(asked) > CACHED:
             self.known = {p: self.known[p] for p in asked if p in self.known}
-        new = sorted(asked.difference(self.known))
-        self.known.update(segment_all(new, self.tree))
+        new = asked.difference(self.known)
+        found = segment_all(new, self.tree)
         for part in new:
-            if part not in self.known:
-                self.known[part] = viterbi(part, self.vocab)
+            if part not in found:
+                found[part] = viterbi(part, self.vocab)
+        text = self.vocab.text
+        for part, (ids, _, _) in found.items():
+            if b"".join([text[i] for i in ids]) != part.encode("utf-8", "surrogatepass"):
+                self.inexact.add(part)
+        self.known.update(found)
 
     def best(self, part: str) -> tuple[tuple[int, ...], float, float]:
         """Ids and score of a part's best segmentation, and how much less the second one has."""
@@ -241,14 +248,14 @@ class Encoder:
         return found
 
 
-_ENCODERS: dict[tuple[str, int], tuple[Encoder, Vocabulary]] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def remembered(key: str, n: int, sent) -> tuple[Encoder, Vocabulary]:
+def remembered(key: str, n: int, sent) -> Encoder:
     """The one encoder of this Python worker: what it remembers serves all its tasks."""
     if (key, n) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key, n] = Encoder(sent.value, n), sent.value
+        _ENCODERS[key, n] = Encoder(sent.value, n)
     return _ENCODERS[key, n]
 
 
@@ -303,20 +310,21 @@ def encode_texts(
     key = uuid.uuid4().hex
 
     def run(keys: pa.RecordBatch, texts: list) -> list:
-        encoder, vocab = remembered(key, n, sent)
+        encoder = remembered(key, n, sent)
         ids, sizes, scores, exact, rest = [], [0], [], [], []
         cut = [encoder.cut(text) for text in texts]
         encoder.learn(cut)
         known = encoder.known
         for text, parts in zip(texts, cut, strict=True):
             best = [known[p] for p in parts]
-            start = len(ids)
             ids.extend(chain.from_iterable([b[0] for b in best]))
             sizes.append(len(ids))
             found = encoder.choices(parts, best)
             scores.append([score for score, _ in found])
             rest.append(others(parts, best, found, encoder))
-            exact.append(decode(ids[start:], vocab) == text)
+            # pieces of all parts were decoded when they were learned, and a text's bytes are its parts' bytes
+            whole = "".join(parts) == (" " + text if text else "")
+            exact.append(whole and not (encoder.inexact and not encoder.inexact.isdisjoint(parts)))
         every = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(ids, pa.int32()))
         counts = pa.array([b - a for a, b in zip(sizes, sizes[1:], strict=False)], pa.int64())
         return [keys.column(0), every, counts, pa.array(scores, pa.list_(pa.float64())), pa.array(exact, pa.bool_()), pa.array(rest, pa.list_(_OTHER))]
