@@ -138,7 +138,7 @@ def block_of(texts, order):
         codes += [number.setdefault(w, len(number)) for w in words]
         sizes.append(len(words))
     hashes = np.array([ngram_lm.xxhash.xxh3_64_intdigest(w) for w in number], dtype=np.uint64)
-    row = {"codes": np.array(codes, dtype=np.int32).tobytes(), "sizes": sizes, "held": [False] * len(texts), "words": hashes.tobytes()}
+    row = {"codes": ngram_lm._pack_planes(np.array(codes, dtype=np.int32), 4), "n": len(codes), "sizes": sizes, "held": [False] * len(texts), "words": hashes.tobytes()}
     return ngram_lm.Grams(row, order)
 
 

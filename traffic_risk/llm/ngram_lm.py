@@ -46,6 +46,7 @@ END = b" "
 STRETCH = 512
 """Tokens of a walk."""
 SPARE_BITS = 4
+KEY_BYTES = 6
 PART_KEYS = 4_000_000
 """N-grams that a part gets, about."""
 
@@ -58,7 +59,7 @@ class LmParams:
     share: float = 0.0
     """Share of all training tokens that a kept n-gram makes up at least; above 0 it bounds the model."""
     discount: float = 0.5
-    block_bytes: int = 16 << 20
+    block_bytes: int = 12 << 20
     """Text of a block; all its n-grams are in memory at once."""
 
 
@@ -79,6 +80,29 @@ def _unpack(data: bytes, n: int, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), dtype=dtype)
 
 
+def _pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as gaps, byte by byte: the first bytes of gaps are nearly all zero."""
+    gaps = np.diff(values, prepend=np.uint64(0)) if len(values) else values
+    return _pack(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T))
+
+
+def _unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    planes = _unpack(data, 8 * n, np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(n), dtype=np.uint64)
+
+
+def _pack_planes(values: np.ndarray, size: int) -> bytes:
+    """The last ``size`` bytes of numbers, byte by byte."""
+    width = values.dtype.itemsize
+    return _pack(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width)[:, :size].T))
+
+
+def _unpack_planes(data: bytes, n: int, size: int, dtype) -> np.ndarray:
+    out = np.zeros((n, np.dtype(dtype).itemsize), dtype=np.uint8)
+    out[:, :size] = _unpack(data, size * n, np.uint8).reshape(size, n).T
+    return out.view(dtype).reshape(n)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads all bits (Steele, Lea and Flood 2014)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -112,7 +136,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, held: Column, params: Lm
             pa.array([flags], pa.list_(pa.bool_())),
             pa.array([sizes], pa.list_(pa.int64())),
             pa.array([hashes.tobytes()]),
-            pa.array([np.array(codes, dtype=np.int32).tobytes()], pa.large_binary() if len(codes) > 1 << 28 else pa.binary()),
+            pa.array([_pack_planes(np.array(codes, dtype=np.int32), 4)]),
             pa.array([len(codes)], pa.int64()),
             pa.array([learned], pa.int64()),
         ]
@@ -148,7 +172,7 @@ class Grams:
     """All n-grams of a block's texts, which are led by an end that is no token of theirs."""
 
     def __init__(self, row: dict, order: int):
-        self.codes = np.frombuffer(row["codes"], dtype=np.int32).astype(np.int64)
+        self.codes = _unpack_planes(row["codes"], row["n"], 4, np.int32).astype(np.int64)
         self.sizes = np.array(row["sizes"], dtype=np.int64)
         self.held = np.array(row["held"], dtype=bool)
         self.hashes = np.frombuffer(row["words"], dtype=np.uint64)
@@ -287,8 +311,10 @@ def ask_counts(blocks: DataFrame, told: DataFrame, parts: int, params: LmParams)
                 for part in range(parts):
                     a, b, c, d = cuts[part], cuts[part + 1], bounds[part], bounds[part + 1]
                     if a < b or c < d:
-                        spelled = holders[c:d].tobytes() if k > 2 else b""
-                        out.append((row["block"], k, part, int(b - a), int(d - c), spelled, _pack(members[c:d]), keys[a:b].tobytes(), _pack(counts[a:b].astype(np.uint32))))
+                        spelled = _pack_sorted(holders[c:d]) if k > 2 else b""
+                        # within its context an n-gram is told by 48 bits
+                        members_of = _pack_planes(keys[a:b] >> np.uint64(16), KEY_BYTES) if k > 1 else _pack_sorted(keys[a:b])
+                        out.append((row["block"], k, part, int(b - a), int(d - c), spelled, _pack(members[c:d]), members_of, _pack(counts[a:b].astype(np.uint32))))
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)]
         return pa.Table.from_arrays(columns, ["block", "k", "part", "n", "m", "contexts", "members", "keys", "counts"])
@@ -301,10 +327,17 @@ def tell_counts(asked: DataFrame, total: int, params: LmParams) -> DataFrame:
     least = max(params.least, params.share * total)
 
     def run(table: pa.Table) -> pa.Table:
-        rows, out = _rows_of(table), []
+        rows, out, words = _rows_of(table), [], {}
         for k in sorted({r["k"] for r in rows}):
             mine = [r for r in rows if r["k"] == k]
-            every = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in mine])
+            if k == 1:
+                words = {r["block"]: _unpack_sorted(r["keys"], r["n"]) for r in mine}
+                every = np.concatenate([words[r["block"]] for r in mine])
+            else:
+                contexts = [words[r["block"]] if k == 2 else _unpack_sorted(r["contexts"], r["m"]) for r in mine]
+                owners = np.concatenate([np.repeat(c, _unpack(r["members"], r["m"], np.uint32)) for r, c in zip(mine, contexts, strict=True)])
+                told = np.concatenate([_unpack_planes(r["keys"], r["n"], KEY_BYTES, np.uint64) for r in mine])
+                every = _mixed(owners * np.uint64(0x9E3779B97F4A7C15) + told)
             different, first, which = np.unique(every, return_index=True, return_inverse=True)
             counts = np.bincount(which, weights=np.concatenate([_unpack(r["counts"], r["n"], np.uint32) for r in mine]), minlength=len(different)).astype(np.int64)
             ends = np.cumsum([r["n"] for r in mine]).tolist()
@@ -313,9 +346,7 @@ def tell_counts(asked: DataFrame, total: int, params: LmParams) -> DataFrame:
                 for i, (r, e) in enumerate(zip(mine, ends, strict=True)):
                     out.append((r["block"], k, r["part"], r["n"], 0, b"", _pack(counts[which[e - r["n"] : e]]), b"", v if i == 0 else 0))
                 continue
-            words = {r["block"]: r["keys"] for r in rows if r["k"] == 1}
-            contexts = [np.frombuffer(words[r["block"]] if k == 2 else r["contexts"], np.uint64) for r in mine]
-            owner = np.concatenate([np.repeat(c, _unpack(r["members"], r["m"], np.uint32)) for r, c in zip(mine, contexts, strict=True)])[first]
+            owner = owners[first]
             kept = counts >= least
             holders, of = np.unique(owner, return_inverse=True)
             given = np.bincount(of, weights=np.where(kept, counts - params.discount, 0.0), minlength=len(holders))
