@@ -23,6 +23,7 @@ def map_texts(
     text: str | Column,
     fn: Callable[[pa.RecordBatch, list], Iterable[Sequence]],
     schema: str | StructType,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """``fn(keys, texts)`` over batches of rows; only the named columns reach Python.
 
@@ -40,7 +41,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # a batch has a number of rows, not of bytes: take a few MB of it at a time
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            rows = max(1, batch.num_rows * slice_bytes // max(batch.nbytes, 1))
             for first in range(0, batch.num_rows, rows):
                 part = batch.slice(first, rows)
                 columns = fn(part, part.column(part.num_columns - 1).to_pylist())

@@ -103,12 +103,14 @@ def segment(words: list[str], tree: Tree) -> list[tuple[tuple[int, ...], float,
     while at.any():
         steps.append(np.where(at > 0, came[at, every], -1))
         at = np.where(at > 0, start[at, every], 0)
-    paths = np.array(steps[::-1]).T.tolist() if steps else [[] for _ in range(n)]
+    paths = np.array(steps[::-1]).T  # a row a word, with gaps in front
+    real = paths >= 0
+    flat, ends = paths[real].tolist(), np.cumsum(real.sum(axis=1)).tolist()
     scores = best[length].tolist()
     losses = np.where(whole, best[length], 0.0) - second[length]
     return [
-        (tuple([i for i in path if i >= 0]), score, loss) if good else None
-        for path, score, loss, good in zip(paths, scores, losses.tolist(), whole.tolist(), strict=True)
+        (tuple(flat[a:b]), score, loss) if good else None
+        for a, b, score, loss, good in zip([0, *ends[:-1]], ends, scores, losses.tolist(), whole.tolist(), strict=True)
     ]
 
 

@@ -37,6 +37,8 @@ from traffic_risk.llm.piece_lattice import Tree, segment_all
 
 MARK = "▁"
 PART = re.compile(rf" +[^ \n{MARK}]*|[^ \n{MARK}]+|\n|{MARK}")
+SLICE = 8 << 20
+"""Bytes of rows whose parts are segmented together."""
 CACHED = 3 << 16
 """Parts of texts whose segmentations a Python worker remembers, besides those of the batch at hand."""
 
@@ -236,7 +238,8 @@ class Encoder:
         found = [(math.fsum([b[1] for b in best]), {})]
         losses = [b[2] for b in best]
         most = max(heapq.nsmallest(self.n - 1, losses), default=0.0)
-        close = sorted((loss, k) for k, loss in enumerate(losses) if loss <= most < math.inf or loss < most)
+        near = [k for k, loss in enumerate(losses) if loss <= most and loss < math.inf]
+        close = sorted([(losses[k], k) for k in near])
         for _, k in close[: self.n - 1]:
             several = self.several(parts[k])
             grown = [
@@ -331,4 +334,4 @@ def encode_texts(
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, ids array<int>, n_pieces bigint, scores array<double>, exact boolean, others {EDITS}"
-    return map_texts(docs, [id_col], text_col, run, schema)
+    return map_texts(docs, [id_col], text_col, run, schema, SLICE)
