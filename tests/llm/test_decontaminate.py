@@ -95,6 +95,29 @@ def test_basis_spans_dominant_directions(spark):
     assert np.linalg.norm(rows - rows @ basis @ basis.T) < 1.1 * optimum
 
 
+def test_space_is_fitted_on_all_documents(spark):
+    """More documents than a sample would hold, against the factorisation of all their passages."""
+    rng = random.Random(3)
+    vocabulary = sorted(set(prose(rng, 24)))
+    texts = [" ".join(rng.choices(vocabulary[k % 20 :][:5], k=rng.randrange(1, 50))) for k in range(6000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    params = dc.LeakParams(rank=4, extra=40, common_share=1.0)
+    index = dc.build(docs, [(1, " ".join(vocabulary))], "text", params)[0]
+    terms = {w.encode(): k for k, w in enumerate(vocabulary)}
+    rows, held = [], [set(t.encode().split()) for t in texts]
+    for words in [t.encode().split() for t in texts]:
+        for at in range(0, len(words), 32):
+            rows.append(np.bincount([terms[w] for w in words[at : at + 32]], minlength=len(terms)))
+    df = np.array([sum(w in h for h in held) for w in terms])
+    weights = np.maximum(np.log((len(texts) + 1) / (df + 0.5)), params.least_weight)
+    rows, own = np.array(rows), np.ones(len(terms)) * weights
+    boost = (rows.sum(axis=0) * weights**2).sum() / (own**2).sum()
+    best = np.linalg.eigh((rows * weights).T @ (rows * weights) + boost * np.outer(own, own))[1][:, -4:]
+    basis = index.latent / weights[:, None]
+    assert list(index.terms) == list(terms)
+    assert np.allclose(basis @ basis.T, best @ best.T, atol=1e-4)
+
+
 def test_hot_long_and_common_items(spark):
     """Items leaked into a third of the documents, of 300 words, of everyday words, and paraphrases of them."""
     rng = random.Random(9)

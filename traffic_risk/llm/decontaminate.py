@@ -8,9 +8,9 @@ counted from the item's end. The terms are the
 items' words (others add nothing to a cosine with an item), weighted by inverse document frequency over all
 documents. Words in more than ``common_share`` of them weigh nothing, except for pieces of which they are all but ``rare_share``: those
 have an index of their own, in which every word weighs ``least_weight`` at least, so an item of frequent words is found too. A randomised SVD of the passages' TF-IDF matrix gives the latent space: the products with the random
-test matrix are sums over passages, made on the executors and added up by term. It is fitted on a sample of
-documents of expected size ``fit_documents``, taken by a hash of the text, and on all items, which weigh as much as the
-sample; every window of every document is then searched. A window and an item are candidates if the window's cosine with any of the item's pieces
+test matrix are sums over passages, made on the executors and added up by term. It is fitted on all passages of all
+documents, whose terms are written once as numbers, and on all items, which weigh as much as the
+documents; every window of every document is then searched. A window and an item are candidates if the window's cosine with any of the item's pieces
 in the latent space reaches ``least_cosine``; a window that is much shorter there than the piece counts as
 ``least_length`` of the piece's length, so a few rare words alone are no match. A candidate is a leak if the longest common subsequence of words,
 in the document around the window, covers ``least_lcs`` of the item, or ``answer_lcs`` of it while the item's answer, its
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traffic_risk.llm.common import fresh, map_texts, written
+from traffic_risk.llm.common import drop_written, fresh, map_texts, written
 from traffic_risk.session import ship_package
 
 _BLANKED = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -49,7 +49,6 @@ class LeakParams:
     rank: int = 64
     extra: int = 8
     """Columns of the test matrix beyond the rank."""
-    fit_documents: int = 4000
     common_share: float = 0.05
     rare_share: float = 0.25
     """Of a piece's words that are not common; with fewer of them all its words count."""
@@ -84,27 +83,70 @@ class Index:
     lengths: np.ndarray
 
 
-def count_documents(docs: DataFrame, text_col: str, terms: dict[bytes, int]) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those with each term. One number per term reaches the driver."""
+PASSAGES = "ids binary, lengths binary"
+
+
+def passages_of(docs: DataFrame, text_col: str, terms: dict[bytes, int], size: int) -> DataFrame:
+    """Every document's terms, as 32-bit numbers, and how many of them each of its passages of ``size`` words has."""
     ship_package(docs.sparkSession)
-    known = terms.keys()
 
-    def count(batches):
-        found = np.zeros(len(terms) + 1, dtype=np.int64)
+    def run(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            found[-1] += len(texts)
-            for text in texts:
-                held = known & set(words_of(text))
-                found[[terms[t] for t in held]] += 1
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["term", "n"])
+            # a batch has a number of rows, not of bytes: give some of it at a time
+            for first in range(0, len(texts), 64):
+                rows = [_terms_of(words_of(text), terms, size) for text in texts[first : first + 64]]
+                columns = [pa.array([r[k].astype(np.int32).tobytes() for r in rows], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, ["ids", "lengths"])
+
+    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, PASSAGES)
 
-    text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = text.mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(terms) + 1, dtype=np.int64)
-    out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
-    return int(out[-1]), out[:-1]
+
+def _terms_of(words: list[bytes], terms: dict[bytes, int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.array([terms.get(w, -1) for w in words], dtype=np.int64)
+    at = np.flatnonzero(ids >= 0)
+    return ids[at], np.bincount(at // size, minlength=-(-len(ids) // size))
+
+
+def count_terms(passages: DataFrame, n_terms: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of documents, of those with each term, and of each term's occurrences. Two numbers per term reach the driver."""
+
+    def count(batches):
+        found = np.zeros((2, n_terms + 1), dtype=np.int64)
+        for batch in batches:
+            found[0, -1] += batch.num_rows
+            for ids in batch.column(0).to_pylist():
+                held, times = np.unique(np.frombuffer(ids, dtype=np.int32), return_counts=True)
+                found[0, held] += 1
+                found[1, held] += times
+        at = np.flatnonzero(found.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(f[at]) for f in found]], ["term", "n", "all"])
+
+    counted = passages.select("ids").mapInArrow(count, "term bigint, n bigint, all bigint")
+    rows = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).toArrow()
+    out = np.zeros((2, n_terms + 1), dtype=np.int64)
+    out[:, rows.column("term").to_numpy()] = [rows.column("n").to_numpy(), rows.column("all").to_numpy()]
+    return int(out[0, -1]), out[0, :-1], out[1, :-1]
+
+
+CHUNK = 1 << 12
+"""Terms that are multiplied at once; more would leave the processor's cache."""
+
+
+def _chunks(batches, place: np.ndarray):
+    """Terms of passages, numbered by ``place`` (negative: left out), and where each passage starts, some passages at a time."""
+    for batch in (b for b in batches if b.num_rows):
+        ids, lengths = ([np.frombuffer(b, dtype=np.int32) for b in c.to_pylist()] for c in batch.columns)
+        ids, lengths = np.concatenate(ids), np.concatenate(lengths)
+        told = place[ids]
+        kept = np.append(0, np.cumsum(told >= 0))
+        told, cuts = told[told >= 0], np.unique(kept[np.append(0, np.cumsum(lengths))])
+        starts = cuts[:-1]
+        first = 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + CHUNK, side="right")) - 1)
+            yield told[cuts[first] : cuts[last]], starts[first:last] - cuts[first]
+            first = last
 
 
 def _rows(texts: list[list[bytes]], terms: dict[bytes, int], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +160,12 @@ def _rows(texts: list[list[bytes]], terms: dict[bytes, int], size: int) -> tuple
     return (np.concatenate(found) if found else np.zeros(0, np.int64)), starts
 
 
-def _times(ids: np.ndarray, starts: np.ndarray, weights: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The TF-IDF rows (unit length is not needed) times a matrix."""
-    return np.add.reduceat(right[ids] * weights[ids, None], starts, axis=0) if len(starts) else right[:0]
+def _times(ids: np.ndarray, starts: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The passages' rows of term counts times a matrix."""
+    return np.add.reduceat(right[ids], starts, axis=0) if len(starts) else right[:0]
 
 
-def _back(ids: np.ndarray, starts: np.ndarray, weights: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _back(ids: np.ndarray, starts: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The transposed rows times a matrix: terms that occur, and their rows."""
     passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
     order = np.argsort(ids, kind="stable")
@@ -131,61 +173,71 @@ def _back(ids: np.ndarray, starts: np.ndarray, weights: np.ndarray, left: np.nda
     first = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1])) if len(ids) else np.zeros(0, np.int64)
     if not len(first):
         return first, left[:0]
-    summed = np.add.reduceat(left[passage[order]] * weights[sorted_ids, None], first, axis=0)
-    return sorted_ids[first], summed
+    return sorted_ids[first], np.add.reduceat(left[passage[order]], first, axis=0)
 
 
-def _added(sample: DataFrame, product, n: int, width: int) -> np.ndarray:
-    """Sum over all partitions of the rows (number, values) that ``product`` makes of a partition's texts."""
+def _added(passages: DataFrame, place: np.ndarray, product, n: int, width: int) -> np.ndarray:
+    """Sum over all passages of the rows (numbers, values) that ``product`` makes of some; they are added up by partition first."""
     names = [f"y{i}" for i in range(width)]
 
     def run(batches):
-        texts = [words_of(t) for batch in batches for t in batch.column(0).to_pylist()]
-        at, rows = product(texts)
+        total = np.zeros((n, width))
+        for ids, starts in _chunks(batches, place):
+            at, rows = product(ids, starts)
+            total[at] += rows
+        at = np.flatnonzero(total.any(axis=1))
         if len(at):
-            columns = [pa.array(at.astype(np.int64)), *[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(width)]]
+            columns = [pa.array(at), *[pa.array(np.ascontiguousarray(total[at, i])) for i in range(width)]]
             yield pa.RecordBatch.from_arrays(columns, ["row", *names])
 
     schema = "row bigint, " + ", ".join(f"{c} double" for c in names)
-    summed = sample.select("text").mapInArrow(run, schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in names])
+    summed = passages.mapInArrow(run, schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in names])
     table = summed.toArrow()
     out = np.zeros((n, width))
     out[table.column("row").to_numpy()] = np.column_stack([table.column(c).to_numpy() for c in names])
     return out
 
 
-def fit(sample: DataFrame, items: list[list[bytes]], terms: dict[bytes, int], weights: np.ndarray, params: LeakParams) -> np.ndarray:
-    """Orthonormal basis (terms x rank) of the passages' dominant right singular vectors."""
+def fit(docs: DataFrame, items: list[list[bytes]], terms: dict[bytes, int], weights: np.ndarray, params: LeakParams) -> np.ndarray:
+    """``fit_passages`` of texts."""
+    passages = written(passages_of(docs, "text", terms, 2 * params.cell), "passages")
+    _, _, total = count_terms(passages, len(terms))
+    return fit_passages(passages, np.arange(len(terms)), total, items, terms, weights, params)
+
+
+def fit_passages(
+    passages: DataFrame, place: np.ndarray, total: np.ndarray, items: list[list[bytes]], terms: dict[bytes, int], weights: np.ndarray, params: LeakParams
+) -> np.ndarray:
+    """Orthonormal basis (terms x rank) of the dominant right singular vectors of all passages and items.
+
+    ``place`` gives the number of each of the passages' terms among ``terms`` (negative: not there), ``total`` the occurrences of ``terms``.
+    """
     size = 2 * params.cell
     width = min(params.rank + params.extra, len(terms))
     own = _rows(items, terms, size)
-    mass = sample_mass = None
+    mass = float((weights[own[0]] ** 2).sum())
+    boost = max(float((total * weights**2).sum()), mass) / mass if mass else 1.0
 
-    def scatter(texts: list, right: np.ndarray):
-        ids, starts = _rows(texts, terms, size)
-        return _back(ids, starts, weights, _times(ids, starts, weights, right))
+    by_term = weights[:, None]
 
-    def squared(texts: list):
-        ids, _ = _rows(texts, terms, size)
-        return np.zeros(1, np.int64), np.array([[float((weights[ids] ** 2).sum())]])
+    def scatter(ids: np.ndarray, starts: np.ndarray, right: np.ndarray):
+        return _back(ids, starts, _times(ids, starts, right))
 
-    sample_mass = _added(sample, squared, 1, 1)[0, 0]
-    mass = float((weights[own[0]] ** 2).sum())
-    boost = max(sample_mass, mass) / mass if mass else 1.0
     basis = np.random.default_rng(params.seed).standard_normal((len(terms), width))
     for _ in range(2):
-        total = _added(sample, lambda texts, right=basis: scatter(texts, right), len(terms), width)
-        at, rows = _back(*own, weights, _times(*own, weights, basis))
-        total[at] += boost * rows
-        basis = np.linalg.qr(total)[0]
-
-    def gram(texts: list):
-        ids, starts = _rows(texts, terms, size)
-        seen = _times(ids, starts, weights, basis)
+        right = basis * by_term
+        summed = _added(passages, place, lambda ids, starts, right=right: scatter(ids, starts, right), len(terms), width)
+        at, rows = scatter(*own, right)
+        summed[at] += boost * rows
+        basis = np.linalg.qr(summed * by_term)[0]
+    right = basis * by_term
+
+    def gram(ids: np.ndarray, starts: np.ndarray):
+        seen = _times(ids, starts, right)
         return np.arange(width), seen.T @ seen
 
-    small = _added(sample, gram, width, width)
-    seen = _times(*own, weights, basis)
+    small = _added(passages, place, gram, width, width)
+    seen = _times(*own, right)
     values, vectors = np.linalg.eigh(small + boost * (seen.T @ seen))
     return basis @ vectors[:, np.argsort(values)[::-1][: params.rank]]
 
@@ -197,15 +249,12 @@ def build(docs: DataFrame, rows: list, text_col: str, params: LeakParams) -> lis
     if not kept:
         return []
     terms = {t: k for k, t in enumerate(sorted({t for _, words in kept for t in words}))}
-    n, df = count_documents(docs, text_col, terms)
+    passages = written(passages_of(docs, text_col, terms, 2 * params.cell), "passages")
+    n, df, total = count_terms(passages, len(terms))
     if not n:
         return []
     weights = np.maximum(np.log((n + 1) / (df + 0.5)), params.least_weight)
     rare = df <= params.common_share * n
-    share = min(1.0, params.fit_documents / n)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    drawn = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 60)) < int(share * (1 << 60)))
-    sample = written(drawn, "sample")
     ids, items = [i for i, _ in kept], [w for _, w in kept]
     told: list[list[tuple[int, list[bytes]]]] = [[], []]
     for k, words in enumerate(items):
@@ -218,13 +267,16 @@ def build(docs: DataFrame, rows: list, text_col: str, params: LeakParams) -> lis
         used = sorted({w for _, piece in cut for w in piece if common or rare[terms[w]]})
         mine, places = {w: k for k, w in enumerate(used)}, [terms[w] for w in used]
         pieces = [[w for w in piece if w in mine] for _, piece in cut]
-        basis = fit(sample, pieces, mine, weights[places], params)
+        place = np.full(len(terms), -1)
+        place[places] = np.arange(len(places))
+        basis = fit_passages(passages, place, total[places], pieces, mine, weights[places], params)
         latent = (basis * weights[places][:, None]).astype(np.float32)
         vectors = np.array([latent[[mine[w] for w in piece]].sum(axis=0) for piece in pieces], dtype=np.float32)
         lengths = np.linalg.norm(vectors, axis=1)
         vectors /= np.maximum(lengths[:, None], 1e-9)
         lengths[lengths < 1e-6] = np.inf  # no direction to compare with
         out.append(Index(mine, latent, ids, items, np.array([k for k, _ in cut]), vectors, lengths))
+    drop_written(passages)
     return out
 
 
