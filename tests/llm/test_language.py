@@ -90,3 +90,17 @@ def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, "en")], "doc_id long, text string, lang string")
     model = language.fit(docs, "text", "lang")
     assert [tuple(r) for r in language.identify(docs, model, ["doc_id"], "doc_id bigint").orderBy("doc_id").collect()] == [(1, "und", 0.0), (2, "und", 0.0)]
+
+
+def test_learns_from_all_rows(spark):
+    """More rows of a language than a sample would hold: every one of them counts."""
+    rng = random.Random(4)
+    rows = [(lang, " ".join("".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(5))) for lang, letters in (("a", "abcdefgh"), ("b", "efghijklmno")) for _ in range(2500)]
+    params = language.LanguageParams()
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string").repartition(3), "text", "lang")
+    found = np.zeros((params.buckets, 2))
+    for lang, text in rows:
+        found[:, "ab".index(lang)] += np.bincount(language._trigrams(language._words(text)[0], params.buckets), minlength=params.buckets)
+    rate = (found + params.smoothing) / (found.sum(axis=0) + params.smoothing * params.buckets)
+    ratio = np.clip(np.log(rate) - np.log(rate.mean(axis=1, keepdims=True)), -params.cap, params.cap)
+    assert np.allclose(model.scores, np.where(found.sum(axis=1, keepdims=True) > 0, ratio, 0.0), atol=1e-6)

@@ -44,14 +44,14 @@ SCRIPTS = {
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
 }
 NAMES = (*SCRIPTS, "other")
+FLUSH = 1 << 20
+"""Letters that are counted at once."""
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LanguageParams:
     buckets: int = 1 << 16
-    sample_per_language: int = 1500
-    """Expected number of labelled texts of a language that the model is fitted on."""
     penalty: float = 15.0
     smoothing: float = 0.5
     script_share: float = 0.01
@@ -129,45 +129,47 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
 
 
 def fit(train: DataFrame, text_col: str, lang_col: str, params: LanguageParams = LanguageParams()) -> LanguageModel:
-    """Learn from rows with a language. The model has a fixed size per language.
-
-    Of every language, rows are taken whose hashed text falls below the share that gives
-    ``sample_per_language`` rows; copies of a text are so taken or left together.
-    """
+    """Learn from all rows with a language. The model has a fixed size per language."""
     rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull()
     )
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    names = tuple(sorted(r.lang for r in rows.select("lang").distinct().collect()))
+    if not names:
         return LanguageModel((), np.zeros((params.buckets, 0)), np.zeros((len(NAMES), 0), bool), params.penalty)
-    names = tuple(sorted(counts))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 60)) / float(1 << 60)
-    share = F.create_map(
-        *[F.lit(x) for name in names for x in (name, params.sample_per_language / counts[name])]
-    )
-    drawn = rows.where(draw < F.get(F.map_values(F.map_filter(share, lambda k, _: k == F.col("lang"))), 0))
     number = {name: i for i, name in enumerate(names)}
     buckets = params.buckets
 
     def count(batches):
-        found = np.zeros((buckets, len(names)), dtype=np.int64)
-        letters = np.zeros((len(NAMES), len(names)), dtype=np.int64)
+        # letters by script, then trigrams by bucket
+        both = np.zeros((len(names), len(NAMES) + buckets), dtype=np.int64)
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def add():
+            for lang, slots in held.items():
+                both[lang] += np.bincount(np.concatenate(slots), minlength=both.shape[1])
+            held.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 points, kinds, _ = _words(text)
                 if len(points):
-                    found[:, number[lang]] += np.bincount(_trigrams(points, buckets), minlength=buckets)
-                    letters[:, number[lang]] += np.bincount(kinds[kinds >= 0], minlength=len(NAMES))
-        both = np.concatenate((letters, found))
-        row, lang = np.nonzero(both)
+                    own = held.setdefault(number[lang], [])
+                    own += [kinds[kinds >= 0].astype(np.int64), _trigrams(points, buckets) + len(NAMES)]
+                    size += len(points)
+                if size >= FLUSH:
+                    add()
+                    size = 0
+        add()
+        lang, row = np.nonzero(both)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(row), pa.array(lang), pa.array(both[row, lang])], ["slot", "lang", "n"]
+            [pa.array(row), pa.array(lang), pa.array(both[lang, row])], ["slot", "lang", "n"]
         )
 
     from traffic_risk.session import ship_package
 
     ship_package(train.sparkSession)
-    parts = drawn.mapInArrow(count, "slot long, lang long, n long").groupBy("slot", "lang").agg(F.sum("n").alias("n"))
+    parts = rows.mapInArrow(count, "slot long, lang long, n long").groupBy("slot", "lang").agg(F.sum("n").alias("n"))
     table = np.zeros((len(NAMES) + buckets, len(names)))
     for part in parts.toArrow().to_batches():  # at most one row per slot and language
         slot, lang, n = (c.to_numpy() for c in part.columns)
