@@ -303,3 +303,14 @@ def test_leave_one_out_plan_joins_by_equal_keys_only(spark, inputs):
     for line in plan.splitlines():
         if " Join " in f" {line}":
             assert " = " in line and not any(f" {op} " in line for op in ("<", ">", "<=", ">=", "!="))
+
+
+def test_digest_sums_do_not_overflow(spark):
+    """Sums of whole hashes modulo 2^64, which no long holds, made without decimals for each row."""
+    df = spark.range(5000).select(F.lit("2024-01-01").cast("date").alias("date"), (F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("b"))
+    marked = [c for n in ("a", "b", "date") for c in (F.col(n).isNull(), F.col(n))]
+    hashes = df.select(F.xxhash64(*marked).alias("h"), F.xxhash64(F.lit(1), *marked).alias("g")).collect()
+    found = versions.content_digest(df)
+    assert "decimal" not in found._jdf.queryExecution().sparkPlan().toString().split("HashAggregate")[-1]
+    [row] = found.collect()
+    assert (row["rows"], row["digest"]) == (5000, "".join(f"{sum(r[c] for r in hashes) % (1 << 64):016x}" for c in ("h", "g")))
