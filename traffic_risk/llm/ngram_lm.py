@@ -187,9 +187,19 @@ class Grams:
     def different(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted different n-grams of an order, a place where each ends, and their training counts."""
         ends = np.flatnonzero(self.at >= max(k - 1, 1))
-        keys, where, which = np.unique(self.keys[k - 1][ends], return_index=True, return_inverse=True)
-        counts = np.bincount(which, weights=self.train[ends], minlength=len(keys)).astype(np.int64)
-        return keys, ends[where], counts
+        if k == 1:  # words have numbers: only the different ones need an order
+            where = np.full(len(self.hashes), -1, dtype=np.int64)
+            where[self.codes[ends]] = ends
+            counts = np.bincount(self.codes[ends], weights=self.train[ends], minlength=len(self.hashes)).astype(np.int64)
+            by = np.argsort(self.hashes)
+            by = by[where[by] >= 0]
+            return self.hashes[by], where[by], counts[by]
+        every = self.keys[k - 1][ends]
+        by = np.argsort(every)
+        every = every[by]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else by
+        counts = np.add.reduceat(self.train[ends][by], first, dtype=np.int64) if len(every) else by
+        return every[first], ends[by[first]], counts
 
 
 def _rows_of(table: pa.Table) -> list[dict]:
@@ -275,7 +285,7 @@ def _passing(grams: Grams, told: list[dict], order: int) -> list[tuple[np.ndarra
         if k > 2:  # one that is frequent has a frequent context; others passed by chance
             good = np.isin(context, out[-1][1])
             context, keys, where, counts = context[good], keys[good], where[good], counts[good]
-        by = np.lexsort((keys, context))
+        by = np.argsort(context, kind="stable")  # the hashes are in order
         out.append((context[by], keys[by], where[by], counts[by]))
     return out
 
