@@ -180,3 +180,39 @@ def test_stretches_walk_like_one_reader(monkeypatch, order):
     for stretch in (7, 512, 10_000):
         monkeypatch.setattr(ngram_lm, "STRETCH", stretch)
         assert ngram_lm.walk(grams, machine, order).tolist() == alone
+
+
+def test_memory_of_a_block():
+    """The automaton is made order by order: beside the texts it takes a bounded number of bytes a token, all n-grams kept."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    order, rng = 3, random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(250)] * 2
+    grams = block_of(texts, order)
+    told, below = [], None
+    for k in range(1, order + 1):
+        keys, where, counts = grams.different(k)
+        if k == 1:
+            told.append({"k": 1, "part": 0, "n": len(keys), "counts": ngram_lm._pack(counts), "passed": None})
+        else:
+            context = grams.keys[k - 2][where - 1]
+            counts = counts[np.argsort(context, kind="stable")]
+            context = np.sort(context)
+            first = np.searchsorted(context, below), np.searchsorted(context, below, side="right")
+            sums = np.append(0, np.cumsum(counts - 0.5))
+            ones = np.packbits(np.ones(len(keys), dtype=np.uint8)).tobytes()
+            given = ngram_lm._pack(sums[first[1]] - sums[first[0]])
+            told.append({"k": k, "part": 0, "n": len(keys), "m": len(below), "passed": ones, "kept": ones, "counts": ngram_lm._pack(counts), "given": given})
+        below = keys
+    n, v = int((grams.sizes - 1).sum()), len(grams.hashes)
+    tracemalloc.start()
+    try:
+        machine, _ = ngram_lm.automaton(grams, ngram_lm._passing(grams, told, order), told, n, v, ngram_lm.LmParams(order=order))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(machine.arcs) > 0.9 * n  # the texts are there twice, with two orders of arcs
+    assert peak < 130 * n

@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,10 +104,13 @@ def _unpack_planes(data: bytes, n: int, size: int, dtype) -> np.ndarray:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection that spreads all bits (Steele, Lea and Flood 2014)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """A bijection that spreads all bits (Steele, Lea and Flood 2014), in place."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 # ------------------------------------------------------------------ blocks
@@ -168,27 +171,42 @@ def packed(docs: DataFrame, id_col: str, text_col: str, held: Column, params: Lm
     return spark.table(name)
 
 
+class Keys:
+    """Hashes of the n-grams that end at every place, by order less one; made when they are asked for, as each takes as much as the texts."""
+
+    def __init__(self, hashes: np.ndarray, codes: np.ndarray):
+        self.hashes, self.codes = hashes, codes
+
+    def __getitem__(self, more: int) -> np.ndarray:
+        words = self.hashes[self.codes]
+        keys = words
+        for _ in range(more):
+            following = np.empty_like(words)
+            following[:1], following[1:] = words[:1], keys[:-1]
+            following *= np.uint64(0x9E3779B97F4A7C15)
+            following += words
+            keys = _mixed(following)
+        return keys
+
+
 class Grams:
     """All n-grams of a block's texts, which are led by an end that is no token of theirs."""
 
     def __init__(self, row: dict, order: int):
-        self.codes = _unpack_planes(row["codes"], row["n"], 4, np.int32).astype(np.int64)
+        self.codes = _unpack_planes(row["codes"], row["n"], 4, np.int32)
         self.sizes = np.array(row["sizes"], dtype=np.int64)
         self.held = np.array(row["held"], dtype=bool)
         self.hashes = np.frombuffer(row["words"], dtype=np.uint64)
-        words = self.hashes[self.codes]
-        self.at = np.arange(len(words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.keys = [words]
-        for _ in range(order - 1):
-            before = np.concatenate((words[:1], self.keys[-1][:-1]))
-            self.keys.append(_mixed(before * np.uint64(0x9E3779B97F4A7C15) + words))
+        self.at = np.arange(len(self.codes), dtype=np.int32)
+        self.at -= np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
+        self.keys = Keys(self.hashes, self.codes)
         self.train = ~np.repeat(self.held, self.sizes)
 
     def different(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted different n-grams of an order, a place where each ends, and their training counts."""
-        ends = np.flatnonzero(self.at >= max(k - 1, 1))
+        ends = np.flatnonzero(self.at >= max(k - 1, 1)).astype(np.int32)
         if k == 1:  # words have numbers: only the different ones need an order
-            where = np.full(len(self.hashes), -1, dtype=np.int64)
+            where = np.full(len(self.hashes), -1, dtype=np.int32)
             where[self.codes[ends]] = ends
             counts = np.bincount(self.codes[ends], weights=self.train[ends], minlength=len(self.hashes)).astype(np.int64)
             by = np.argsort(self.hashes)
@@ -270,24 +288,29 @@ def tell_frequent(asked: DataFrame, params: LmParams) -> DataFrame:
     return asked.groupBy("part").applyInArrow(run, TOLD1)
 
 
-def _passing(grams: Grams, told: list[dict], order: int) -> list[tuple[np.ndarray, ...]]:
-    """For each order: context, hash, a place and training count of the n-grams that passed, by (context, hash)."""
-    out = []
+def _passed(grams: Grams, told: list[dict], k: int, before: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Context, hash, a place and training count of an order's n-grams that passed, by (context, hash)."""
+    keys, where, counts = grams.different(k)
+    if k == 1:
+        return keys, keys, where, counts
+    bits = [np.unpackbits(np.frombuffer(r["passed"], np.uint8), count=r["n"]) for r in sorted((r for r in told if r["k"] == k), key=lambda r: r["part"])]
+    passed = np.flatnonzero(np.concatenate(bits)) if bits else np.zeros(0, np.int64)
+    keys, where, counts = keys[passed], where[passed], counts[passed]
+    context = grams.keys[k - 2][where - 1]
+    if k > 2:  # one that is frequent has a frequent context; others passed by chance
+        good = np.isin(context, before)
+        context, keys, where, counts = context[good], keys[good], where[good], counts[good]
+    by = np.argsort(context, kind="stable")  # the hashes are in order
+    return context[by], keys[by], where[by], counts[by]
+
+
+def _passing(grams: Grams, told: list[dict], order: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``_passed`` order by order; only the hashes of the order below stay."""
+    before = None
     for k in range(1, order + 1):
-        keys, where, counts = grams.different(k)
-        if k == 1:
-            out.append((keys, keys, where, counts))
-            continue
-        bits = [np.unpackbits(np.frombuffer(r["passed"], np.uint8), count=r["n"]) for r in sorted((r for r in told if r["k"] == k), key=lambda r: r["part"])]
-        passed = np.flatnonzero(np.concatenate(bits)) if bits else np.zeros(0, np.int64)
-        keys, where, counts = keys[passed], where[passed], counts[passed]
-        context = grams.keys[k - 2][where - 1]
-        if k > 2:  # one that is frequent has a frequent context; others passed by chance
-            good = np.isin(context, out[-1][1])
-            context, keys, where, counts = context[good], keys[good], where[good], counts[good]
-        by = np.argsort(context, kind="stable")  # the hashes are in order
-        out.append((context[by], keys[by], where[by], counts[by]))
-    return out
+        found = [_passed(grams, told, k, before)]
+        before = found[0][1]
+        yield found.pop()
 
 
 # ------------------------------------------------------------------ round 2: counts and backoff weights
@@ -312,10 +335,11 @@ def ask_counts(blocks: DataFrame, told: DataFrame, parts: int, params: LmParams)
     def run(texts: pa.Table, bits: pa.Table) -> pa.Table:
         out = []
         for row in _rows_of(texts):
-            passing = _passing(Grams(row, order), _rows_of(bits), order)
-            for k, (context, keys, _, counts) in enumerate(passing, 1):
+            done = []
+            for k, (context, keys, _, counts) in enumerate(_passing(Grams(row, order), _rows_of(bits), order), 1):
                 cuts = _cut(context, parts)
-                holders = _contexts(passing, k) if k > 1 else context[:0]
+                holders = _contexts(done, k) if k > 1 else context[:0]
+                done.append((None, keys))
                 members = np.diff(np.searchsorted(context, holders), append=len(context)).astype(np.uint32)
                 bounds = _cut(holders, parts)
                 for part in range(parts):
@@ -411,30 +435,33 @@ class Automaton:
         return out, added
 
 
-def automaton(grams: Grams, passing: list[tuple[np.ndarray, ...]], told: list[dict], n: int, v: int, params: LmParams) -> tuple[Automaton, np.ndarray]:
+def automaton(grams: Grams, passing: Iterable[tuple[np.ndarray, ...]], told: list[dict], n: int, v: int, params: LmParams) -> tuple[Automaton, np.ndarray]:
     """The automaton over a block's n-grams, and the training counts of its words."""
     order, words = params.order, len(grams.hashes)
     answers = {k: sorted((r for r in told if r["k"] == k), key=lambda r: r["part"]) for k in range(1, order + 1)}
-    _, keys, where, _ = passing[0]
+    passing = iter(passing)
+    _, keys, where = next(passing)[:3]
     counts = np.zeros(words, dtype=np.int64)
     counts[grams.codes[where]] = np.concatenate([_unpack(r["counts"], r["n"], np.int64) for r in answers[1]])
     root_weight = np.log(counts + 1) - math.log(n + v + 1)
 
     # probability, count and state of kept n-grams by (sorted) hash, order by order
     by_hash = np.argsort(keys)
-    known = [(keys[by_hash], np.exp(root_weight)[grams.codes[where]][by_hash], counts[grams.codes[where]][by_hash], 1 + grams.codes[where][by_hash])]
+    own = grams.codes[where][by_hash]
+    known = keys[by_hash], np.exp(root_weight)[own], counts[own], 1 + own.astype(np.int64)
     states = 1 + words
-    fail, fail_weight = [np.zeros(states, dtype=np.int64)], [np.zeros(states)]
-    arcs, weight, target = [], [], []
+    fail, fail_weight = [np.zeros(states, dtype=np.int32)], [np.zeros(states)]
+    arcs, weight, target, done = [], [], [], []
     for k in range(2, order + 1):
-        context, keys, where, _ = passing[k - 1]
+        done.append((None, keys))
+        holders = _contexts(done, k)
+        context, keys, where = next(passing)[:3]
         if not answers[k]:
             break
         kept = np.concatenate([np.unpackbits(np.frombuffer(r["kept"], np.uint8), count=r["n"]) for r in answers[k]]).astype(bool)
         c = np.concatenate([_unpack(r["counts"], int(np.unpackbits(np.frombuffer(r["kept"], np.uint8), count=r["n"]).sum()), np.int64) for r in answers[k]])
-        holders = _contexts(passing, k)
         given = np.concatenate([_unpack(r["given"], r["m"], np.float64) for r in answers[k]])
-        lower_keys, lower_p, lower_c, lower_state = known[-1]
+        lower_keys, lower_p, lower_c, lower_state = known
 
         def find(wanted: np.ndarray, lower_keys=lower_keys) -> np.ndarray:
             """Places of hashes among the kept n-grams of the order below, -1 for others."""
@@ -453,25 +480,32 @@ def automaton(grams: Grams, passing: list[tuple[np.ndarray, ...]], told: list[di
         back = np.zeros(len(lower_keys))
         back[at] = left
 
-        context, keys, where = context[kept], keys[kept], where[kept]
-        up, suffix = find(context), find(grams.keys[k - 2][where])
+        up = find(context[kept])
+        passed, keys, where = keys, keys[kept], where[kept]
+        suffix = find(grams.keys[k - 2][where])
         p = (c - params.discount) / lower_c[up] + back[up] * lower_p[suffix]
-        arcs.append(lower_state[up] * words + grams.codes[where])
-        weight.append(np.log(p))
-        by_hash = np.argsort(keys)
         if k < order:
             own = states + np.arange(len(keys))
-            target.append(own)
-            fail.append(lower_state[suffix])
+            fail.append(lower_state[suffix].astype(np.int32))
             fail_weight.append(np.zeros(len(keys)))
             states += len(keys)
         else:
             own = lower_state[suffix]
-            target.append(own)
-        known.append((keys[by_hash], p[by_hash], c[by_hash], own[by_hash]))
-    joined = [np.concatenate(x) if x else np.zeros(0) for x in (arcs, weight, target)]
-    by = np.argsort(joined[0], kind="stable")
-    return Automaton(joined[0][by].astype(np.int64), joined[1][by], joined[2][by].astype(np.int64), np.concatenate(fail), np.concatenate(fail_weight), root_weight), counts
+        # states are numbered order by order, so the arcs of an order come after those of the orders below
+        mine = lower_state[up] * words + grams.codes[where]
+        by = np.argsort(mine, kind="stable")
+        arcs.append(mine[by])
+        weight.append(np.log(p)[by])
+        target.append(own[by].astype(np.int32))
+        del up, suffix, mine, by, context, where, kept, back, given
+        if k < order:
+            by_hash = np.argsort(keys)
+            known = keys[by_hash], p[by_hash], c[by_hash], own[by_hash]
+        keys = passed
+    arcs = np.concatenate(arcs) if arcs else np.zeros(0, dtype=np.int64)
+    weight = np.concatenate(weight) if weight else np.zeros(0)
+    target = np.concatenate(target) if target else np.zeros(0, dtype=np.int32)
+    return Automaton(arcs, weight, target, np.concatenate(fail), np.concatenate(fail_weight), root_weight), counts
 
 
 def walk(grams: Grams, machine: Automaton, order: int) -> np.ndarray:
@@ -528,11 +562,13 @@ def score_texts(
             machine, counts = automaton(grams, _passing(grams, first, order), [r for r in rows if r["passed"] is None], n, v, params)
             added = walk(grams, machine, order)
             text = np.repeat(np.arange(len(grams.sizes)), grams.sizes)
-            token = grams.at > 0
-            c = counts[grams.codes]
-            known = np.bincount(text, weights=(c > 0) & token, minlength=len(grams.sizes)).astype(np.int64)
-            plain = np.bincount(text, weights=np.where(token, np.log(c + 1) - math.log(n + v + 1), 0.0), minlength=len(grams.sizes))
             model = np.bincount(text, weights=added, minlength=len(grams.sizes))
+            del added
+            lead = grams.at == 0
+            known = np.bincount(text, weights=(counts > 0)[grams.codes] & ~lead, minlength=len(grams.sizes)).astype(np.int64)
+            base = machine.root_weight[grams.codes]
+            base[lead] = 0.0
+            plain = np.bincount(text, weights=base, minlength=len(grams.sizes))
             columns = [grams.held, grams.sizes - 1, known, np.full(len(grams.sizes), n, dtype=np.int64), plain / math.log(10), model / math.log(10)]
             ids = texts.column("ids").slice(at, 1).combine_chunks()
             ids = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).flatten()
