@@ -119,3 +119,38 @@ def test_odd_rows(spark, vocab):
     assert list(by[0].ids) == [] and list(by[0].scores) == [0.0]
     assert all(pieces.decode(by[i].ids, vocab) == (t or "") for i, t in enumerate(texts))
     assert pieces.encode_texts(docs.limit(0), registry.PIECES).collect() == []
+
+
+def test_worker_memory(spark, vocab):
+    """Parts of texts are not held all at once, and another operator lets go of what a worker remembers."""
+    import tracemalloc
+
+    from traffic_risk.llm import common
+
+    texts = [" ".join(f"t{i % 50}" for i in range(1000)) for _ in range(200)]
+    encoder = common.remembered("one", lambda: pieces.Encoder(vocab, 3))
+    assert common.remembered("one", list) is encoder
+    encoder.learn([encoder.cut(texts[0])])
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1)
+
+    def count(key):
+        """How many operators a worker remembers something for, in a task of one that does so, too."""
+
+        def run(batch, texts):
+            common.remembered(key, list)
+            return [[len(common._REMEMBERED)] * len(texts)]
+
+        return common.map_texts(docs, ["doc_id"], "text", run, "n long", remembers=key).head()[0]
+
+    assert count("two") == count("three") == count("four") == 1
+    tracemalloc.start()
+    try:
+        encoder.learn(map(encoder.cut, texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1 << 20  # the parts of all texts take over ten times that
+    common.forget("one")
+    assert common.remembered("one", list) is encoder
+    common.forget()
+    assert "one" not in common._REMEMBERED

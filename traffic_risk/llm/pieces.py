@@ -24,15 +24,18 @@ import heapq
 import math
 import re
 import uuid
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traffic_risk.llm.common import map_texts
+from traffic_risk.llm.common import map_texts, remembered
 from traffic_risk.llm.piece_lattice import Tree, segment_all
 
 MARK = "▁"
@@ -199,9 +202,11 @@ class Encoder:
         """Parts whose pieces are not spelled like them; none has been seen."""
         self.several = lru_cache(CACHED >> 4)(lambda part: n_best(part, vocab, n))
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Segment all parts that are not known yet, together."""
-        asked = set().union(*texts)
+    def learn(self, texts: Iterable[list[str]]) -> None:
+        """Segment all parts of texts that are not known yet, together; of the texts only their different parts are held."""
+        asked: set[str] = set()
+        for parts in texts:
+            asked.update(parts)
         if len(self.known) + len(asked) > CACHED:
             self.known = {p: self.known[p] for p in asked if p in self.known}
         new = asked.difference(self.known)
@@ -251,17 +256,6 @@ class Encoder:
         return found
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
-def remembered(key: str, n: int, sent) -> Encoder:
-    """The one encoder of this Python worker: what it remembers serves all its tasks."""
-    if (key, n) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key, n] = Encoder(sent.value, n)
-    return _ENCODERS[key, n]
-
-
 def decode(ids: list[int], vocab: Vocabulary) -> str:
     """The text that ``ids`` encode."""
     return b"".join([vocab.text[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
@@ -313,12 +307,13 @@ def encode_texts(
     key = uuid.uuid4().hex
 
     def run(keys: pa.RecordBatch, texts: list) -> list:
-        encoder = remembered(key, n, sent)
-        ids, sizes, scores, exact, rest = [], [0], [], [], []
-        cut = [encoder.cut(text) for text in texts]
-        encoder.learn(cut)
+        # what the one encoder of this Python worker remembers serves all its tasks
+        encoder = remembered(key, lambda: Encoder(sent.value, n))
+        ids, sizes, scores, exact, rest = array("i"), [0], [], [], []
+        encoder.learn(map(encoder.cut, texts))
         known = encoder.known
-        for text, parts in zip(texts, cut, strict=True):
+        for text in texts:
+            parts = encoder.cut(text)  # again: the parts of all texts would take many times the texts
             best = [known[p] for p in parts]
             ids.extend(chain.from_iterable([b[0] for b in best]))
             sizes.append(len(ids))
@@ -328,10 +323,10 @@ def encode_texts(
             # pieces of all parts were decoded when they were learned, and a text's bytes are its parts' bytes
             whole = "".join(parts) == (" " + text if text else "")
             exact.append(whole and not (encoder.inexact and not encoder.inexact.isdisjoint(parts)))
-        every = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(ids, pa.int32()))
+        every = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32), pa.int32()))
         counts = pa.array([b - a for a, b in zip(sizes, sizes[1:], strict=False)], pa.int64())
         return [keys.column(0), every, counts, pa.array(scores, pa.list_(pa.float64())), pa.array(exact, pa.bool_()), pa.array(rest, pa.list_(_OTHER))]
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, ids array<int>, n_pieces bigint, scores array<double>, exact boolean, others {EDITS}"
-    return map_texts(docs, [id_col], text_col, run, schema, SLICE)
+    return map_texts(docs, [id_col], text_col, run, schema, SLICE, key)
