@@ -154,3 +154,63 @@ def test_worker_memory(spark, vocab):
     assert common.remembered("one", list) is encoder
     common.forget()
     assert "one" not in common._REMEMBERED
+
+
+def test_texts_are_cut_together(vocab):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    signs = [" ", " ", "\n", "▁", "a", "b", "é", "■", "–", "日", "😀", "\t", "\r"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(8))) for _ in range(3000)] + ["", " ", "▁", "\n", "a▁"]
+    encoder = pieces.Encoder(vocab, 2)
+    for some in (texts, texts[5:90], [""], ["", "", "▁"], ["x"], []):
+        for kind in (pa.string(), pa.large_string()):
+            words, which, sizes = pieces.cut_all(pa.array(["left out", *some], kind).slice(1))
+            ends = [sum(sizes[:k]) for k in range(len(sizes) + 1)] if len(some) < 100 else [0, *sizes.cumsum().tolist()]
+            assert [[words[w] for w in which[a:b]] for a, b in zip(ends, ends[1:], strict=False)] == [encoder.cut(t) for t in some]
+
+
+def test_misspelled_parts_are_found(vocab):
+    encoder = pieces.Encoder(vocab, 2)
+    ids = {p: encoder.best(p)[0] for p in [" the", " off", "日本", "\n"]}
+    right = list(ids.values())
+    for found, want in (
+        (right, [False] * 4),
+        ([right[0], right[0], right[2], right[3]], [False, True, False, False]),
+        ([right[0], right[1], right[0], right[3]], [False, False, True, False]),
+        ([right[0], right[1], (), right[3] * 2], [False, False, True, True]),
+    ):
+        paths = pieces.Paths.of([(i, 0.0, 0.0) for i in found])
+        assert encoder.misspelled(list(ids), paths).tolist() == want
+
+
+def test_work_in_python_grows_with_different_parts(spark, vocab):
+    """Parts that occur again cost no Python calls of their own."""
+    import cProfile
+    import pstats
+
+    def calls(times, monkeypatch):
+        caught = []
+        monkeypatch.setattr(pieces, "map_texts", lambda docs, keys, text, fn, *_: caught.append(fn))
+        docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+        pieces.encode_texts(docs, registry.PIECES, n=3)
+        texts = [" ".join([*words] * times) + near for _ in range(20)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts)], ["doc_id", "text"])
+        profile = cProfile.Profile()
+        out = profile.runcall(caught[0], batch, texts)
+        assert [len(i) for i in out[1].to_pylist()] == [n.as_py() for n in out[2]]
+        return pstats.Stats(profile).total_calls
+
+    import pyarrow as pa
+
+    # the parts whose second segmentation loses least come last
+    encoder = pieces.Encoder(vocab, 3)
+    words = sorted([f"w{i}" for i in range(40)], key=lambda w: -encoder.best(f" {w}")[2])
+    near = " " + " ".join(words[-2:] * 2)
+    words = words[:20] * 5
+    with pytest.MonkeyPatch.context() as m:
+        calls(1, m)
+        few, many = calls(1, m), calls(20, m)
+    assert many < few + 20 * 19 * len(words) / 10

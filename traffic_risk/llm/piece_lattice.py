@@ -67,8 +67,52 @@ class Tree:
         return out
 
 
-def segment(words: list[str], tree: Tree) -> list[tuple[tuple[int, ...], float, float] | None]:
-    """Ids, score and loss of the second best segmentation of words of equal length; nothing for one with a character that is no piece."""
+@dataclass
+class Paths:
+    """Best segmentations of many words: ids word after word, where each word's end, scores, and losses of the second best."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    """Led by a zero."""
+    scores: np.ndarray
+    losses: np.ndarray
+
+    @staticmethod
+    def of(found: list[tuple[tuple[int, ...], float, float]]) -> Paths:
+        ids = np.array([i for f in found for i in f[0]], dtype=np.int32)
+        return Paths(ids, ends_of(np.array([len(f[0]) for f in found], dtype=np.int64)), np.array([f[1] for f in found]), np.array([f[2] for f in found]))
+
+    @staticmethod
+    def joined(every: list[Paths]) -> Paths:
+        sizes = np.concatenate([np.diff(p.ends) for p in every])
+        ids, scores, losses = (np.concatenate([getattr(p, name) for p in every]) for name in ("ids", "scores", "losses"))
+        return Paths(ids, ends_of(sizes), scores, losses)
+
+    def take(self, rows: np.ndarray) -> Paths:
+        sizes = self.ends[rows + 1] - self.ends[rows]
+        return Paths(self.ids[stretches(self.ends[rows], sizes)], ends_of(sizes), self.scores[rows], self.losses[rows])
+
+    def rows(self) -> list[tuple[tuple[int, ...], float, float]]:
+        ids, ends = self.ids.tolist(), self.ends.tolist()
+        return [
+            (tuple(ids[a:b]), score, loss)
+            for a, b, score, loss in zip(ends, ends[1:], self.scores.tolist(), self.losses.tolist(), strict=False)
+        ]
+
+
+def ends_of(sizes: np.ndarray) -> np.ndarray:
+    """Where stretches of these sizes end, led by a zero."""
+    return np.append(0, np.cumsum(sizes, dtype=np.int64))
+
+
+def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of many stretches, one after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def segment(words: list[str], tree: Tree) -> tuple[Paths, np.ndarray]:
+    """Segmentations of words of equal length, and for which they hold: those without a character that is no piece."""
     n, length = len(words), len(words[0])
     chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, length).T.astype(np.uint64)
     best, second = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
@@ -105,22 +149,31 @@ def segment(words: list[str], tree: Tree) -> list[tuple[tuple[int, ...], float,
         at = np.where(at > 0, start[at, every], 0)
     paths = np.array(steps[::-1]).T  # a row a word, with gaps in front
     real = paths >= 0
-    flat, ends = paths[real].tolist(), np.cumsum(real.sum(axis=1)).tolist()
-    scores = best[length].tolist()
     losses = np.where(whole, best[length], 0.0) - second[length]
-    return [
-        (tuple(flat[a:b]), score, loss) if good else None
-        for a, b, score, loss, good in zip([0, *ends[:-1]], ends, scores, losses.tolist(), whole.tolist(), strict=True)
-    ]
+    return Paths(paths[real], ends_of(real.sum(axis=1)), best[length], losses), whole
 
 
-def segment_all(words: Iterable[str], tree: Tree) -> dict[str, tuple[tuple[int, ...], float, float]]:
-    """``segment`` for words of any lengths; without those that are better done one by one."""
+def segment_together(words: Iterable[str], tree: Tree) -> tuple[list[str], Paths, list[str]]:
+    """Words of any lengths and their segmentations, and those that are better done one by one."""
     by_length: dict[int, list[str]] = {}
     for word in words:
         by_length.setdefault(len(word), []).append(word)
-    out = {}
+    done, found, rest = [], [Paths.of([])], []
     for length, own in by_length.items():
         if 0 < length <= LONGEST and len(own) >= FEWEST:
-            out.update((w, found) for w, found in zip(own, segment(own, tree), strict=True) if found is not None)
-    return out
+            paths, good = segment(own, tree)
+            if not good.all():
+                rest += [own[i] for i in np.flatnonzero(~good).tolist()]
+                rows = np.flatnonzero(good)
+                own, paths = [own[i] for i in rows.tolist()], paths.take(rows)
+            done += own
+            found.append(paths)
+        else:
+            rest += own
+    return done, Paths.joined(found), rest
+
+
+def segment_all(words: Iterable[str], tree: Tree) -> dict[str, tuple[tuple[int, ...], float, float]]:
+    """``segment_together`` word by word, as (ids, score, loss)."""
+    done, paths, _ = segment_together(words, tree)
+    return dict(zip(done, paths.rows(), strict=True))

@@ -25,18 +25,18 @@ import math
 import re
 import uuid
 from array import array
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traffic_risk.llm.common import map_texts, remembered
-from traffic_risk.llm.piece_lattice import Tree, segment_all
+from traffic_risk.llm.piece_lattice import Paths, Tree, ends_of, segment_together, stretches
 
 MARK = "▁"
 PART = re.compile(rf" +[^ \n{MARK}]*|[^ \n{MARK}]+|\n|{MARK}")
@@ -191,15 +191,52 @@ def n_best(part: str, vocab: Vocabulary, n: int) -> list[tuple[float, tuple[int,
     return found
 
 
+def cut_all(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different parts of many texts, which of them each text has, text after text, and how many each has.
+
+    The cuts are those of ``PART``, found in the bytes of all texts at once, so no part is a Python object but the different ones.
+    """
+    texts = texts.cast(pa.large_string())
+    led = pc.binary_join_element_wise(pa.scalar("", texts.type), texts, pa.scalar(" ", texts.type))
+    begins = np.frombuffer(led.buffers()[1], dtype=np.int64, count=len(led) + 1)
+    data = np.frombuffer(led.buffers()[2], dtype=np.uint8, count=int(begins[-1]))
+    blank, line = data == ord(" "), data == ord("\n")
+    cut = blank.copy()
+    cut[1:] &= ~blank[:-1]
+    cut |= line
+    cut[1:] |= line[:-1]
+    first, *others_ = MARK.encode()
+    marks = np.flatnonzero(data[: len(data) - len(others_)] == first)
+    for k, byte in enumerate(others_, 1):
+        marks = marks[data[marks + k] == byte]
+    after = marks + 1 + len(others_)
+    cut[marks] = True
+    cut[after[after < len(data)]] = True
+    cut[begins[:-1]] = True
+    places = np.flatnonzero(cut)
+    sizes = np.diff(np.searchsorted(places, begins))
+    parts = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(np.append(places, len(data))), led.buffers()[2]).dictionary_encode()
+    which = parts.indices.to_numpy()
+    empty = np.flatnonzero(np.diff(begins) == 1)  # the blank in front alone is no part
+    if len(empty):
+        which = np.delete(which, np.searchsorted(places, begins[empty]))
+        sizes[empty] = 0
+    return parts.dictionary.to_pylist(), which, sizes
+
+
 class Encoder:
     """Segmentations of whole texts; remembers a bounded number of parts."""
 
     def __init__(self, vocab: Vocabulary, n: int):
         self.n, self.vocab = n, vocab
         self.tree = Tree.of(vocab.pieces)
-        self.known: dict[str, tuple[tuple[int, ...], float, float]] = {}
-        self.inexact: set[str] = set()
-        """Parts whose pieces are not spelled like them; none has been seen."""
+        self.known: dict[str, int] = {}
+        """Row of a part in ``paths``."""
+        self.paths = Paths.of([])
+        self.inexact = np.zeros(0, dtype=bool)
+        """By row: whether the pieces are not spelled like the part; none has been seen."""
+        self.spelled = np.frombuffer(b"".join(vocab.text), dtype=np.uint8)
+        self.spelled_ends = ends_of(np.array([len(t) for t in vocab.text], dtype=np.int64))
         self.several = lru_cache(CACHED >> 4)(lambda part: n_best(part, vocab, n))
 
     def learn(self, texts: Iterable[list[str]]) -> None:
@@ -207,24 +244,46 @@ class Encoder:
         asked: set[str] = set()
         for parts in texts:
             asked.update(parts)
+        self.remember(asked)
+
+    def remember(self, asked: Collection[str]) -> None:
+        """Segment different parts that are not known yet, together."""
         if len(self.known) + len(asked) > CACHED:
-            self.known = {p: self.known[p] for p in asked if p in self.known}
-        new = asked.difference(self.known)
-        found = segment_all(new, self.tree)
-        for part in new:
-            if part not in found:
-                found[part] = viterbi(part, self.vocab)
-        text = self.vocab.text
-        for part, (ids, _, _) in found.items():
-            if b"".join([text[i] for i in ids]) != part.encode("utf-8", "surrogatepass"):
-                self.inexact.add(part)
-        self.known.update(found)
+            kept = [p for p in asked if p in self.known]
+            rows = np.array([self.known[p] for p in kept], dtype=np.int64)
+            self.known = {p: k for k, p in enumerate(kept)}
+            self.paths, self.inexact = self.paths.take(rows), self.inexact[rows]
+        known = self.known
+        new, found, rest = segment_together([p for p in asked if p not in known], self.tree)
+        new += rest
+        if new:
+            found = Paths.joined([found, Paths.of([viterbi(part, self.vocab) for part in rest])])
+            self.inexact = np.append(self.inexact, self.misspelled(new, found))
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.paths = Paths.joined([self.paths, found])
+
+    def misspelled(self, parts: list[str], found: Paths) -> np.ndarray:
+        """For which parts the pieces are not spelled like them."""
+        raw = [p.encode("utf-8", "surrogatepass") for p in parts]
+        want_ends = ends_of(np.fromiter(map(len, raw), np.int64, len(raw)))
+        want = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        starts = self.spelled_ends[found.ids]
+        sizes = self.spelled_ends[found.ids + 1] - starts
+        got = self.spelled[stretches(starts, sizes)]
+        got_ends = ends_of(sizes)[found.ends]
+        wrong = np.diff(got_ends) != np.diff(want_ends)
+        if wrong.any():
+            for k in np.flatnonzero(~wrong).tolist():
+                wrong[k] = not np.array_equal(got[got_ends[k] : got_ends[k + 1]], want[want_ends[k] : want_ends[k + 1]])
+        else:
+            wrong[np.searchsorted(want_ends, np.flatnonzero(got != want), side="right") - 1] = True
+        return wrong
 
     def best(self, part: str) -> tuple[tuple[int, ...], float, float]:
         """Ids and score of a part's best segmentation, and how much less the second one has."""
         if part not in self.known:
             self.learn([[part]])
-        return self.known[part]
+        return self.paths.take(np.array([self.known[part]])).rows()[0]
 
     def cut(self, text: str) -> list[str]:
         return PART.findall(" " + text) if text else []
@@ -232,21 +291,27 @@ class Encoder:
     def n_best(self, text: str) -> list[tuple[float, list[int]]]:
         """Segmentations of a whole text, best first, as (score, ids)."""
         parts = self.cut(text)
+        best = [self.best(p) for p in parts]
         out = []
-        for score, choice in self.choices(parts, [self.best(p) for p in parts]):
-            ids = [i for k, p in enumerate(parts) for i in (self.several(p)[choice[k]][1] if k in choice else self.best(p)[0])]
+        for score, choice in self.choices(parts, range(len(parts)), np.array([b[1] for b in best]), np.array([b[2] for b in best])):
+            ids = [i for k, p in enumerate(parts) for i in (self.several(p)[choice[k]][1] if k in choice else best[k][0])]
             out.append((score, ids))
         return out
 
-    def choices(self, parts: list[str], best: list[tuple]) -> list[tuple[float, dict[int, int]]]:
-        """The N best combinations, as (score, the number of the segmentation of every part that is not at its best)."""
-        found = [(math.fsum([b[1] for b in best]), {})]
-        losses = [b[2] for b in best]
-        most = max(heapq.nsmallest(self.n - 1, losses), default=0.0)
-        near = [k for k, loss in enumerate(losses) if loss <= most and loss < math.inf]
-        close = sorted([(losses[k], k) for k in near])
-        for _, k in close[: self.n - 1]:
-            several = self.several(parts[k])
+    def choices(self, words: Sequence[str], parts: Sequence[int], scores: np.ndarray, losses: np.ndarray) -> list[tuple[float, dict[int, int]]]:
+        """The N best combinations, as (score, the number of the segmentation of every part that is not at its best).
+
+        A text's parts are numbers of ``words``; ``scores`` and ``losses`` are theirs.
+        """
+        found = [(math.fsum(scores.tolist()), {})]
+        wanted = min(self.n - 1, len(losses))
+        if not wanted:
+            return found
+        near = np.flatnonzero(losses <= np.partition(losses, wanted - 1)[wanted - 1])
+        for k in near[np.argsort(losses[near], kind="stable")[:wanted]].tolist():
+            if losses[k] == math.inf:
+                break
+            several = self.several(words[parts[k]])
             grown = [
                 (score + alternative - several[0][0], {**choice, k: j} if j else choice)
                 for score, choice in found
@@ -262,22 +327,37 @@ def decode(ids: list[int], vocab: Vocabulary) -> str:
 
 
 EDITS = "array<struct<score: double, edits: array<struct<start: int, stop: int, ids: array<int>>>>>"
-_EDIT = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))])
-_OTHER = pa.struct([("score", pa.float64()), ("edits", pa.list_(_EDIT))])
 
 
-def others(parts: list[str], best: list[tuple], found: list[tuple[float, dict[int, int]]], encoder: Encoder) -> list[dict]:
-    """The segmentations after the best one, as the stretches of its ids that are others in them."""
-    wanted = sorted({k for _, choice in found[1:] for k in choice})
-    place, done, at = {}, 0, 0
-    for k in wanted:
-        at += sum([len(b[0]) for b in best[done:k]])
-        place[k], done = at, k
-    told = []
-    for score, choice in found[1:]:
-        edits = [(place[k], place[k] + len(best[k][0]), list(encoder.several(parts[k])[j][1])) for k, j in sorted(choice.items())]
-        told.append({"score": score, "edits": [dict(zip(("start", "stop", "ids"), e, strict=True)) for e in edits]})
-    return told
+class Others:
+    """The segmentations after the best one of text after text, as the stretches of its ids that are others in them."""
+
+    def __init__(self) -> None:
+        self.texts, self.edits, self.ids = [0], [0], [0]
+        """Where the segmentations of texts end, the edits of segmentations and the ids of edits."""
+        self.scores, self.start, self.stop, self.spelled = array("d"), array("i"), array("i"), array("i")
+
+    def add(self, found: list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]) -> None:
+        """A text's: each with its score and edits, as (start, stop, ids)."""
+        for score, edits in found:
+            for start, stop, ids in edits:
+                self.start.append(start)
+                self.stop.append(stop)
+                self.spelled.extend(ids)
+                self.ids.append(len(self.spelled))
+            self.scores.append(score)
+            self.edits.append(len(self.start))
+        self.texts.append(len(self.scores))
+
+    def column(self) -> pa.Array:
+        def numbers(values: array) -> pa.Array:
+            return pa.array(np.frombuffer(values, dtype=np.dtype(values.typecode)) if len(values) else np.zeros(0, dtype=values.typecode))
+
+        def lists(ends: list[int], values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+        edits = pa.StructArray.from_arrays([numbers(self.start), numbers(self.stop), lists(self.ids, numbers(self.spelled))], ["start", "stop", "ids"])
+        return lists(self.texts, pa.StructArray.from_arrays([numbers(self.scores), lists(self.edits, edits)], ["score", "edits"]))
 
 
 def segmentation(ids: Column, edits: Column) -> Column:
@@ -306,26 +386,28 @@ def encode_texts(
     sent = docs.sparkSession.sparkContext.broadcast(vocab)  # the size of a vocabulary
     key = uuid.uuid4().hex
 
-    def run(keys: pa.RecordBatch, texts: list) -> list:
+    def run(keys: pa.RecordBatch, _: list) -> list:
         # what the one encoder of this Python worker remembers serves all its tasks
         encoder = remembered(key, lambda: Encoder(sent.value, n))
-        ids, sizes, scores, exact, rest = array("i"), [0], [], [], []
-        encoder.learn(map(encoder.cut, texts))
-        known = encoder.known
-        for text in texts:
-            parts = encoder.cut(text)  # again: the parts of all texts would take many times the texts
-            best = [known[p] for p in parts]
-            ids.extend(chain.from_iterable([b[0] for b in best]))
-            sizes.append(len(ids))
-            found = encoder.choices(parts, best)
+        words, parts, sizes = cut_all(keys.column(keys.num_columns - 1))
+        encoder.remember(words)
+        rows = np.fromiter(map(encoder.known.__getitem__, words), np.int64, len(words))[parts]
+        paths, ends = encoder.paths, ends_of(sizes)
+        lengths = paths.ends[rows + 1] - paths.ends[rows]
+        ids, at = paths.ids[stretches(paths.ends[rows], lengths)], ends_of(lengths)
+        own_scores, losses, where = paths.scores[rows], paths.losses[rows], ends.tolist()
+        scores, rest = [], Others()
+        for a, b in zip(where, where[1:], strict=False):
+            found = encoder.choices(words, parts[a:b], own_scores[a:b], losses[a:b])
             scores.append([score for score, _ in found])
-            rest.append(others(parts, best, found, encoder))
-            # pieces of all parts were decoded when they were learned, and a text's bytes are its parts' bytes
-            whole = "".join(parts) == (" " + text if text else "")
-            exact.append(whole and not (encoder.inexact and not encoder.inexact.isdisjoint(parts)))
-        every = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32), pa.int32()))
-        counts = pa.array([b - a for a, b in zip(sizes, sizes[1:], strict=False)], pa.int64())
-        return [keys.column(0), every, counts, pa.array(scores, pa.list_(pa.float64())), pa.array(exact, pa.bool_()), pa.array(rest, pa.list_(_OTHER))]
+            rest.add([
+                (score, [(int(at[a + k] - at[a]), int(at[a + k + 1] - at[a]), encoder.several(words[parts[a + k]])[j][1]) for k, j in sorted(choice.items())])
+                for score, choice in found[1:]
+            ])
+        # pieces of all parts were decoded when they were learned, and a text's bytes are its parts' bytes
+        exact = np.diff(ends_of(encoder.inexact[rows])[ends]) == 0
+        every = pa.ListArray.from_arrays(pa.array(at[ends], pa.int32()), pa.array(ids, pa.int32()))
+        return [keys.column(0), every, pa.array(np.diff(at[ends]), pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(exact), rest.column()]
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, ids array<int>, n_pieces bigint, scores array<double>, exact boolean, others {EDITS}"
