@@ -108,7 +108,11 @@ def ends_of(sizes: np.ndarray) -> np.ndarray:
 def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All places of many stretches, one after the other."""
     ends = np.cumsum(sizes, dtype=np.int64)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    total, last = (int(ends[-1]), int((starts + sizes).max())) if len(ends) else (0, 0)
+    kind = np.int32 if max(total, last) < 1 << 31 else np.int64
+    places = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    places += np.arange(total, dtype=kind)
+    return places
 
 
 def segment(words: list[str], tree: Tree) -> tuple[Paths, np.ndarray]:

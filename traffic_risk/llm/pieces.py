@@ -35,12 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traffic_risk.llm.common import map_texts, remembered
+from traffic_risk.llm.common import as_bytes, map_texts, remembered
 from traffic_risk.llm.piece_lattice import Paths, Tree, ends_of, segment_together, stretches
 
 MARK = "▁"
 PART = re.compile(rf" +[^ \n{MARK}]*|[^ \n{MARK}]+|\n|{MARK}")
-SLICE = 8 << 20
+SLICE = 4 << 20
 """Bytes of rows whose parts are segmented together."""
 CACHED = 3 << 16
 """Parts of texts whose segmentations a Python worker remembers, besides those of the batch at hand."""
@@ -221,7 +221,7 @@ def cut_all(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     if len(empty):
         which = np.delete(which, np.searchsorted(places, begins[empty]))
         sizes[empty] = 0
-    return parts.dictionary.to_pylist(), which, sizes
+    return [b.decode() for b in as_bytes(parts.dictionary)], which, sizes
 
 
 class Encoder:
