@@ -216,3 +216,55 @@ def test_memory_of_a_block():
         tracemalloc.stop()
     assert len(machine.arcs) > 0.9 * n  # the texts are there twice, with two orders of arcs
     assert peak < 130 * n
+
+
+def test_words_are_found_together():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    signs = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x00", "\x08", "\x0e", "\x1f", "a", "A", "Z", "@", "[", "é", "É", "\xa0", "😀"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(7))) for _ in range(2000)] + ["", " ", "a", "", "b"]
+    for some in (texts, texts[7:60], [""], ["", ""], ["x"], [" ", "y"]):
+        words, codes, sizes = ngram_lm._numbered(pa.array(["left out", *some], pa.large_string()).slice(1))
+        ends = [0, *sizes.cumsum().tolist()]
+        want = [[ngram_lm.END, *ngram_lm.tokens(t)] for t in some]
+        assert [[words[c] for c in codes[a:b]] for a, b in zip(ends, ends[1:], strict=False)] == want
+        assert words[0] == ngram_lm.END and len(set(words)) == len(words)
+
+
+def test_order_of_hashes():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    close = rng.integers(0, 40, 3000).astype(np.uint64)  # hashes that differ in their last bits only
+    for values in (rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2), close, close << np.uint64(58), close[:1], close[:0]):
+        assert ngram_lm._order(values).tolist() == np.argsort(values, kind="stable").tolist()
+
+
+def test_packing_costs_no_python_call_a_word(spark, monkeypatch):
+    import cProfile
+    import pstats
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(1, "a")], "id long, text string")
+    caught = []
+    whole = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, fn, schema: caught.append(fn) or SimpleNamespace(withColumn=lambda *_: 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        ngram_lm.packed(docs, "id", "text", F.lit(False), ngram_lm.LmParams())
+    monkeypatch.setattr(type(docs), "mapInArrow", whole)
+
+    def calls(times):
+        texts = ["Some words that come again and again. " * times] * 20
+        batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([False, True] * 10), pa.array(texts)], ["id", "held", "text"])
+        profile = cProfile.Profile()
+        (block,) = profile.runcall(list, caught[0](iter([batch])))
+        assert block.column("n").to_pylist() == [20 * (7 * times + 2)] and block.column("train").to_pylist() == [10 * (7 * times + 1)]
+        return pstats.Stats(profile).total_calls
+
+    calls(1)
+    assert calls(200) < calls(2) + 20 * 7 * 198 / 10

@@ -34,11 +34,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traffic_risk.llm.common import written
+from traffic_risk.llm.common import as_bytes, written
 from traffic_risk.session import scratch_dir, ship_package
 
 END = b" "
@@ -125,43 +126,36 @@ def packed(docs: DataFrame, id_col: str, text_col: str, held: Column, params: Lm
     ship_package(spark)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def block(ids: list, flags: list, texts: list) -> pa.RecordBatch:
-        number: dict[bytes, int] = {END: 0}
-        codes, sizes = [], []
-        for text in texts:
-            words = [END, *tokens(text)]
-            codes += [number.setdefault(w, len(number)) for w in words]
-            sizes.append(len(words))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-        learned = sum(s - 1 for s, h in zip(sizes, flags, strict=True) if not h)
+    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, flags = (pa.concat_arrays([r.column(k) for r in rows]) for k in (0, 1))
+        words, codes, sizes = _numbered(pa.concat_arrays([r.column(2).cast(pa.large_string()) for r in rows]))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        learned = int((sizes - 1)[~flags.to_numpy(zero_copy_only=False)].sum())
         columns = [
-            pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)),
-            pa.array([flags], pa.list_(pa.bool_())),
-            pa.array([sizes], pa.list_(pa.int64())),
+            *[pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (ids, flags, pa.array(sizes, pa.int64()))],
             pa.array([hashes.tobytes()]),
-            pa.array([_pack_planes(np.array(codes, dtype=np.int32), 4)]),
+            pa.array([_pack_planes(codes, 4)]),
             pa.array([len(codes)], pa.int64()),
             pa.array([learned], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["ids", "held", "sizes", "words", "codes", "n", "train"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, flags, texts, size = [], [], [], 0
+        rows, size = [], 0
         for batch in batches:
-            column = batch.column(2).to_pylist()
+            ends = np.append(0, np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64))
             first = 0
-            for at, text in enumerate(column):
-                size += len(text)
-                texts.append(text)
-                if size >= params.block_bytes or at == len(column) - 1:
-                    ids.append(batch.column(0).slice(first, at + 1 - first))
-                    flags += batch.column(1).slice(first, at + 1 - first).to_pylist()
-                    first = at + 1
+            while first < batch.num_rows:
+                full = int(np.searchsorted(ends[1:], params.block_bytes - size + ends[first])) + 1
+                stop = min(max(full, first + 1), batch.num_rows)
+                rows.append(batch.slice(first, stop - first))
+                size += int(ends[stop] - ends[first])
+                first = stop
                 if size >= params.block_bytes:
-                    yield block(ids, flags, texts)
-                    ids, flags, texts, size = [], [], [], 0
-        if texts:
-            yield block(ids, flags, texts)
+                    yield block(rows)
+                    rows, size = [], 0
+        if rows:
+            yield block(rows)
 
     chosen = docs.select(F.col(id_col), F.coalesce(held, F.lit(False)).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     made = chosen.mapInArrow(run, f"ids array<{kind}>, {BLOCK}").withColumn("block", F.monotonically_increasing_id())
@@ -171,6 +165,49 @@ def packed(docs: DataFrame, id_col: str, text_col: str, held: Column, params: Lm
     return spark.table(name)
 
 
+def _numbered(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different ``tokens`` of many texts, their numbers text after text, each led by an end, and how many each text has then.
+
+    Words are found in the bytes of all texts at once; none is a Python object but the different ones.
+    """
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = (data != ord(" ")) & (data - np.uint8(9) > 4)  # below 9 it wraps around
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    borders = ends[(ends > 0) & (ends < len(data))]
+    first[borders], last[borders - 1] = inside[borders], inside[borders - 1]
+    starts = np.flatnonzero(first)
+    word_ends = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - starts, dtype=np.int64))
+    sizes = np.diff(np.searchsorted(starts, ends)) + 2
+    spelled = data[inside]
+    spelled |= (spelled - np.uint8(ord("A")) < 26).view(np.uint8) << np.uint8(5)
+    buffers = [None, pa.py_buffer(word_ends), pa.py_buffer(spelled)]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+    stops = np.cumsum(sizes)
+    codes, word = np.zeros(int(sizes.sum()), dtype=np.int32), np.ones(int(sizes.sum()), dtype=bool)
+    word[stops - 1] = word[stops - sizes] = False
+    codes[word] = words.indices.to_numpy() + 1
+    return [END, *as_bytes(words.dictionary)], codes, sizes
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """A stable order of 64-bit hashes: their first bits are sorted with the places in the last ones, which is faster than an order of numbers."""
+    low = np.uint64(len(values).bit_length())
+    mask = (np.uint64(1) << low) - np.uint64(1)
+    held = values & ~mask
+    held |= np.arange(len(values), dtype=np.uint64)
+    held.sort()
+    held &= mask
+    by = held.view(np.int64)
+    found = values[by]
+    if (found[1:] < found[:-1]).any():  # hashes that differ in the last bits only
+        by = by[np.argsort(found, kind="stable")]
+    return by
+
+
 class Keys:
     """Hashes of the n-grams that end at every place, by order less one; made when they are asked for, as each takes as much as the texts."""
 
@@ -188,6 +225,15 @@ class Keys:
             keys = _mixed(following)
         return keys
 
+    def at(self, more: int, places: np.ndarray) -> np.ndarray:
+        """Those of some places, each of which has as many words before it."""
+        keys = self.hashes[self.codes[places - more]]
+        for k in range(more - 1, -1, -1):
+            keys *= np.uint64(0x9E3779B97F4A7C15)
+            keys += self.hashes[self.codes[places - k]]
+            keys = _mixed(keys)
+        return keys
+
 
 class Grams:
     """All n-grams of a block's texts, which are led by an end that is no token of theirs."""
@@ -213,7 +259,7 @@ class Grams:
             by = by[where[by] >= 0]
             return self.hashes[by], where[by], counts[by]
         every = self.keys[k - 1][ends]
-        by = np.argsort(every)
+        by = _order(every)
         every = every[by]
         first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else by
         counts = np.add.reduceat(self.train[ends][by], first, dtype=np.int64) if len(every) else by
@@ -296,12 +342,14 @@ def _passed(grams: Grams, told: list[dict], k: int, before: np.ndarray | None) -
     bits = [np.unpackbits(np.frombuffer(r["passed"], np.uint8), count=r["n"]) for r in sorted((r for r in told if r["k"] == k), key=lambda r: r["part"])]
     passed = np.flatnonzero(np.concatenate(bits)) if bits else np.zeros(0, np.int64)
     keys, where, counts = keys[passed], where[passed], counts[passed]
-    context = grams.keys[k - 2][where - 1]
+    context = grams.keys.at(k - 2, where - 1)
+    by = _order(context)  # the hashes are in order
+    context = context[by]
     if k > 2:  # one that is frequent has a frequent context; others passed by chance
-        good = np.isin(context, before)
-        context, keys, where, counts = context[good], keys[good], where[good], counts[good]
-    by = np.argsort(context, kind="stable")  # the hashes are in order
-    return context[by], keys[by], where[by], counts[by]
+        frequent = np.sort(before)
+        good = frequent[np.minimum(np.searchsorted(frequent, context), len(frequent) - 1)] == context if len(frequent) else np.zeros(len(by), dtype=bool)
+        context, by = context[good], by[good]
+    return context, keys[by], where[by], counts[by]
 
 
 def _passing(grams: Grams, told: list[dict], order: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -412,7 +460,9 @@ class Automaton:
     """State a failure arc leads to."""
     fail_weight: np.ndarray
     root_weight: np.ndarray
-    """Of the root's arc for each word, which leads to the word's state."""
+    """Of the root's arc for each word."""
+    root_target: np.ndarray
+    """State that arc leads to."""
 
     def read(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and added log-probabilities of many walkers that read a word each."""
@@ -421,17 +471,25 @@ class Automaton:
         while len(todo):
             now, word = states[todo], words[todo]
             root = now == 0
-            wanted = now * len(self.root_weight) + word
-            at = np.minimum(np.searchsorted(self.arcs, wanted), max(len(self.arcs) - 1, 0))
-            arc = ~root & (self.arcs[at] == wanted) if len(self.arcs) else np.zeros(len(todo), dtype=bool)
-            added[todo[arc]] += self.weight[at[arc]]
-            out[todo[arc]] = self.target[at[arc]]
-            added[todo[root]] += self.root_weight[word[root]]
-            out[todo[root]] = 1 + word[root]
-            lost = ~(arc | root)
-            added[todo[lost]] += self.fail_weight[now[lost]]
-            states[todo[lost]] = self.fail[now[lost]]
-            todo = todo[lost]
+            if root.any():
+                at_root, read = todo[root], word[root]
+                added[at_root] += self.root_weight[read]
+                out[at_root] = self.root_target[read]
+                inner = ~root
+                todo, now, word = todo[inner], now[inner], word[inner]
+            if not len(self.arcs):
+                arc = np.zeros(len(todo), dtype=bool)
+            else:
+                wanted = now * len(self.root_weight) + word
+                at = np.minimum(np.searchsorted(self.arcs, wanted), len(self.arcs) - 1)
+                arc = self.arcs[at] == wanted
+                met, at = todo[arc], at[arc]
+                added[met] += self.weight[at]
+                out[met] = self.target[at]
+            lost = ~arc
+            todo, now = todo[lost], now[lost]
+            added[todo] += self.fail_weight[now]
+            states[todo] = self.fail[now]
         return out, added
 
 
@@ -482,7 +540,7 @@ def automaton(grams: Grams, passing: Iterable[tuple[np.ndarray, ...]], told: lis
 
         up = find(context[kept])
         passed, keys, where = keys, keys[kept], where[kept]
-        suffix = find(grams.keys[k - 2][where])
+        suffix = find(grams.keys.at(k - 2, where))
         p = (c - params.discount) / lower_c[up] + back[up] * lower_p[suffix]
         if k < order:
             own = states + np.arange(len(keys))
@@ -505,7 +563,14 @@ def automaton(grams: Grams, passing: Iterable[tuple[np.ndarray, ...]], told: lis
     arcs = np.concatenate(arcs) if arcs else np.zeros(0, dtype=np.int64)
     weight = np.concatenate(weight) if weight else np.zeros(0)
     target = np.concatenate(target) if target else np.zeros(0, dtype=np.int32)
-    return Automaton(arcs, weight, target, np.concatenate(fail), np.concatenate(fail_weight), root_weight), counts
+    fail, fail_weight = np.concatenate(fail), np.concatenate(fail_weight)
+    # a state without arcs whose failure arc adds nothing is never stopped at
+    idle = fail_weight == 0
+    idle[arcs // words] = False
+    to = np.where(idle, fail, np.arange(len(fail), dtype=np.int32))
+    for _ in range(order - 2):
+        to = to[to]
+    return Automaton(arcs, weight, to[target], to[fail], fail_weight, root_weight, to[1 : 1 + words]), counts
 
 
 def walk(grams: Grams, machine: Automaton, order: int) -> np.ndarray:
